@@ -32,14 +32,16 @@ def _lerp_sorted(s: np.ndarray, n: np.ndarray, q: float) -> np.ndarray:
 
 
 def _full_rows(sub: np.ndarray, w: int) -> dict[str, np.ndarray]:
-    mean = sub.mean(axis=1)
-    dev = sub - mean[:, None]
-    std = np.sqrt((dev * dev).sum(axis=1) / (w - 1))
-    kth = sorted({int(np.floor((w - 1) * q)) for q in QUANTILES} | {min(int(np.floor((w - 1) * q)) + 1, w - 1) for q in QUANTILES})
-    part = np.partition(sub, kth, axis=1)
-    n = np.full(sub.shape[0], w, dtype=np.int64)
-    qs = [_lerp_sorted(part, n, q) for q in QUANTILES]
-    return {"mean": mean, "std": std, "min": sub.min(axis=1), "max": sub.max(axis=1), "q": qs}
+    """Rows of exactly ``w`` values: one in-place sort per row gives min, max
+    and the quartiles by index (faster than a multi-kth partition)."""
+    a = np.array(sub, dtype=np.float64, copy=True)
+    mean = a.mean(axis=1)
+    dev = a - mean[:, None]
+    std = np.sqrt(np.einsum("ij,ij->i", dev, dev) / (w - 1))
+    a.sort(axis=1)
+    n = np.full(a.shape[0], w, dtype=np.int64)
+    qs = [_lerp_sorted(a, n, q) for q in QUANTILES]
+    return {"mean": mean, "std": std, "min": a[:, 0], "max": a[:, -1], "q": qs}
 
 
 def _partial_rows(sub: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:

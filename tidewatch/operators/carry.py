@@ -1,7 +1,7 @@
 """Carry the last non-null value forward over a global order, in parallel.
 
 A window ``last(x, ignorenulls)`` over an un-partitioned order puts all rows
-in one task. Instead, rows are range-sorted (written once, see
+in one task. Instead, rows are range-sorted (written once as a table, see
 :mod:`tidewatch.operators.positions`), each partition reports its last
 non-null value per column (a table of at most P rows), the carry-in of
 every partition is the last non-null of the partitions before it, and a
@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.positions import PID, range_sorted
+from tidewatch.session import materialize
 
 
 def carry_forward(df: DataFrame, order_cols: Sequence[str], cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
     """Replace NULLs in ``cols`` by the last non-null value earlier in ``order_cols`` order."""
-    ranged = range_sorted(df, order_cols, num_partitions).checkpoint(eager=True)
+    ranged = materialize(range_sorted(df, order_cols, num_partitions), "carry")
     summary = ranged.groupBy(PID).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_loc"))).alias(f"_last_{c}") for c in cols]
     )

@@ -10,12 +10,12 @@ row into one task. Instead:
    bounded by the partition count, not by the data) -> cumulative offsets;
 4. position = offset(partition) + row index.
 
-The range-sorted rows are written once with ``checkpoint()`` into the
-cluster's ``spark.checkpoint.dir`` before the counts are taken: Spark's
-range sampler is seeded per RDD, so two independently planned copies of the
-same range exchange may cut different bounds. Reading one written copy
-makes the count table and the rows agree, cuts the lineage, and survives
-executor loss without recomputation drift.
+The range-sorted rows (with their partition id and index) are written once
+as a table in the cluster's ``spark.checkpoint.dir`` before the counts are
+taken: Spark's range sampler is seeded per RDD, so two independently planned
+copies of the same range exchange may cut different bounds. Reading one
+written copy makes the count table and the rows agree, cuts the lineage,
+and survives executor loss without recomputation drift.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialize
+
 PID = "_pid"
 GPOS = "_gpos"
 _LOW_BITS = (1 << 33) - 1
@@ -71,7 +73,7 @@ def with_global_position(
     ``sort_cols`` must be a total order for the numbering to be
     reproducible. The result keeps ``_pid`` (its range partition).
     """
-    ranged = range_sorted(df, sort_cols, num_partitions).checkpoint(eager=True)
+    ranged = materialize(range_sorted(df, sort_cols, num_partitions), "positions")
     offs = partition_offsets(ranged)
     return (
         ranged.join(F.broadcast(offs), PID)

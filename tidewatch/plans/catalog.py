@@ -17,7 +17,10 @@ from tidewatch.operators.alerts import alert_policy, dedup_alerts, expired_dedup
 from tidewatch.operators.chain import TS_US
 from tidewatch.operators.metrics import bucket_histogram
 from tidewatch.operators.windows import rolling_stats, score_against, window_snapshot
-from tidewatch.params import AlertParams, DetectorParams
+from tidewatch.operators.forest import (
+    fit_models, forest_anomalies, forest_status, score_vectors, training_slices, vector_sequence, with_epochs,
+)
+from tidewatch.params import AlertParams, DetectorParams, ForestParams
 from tidewatch.plans.detection import with_severity
 from tidewatch.sources.events import parse_messages, split_dead_letters, unpivot_features
 from tidewatch.sources.tables import (
@@ -26,6 +29,7 @@ from tidewatch.sources.tables import (
 
 P = DetectorParams()
 A = AlertParams()
+FP = ForestParams()
 STATS = ["win_count", "win_mean", "win_std", "win_min", "win_max", "win_p25", "win_median", "win_p75", "win_iqr", "zscore"]
 FEATURES = list(P.features)
 
@@ -285,6 +289,72 @@ def q_metric_histogram(spark, sf):
     return bucket_histogram(ev, "value", (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0))
 
 
+# ---------------------------------------------------------------- E: isolation forest
+
+def trade_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature vectors of lineitem trades (weight undeclared on 7th lines)."""
+    from tidewatch.operators.vectors import feature_vectors
+
+    stats = trade_stats(spark, sf, drop_weight_on_line7=True)
+    events = lineitem_trades(spark, sf).select("event_id", *TRADE_ORDER)
+    return feature_vectors(events, stats, ["event_id"], TRADE_ORDER, FEATURES)
+
+
+def trade_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    return with_epochs(vector_sequence(trade_vectors(spark, sf), TRADE_ORDER), FP)
+
+
+def trade_forest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    ep = trade_epochs(spark, sf)
+    nodes = fit_models(training_slices(ep, FP), FP)
+    return score_vectors(ep, nodes, ["event_id", *TRADE_ORDER])
+
+
+def q_forest_epochs(spark, sf):
+    return trade_epochs(spark, sf).select("event_id", "n", "model")
+
+
+def q_forest_training_slices(spark, sf):
+    sl = training_slices(trade_epochs(spark, sf).drop("model"), FP)
+    return sl.groupBy("model").agg(F.min("n").alias("first_n"), F.max("n").alias("last_n"),
+                                   F.count(F.lit(1)).alias("train_rows"))
+
+
+def q_forest_status(spark, sf):
+    return forest_status(trade_epochs(spark, sf), FP)
+
+
+def q_metric_forest(spark, sf):
+    return forest_status(trade_epochs(spark, sf), FP).select(
+        F.col("retrains").alias("retrains_total"), F.col("training_samples").alias("training_samples"))
+
+
+def q_forest_trees(spark, sf):
+    ep = trade_epochs(spark, sf)
+    return fit_models(training_slices(ep, FP), FP).select("model", "tree", "node", "feature", r6("threshold"),
+                                                           r6("leaf_value"), r6("offset"))
+
+
+def q_forest_scores(spark, sf):
+    return trade_forest_scores(spark, sf).select("event_id", "n", "model", r6("raw_score"), r6("score"),
+                                                 "is_anomaly", "reason")
+
+
+def q_forest_anomalies(spark, sf):
+    fa = forest_anomalies(trade_forest_scores(spark, sf), A.score_scale_forest)
+    return fa.select("event_id", "feature", r6("value"), r6("score"), "anomaly_type", "detector")
+
+
+def q_union_results(spark, sf):
+    """Statistical anomalies of the trades, then the forest's, per event."""
+    stat = detect(trade_stats(spark, sf, drop_weight_on_line7=True), P).filter("is_anomaly").select(
+        "event_id", "feature", r6("value"), r6("score"), "anomaly_type",
+        (F.array_position(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature")) - 1).cast("int").alias("result_pos"))
+    fa = forest_anomalies(trade_forest_scores(spark, sf), A.score_scale_forest).select(
+        "event_id", "feature", r6("value"), r6("score"), "anomaly_type", F.lit(len(FEATURES)).alias("result_pos"))
+    return stat.unionByName(fa)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_trade_events": q_scan_trade_events,
     "dead_letter_events": q_dead_letter_events,
@@ -317,4 +387,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metric_errors": q_metric_errors,
     "metric_histogram": q_metric_histogram,
     "metric_window_size": q_metric_window_size,
+    "forest_epochs": q_forest_epochs,
+    "forest_training_slices": q_forest_training_slices,
+    "forest_status": q_forest_status,
+    "metric_forest": q_metric_forest,
+    "forest_trees": q_forest_trees,
+    "forest_scores": q_forest_scores,
+    "forest_anomalies": q_forest_anomalies,
+    "union_results": q_union_results,
 }

@@ -174,8 +174,7 @@ r AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY {T
 SELECT feature, CAST(least(cnt, {W}) - rn + 1 AS INTEGER) AS pos, round(value, 6) AS value FROM r WHERE rn <= {W}"""
 
 _ZC = ["declared_value", "quantity", "weight_kg", "unit_price"]
-ORACLE["feature_vectors"] = f"""
-WITH {TRADES}, {TRADES_LINE7}, {trades_long('trades7')}, {stats('trades_long', 'tr_stats', TR_ORDER)},
+VECTORS = f"""{TRADES}, {TRADES_LINE7}, {trades_long('trades7')}, {stats('trades_long', 'tr_stats', TR_ORDER)},
 z AS (
   SELECT event_id, ts, l_orderkey, l_linenumber, l_partkey, feature, zscore FROM tr_stats
   UNION ALL
@@ -185,12 +184,37 @@ z AS (
     {", ".join(f"max(CASE WHEN feature = '{f}' THEN zscore END) AS z_{f}" for f in _ZC)}
   FROM z GROUP BY event_id, ts, l_orderkey, l_linenumber, l_partkey
 ), filled AS (
-  SELECT event_id, {", ".join(f"last_value(z_{f} IGNORE NULLS) OVER w AS z_{f}" for f in _ZC)}
+  SELECT event_id, ts, l_orderkey, l_linenumber, l_partkey,
+    {", ".join(f"last_value(z_{f} IGNORE NULLS) OVER w AS z_{f}" for f in _ZC)}
   FROM wide WINDOW w AS (ORDER BY {TR_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-)
-SELECT event_id, {", ".join(f"round(z_{f}, 6) AS z_{f}" for f in _ZC)},
-  ({" AND ".join(f"z_{f} IS NOT NULL" for f in _ZC)}) AS vector_ready
-FROM filled"""
+), vec AS (
+  SELECT *, ({" AND ".join(f"z_{f} IS NOT NULL" for f in _ZC)}) AS vector_ready FROM filled
+)"""
+
+ORACLE["feature_vectors"] = f"""
+WITH {VECTORS}
+SELECT event_id, {", ".join(f"round(z_{f}, 6) AS z_{f}" for f in _ZC)}, vector_ready FROM vec"""
+
+# isolation-forest schedule: interval 5000, buffer 1000, first training at n0 = 5000
+_I, _B, _N0 = 5000, 1000, 5000
+EPOCHS = f"""{VECTORS},
+seq AS (SELECT event_id, row_number() OVER (ORDER BY {TR_ORDER}) AS n FROM vec WHERE vector_ready),
+ep AS (SELECT event_id, n, CAST(CASE WHEN n < {_N0} THEN 0 ELSE 1 + (n - {_N0}) // {_I} END AS BIGINT) AS model FROM seq),
+tot AS (SELECT coalesce(max(n), 0) AS nmax, coalesce(max(model), 0) AS mmax FROM ep)"""
+
+ORACLE["forest_epochs"] = f"WITH {EPOCHS} SELECT event_id, n, model FROM ep"
+
+ORACLE["forest_training_slices"] = f"""
+WITH {EPOCHS},
+models AS (SELECT range AS model, {_N0} + (range - 1) * {_I} AS nm FROM tot, range(1, tot.mmax + 1))
+SELECT m.model, min(s.n) AS first_n, max(s.n) AS last_n, count(*) AS train_rows
+FROM models m JOIN seq s ON s.n > m.nm - {_B} AND s.n <= m.nm GROUP BY m.model"""
+
+_STATUS = f"""SELECT mmax > 0 AS is_trained, CAST(nmax AS BIGINT) AS total_seen, CAST(least(nmax, {_B}) AS BIGINT) AS buffer_count,
+  CAST(mmax AS BIGINT) AS retrains,
+  CAST(CASE WHEN mmax > 0 THEN least({_N0} + (mmax - 1) * {_I}, {_B}) ELSE 0 END AS BIGINT) AS training_samples FROM tot"""
+ORACLE["forest_status"] = f"WITH {EPOCHS} {_STATUS}"
+ORACLE["metric_forest"] = f"WITH {EPOCHS}, st AS ({_STATUS}) SELECT retrains AS retrains_total, training_samples FROM st"
 
 ORACLE["metric_window_size"] = f"""
 WITH {TRADES}, {trades_long()}

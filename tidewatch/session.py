@@ -80,3 +80,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = conf or tempfile.mkdtemp(prefix="tidewatch-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def materialize(df, label: str = "table"):
+    """Write ``df`` once as parquet under the cluster's checkpoint folder and
+    read it back: a lineage cut that costs one columnar write (an RDD
+    ``checkpoint()`` serializes rows and recomputes the plan a second time).
+
+    The folder is ``spark.checkpoint.dir`` (shared storage on a cluster);
+    each call writes a new uniquely named table.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tidewatch-tables/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
