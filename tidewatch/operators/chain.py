@@ -92,4 +92,7 @@ def chain_windows(
         return pdf
 
     out = staged.groupBy(*key_cols, "_sess").applyInPandas(fold, schema)
-    return out.withColumn(f"{prefix}window_start", F.timestamp_micros(f"{prefix}window_start")).drop("_sess")
+    # back to the input's timestamp type (NTZ -> instant -> NTZ round-trips
+    # through the same session time zone)
+    start_ts = F.timestamp_micros(f"{prefix}window_start").cast(df.schema[ts_col].dataType)
+    return out.withColumn(f"{prefix}window_start", start_ts).drop("_sess")
