@@ -5,14 +5,13 @@ in one task. Instead, rows are range-sorted (written once as a table, see
 :mod:`tidewatch.operators.positions`), each partition reports its last
 non-null value per column (a table of at most P rows), the carry-in of
 every partition is the last non-null of the partitions before it, and a
-per-partition forward fill (``mapInPandas``, no shuffle) finishes the job.
+forward fill inside each range partition finishes the job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,31 +25,17 @@ def carry_forward(df: DataFrame, order_cols: Sequence[str], cols: Sequence[str],
     summary = ranged.groupBy(PID).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_loc"))).alias(f"_last_{c}") for c in cols]
     )
+    col_list = list(cols)
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     carry_in = summary.select(PID, *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_in_{c}") for c in cols])
+    # within each range partition: last non-null so far, else the carry-in.
+    # Partitioned by the stored partition id, so the result does not depend
+    # on how the written table is split into read tasks; each group is one
+    # range partition (bounded by the partition size).
+    upto = Window.partitionBy(PID).orderBy("_loc").rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(F.broadcast(carry_in), PID, "left")
-    schema = joined.schema
-    col_list = list(cols)
-
-    def fill(batches):
-        state: dict[str, object] = {}
-        for pdf in batches:
-            pdf = pdf.sort_values("_loc", kind="stable")
-            for c in col_list:
-                if c not in state:
-                    first_in = pdf[f"_in_{c}"].iloc[0] if len(pdf) else None
-                    state[c] = None if pd.isna(first_in) else first_in
-                s = pdf[c]
-                if state[c] is not None:
-                    s = s.copy()
-                    if pd.isna(s.iloc[0]):
-                        s.iloc[0] = state[c]
-                s = s.ffill()
-                pdf[c] = s
-                last = s.iloc[-1] if len(s) else None
-                if last is not None and not pd.isna(last):
-                    state[c] = last
-            yield pdf
-
-    out = joined.mapInPandas(fill, schema)
-    return out.drop(PID, "_loc", *[f"_in_{c}" for c in cols])
+    filled = joined.select(
+        *[c for c in ranged.columns if c not in col_list and c not in (PID, "_loc")],
+        *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_in_{c}")).alias(c) for c in col_list],
+    )
+    return filled.select(*[c for c in df.columns])
