@@ -44,6 +44,96 @@ def _full_rows(sub: np.ndarray, w: int) -> dict[str, np.ndarray]:
     return {"mean": mean, "std": std, "min": a[:, 0], "max": a[:, -1], "q": qs}
 
 
+def _kth_of_union(core: np.ndarray, g: np.ndarray, extra: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """k-th and (k+1)-th smallest (0-based) of ``core[g[r]] U extra[r]`` per row r.
+
+    ``core`` (G x m) and ``extra`` (R x e) rows are sorted. Binary search on
+    j = how many of the k+1 smallest come from ``extra``, for all rows at once.
+    """
+    m = core.shape[1]
+    e = extra.shape[1]
+    r = np.arange(extra.shape[0])
+    lo = np.full(r.shape, max(0, k + 1 - m), dtype=np.int64)
+    hi = np.full(r.shape, min(k + 1, e), dtype=np.int64)
+    while True:
+        todo = lo < hi
+        if not todo.any():
+            break
+        mid = (lo + hi) // 2
+        i_a = k - mid  # index of the last element taken from core, if any
+        a_val = core[g, np.clip(i_a, 0, m - 1)]
+        b_val = extra[r, np.clip(mid, 0, e - 1)]
+        need_more_b = (mid < e) & (i_a >= 0) & (a_val > b_val)
+        lo = np.where(todo & need_more_b, mid + 1, lo)
+        hi = np.where(todo & ~need_more_b, mid, hi)
+    j = lo
+    i = k + 1 - j
+    neg, pos = -np.inf, np.inf
+    a_prev = np.where(i > 0, core[g, np.clip(i - 1, 0, m - 1)], neg)
+    b_prev = np.where(j > 0, extra[r, np.clip(j - 1, 0, e - 1)], neg)
+    a_next = np.where(i < m, core[g, np.clip(i, 0, m - 1)], pos)
+    b_next = np.where(j < e, extra[r, np.clip(j, 0, e - 1)], pos)
+    return np.maximum(a_prev, b_prev), np.minimum(a_next, b_next)
+
+
+def _full_chunks(v: np.ndarray, starts: np.ndarray, w: int, c: int) -> dict[str, np.ndarray]:
+    """Full windows of ``c`` consecutive rows per chunk, chunk rows a..a+c-1.
+
+    All windows of a chunk share the core v[a+c-w .. a]; row a+t adds the
+    c-1 values O[t : t+c-1] of O = v[a-w+1 .. a+c-w-1] ++ v[a+1 .. a+c-1].
+    One sort per chunk core plus one small sort per row replaces a sort of
+    w values per row; quartiles come from a k-th-of-two-sorted-arrays search.
+    """
+    m = w - c + 1
+    core = np.sort(sliding_window_view(v, m)[starts + c - w], axis=1)  # (G, m)
+    side = sliding_window_view(v, c - 1)
+    outer = np.concatenate([side[starts - w + 1], side[starts + 1]], axis=1)  # (G, 2c-2)
+    extra = sliding_window_view(outer, c - 1, axis=1)[:, :c, :].reshape(-1, c - 1)  # (G*c, c-1)
+    extra = np.sort(extra, axis=1)
+    g = np.repeat(np.arange(len(starts)), c)
+    # sums in extended precision around the chunk's core mean: the variance
+    # S2 - S1^2/w then loses nothing visible after rounding to double
+    ld = np.longdouble
+    core_l = core.astype(ld)
+    shift = core_l.mean(axis=1)
+    yc = core_l - shift[:, None]
+    ye = extra.astype(ld) - shift[g][:, None]
+    s1 = yc.sum(axis=1)[g] + ye.sum(axis=1)
+    s2 = (yc * yc).sum(axis=1)[g] + (ye * ye).sum(axis=1)
+    mean = (shift[g] + s1 / w).astype(np.float64)
+    var = np.maximum((s2 - s1 * s1 / w) / (w - 1), 0).astype(np.float64)
+    qs = []
+    for q in QUANTILES:
+        pos = (w - 1) * q
+        k = int(np.floor(pos))
+        frac = pos - k
+        a, b = _kth_of_union(core, g, extra, k)
+        if k + 1 > w - 1:
+            b = a
+        qs.append(a + (b - a) * frac)
+    return {"mean": mean, "std": np.sqrt(var), "min": np.minimum(core[g, 0], extra[:, 0]),
+            "max": np.maximum(core[g, -1], extra[:, -1]), "q": qs}
+
+
+def _chunk_starts(full_rows: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """Split sorted row indices into chunks of ``c`` consecutive rows.
+
+    Returns (chunk start rows, positions in ``full_rows`` not covered)."""
+    if len(full_rows) == 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    brk = np.flatnonzero(np.diff(full_rows) != 1) + 1
+    run_lo = np.r_[0, brk]
+    run_hi = np.r_[brk, len(full_rows)]
+    starts, rest = [], []
+    for lo, hi in zip(run_lo, run_hi):
+        n_chunks = (hi - lo) // c
+        if n_chunks:
+            starts.append(full_rows[lo] + c * np.arange(n_chunks))
+        rest.append(np.arange(lo + n_chunks * c, hi))
+    st = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
+    return st.astype(np.int64), np.concatenate(rest).astype(np.int64)
+
+
 def _partial_rows(sub: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     """``sub`` right-aligned windows with NaN padding on the left."""
     valid = ~np.isnan(sub)
@@ -65,6 +155,7 @@ def window_stats(
     rows: np.ndarray,
     current: np.ndarray | None = None,
     chunk: int = 1024,
+    merge_chunk: int | None = None,
 ) -> dict[str, np.ndarray]:
     """Statistics of the windows ending at ``rows`` (indices into ``values``).
 
@@ -97,9 +188,21 @@ def window_stats(
     ready = n >= 2
     full = ready & (n == window)
     part = ready & (n < window)
+    if merge_chunk is None:  # measured: merging pays from a few hundred values up
+        merge_chunk = 32 if window >= 800 else (16 if window >= 256 else 0)
     if full.any():
         view = sliding_window_view(v, window)
         fsel = np.flatnonzero(full)
+        if merge_chunk and window >= 2 * merge_chunk:
+            # rows are sorted, so consecutive selections are consecutive rows
+            starts, rest = _chunk_starts(rows[fsel], merge_chunk)
+            if len(starts):
+                covered = np.setdiff1d(np.arange(len(fsel)), rest, assume_unique=True)
+                for c0 in range(0, len(starts), max(1, chunk // merge_chunk * 8)):
+                    st = starts[c0 : c0 + max(1, chunk // merge_chunk * 8)]
+                    sel = fsel[covered[c0 * merge_chunk : c0 * merge_chunk + len(st) * merge_chunk]]
+                    put(sel, _full_chunks(v, st, window, merge_chunk))
+                fsel = fsel[rest]
         for c in range(0, len(fsel), chunk):
             sel = fsel[c : c + chunk]
             put(sel, _full_rows(view[rows[sel] - window + 1], window))
