@@ -5,15 +5,24 @@ with ``ts >= open + gap``. Rows in between belong to the open window. This
 is neither a tumbling nor a session window: windows are anchored on data,
 and suppressed rows never extend them.
 
-Plan: a row that follows the previous row of its key by ``>= gap`` must
-open a window (the last opening is no later than that previous row), so
-silences of at least ``gap`` cut a key into independent sessions (``lag``).
-Whole sessions are packed into groups of about ``group_rows`` rows (by the
-row number of the session's first row) and each group is folded in order
-by ``groupBy(key, group).applyInPandas``. Folding several sessions in one
-pass stays exact: the first row of a later session is always at least
-``gap`` after the last opening. The fold jumps from window to window with a
-binary search, so its loop runs once per window, not once per row.
+Plan (no task ever holds a whole key):
+
+1. rows get global positions in ``(key, ts, order)`` order (distributed
+   sort, :mod:`tidewatch.operators.positions`);
+2. a row that follows the previous row of its key by ``>= gap`` must open a
+   window (the last opening is no later than that previous row), so such
+   silences cut a key into independent sessions. The previous row comes from
+   a self-join on position, session ids from a parallel carry-forward;
+3. sessions up to ``fold_rows`` rows are packed into groups of about
+   ``group_rows`` rows and folded in order by ``applyInPandas`` (a binary
+   search jumps from window to window, so the loop runs once per window).
+   Folding several sessions in one pass stays exact: a later session's
+   first row is always at least ``gap`` after the last opening;
+4. longer sessions (a dense hot key) are resolved exactly by pointer
+   doubling: next(p) = first row at or after ``ts_p + gap`` (a reverse
+   carry over rows and probes), jump tables next^(2^j) by self-joins, and the
+   openings enumerated from each session start level by level. Every step is
+   a hash join spread over all tasks; rounds grow with log2(session size).
 """
 
 from __future__ import annotations
@@ -26,6 +35,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators.carry import carry_forward
+from tidewatch.operators.positions import GPOS, PID, with_global_position
+from tidewatch.session import materialize
+
 TS_US = "_ts_us"
 
 
@@ -34,6 +47,128 @@ def epoch_micros(ts_col: str) -> F.Column:
     return F.unix_micros(F.col(ts_col).cast("timestamp"))
 
 
+def _fold_groups(rows: DataFrame, key_cols: Sequence[str], gap_us: int, order_cols: Sequence[str],
+                 group_rows: int, by_key: bool = False) -> DataFrame:
+    """Sequential fold of whole sessions packed into bounded groups."""
+    schema = T.StructType(list(rows.schema.fields) + [
+        T.StructField("_opens", T.BooleanType()),
+        T.StructField("_wstart_us", T.LongType()),
+        T.StructField("_rank", T.LongType()),
+    ])
+    sort_cols = [TS_US, *order_cols]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*key_cols, *sort_cols], kind="stable").reset_index(drop=True)
+        ts = pdf[TS_US].to_numpy(dtype=np.int64)
+        n = len(ts)
+        opens = np.zeros(n, dtype=bool)
+        start = np.zeros(n, dtype=np.int64)
+        rank = np.zeros(n, dtype=np.int64)
+        # a group may hold several keys and sessions: fold each run separately
+        change = np.zeros(max(n - 1, 0), dtype=bool)
+        for c in [*key_cols, "_sess"]:
+            codes, _ = pd.factorize(pdf[c], use_na_sentinel=True)
+            change |= codes[1:] != codes[:-1]
+        seg = np.r_[0, np.flatnonzero(change) + 1, n].astype(np.int64)
+        for a, b in zip(seg[:-1], seg[1:]):
+            i = a
+            while i < b:
+                j = int(np.searchsorted(ts[a:b], ts[i] + gap_us, side="left")) + a
+                j = max(j, i + 1)
+                opens[i] = True
+                start[i:j] = ts[i]
+                rank[i:j] = np.arange(1, j - i + 1)
+                i = j
+        pdf["_opens"] = opens
+        pdf["_wstart_us"] = start
+        pdf["_rank"] = rank
+        return pdf
+
+    pack = F.expr(f"_sess div {int(group_rows)}").alias("_pack")
+    groups = [*key_cols, pack] if by_key else [pack]
+    return rows.groupBy(*groups).applyInPandas(fold, schema)
+
+
+def _fold_by_doubling(rows: DataFrame, gap_us: int) -> DataFrame:
+    """Exact chain windows of long sessions by pointer doubling.
+
+    ``rows`` carry ``_sess`` (position of the session's first row), ``_gpos``
+    (contiguous inside a session, in (ts, order) order) and ``_ts_us``.
+    """
+    spark = rows.sparkSession
+    base = rows.select("_sess", GPOS, TS_US)
+    probes = base.select("_sess", F.col(GPOS).alias("_p"), (F.col(TS_US) + gap_us).alias("_x"),
+                         F.lit(0).alias("_kind"), F.lit(None).cast("struct<s:long,p:long>").alias("_cv"))
+    marks = base.select("_sess", F.col(GPOS).alias("_p"), F.col(TS_US).alias("_x"), F.lit(1).alias("_kind"),
+                        F.struct(F.col("_sess").alias("s"), F.col(GPOS).alias("p")).alias("_cv"))
+    u = probes.unionByName(marks).select("*", (-F.col("_x")).alias("_nx"), (-F.col("_kind")).alias("_nk"),
+                                         (-F.col("_p")).alias("_np"))
+    # walking backwards in time, the last row seen before a probe is the first
+    # row at or after the probe's time
+    filled = carry_forward(u, ["_sess", "_nx", "_nk", "_np"], ["_cv"])
+    nxt = filled.filter(F.col("_kind") == 0).select(
+        F.col("_p").alias("p"), F.when(F.col("_cv.s") == F.col("_sess"), F.col("_cv.p")).alias("nxt"))
+    nxt = materialize(nxt, "chain-next")
+    max_len = rows.groupBy("_sess").count().agg(F.max("count")).first()[0] or 1
+    levels = [nxt]
+    for _ in range(int(np.ceil(np.log2(max(max_len, 2))))):
+        t = levels[-1]
+        a, b = t.alias("a"), t.alias("b")
+        levels.append(materialize(
+            a.join(b, F.col("a.nxt") == F.col("b.p"), "left").select(F.col("a.p").alias("p"), F.col("b.nxt").alias("nxt")),
+            "chain-jump"))
+    opened = rows.select(F.col("_sess").alias("p")).distinct()
+    for t in reversed(levels):
+        step = opened.join(t, "p").select(F.col("nxt").alias("p")).filter(F.col("p").isNotNull())
+        opened = materialize(opened.unionByName(step).distinct(), "chain-open")
+    marked = rows.join(opened.select(F.col("p").alias(GPOS), F.lit(True).alias("_opens")), GPOS, "left")
+    marked = marked.withColumn("_opens", F.coalesce("_opens", F.lit(False)))
+    marked = marked.withColumn("_o", F.when(F.col("_opens"), F.struct(F.col(GPOS).alias("p"), F.col(TS_US).alias("t"))))
+    done = carry_forward(marked, [GPOS], ["_o"])
+    _ = spark
+    return done.select(*rows.columns, "_opens", F.col("_o.t").alias("_wstart_us"),
+                       (F.col(GPOS) - F.col("_o.p") + 1).alias("_rank"))
+
+
+def _session_ids_by_key(staged: DataFrame, keys: Sequence[str], gap_us: int, order_cols: Sequence[str]) -> DataFrame:
+    """``_sess`` = row number (within the key) of the session's first row,
+    offset so that sessions of different keys never share an id; used when
+    every key is known to be at most ``fold_rows`` rows."""
+    w = Window.partitionBy(*keys).orderBy(TS_US, *order_cols)
+    prev = F.lag(TS_US).over(w)
+    rn = F.row_number().over(w)
+    first = F.when(prev.isNull() | ((F.col(TS_US) - prev) >= gap_us), rn)
+    staged = staged.withColumn("_cut_rn", first)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return staged.withColumn("_sess", F.max("_cut_rn").over(upto)).drop("_cut_rn")
+
+
+def _session_ids(pos: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
+    """``_sess`` = position of the first row of each row's session.
+
+    ``pos`` is range-partitioned with stored partition ids and contiguous
+    positions. The previous row and the running session start come from a
+    window over each range partition (bounded groups), seeded by a table of
+    at most P rows describing the partitions before it.
+    """
+    kstruct = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    tail = pos.groupBy(PID).agg(F.max_by(F.struct(kstruct.alias("k"), F.col(TS_US).alias("t")), F.col(GPOS)).alias("_last"))
+    by_pid = Window.orderBy(PID)
+    seed = tail.select(PID, F.lag("_last").over(by_pid).alias("_prev"))
+    w = Window.partitionBy(PID).orderBy(GPOS)
+    j = pos.join(F.broadcast(seed), PID, "left")
+    pk = F.coalesce(F.lag(kstruct).over(w), F.col("_prev.k"))
+    pt = F.coalesce(F.lag(TS_US).over(w), F.col("_prev.t"))
+    cut = pk.isNull() | ~kstruct.eqNullSafe(pk) | ((F.col(TS_US) - pt) >= gap_us)
+    flagged = j.withColumn("_cut", F.when(cut, F.col(GPOS)))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = flagged.withColumn("_sloc", F.max("_cut").over(upto))
+    last_cut = local.groupBy(PID).agg(F.max("_cut").alias("_lc"))
+    carry = last_cut.select(PID, F.max("_lc").over(by_pid.rowsBetween(Window.unboundedPreceding, -1)).alias("_cin"))
+    out = local.join(F.broadcast(carry), PID, "left")
+    return out.withColumn("_sess", F.coalesce(F.col("_sloc"), F.col("_cin"))).drop("_cut", "_sloc", "_cin", "_prev", PID)
+
+
 def chain_windows(
     df: DataFrame,
     key_cols: Sequence[str],
@@ -42,57 +177,46 @@ def chain_windows(
     order_cols: Sequence[str] = (),
     prefix: str = "",
     group_rows: int = 1 << 16,
+    fold_rows: int = 1 << 20,
+    force_positions: bool = False,
 ) -> DataFrame:
     """Assign chain windows per key.
 
     Adds ``{prefix}opens`` (row opens a window), ``{prefix}window_start``
     (event time of the opening row) and ``{prefix}rank`` (1-based position
     of the row in its window, in ``(ts, *order_cols)`` order).
+    ``order_cols`` must make ``(key, ts, order)`` a total order.
     """
     gap_us = int(round(gap_seconds * 1_000_000))
-    order = [F.col(TS_US), *[F.col(c) for c in order_cols]]
-    w = Window.partitionBy(*key_cols).orderBy(*order)
-    prev = F.lag(TS_US).over(w)
+    keys = list(key_cols)
     staged = df.withColumn(TS_US, epoch_micros(ts_col))
-    rn = F.row_number().over(w)
-    cut_rn = F.when(prev.isNull() | ((F.col(TS_US) - prev) >= gap_us), rn)
-    staged = staged.withColumn("_cut_rn", cut_rn)
-    staged = staged.withColumn(
-        "_sess", F.expr(f"max(_cut_rn) OVER (PARTITION BY {', '.join(f'`{k}`' for k in key_cols) or '1'} "
-                        f"ORDER BY {TS_US}{''.join(', `' + c + '`' for c in order_cols)} "
-                        f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) div {int(group_rows)}")
-    ).drop("_cut_rn")
-
-    out_fields = list(staged.schema.fields) + [
-        T.StructField(f"{prefix}opens", T.BooleanType()),
-        T.StructField(f"{prefix}window_start", T.LongType()),
-        T.StructField(f"{prefix}rank", T.LongType()),
-    ]
-    schema = T.StructType(out_fields)
-    sort_cols = [TS_US, *order_cols]
+    # Checked fast path: when no key exceeds ``fold_rows`` rows, a per-key
+    # window (one bounded task per key) finds the sessions. Beyond that bound
+    # the positions path spreads every key over all tasks.
+    largest = staged.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= fold_rows and not force_positions:
+        sess = _session_ids_by_key(staged, keys, gap_us, order_cols)
+        small = _fold_groups(sess, keys, gap_us, order_cols, group_rows, by_key=True)
+        return _finish(small, df, ts_col, prefix)
+    pos = with_global_position(staged, [*keys, TS_US, *order_cols])
+    sess = _session_ids(pos, keys, gap_us)
+    sizes = sess.groupBy("_sess").agg(F.count(F.lit(1)).alias("_ssize"))
+    sized = sess.join(sizes, "_sess")
+
+    small = _fold_groups(sized.filter(F.col("_ssize") <= fold_rows), keys, gap_us, order_cols, group_rows)
+    big_rows = sized.filter(F.col("_ssize") > fold_rows)
+    if sizes.filter(F.col("_ssize") > fold_rows).limit(1).count():
+        out = small.unionByName(_fold_by_doubling(big_rows, gap_us))
+    else:
+        out = small
+    return _finish(out, df, ts_col, prefix)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort_cols, kind="stable").reset_index(drop=True)
-        ts = pdf[TS_US].to_numpy(dtype=np.int64)
-        n = len(ts)
-        opens = np.zeros(n, dtype=bool)
-        start = np.zeros(n, dtype=np.int64)
-        rank = np.zeros(n, dtype=np.int64)
-        i = 0
-        while i < n:
-            j = int(np.searchsorted(ts, ts[i] + gap_us, side="left"))
-            j = max(j, i + 1)
-            opens[i] = True
-            start[i:j] = ts[i]
-            rank[i:j] = np.arange(1, j - i + 1)
-            i = j
-        pdf[f"{prefix}opens"] = opens
-        pdf[f"{prefix}window_start"] = start
-        pdf[f"{prefix}rank"] = rank
-        return pdf
 
-    out = staged.groupBy(*key_cols, "_sess").applyInPandas(fold, schema)
-    # back to the input's timestamp type (NTZ -> instant -> NTZ round-trips
-    # through the same session time zone)
-    start_ts = F.timestamp_micros(f"{prefix}window_start").cast(df.schema[ts_col].dataType)
-    return out.withColumn(f"{prefix}window_start", start_ts).drop("_sess")
+def _finish(out: DataFrame, df: DataFrame, ts_col: str, prefix: str) -> DataFrame:
+    start_ts = F.timestamp_micros("_wstart_us").cast(df.schema[ts_col].dataType)
+    return out.select(
+        *df.columns, TS_US,
+        F.col("_opens").alias(f"{prefix}opens"),
+        start_ts.alias(f"{prefix}window_start"),
+        F.col("_rank").alias(f"{prefix}rank"),
+    )
