@@ -32,7 +32,25 @@ def severity_rank(sev: str | Column = "severity") -> Column:
     return expr
 
 
-def alert_id(event_id: str | Column, feature: str | Column, ts: str | Column) -> Column:
+def ts_micros(ts: str | Column, ntz: bool = True) -> Column:
+    """Microseconds since the epoch, independent of the session time zone.
+
+    Event time is TIMESTAMP_NTZ in this library (wall time taken as UTC);
+    ``ntz=False`` handles instant (TIMESTAMP) columns.
+    """
+    t = F.col(ts) if isinstance(ts, str) else ts
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+    return F.unix_micros(t)
+
+
+def is_ntz(df, ts_col: str) -> bool:
+    from pyspark.sql import types as T
+
+    return isinstance(df.schema[ts_col].dataType, T.TimestampNTZType)
+
+
+def alert_id(event_id: str | Column, feature: str | Column, ts: str | Column, ntz: bool = True) -> Column:
     """First 16 hex digits of SHA-256 over ``event_id:feature:epoch_micros``.
 
     Event time replaces the wall clock, so replays give the same ids and
@@ -41,5 +59,5 @@ def alert_id(event_id: str | Column, feature: str | Column, ts: str | Column) ->
     e = F.col(event_id) if isinstance(event_id, str) else event_id
     f = F.col(feature) if isinstance(feature, str) else feature
     t = F.col(ts) if isinstance(ts, str) else ts
-    micros = F.unix_micros(t.cast("timestamp")).cast("string")
+    micros = ts_micros(t, ntz).cast("string")
     return F.substring(F.sha2(F.concat_ws(":", e.cast("string"), f, micros), 256), 1, 16)

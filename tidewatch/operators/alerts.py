@@ -90,5 +90,8 @@ def expired_dedup_keys(
         now_col = F.col("now")
     else:
         now_col = F.lit(now)
-    age = F.unix_micros(now_col.cast("timestamp")) - F.unix_micros(F.col("last_emitted").cast("timestamp"))
+    from tidewatch.functions.alerting import is_ntz, ts_micros
+
+    ntz = is_ntz(last, "last_emitted")
+    age = ts_micros(now_col, ntz) - ts_micros("last_emitted", ntz)
     return last.filter(age > F.lit(int(params.dedup_window_seconds * 1_000_000)))

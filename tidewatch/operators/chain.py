@@ -42,9 +42,11 @@ from tidewatch.session import materialize
 TS_US = "_ts_us"
 
 
-def epoch_micros(ts_col: str) -> F.Column:
-    """Event time as microseconds since the epoch (session time zone UTC)."""
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+def epoch_micros(df: DataFrame, ts_col: str) -> F.Column:
+    """Event time as microseconds since the epoch, whatever the session zone."""
+    from tidewatch.functions.alerting import is_ntz, ts_micros
+
+    return ts_micros(ts_col, is_ntz(df, ts_col))
 
 
 def _fold_groups(rows: DataFrame, key_cols: Sequence[str], gap_us: int, order_cols: Sequence[str],
@@ -189,7 +191,7 @@ def chain_windows(
     """
     gap_us = int(round(gap_seconds * 1_000_000))
     keys = list(key_cols)
-    staged = df.withColumn(TS_US, epoch_micros(ts_col))
+    staged = df.withColumn(TS_US, epoch_micros(df, ts_col))
     # Checked fast path: when no key exceeds ``fold_rows`` rows, a per-key
     # window (one bounded task per key) finds the sessions. Beyond that bound
     # the positions path spreads every key over all tasks.
@@ -213,7 +215,12 @@ def chain_windows(
 
 
 def _finish(out: DataFrame, df: DataFrame, ts_col: str, prefix: str) -> DataFrame:
-    start_ts = F.timestamp_micros("_wstart_us").cast(df.schema[ts_col].dataType)
+    from tidewatch.functions.alerting import is_ntz
+
+    if is_ntz(df, ts_col):  # back to wall time without the session zone
+        start_ts = F.timestamp_add("MICROSECOND", F.col("_wstart_us"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    else:
+        start_ts = F.timestamp_micros("_wstart_us")
     return out.select(
         *df.columns, TS_US,
         F.col("_opens").alias(f"{prefix}opens"),

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.alerting import alert_id, severity
+from tidewatch.functions.alerting import alert_id, is_ntz, severity
 from tidewatch.functions.detect import detect
 from tidewatch.operators.windows import rolling_stats
 from tidewatch.params import AlertParams, DetectorParams
@@ -63,7 +63,7 @@ def with_severity(verdicts: DataFrame, alert: AlertParams = AlertParams()) -> Da
 def build_alerts(graded: DataFrame, ts_col: str = "ts", event_col: str = "event_id") -> DataFrame:
     """Alert records: id, time, event, feature, value, score, severity, type."""
     return graded.select(
-        alert_id(event_col, "feature", ts_col).alias("alert_id"),
+        alert_id(event_col, "feature", ts_col, is_ntz(graded, ts_col)).alias("alert_id"),
         F.col(ts_col).alias("timestamp"),
         F.col(event_col).cast("string").alias("event_id"),
         "feature",

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tidewatch.functions.alerting import alert_id, severity
+from tidewatch.functions.alerting import alert_id, is_ntz, severity
 from tidewatch.functions.detect import detect
 from tidewatch.operators.alerts import dedup_alerts, rate_limit
 from tidewatch.operators.chain import TS_US
@@ -116,7 +116,7 @@ class DetectionStream:
         kept = rl.filter(F.col(FRESH) & ~F.col("rate_limited"))
 
         alerts = kept.select(
-            alert_id(self.id_cols[0], "feature", self.ts_col).alias("alert_id"),
+            alert_id(self.id_cols[0], "feature", self.ts_col, is_ntz(kept, self.ts_col)).alias("alert_id"),
             F.col(self.ts_col).alias("timestamp"),
             F.col(self.id_cols[0]).cast("string").alias("event_id"),
             *self.scope_cols, "feature", "value", "score", "severity",
