@@ -246,6 +246,27 @@ def q_build_alerts(spark, sf):
         "anomaly_type")
 
 
+def q_alert_messages(spark, sf):
+    """Alert sink payloads: key = alert id, value = the alert as JSON, read back."""
+    from tidewatch.sources.sinks import alert_messages
+
+    kept = alert_policy(event_anomalies(spark, sf), ts_col="ts", order_cols=["event_id"], params=A)
+    alerts = kept.select(alert_id("event_id", "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
+                         F.col("event_id").cast("string").alias("event_id"), "feature", "value", "score", "severity",
+                         "anomaly_type")
+    msgs = alert_messages(alerts)
+    j = F.col("value")
+    return msgs.select(
+        "key",
+        F.get_json_object(j, "$.alert_id").alias("alert_id"),
+        F.get_json_object(j, "$.event_id").alias("event_id"),
+        F.get_json_object(j, "$.feature").alias("feature"),
+        F.get_json_object(j, "$.severity").alias("severity"),
+        F.get_json_object(j, "$.anomaly_type").alias("anomaly_type"),
+        r6(F.get_json_object(j, "$.score").cast("double"), "score"),
+    )
+
+
 def q_expired_dedup_keys(spark, sf):
     d = dedup_alerts(event_anomalies(spark, sf), ts_col="ts", order_cols=["event_id"], params=A)
     emitted = d.filter(F.col("status") == "emitted")
@@ -380,6 +401,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rate_limit_hourly": q_rate_limit_hourly,
     "build_alerts": q_build_alerts,
     "expired_dedup_keys": q_expired_dedup_keys,
+    "alert_messages": q_alert_messages,
     "metric_events_by_source": q_metric_events_by_source,
     "metric_anomalies": q_metric_anomalies,
     "metric_alerts": q_metric_alerts,

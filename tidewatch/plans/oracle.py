@@ -280,6 +280,11 @@ WITH {_KEPT}
 SELECT {ALERT_ID} AS alert_id, ts AS timestamp, CAST(event_id AS VARCHAR) AS event_id, feature,
   round(value, 6) AS value, round(score, 6) AS score, severity, anomaly_type FROM kept"""
 
+ORACLE["alert_messages"] = f"""
+WITH {_KEPT}
+SELECT {ALERT_ID} AS key, {ALERT_ID} AS alert_id, CAST(event_id AS VARCHAR) AS event_id, feature, severity,
+  anomaly_type, round(score, 6) AS score FROM kept"""
+
 ORACLE["expired_dedup_keys"] = f"""
 WITH {EV_ANOM}, {chain('ev_anom', 'dd', ['feature', 'anomaly_type'], _GAP_DEDUP)},
 last AS (SELECT feature, anomaly_type, max(ts) AS last_emitted FROM dd WHERE _rank = 1 GROUP BY 1, 2),
