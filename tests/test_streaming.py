@@ -71,3 +71,41 @@ def test_dedup_stream_twin_equals_batch(spark, tmpdir_fresh):
     want = {(r.event_id, r.status) for r in dedup_alerts(ev, order_cols=["event_id"]).select("event_id", "status").collect()}
     assert got == want
     assert sum(1 for _, s in got if s == "emitted") == 8167  # FIXTURES: chain dedup of all events at sf0.01
+
+
+def test_stream_with_forest_equals_batch(spark, tmpdir_fresh):
+    """Trades with the isolation forest: streaming (carried vectors, buffer,
+    model) gives the same alerts as the batch pipeline."""
+    from pyspark.sql import Window
+
+    from tidewatch.params import ForestParams
+    from tidewatch.plans.detection import trade_anomalies
+    from tidewatch.sources.events import unpivot_features
+    from tidewatch.sources.tables import TRADE_ORDER, lineitem_trades
+
+    sf = "/root/testdata/sf0.001"
+    fp = ForestParams(retrain_interval=1500, buffer_size=500, n_estimators=20)
+    trades = lineitem_trades(spark, sf)
+    ids = ["event_id", *TRADE_ORDER]
+    long = unpivot_features(trades, ids, ["declared_value", "quantity", "weight_kg", "unit_price"])
+    batch = trade_anomalies(long, trades, ["event_id"], list(TRADE_ORDER), forest=fp)
+    kept = alert_policy(batch, ts_col="ts", order_cols=["l_orderkey", "l_linenumber", "l_partkey"])
+    want = {(r.event_id, r.feature) for r in kept.collect()}
+    assert any(f == "multi_feature" for _, f in want)
+
+    flat = os.path.join(tmpdir_fresh, "flat")
+    os.makedirs(flat)
+    ranked = trades.select(*ids).withColumn("_p", F.ntile(3).over(Window.orderBy(*TRADE_ORDER)))
+    lp = long.join(ranked, ids)
+    for i in (1, 2, 3):
+        d = os.path.join(tmpdir_fresh, f"p{i}")
+        lp.filter(F.col("_p") == i).drop("_p").coalesce(1).write.parquet(d)
+        f = [x for x in os.listdir(d) if x.endswith(".parquet")][0]
+        os.link(os.path.join(d, f), os.path.join(flat, f"part-{i:03d}.parquet"))
+    stream = spark.readStream.schema(long.schema).option("maxFilesPerTrigger", 1).parquet(flat)
+    det = DetectionStream(spark, output_dir=os.path.join(tmpdir_fresh, "alerts"),
+                          state_dir=os.path.join(tmpdir_fresh, "state"), order_cols=list(TRADE_ORDER), forest=fp)
+    q = det.start(stream, os.path.join(tmpdir_fresh, "ckpt"), trigger={"availableNow": True})
+    q.awaitTermination(900)
+    got = {(r.event_id, r.feature) for r in det.alerts().collect()}
+    assert got == want

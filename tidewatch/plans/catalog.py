@@ -366,6 +366,19 @@ def q_forest_anomalies(spark, sf):
     return fa.select("event_id", "feature", r6("value"), r6("score"), "anomaly_type", "detector")
 
 
+def q_trade_alerts(spark, sf):
+    """The whole detector on lineitem trades: statistical + forest anomalies,
+    severity, dedup and rate limit (the batch form of the live pipeline)."""
+    from tidewatch.plans.detection import trade_anomalies
+
+    trades = lineitem_trades(spark, sf)
+    long = unpivot_features(trades, ["event_id", *TRADE_ORDER], FEATURES)
+    anoms = trade_anomalies(long, trades, ["event_id"], list(TRADE_ORDER), P, FP, A)
+    kept = alert_policy(anoms, ts_col="ts", order_cols=["l_orderkey", "l_linenumber", "l_partkey"], params=A)
+    return kept.select(alert_id("event_id", "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
+                       "event_id", "feature", r6("value"), r6("score"), "severity", "anomaly_type")
+
+
 def q_union_results(spark, sf):
     """Statistical anomalies of the trades, then the forest's, per event."""
     stat = detect(trade_stats(spark, sf, drop_weight_on_line7=True), P).filter("is_anomaly").select(
@@ -417,4 +430,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forest_scores": q_forest_scores,
     "forest_anomalies": q_forest_anomalies,
     "union_results": q_union_results,
+    "trade_alerts": q_trade_alerts,
 }

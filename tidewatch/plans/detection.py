@@ -72,3 +72,33 @@ def build_alerts(graded: DataFrame, ts_col: str = "ts", event_col: str = "event_
         "severity",
         F.coalesce(F.col("anomaly_type"), F.lit("unknown")).alias("anomaly_type"),
     )
+
+
+def trade_anomalies(
+    long_df: DataFrame,
+    events: DataFrame,
+    id_cols: Sequence[str],
+    order_cols: Sequence[str],
+    params: DetectorParams = DetectorParams(),
+    forest=None,
+    alert: AlertParams = AlertParams(),
+) -> DataFrame:
+    """Statistical anomalies of every (event, feature) plus the isolation
+    forest's ``multi_feature`` anomalies, graded by severity: the full
+    detector before the alert policy."""
+    from tidewatch.operators.forest import (fit_models, forest_anomalies, score_vectors, training_slices,
+                                            vector_sequence, with_epochs)
+    from tidewatch.operators.vectors import feature_vectors
+
+    keys = list(dict.fromkeys([*id_cols, *order_cols]))
+    stats = rolling_stats(long_df, order_cols=order_cols, key_cols=["feature"], window=params.window_size,
+                          passthrough=[*keys, "feature", "value"])
+    stat = detect(stats, params).filter("is_anomaly").select(*keys, "feature", "value", "score", "anomaly_type")
+    out = stat
+    if forest is not None:
+        vec = feature_vectors(events.select(*keys), stats, list(id_cols), list(order_cols), params.features)
+        ep = with_epochs(vector_sequence(vec, list(order_cols)), forest)
+        nodes = fit_models(training_slices(ep, forest), forest)
+        fa = forest_anomalies(score_vectors(ep, nodes, keys), alert.score_scale_forest)
+        out = out.unionByName(fa.select(*keys, "feature", "value", "score", "anomaly_type"))
+    return out.withColumn("severity", severity("score", alert.severity_thresholds))

@@ -31,8 +31,8 @@ from tidewatch.functions.detect import detect
 from tidewatch.operators.alerts import dedup_alerts, rate_limit
 from tidewatch.operators.chain import TS_US
 from tidewatch.operators.windows import rolling_stats
-from tidewatch.params import AlertParams, DetectorParams
-from tidewatch.session import ensure_checkpoint_dir
+from tidewatch.params import AlertParams, DetectorParams, ForestParams
+from tidewatch.session import ensure_checkpoint_dir, materialize
 
 BATCH = "_batch"
 FRESH = "_fresh"
@@ -56,6 +56,7 @@ class DetectionStream:
         scope_cols: Sequence[str] = (),
         params: DetectorParams = DetectorParams(),
         alert_params: AlertParams = AlertParams(),
+        forest: ForestParams | None = None,
     ):
         self.spark = spark
         base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -67,6 +68,7 @@ class DetectionStream:
         self.scope_cols = list(scope_cols)
         self.params = params
         self.alert_params = alert_params
+        self.forest = forest
 
     # ------------------------------------------------------------------ state io
     def _read(self, kind: str, batch_id: int) -> DataFrame | None:
@@ -92,8 +94,10 @@ class DetectionStream:
 
         stats = rolling_stats(rows, order_cols=order, key_cols=keys, window=p.window_size)
         verdicts = detect(stats, p).filter(F.col(FRESH))
-        anoms = verdicts.filter("is_anomaly").withColumn("severity", severity("score", ap.severity_thresholds))
-        anoms = anoms.select(*cols, BATCH, "score", "severity", "anomaly_type", F.lit(True).alias(FRESH))
+        anoms = verdicts.filter("is_anomaly").select(*cols, BATCH, "score", "anomaly_type")
+        if self.forest is not None:
+            anoms = anoms.unionByName(self._forest_step(stats, batch_id, order), allowMissingColumns=True)
+        anoms = anoms.withColumn("severity", severity("score", ap.severity_thresholds)).withColumn(FRESH, F.lit(True))
 
         dkeys = [*self.scope_cols, "feature", "anomaly_type"]
         prev_dedup = self._read("dedup", batch_id - 1)
@@ -142,6 +146,64 @@ class DetectionStream:
         dd.unpersist()
         rl.unpersist()
 
+    # ------------------------------------------------------------------ forest
+    def _forest_step(self, stats: DataFrame, batch_id: int, order: list[str]) -> DataFrame:
+        """Feature vectors, retraining and scoring for this batch.
+
+        Carried state: ``forest_n`` (vectors so far), ``forest_buf`` (last
+        buffer_size vectors), ``forest_nodes`` (latest model), ``lastz``
+        (last z-score per feature). Models whose triggering vector falls in
+        this batch train on carried buffer + batch vectors.
+        """
+        from tidewatch.operators.carry import carry_forward
+        from tidewatch.operators.forest import (fit_models, first_train, forest_anomalies, score_vectors,
+                                                training_slices, with_epochs)
+        from tidewatch.operators.positions import GPOS, PID, with_global_position
+
+        fp, feats = self.forest, list(self.params.features)
+        ekeys = list(dict.fromkeys([*self.id_cols, self.ts_col, *self.order_cols, *self.scope_cols, BATCH]))
+        zcols = [f"z_{f}" for f in feats]
+        wide = stats.filter(F.col(FRESH)).groupBy(*ekeys).agg(
+            *[F.max(F.when(F.col("feature") == F.lit(f), F.col("zscore"))).alias(z) for f, z in zip(feats, zcols)])
+        prev_z = self._read("lastz", batch_id - 1)
+        if prev_z is not None:
+            seed = prev_z.select(*zcols).withColumn(BATCH, F.lit(-1).cast("long"))
+            wide = wide.unionByName(seed, allowMissingColumns=True)
+        filled = carry_forward(wide, order, zcols)
+        ready = F.lit(True)
+        for z in zcols:
+            ready = ready & F.col(z).isNotNull()
+        last_z = filled.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(1).select(*zcols)
+        self._write(last_z, "lastz", batch_id)
+        vec = filled.filter((F.col(BATCH) >= 0) & ready).withColumn("vector", F.array(*[F.col(z) for z in zcols]))
+        prev_n_df = self._read("forest_n", batch_id - 1)
+        prev_n = int(prev_n_df.first()[0]) if prev_n_df is not None else 0
+        seq = with_global_position(vec, order).withColumn("n", F.col(GPOS) + 1 + F.lit(prev_n)).drop(GPOS, PID)
+        seq = materialize(seq, "stream-vectors")
+        ep = with_epochs(seq, fp)
+        new_n = prev_n + seq.count()
+        self._write(self.spark.range(1).select(F.lit(new_n).cast("long").alias("n")), "forest_n", batch_id)
+        buf = self._read("forest_buf", batch_id - 1)
+        allv = seq.select("n", "vector") if buf is None else seq.select("n", "vector").unionByName(buf)
+        self._write(allv.filter(F.col("n") > F.lit(new_n - fp.buffer_size)), "forest_buf", batch_id)
+        n0 = first_train(fp)
+        nodes = self._read("forest_nodes", batch_id - 1)
+        if n0 is not None and new_n >= n0:
+            # models whose triggering vector n_m = n0 + (m-1) * interval is in this batch
+            first_new = 1 if prev_n < n0 else (prev_n - n0) // fp.retrain_interval + 2
+            slices = training_slices(allv, fp).filter(F.col("model") >= first_new)
+            trained = materialize(fit_models(slices, fp), "stream-nodes")
+            nodes = trained if nodes is None else nodes.unionByName(trained)
+        if nodes is None:  # nothing trained yet: every vector is model 0
+            return ep.filter(F.lit(False)).select(*ekeys, F.lit("multi_feature").alias("feature"),
+                                                  F.lit(0.0).alias("value"), F.lit(0.0).alias("score"),
+                                                  F.lit("zscore").alias("anomaly_type"))
+        top = nodes.agg(F.max("model")).first()[0]
+        self._write(nodes.filter(F.col("model") == top), "forest_nodes", batch_id)
+        scored = score_vectors(ep, nodes, ekeys)
+        fa = forest_anomalies(scored, self.alert_params.score_scale_forest)
+        return fa.select(*ekeys, "feature", "value", "score", "anomaly_type")
+
     # ------------------------------------------------------------------ wiring
     def start(self, stream: DataFrame, checkpoint_location: str, trigger: dict | None = None):
         """Start the streaming query; ``checkpoint_location`` tracks offsets."""
