@@ -96,3 +96,44 @@ def test_chain_paths_agree_with_sequential_fold(spark):
         got = {r.event_id: (r.opens, r.window_start, r.rank)
                for r in chain_windows(df, ["feature"], "ts", 60, ["event_id"], **kw).collect()}
         assert got == want, kw
+
+
+def _machine(rows, gap_d, gap_r, limit):
+    """Step-by-step reference machine (dedup, then rate check; limited alerts
+    are not recorded for dedup)."""
+    last, w, c, out = {}, None, 0, {}
+    for i, t, k in sorted(rows, key=lambda r: (r[1], r[0])):
+        s = (t - T0).total_seconds()
+        if k in last and s - last[k] < gap_d:
+            out[i] = "duplicate"
+            continue
+        if w is None or s - w >= gap_r:
+            w, c = s, 0
+        if c < limit:
+            c += 1
+            last[k] = s
+            out[i] = "emitted"
+        else:
+            out[i] = "rate_limited"
+    return out
+
+
+def test_coupled_policy_matches_machine(spark):
+    import numpy as np
+    from tidewatch.operators.alerts import coupled_alert_policy
+
+    rng = np.random.default_rng(4)
+    rows, t = [], 0.0
+    for i in range(400):
+        t += float(rng.exponential(2.0)) if i % 100 < 80 else 400.0  # bursts, then silences
+        rows.append((i, _ts(round(t, 3)), ["f", "g", "h", "k"][int(rng.integers(0, 4))]))
+    df = spark.createDataFrame([(i, ts, k, "zscore") for i, ts, k in rows],
+                               "event_id long, ts timestamp_ntz, feature string, anomaly_type string")
+    p = AlertParams(max_alerts_per_minute=3, dedup_window_seconds=30.0)
+    want = _machine([(i, ts, (k, "zscore")) for i, ts, k in rows], 30.0, 60.0, 3)
+    for kw in ({}, {"force_positions": True}):
+        got = {r.event_id: r.status for r in coupled_alert_policy(df, order_cols=["event_id"], params=p, **kw).collect()}
+        assert got == want, kw
+    assert "rate_limited" in want.values()
+    with pytest.raises(ValueError):
+        coupled_alert_policy(df, order_cols=["event_id"], params=p, fold_rows=10)

@@ -95,3 +95,83 @@ def expired_dedup_keys(
     ntz = is_ntz(last, "last_emitted")
     age = ts_micros(now_col, ntz) - ts_micros("last_emitted", ntz)
     return last.filter(age > F.lit(int(params.dedup_window_seconds * 1_000_000)))
+
+
+def coupled_alert_policy(
+    anomalies: DataFrame,
+    ts_col: str = "ts",
+    order_cols: Sequence[str] = (),
+    scope_cols: Sequence[str] = (),
+    params: AlertParams = AlertParams(),
+    fold_rows: int = 1 << 20,
+    force_positions: bool = False,
+) -> DataFrame:
+    """Exact dedup + rate limit as one state machine, in input order.
+
+    Unlike :func:`alert_policy`, an alert stopped by the rate limit does not
+    enter the dedup state, so later alerts of its key are checked against
+    the last *emitted* one. Adds ``status`` = emitted / duplicate /
+    rate_limited.
+
+    Within a scope, a silence of at least max(dedup window, rate window)
+    resets all state, so the stream splits into independent segments at such
+    silences (found without a single task: global positions + per-partition
+    windows, see :mod:`tidewatch.operators.chain`). Each segment is folded in
+    order; the fold is the one sequential step, checked to hold at most
+    ``fold_rows`` rows (``ValueError`` beyond: such a stream needs a larger
+    bound or a scope that splits it). Whole segments are packed into groups
+    of at most 2 x ``fold_rows`` rows.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from tidewatch.operators.chain import _session_ids, _session_ids_by_key, epoch_micros
+    from tidewatch.operators.positions import with_global_position
+
+    gap_d = int(round(params.dedup_window_seconds * 1_000_000))
+    gap_r = int(round(params.rate_window_seconds * 1_000_000))
+    limit = int(params.max_alerts_per_minute)
+    scope = list(scope_cols)
+    from tidewatch.session import materialize
+
+    # the checks below are actions: read the (small) anomaly rows once
+    staged = materialize(anomalies.withColumn(TS_US, epoch_micros(anomalies, ts_col)), "coupled-in")
+    gap = max(gap_d, gap_r)
+    if not force_positions and (staged.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0) <= fold_rows:
+        seg = _session_ids_by_key(staged, scope, gap, order_cols)  # every scope fits one task
+    else:
+        seg = _session_ids(with_global_position(staged, [*scope, TS_US, *order_cols]), scope, gap)
+    largest = seg.groupBy(*scope, "_sess").count().agg(F.max("count")).first()[0] or 0
+    if largest > fold_rows:
+        raise ValueError(f"a segment of {largest} alerts exceeds fold_rows={fold_rows}")
+    schema = T.StructType(list(seg.schema.fields) + [T.StructField("status", T.StringType())])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([TS_US, *order_cols], kind="stable").reset_index(drop=True)
+        ts = pdf[TS_US].to_numpy(dtype=np.int64)
+        keys = list(zip(pdf["feature"].tolist(), pdf["anomaly_type"].tolist()))
+        status = []
+        last: dict = {}
+        w_start, count = None, 0
+        for t, k in zip(ts.tolist(), keys):
+            prev = last.get(k)
+            if prev is not None and t - prev < gap_d:
+                status.append("duplicate")
+                continue
+            if w_start is None or t - w_start >= gap_r:
+                w_start, count = t, 0
+            if count < limit:
+                count += 1
+                last[k] = t
+                status.append("emitted")
+            else:
+                status.append("rate_limited")
+        pdf["status"] = status
+        return pdf
+
+    # consecutive segments fold exactly in one pass (state fully resets after
+    # such a silence), so whole segments are packed into bounded groups
+    pack = F.expr(f"_sess div {int(fold_rows)}").alias("_pack")
+    out = seg.groupBy(*scope, pack).applyInPandas(fold, schema)
+    return out.select(*anomalies.columns, "status")

@@ -191,7 +191,8 @@ def chain_windows(
     """
     gap_us = int(round(gap_seconds * 1_000_000))
     keys = list(key_cols)
-    staged = df.withColumn(TS_US, epoch_micros(df, ts_col))
+    # the size check below is an action: read the input once, not per action
+    staged = materialize(df.withColumn(TS_US, epoch_micros(df, ts_col)), "chain-in")
     # Checked fast path: when no key exceeds ``fold_rows`` rows, a per-key
     # window (one bounded task per key) finds the sessions. Beyond that bound
     # the positions path spreads every key over all tasks.

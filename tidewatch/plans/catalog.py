@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.alerting import alert_id, severity
 from tidewatch.functions.detect import detect
-from tidewatch.operators.alerts import alert_policy, dedup_alerts, expired_dedup_keys, rate_limit
+from tidewatch.operators.alerts import (alert_policy, coupled_alert_policy, dedup_alerts, expired_dedup_keys,
+                                       rate_limit)
 from tidewatch.operators.chain import TS_US
 from tidewatch.operators.metrics import bucket_histogram
 from tidewatch.operators.windows import rolling_stats, score_against, window_snapshot
@@ -246,6 +247,13 @@ def q_build_alerts(spark, sf):
         "anomaly_type")
 
 
+def q_alert_policy_coupled(spark, sf):
+    """Dedup and rate limit as one state machine (rate-limited alerts stay out
+    of the dedup state); status per anomaly."""
+    p = coupled_alert_policy(event_anomalies(spark, sf), ts_col="ts", order_cols=["event_id"], params=A)
+    return p.select("event_id", "feature", "anomaly_type", "status")
+
+
 def q_alert_messages(spark, sf):
     """Alert sink payloads: key = alert id, value = the alert as JSON, read back."""
     from tidewatch.sources.sinks import alert_messages
@@ -415,6 +423,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "build_alerts": q_build_alerts,
     "expired_dedup_keys": q_expired_dedup_keys,
     "alert_messages": q_alert_messages,
+    "alert_policy_coupled": q_alert_policy_coupled,
     "metric_events_by_source": q_metric_events_by_source,
     "metric_anomalies": q_metric_anomalies,
     "metric_alerts": q_metric_alerts,

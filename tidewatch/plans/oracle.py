@@ -280,6 +280,17 @@ WITH {_KEPT}
 SELECT {ALERT_ID} AS alert_id, ts AS timestamp, CAST(event_id AS VARCHAR) AS event_id, feature,
   round(value, 6) AS value, round(score, 6) AS score, severity, anomaly_type FROM kept"""
 
+# With the default budget (100 per minute, nine dedup keys at most once per
+# 300 s each) the limiter cannot bind, so the coupled machine equals
+# dedup followed by rate limiting here.
+ORACLE["alert_policy_coupled"] = f"""
+WITH {EV_ANOM}, {chain('ev_anom', 'dd', ['feature', 'anomaly_type'], _GAP_DEDUP)},
+em AS (SELECT * EXCLUDE (_t, _wstart, _rank) FROM dd WHERE _rank = 1),
+{chain('em', 'rl', [], 60_000_000)}
+SELECT dd.event_id, dd.feature, dd.anomaly_type,
+  CASE WHEN dd._rank > 1 THEN 'duplicate' WHEN rl._rank <= 100 THEN 'emitted' ELSE 'rate_limited' END AS status
+FROM dd LEFT JOIN rl ON dd.event_id = rl.event_id AND dd.feature = rl.feature"""
+
 ORACLE["alert_messages"] = f"""
 WITH {_KEPT}
 SELECT {ALERT_ID} AS key, {ALERT_ID} AS alert_id, CAST(event_id AS VARCHAR) AS event_id, feature, severity,
