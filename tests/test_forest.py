@@ -68,3 +68,16 @@ def test_spark_fit_score_flags_planted(spark):
     # same result on a different partitioning
     sc2 = score_vectors(ep.repartition(5), nodes, ["k"]).orderBy("n").collect()
     assert [round(r.raw_score, 12) for r in sc] == [round(r.raw_score, 12) for r in sc2]
+
+
+def test_fit_on_demand_needs_50_and_uses_last_buffer(spark):
+    from tidewatch.operators.forest import fit_on_demand
+
+    p = ForestParams(buffer_size=100, n_estimators=10)
+    few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 50)], "n long, vector array<double>")
+    with pytest.raises(ValueError):
+        fit_on_demand(few, p)
+    many = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 301)], "n long, vector array<double>")
+    nodes = fit_on_demand(many, p).toPandas()
+    assert set(nodes["model"]) == {1} and set(nodes["train_rows"]) == {100}
+    assert nodes["tree"].nunique() == 10

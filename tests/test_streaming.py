@@ -109,3 +109,25 @@ def test_stream_with_forest_equals_batch(spark, tmpdir_fresh):
     q.awaitTermination(900)
     got = {(r.event_id, r.feature) for r in det.alerts().collect()}
     assert got == want
+
+
+def test_late_rows_routed_aside(spark, tmpdir_fresh):
+    """With a lateness bound, rows far behind the event-time maximum of
+    earlier batches are written to the late sink instead of being scored."""
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    b1 = spark.createDataFrame([(i, base + dt.timedelta(minutes=i), "value", float(i % 7)) for i in range(50)],
+                               "event_id long, ts timestamp_ntz, feature string, value double")
+    b2 = spark.createDataFrame([(100, base + dt.timedelta(minutes=5), "value", 1.0),
+                                (101, base + dt.timedelta(minutes=60), "value", 2.0)],
+                               "event_id long, ts timestamp_ntz, feature string, value double")
+    out = os.path.join(tmpdir_fresh, "run", "alerts")
+    det = DetectionStream(spark, output_dir=out, state_dir=os.path.join(tmpdir_fresh, "state"),
+                          late_delay_seconds=600)
+    det.process(b1, 0)
+    det.process(b2, 1)
+    late = spark.read.parquet(os.path.join(tmpdir_fresh, "run", "late"))
+    assert [r.event_id for r in late.collect()] == [100]
+    tail = spark.read.parquet(os.path.join(tmpdir_fresh, "state", "tail", "1"))
+    assert 101 in {r.event_id for r in tail.collect()} and 100 not in {r.event_id for r in tail.collect()}

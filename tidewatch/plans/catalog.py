@@ -99,6 +99,14 @@ def q_derive_unit_price(spark, sf):
     return t.select("event_id", r6("unit_price"))
 
 
+def q_cast_features(spark, sf):
+    """Numeric coercion of a text-typed feature (``props.k`` read as text)."""
+    from tidewatch.sources.events import cast_features
+
+    ev = read_table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("quantity"))
+    return cast_features(ev, ["quantity"]).select("event_id", r6("quantity"))
+
+
 def q_unpivot_features(spark, sf):
     return trade_long(spark, sf).select("event_id", "feature", r6("value"))
 
@@ -339,6 +347,17 @@ def trade_forest_scores(spark: SparkSession, sf: str) -> DataFrame:
     return score_vectors(ep, nodes, ["event_id", *TRADE_ORDER])
 
 
+def q_forest_batch_fit(spark, sf):
+    """Train on demand: one model on the last buffer_size vectors, then score
+    every vector with it (the reference's force_train + predict)."""
+    from tidewatch.operators.forest import fit_on_demand
+
+    seq = vector_sequence(trade_vectors(spark, sf), TRADE_ORDER)
+    nodes = fit_on_demand(seq, FP, order_cols=("n",))
+    scored = score_vectors(seq.withColumn("model", F.lit(1).cast("long")), nodes, ["event_id"])
+    return scored.select("event_id", "n", r6("raw_score"), "is_anomaly")
+
+
 def q_forest_epochs(spark, sf):
     return trade_epochs(spark, sf).select("event_id", "n", "model")
 
@@ -401,6 +420,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_trade_events": q_scan_trade_events,
     "dead_letter_events": q_dead_letter_events,
     "derive_unit_price": q_derive_unit_price,
+    "cast_features": q_cast_features,
     "unpivot_features": q_unpivot_features,
     "rolling_stats": q_rolling_stats,
     "rolling_stats_frame": q_rolling_stats_frame,
@@ -432,6 +452,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metric_histogram": q_metric_histogram,
     "metric_window_size": q_metric_window_size,
     "forest_epochs": q_forest_epochs,
+    "forest_batch_fit": q_forest_batch_fit,
     "forest_training_slices": q_forest_training_slices,
     "forest_status": q_forest_status,
     "metric_forest": q_metric_forest,

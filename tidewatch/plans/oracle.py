@@ -140,6 +140,9 @@ ORACLE["dead_letter_events"] = "SELECT event_id AS offset, 'malformed' AS reason
 
 ORACLE["derive_unit_price"] = f"WITH {TRADES} SELECT event_id, round(unit_price, 6) AS unit_price FROM trades"
 
+ORACLE["cast_features"] = """
+SELECT event_id, round(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 6) AS quantity FROM events"""
+
 ORACLE["unpivot_features"] = f"WITH {TRADES}, {trades_long()} SELECT event_id, feature, round(value, 6) AS value FROM trades_long"
 
 ORACLE["rolling_stats"] = f"WITH {EVENTS_LONG}, {stats('events_l', 'ev_stats', EV_ORDER)} SELECT event_id, {STATS_OUT} FROM ev_stats"

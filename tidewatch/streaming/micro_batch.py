@@ -57,6 +57,8 @@ class DetectionStream:
         params: DetectorParams = DetectorParams(),
         alert_params: AlertParams = AlertParams(),
         forest: ForestParams | None = None,
+        late_delay_seconds: float | None = None,
+        late_dir: str | None = None,
     ):
         self.spark = spark
         base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -69,6 +71,8 @@ class DetectionStream:
         self.params = params
         self.alert_params = alert_params
         self.forest = forest
+        self.late_delay_seconds = late_delay_seconds
+        self.late_dir = (late_dir or self.output_dir.rsplit("/", 1)[0] + "/late").rstrip("/")
 
     # ------------------------------------------------------------------ state io
     def _read(self, kind: str, batch_id: int) -> DataFrame | None:
@@ -88,6 +92,8 @@ class DetectionStream:
         keys = [*self.scope_cols, "feature"]
         cols = list(dict.fromkeys([*self.id_cols, self.ts_col, *self.order_cols, *self.scope_cols, "feature", "value"]))
         fresh = batch.select(*cols).withColumn(BATCH, F.lit(batch_id).cast("long")).withColumn(FRESH, F.lit(True))
+        if self.late_delay_seconds is not None:
+            fresh = self._route_late(fresh, batch_id)
         tail = self._read("tail", batch_id - 1)
         rows = fresh if tail is None else fresh.unionByName(tail.withColumn(FRESH, F.lit(False)))
         order = [BATCH, *self.order_cols]
@@ -146,6 +152,26 @@ class DetectionStream:
         dd.unpersist()
         rl.unpersist()
 
+    # ------------------------------------------------------------------ late data
+    def _route_late(self, fresh: DataFrame, batch_id: int) -> DataFrame:
+        """Rows older than (max event time seen before this batch - delay) go
+        to ``late_dir/batch_id=<id>`` and are not scored; ``maxts/<id>`` carries
+        the running maximum. The delay bounds how far windows may be fed out
+        of event-time order."""
+        prev = self._read("maxts", batch_id - 1)
+        if prev is not None:
+            bound = prev.select((F.col("max_ts") - F.expr(f"INTERVAL {int(self.late_delay_seconds * 1_000_000)} MICROSECONDS")).alias("_bound"))
+            tagged = fresh.crossJoin(F.broadcast(bound))
+            late = tagged.filter(F.col(self.ts_col) < F.col("_bound")).drop("_bound", FRESH)
+            late.write.mode("overwrite").parquet(f"{self.late_dir}/batch_id={batch_id}")
+            fresh = tagged.filter(~(F.col(self.ts_col) < F.col("_bound"))).drop("_bound")
+        seen = fresh.agg(F.max(self.ts_col).alias("max_ts"))
+        if prev is not None:
+            seen = seen.unionByName(prev).agg(F.max("max_ts").alias("max_ts"))
+        fresh = materialize(fresh, "stream-accepted")
+        self._write(seen, "maxts", batch_id)
+        return fresh
+
     # ------------------------------------------------------------------ forest
     def _forest_step(self, stats: DataFrame, batch_id: int, order: list[str]) -> DataFrame:
         """Feature vectors, retraining and scoring for this batch.
