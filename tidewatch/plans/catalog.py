@@ -25,9 +25,11 @@ from tidewatch.params import AlertParams, DetectorParams, ForestParams
 from tidewatch.plans.detection import with_severity
 from tidewatch.sources.events import parse_messages, split_dead_letters, unpivot_features
 from tidewatch.sources.tables import (
-    EVENT_ORDER, TRADE_ORDER, events_as_messages, events_long, lineitem_trades, read_table,
+    EVENT_ORDER, TRADE_ORDER, events_as_messages, events_long, lineitem_trades, read_table, trade_event_id,
 )
 
+EID = trade_event_id().alias("event_id")  # trades carry numeric keys; the text id is built at the output
+
 P = DetectorParams()
 A = AlertParams()
 FP = ForestParams()
@@ -58,18 +60,17 @@ def event_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return detect(event_stats(spark, sf), P)
 
 
-def trade_long(spark: SparkSession, sf: str, drop_weight_on_line7: bool = False) -> DataFrame:
+def trade_long(spark: SparkSession, sf: str, drop_weight_on_line7: bool = False, extra=()) -> DataFrame:
     t = lineitem_trades(spark, sf)
     if drop_weight_on_line7:
         t = t.withColumn("weight_kg", F.when(F.col("l_linenumber") != 7, F.col("weight_kg")))
-    ids = ["event_id", *TRADE_ORDER, "l_suppkey", "p_brand"]
-    return unpivot_features(t, ids, FEATURES)
+    return unpivot_features(t, [*TRADE_ORDER, *extra], FEATURES)
 
 
 def trade_stats(spark: SparkSession, sf: str, drop_weight_on_line7: bool = False) -> DataFrame:
     long = trade_long(spark, sf, drop_weight_on_line7)
     return rolling_stats(long, order_cols=TRADE_ORDER, key_cols=["feature"], window=P.window_size,
-                         passthrough=["event_id", *TRADE_ORDER, "l_suppkey", "p_brand", "feature", "value"])
+                         passthrough=[*TRADE_ORDER, "feature", "value"])
 
 
 def event_anomalies(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +109,7 @@ def q_cast_features(spark, sf):
 
 
 def q_unpivot_features(spark, sf):
-    return trade_long(spark, sf).select("event_id", "feature", r6("value"))
+    return trade_long(spark, sf).select(EID, "feature", r6("value"))
 
 
 # ---------------------------------------------------------------- C: windows
@@ -124,14 +125,14 @@ def q_rolling_stats_frame(spark, sf):
 
 
 def q_rolling_stats_multi(spark, sf):
-    return trade_stats(spark, sf).select("event_id", "feature", *_stats_cols())
+    return trade_stats(spark, sf).select(EID, "feature", *_stats_cols())
 
 
 def q_rolling_stats_scoped(spark, sf):
-    long = trade_long(spark, sf)
+    long = trade_long(spark, sf, extra=["l_suppkey"])
     s = rolling_stats(long, order_cols=TRADE_ORDER, key_cols=["l_suppkey", "feature"], window=100,
-                      passthrough=["event_id", "l_suppkey", "feature", "value"])
-    return s.select("event_id", "feature", *_stats_cols())
+                      passthrough=[*TRADE_ORDER, "l_suppkey", "feature", "value"])
+    return s.select(EID, "feature", *_stats_cols())
 
 
 def q_rolling_stats_reset(spark, sf):
@@ -166,12 +167,8 @@ def q_window_snapshot(spark, sf):
 
 
 def q_feature_vectors(spark, sf):
-    from tidewatch.operators.vectors import feature_vectors
-
-    stats = trade_stats(spark, sf, drop_weight_on_line7=True)
-    events = lineitem_trades(spark, sf).select("event_id", *TRADE_ORDER)
-    v = feature_vectors(events, stats, ["event_id"], TRADE_ORDER, FEATURES)
-    return v.select("event_id", *[r6(f"z_{f}") for f in FEATURES], F.col("vector").isNotNull().alias("vector_ready"))
+    v = trade_vectors(spark, sf)
+    return v.select(EID, *[r6(f"z_{f}") for f in FEATURES], F.col("vector").isNotNull().alias("vector_ready"))
 
 
 def q_metric_window_size(spark, sf):
@@ -189,7 +186,7 @@ def q_detect_combined(spark, sf):
 
 def q_detect_multi_feature(spark, sf):
     v = detect(trade_stats(spark, sf), P)
-    return v.select("event_id", "feature", "is_anomaly", "anomaly_type", r6("score"))
+    return v.select(EID, "feature", "is_anomaly", "anomaly_type", r6("score"))
 
 
 def q_detect_vs_baseline(spark, sf):
@@ -333,8 +330,8 @@ def trade_vectors(spark: SparkSession, sf: str) -> DataFrame:
     from tidewatch.operators.vectors import feature_vectors
 
     stats = trade_stats(spark, sf, drop_weight_on_line7=True)
-    events = lineitem_trades(spark, sf).select("event_id", *TRADE_ORDER)
-    return feature_vectors(events, stats, ["event_id"], TRADE_ORDER, FEATURES)
+    events = lineitem_trades(spark, sf).select(*TRADE_ORDER)
+    return feature_vectors(events, stats, [], TRADE_ORDER, FEATURES)
 
 
 def trade_epochs(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,7 +341,7 @@ def trade_epochs(spark: SparkSession, sf: str) -> DataFrame:
 def trade_forest_scores(spark: SparkSession, sf: str) -> DataFrame:
     ep = trade_epochs(spark, sf)
     nodes = fit_models(training_slices(ep, FP), FP)
-    return score_vectors(ep, nodes, ["event_id", *TRADE_ORDER])
+    return score_vectors(ep, nodes, list(TRADE_ORDER))
 
 
 def q_forest_batch_fit(spark, sf):
@@ -354,12 +351,12 @@ def q_forest_batch_fit(spark, sf):
 
     seq = vector_sequence(trade_vectors(spark, sf), TRADE_ORDER)
     nodes = fit_on_demand(seq, FP, order_cols=("n",))
-    scored = score_vectors(seq.withColumn("model", F.lit(1).cast("long")), nodes, ["event_id"])
-    return scored.select("event_id", "n", r6("raw_score"), "is_anomaly")
+    scored = score_vectors(seq.withColumn("model", F.lit(1).cast("long")), nodes, list(TRADE_ORDER))
+    return scored.select(EID, "n", r6("raw_score"), "is_anomaly")
 
 
 def q_forest_epochs(spark, sf):
-    return trade_epochs(spark, sf).select("event_id", "n", "model")
+    return trade_epochs(spark, sf).select(EID, "n", "model")
 
 
 def q_forest_training_slices(spark, sf):
@@ -384,13 +381,13 @@ def q_forest_trees(spark, sf):
 
 
 def q_forest_scores(spark, sf):
-    return trade_forest_scores(spark, sf).select("event_id", "n", "model", r6("raw_score"), r6("score"),
+    return trade_forest_scores(spark, sf).select(EID, "n", "model", r6("raw_score"), r6("score"),
                                                  "is_anomaly", "reason")
 
 
 def q_forest_anomalies(spark, sf):
     fa = forest_anomalies(trade_forest_scores(spark, sf), A.score_scale_forest)
-    return fa.select("event_id", "feature", r6("value"), r6("score"), "anomaly_type", "detector")
+    return fa.select(EID, "feature", r6("value"), r6("score"), "anomaly_type", "detector")
 
 
 def q_trade_alerts(spark, sf):
@@ -399,20 +396,20 @@ def q_trade_alerts(spark, sf):
     from tidewatch.plans.detection import trade_anomalies
 
     trades = lineitem_trades(spark, sf)
-    long = unpivot_features(trades, ["event_id", *TRADE_ORDER], FEATURES)
-    anoms = trade_anomalies(long, trades, ["event_id"], list(TRADE_ORDER), P, FP, A)
+    long = unpivot_features(trades, list(TRADE_ORDER), FEATURES)
+    anoms = trade_anomalies(long, trades, [], list(TRADE_ORDER), P, FP, A)
     kept = alert_policy(anoms, ts_col="ts", order_cols=["l_orderkey", "l_linenumber", "l_partkey"], params=A)
-    return kept.select(alert_id("event_id", "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
-                       "event_id", "feature", r6("value"), r6("score"), "severity", "anomaly_type")
+    return kept.select(alert_id(trade_event_id(), "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
+                       EID, "feature", r6("value"), r6("score"), "severity", "anomaly_type")
 
 
 def q_union_results(spark, sf):
     """Statistical anomalies of the trades, then the forest's, per event."""
     stat = detect(trade_stats(spark, sf, drop_weight_on_line7=True), P).filter("is_anomaly").select(
-        "event_id", "feature", r6("value"), r6("score"), "anomaly_type",
+        EID, "feature", r6("value"), r6("score"), "anomaly_type",
         (F.array_position(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature")) - 1).cast("int").alias("result_pos"))
     fa = forest_anomalies(trade_forest_scores(spark, sf), A.score_scale_forest).select(
-        "event_id", "feature", r6("value"), r6("score"), "anomaly_type", F.lit(len(FEATURES)).alias("result_pos"))
+        EID, "feature", r6("value"), r6("score"), "anomaly_type", F.lit(len(FEATURES)).alias("result_pos"))
     return stat.unionByName(fa)
 
 

@@ -18,6 +18,12 @@ EVENT_ORDER = ("ts", "event_id")
 TRADE_ORDER = ("ts", "l_orderkey", "l_linenumber", "l_partkey")
 
 
+def trade_event_id() -> F.Column:
+    """Trade event id text ``orderkey-linenumber-partkey``; built at the
+    output so heavy stages carry only the numeric key columns."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -43,7 +49,7 @@ def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
     trades = li.join(part, li.l_partkey == part.p_partkey, "left").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("event_id"),
+        trade_event_id().alias("event_id"),
         F.col("l_shipdate").alias("ts"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand",
         F.col("l_extendedprice").alias("declared_value"),
