@@ -21,3 +21,16 @@ def test_every_query_runs_at_sf0001(spark):
     for name, fn in E.queries().items():
         df = fn(spark, SF001)
         assert df.count() >= 0, name
+
+
+def test_contract_functions_need_no_session():
+    """queries()/oracle_sql() must work before any SparkSession exists."""
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = "import __spark_entry__ as E; q = E.queries(); o = E.oracle_sql(); assert set(o) <= set(q); print(len(q))"
+    r = subprocess.run([sys.executable, "-c", code], cwd="/tmp", env={"PYTHONPATH": ROOT, "PATH": "/usr/bin:/bin"},
+                       capture_output=True, text=True, timeout=120)
+    assert r.returncode == 0, r.stderr[-2000:]

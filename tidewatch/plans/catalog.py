@@ -28,7 +28,11 @@ from tidewatch.sources.tables import (
     EVENT_ORDER, TRADE_ORDER, events_as_messages, events_long, lineitem_trades, read_table, trade_event_id,
 )
 
-EID = trade_event_id().alias("event_id")  # trades carry numeric keys; the text id is built at the output
+
+
+def eid() -> F.Column:
+    """Trades carry numeric keys through heavy stages; the text id is built at the output."""
+    return trade_event_id().alias("event_id")
 
 P = DetectorParams()
 A = AlertParams()
@@ -109,7 +113,7 @@ def q_cast_features(spark, sf):
 
 
 def q_unpivot_features(spark, sf):
-    return trade_long(spark, sf).select(EID, "feature", r6("value"))
+    return trade_long(spark, sf).select(eid(), "feature", r6("value"))
 
 
 # ---------------------------------------------------------------- C: windows
@@ -125,14 +129,14 @@ def q_rolling_stats_frame(spark, sf):
 
 
 def q_rolling_stats_multi(spark, sf):
-    return trade_stats(spark, sf).select(EID, "feature", *_stats_cols())
+    return trade_stats(spark, sf).select(eid(), "feature", *_stats_cols())
 
 
 def q_rolling_stats_scoped(spark, sf):
     long = trade_long(spark, sf, extra=["l_suppkey"])
     s = rolling_stats(long, order_cols=TRADE_ORDER, key_cols=["l_suppkey", "feature"], window=100,
                       passthrough=[*TRADE_ORDER, "l_suppkey", "feature", "value"])
-    return s.select(EID, "feature", *_stats_cols())
+    return s.select(eid(), "feature", *_stats_cols())
 
 
 def q_rolling_stats_reset(spark, sf):
@@ -168,7 +172,7 @@ def q_window_snapshot(spark, sf):
 
 def q_feature_vectors(spark, sf):
     v = trade_vectors(spark, sf)
-    return v.select(EID, *[r6(f"z_{f}") for f in FEATURES], F.col("vector").isNotNull().alias("vector_ready"))
+    return v.select(eid(), *[r6(f"z_{f}") for f in FEATURES], F.col("vector").isNotNull().alias("vector_ready"))
 
 
 def q_metric_window_size(spark, sf):
@@ -186,7 +190,7 @@ def q_detect_combined(spark, sf):
 
 def q_detect_multi_feature(spark, sf):
     v = detect(trade_stats(spark, sf), P)
-    return v.select(EID, "feature", "is_anomaly", "anomaly_type", r6("score"))
+    return v.select(eid(), "feature", "is_anomaly", "anomaly_type", r6("score"))
 
 
 def q_detect_vs_baseline(spark, sf):
@@ -352,11 +356,11 @@ def q_forest_batch_fit(spark, sf):
     seq = vector_sequence(trade_vectors(spark, sf), TRADE_ORDER)
     nodes = fit_on_demand(seq, FP, order_cols=("n",))
     scored = score_vectors(seq.withColumn("model", F.lit(1).cast("long")), nodes, list(TRADE_ORDER))
-    return scored.select(EID, "n", r6("raw_score"), "is_anomaly")
+    return scored.select(eid(), "n", r6("raw_score"), "is_anomaly")
 
 
 def q_forest_epochs(spark, sf):
-    return trade_epochs(spark, sf).select(EID, "n", "model")
+    return trade_epochs(spark, sf).select(eid(), "n", "model")
 
 
 def q_forest_training_slices(spark, sf):
@@ -381,13 +385,13 @@ def q_forest_trees(spark, sf):
 
 
 def q_forest_scores(spark, sf):
-    return trade_forest_scores(spark, sf).select(EID, "n", "model", r6("raw_score"), r6("score"),
+    return trade_forest_scores(spark, sf).select(eid(), "n", "model", r6("raw_score"), r6("score"),
                                                  "is_anomaly", "reason")
 
 
 def q_forest_anomalies(spark, sf):
     fa = forest_anomalies(trade_forest_scores(spark, sf), A.score_scale_forest)
-    return fa.select(EID, "feature", r6("value"), r6("score"), "anomaly_type", "detector")
+    return fa.select(eid(), "feature", r6("value"), r6("score"), "anomaly_type", "detector")
 
 
 def q_trade_alerts(spark, sf):
@@ -400,16 +404,16 @@ def q_trade_alerts(spark, sf):
     anoms = trade_anomalies(long, trades, [], list(TRADE_ORDER), P, FP, A)
     kept = alert_policy(anoms, ts_col="ts", order_cols=["l_orderkey", "l_linenumber", "l_partkey"], params=A)
     return kept.select(alert_id(trade_event_id(), "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
-                       EID, "feature", r6("value"), r6("score"), "severity", "anomaly_type")
+                       eid(), "feature", r6("value"), r6("score"), "severity", "anomaly_type")
 
 
 def q_union_results(spark, sf):
     """Statistical anomalies of the trades, then the forest's, per event."""
     stat = detect(trade_stats(spark, sf, drop_weight_on_line7=True), P).filter("is_anomaly").select(
-        EID, "feature", r6("value"), r6("score"), "anomaly_type",
+        eid(), "feature", r6("value"), r6("score"), "anomaly_type",
         (F.array_position(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature")) - 1).cast("int").alias("result_pos"))
     fa = forest_anomalies(trade_forest_scores(spark, sf), A.score_scale_forest).select(
-        EID, "feature", r6("value"), r6("score"), "anomaly_type", F.lit(len(FEATURES)).alias("result_pos"))
+        eid(), "feature", r6("value"), r6("score"), "anomaly_type", F.lit(len(FEATURES)).alias("result_pos"))
     return stat.unionByName(fa)
 
 
