@@ -131,3 +131,33 @@ def test_late_rows_routed_aside(spark, tmpdir_fresh):
     assert [r.event_id for r in late.collect()] == [100]
     tail = spark.read.parquet(os.path.join(tmpdir_fresh, "state", "tail", "1"))
     assert 101 in {r.event_id for r in tail.collect()} and 100 not in {r.event_id for r in tail.collect()}
+
+
+def test_rolling_stats_stream_twin_equals_batch(spark, tmpdir_fresh):
+    """applyInPandasWithState count windows (state = last N-1 values) over
+    three files give the batch window statistics."""
+    import numpy as np
+    from pyspark.sql import Window
+
+    from tidewatch.operators.windows import rolling_stats
+    from tidewatch.streaming.stateful import rolling_stats_stream
+
+    long = events_long(spark, SF01)
+    flat = os.path.join(tmpdir_fresh, "flat")
+    os.makedirs(flat)
+    part = long.withColumn("_p", F.ntile(3).over(Window.orderBy("ts", "event_id")))
+    for i in (1, 2, 3):
+        d = os.path.join(tmpdir_fresh, f"p{i}")
+        part.filter(F.col("_p") == i).drop("_p").coalesce(1).write.parquet(d)
+        f = [x for x in os.listdir(d) if x.endswith(".parquet")][0]
+        os.link(os.path.join(d, f), os.path.join(flat, f"part-{i:03d}.parquet"))
+    stream = spark.readStream.schema(long.schema).option("maxFilesPerTrigger", 1).parquet(flat)
+    q = (rolling_stats_stream(stream, ["ts", "event_id"], window=1000).writeStream.format("memory")
+         .queryName("win_twin").outputMode("append").option("checkpointLocation", os.path.join(tmpdir_fresh, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    cols = ["win_count", "win_mean", "win_std", "win_p25", "win_median", "win_p75", "zscore"]
+    got = spark.sql("SELECT * FROM win_twin").toPandas().sort_values("event_id")
+    want = rolling_stats(long, order_cols=["ts", "event_id"]).toPandas().sort_values("event_id")
+    assert len(got) == len(want) == 10000
+    np.testing.assert_allclose(got[cols].to_numpy(dtype=float), want[cols].to_numpy(dtype=float), rtol=1e-9, atol=1e-9)

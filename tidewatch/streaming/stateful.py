@@ -71,3 +71,43 @@ def dedup_stream(
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     out = staged.groupBy(*key_cols).applyInPandasWithState(fold, out_schema, state_schema, "append", timeout)
     return out.drop("_t_us")
+
+
+def rolling_stats_stream(
+    rows: DataFrame,
+    order_cols: Sequence[str],
+    key_cols: Sequence[str] = ("feature",),
+    value_col: str = "value",
+    window: int = 1000,
+) -> DataFrame:
+    """Count-window statistics as one ``applyInPandasWithState``.
+
+    State per key: the last ``window - 1`` values (``ARRAY<DOUBLE>``, bounded
+    by the window). Each micro-batch prepends them to the key's new rows
+    (ordered by ``order_cols``) and runs the same NumPy kernel as the batch
+    operator, so the numbers equal :func:`rolling_stats`. Rows of one key in
+    one micro-batch are bounded by the trigger size.
+    """
+    from tidewatch.functions.window_kernel import STAT_NAMES, window_stats
+    from tidewatch.operators.windows import STAT_FIELDS
+
+    out_schema = T.StructType(list(rows.schema.fields) + STAT_FIELDS)
+    state_schema = T.StructType([T.StructField("tail", T.ArrayType(T.DoubleType()))])
+    keep = max(window - 1, 0)
+
+    def step(key, pdfs, state):
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        if pdf.empty:
+            return
+        pdf = pdf.sort_values(list(order_cols), kind="stable").reset_index(drop=True)
+        tail = np.asarray(state.get[0] if state.exists and state.get[0] is not None else [], dtype=np.float64)
+        v = np.concatenate([tail, pdf[value_col].to_numpy(dtype=np.float64)])
+        rows_idx = np.arange(len(tail), len(v))
+        st = window_stats(v, np.zeros(len(v), dtype=np.int64), window, rows_idx)
+        for name in STAT_NAMES:
+            pdf[name] = st[name]
+        state.update(([float(x) for x in v[len(v) - keep:]] if keep else [],))
+        yield pdf
+
+    return rows.groupBy(*key_cols).applyInPandasWithState(step, out_schema, state_schema, "append",
+                                                           GroupStateTimeout.NoTimeout)
