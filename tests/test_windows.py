@@ -103,3 +103,18 @@ def test_halo_equals_frame_across_block_edges(spark, window, block):
 def test_snapshot_oldest_first(spark):
     snap = window_snapshot(_df(spark, [1, 2, 3, 4, 5]), order_cols=["seq"], window=3).first()
     assert snap["values"] == [3.0, 4.0, 5.0] and snap.win_count == 3
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from tidewatch.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(9)
+    rows = [(k, float(round(rng.normal(0, 5), 1))) for k in ("a", "b", "c") for _ in range({"a": 301, "b": 2, "c": 1}[k])]
+    rows.append(("a", None))
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r._n, r.q0, r.q1, r.q2) for r in exact_quantiles(df, ["k"], "v").collect()}
+    for k in ("a", "b", "c"):
+        vals = [v for kk, v in rows if kk == k and v is not None]
+        want = np.percentile(vals, [25, 50, 75])
+        assert got[k][0] == len(vals)
+        np.testing.assert_allclose(got[k][1:], want, rtol=1e-12)

@@ -194,14 +194,18 @@ def q_detect_multi_feature(spark, sf):
 
 
 def q_detect_vs_baseline(spark, sf):
+    """Score trades against a per-brand baseline (exact quartiles computed
+    without buffering a brand in one task, then joined on brand)."""
+    from tidewatch.operators.quantiles import exact_quantiles
+
     t = lineitem_trades(spark, sf)
-    base = t.groupBy("p_brand").agg(
+    moments = t.groupBy("p_brand").agg(
         F.count("declared_value").alias("win_count"), F.avg("declared_value").alias("win_mean"),
         F.stddev_samp("declared_value").alias("win_std"),
-        F.min("declared_value").alias("win_min"), F.max("declared_value").alias("win_max"),
-        F.percentile("declared_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-    ).select("*", F.col("_q")[0].alias("win_p25"), F.col("_q")[1].alias("win_median"),
-             F.col("_q")[2].alias("win_p75"), (F.col("_q")[2] - F.col("_q")[0]).alias("win_iqr")).drop("_q")
+        F.min("declared_value").alias("win_min"), F.max("declared_value").alias("win_max"))
+    quarts = exact_quantiles(t, ["p_brand"], "declared_value", (0.25, 0.5, 0.75),
+                             ["win_p25", "win_median", "win_p75"]).drop("_n")
+    base = moments.join(quarts, "p_brand").withColumn("win_iqr", F.col("win_p75") - F.col("win_p25"))
     vals = t.select("event_id", "p_brand", F.col("declared_value").alias("value"))
     scored = score_against(base, vals, ["p_brand"])
     v = detect(scored, P)
