@@ -97,7 +97,6 @@ def _fold_by_doubling(rows: DataFrame, gap_us: int) -> DataFrame:
     ``rows`` carry ``_sess`` (position of the session's first row), ``_gpos``
     (contiguous inside a session, in (ts, order) order) and ``_ts_us``.
     """
-    spark = rows.sparkSession
     base = rows.select("_sess", GPOS, TS_US)
     probes = base.select("_sess", F.col(GPOS).alias("_p"), (F.col(TS_US) + gap_us).alias("_x"),
                          F.lit(0).alias("_kind"), F.lit(None).cast("struct<s:long,p:long>").alias("_cv"))
@@ -127,7 +126,6 @@ def _fold_by_doubling(rows: DataFrame, gap_us: int) -> DataFrame:
     marked = marked.withColumn("_opens", F.coalesce("_opens", F.lit(False)))
     marked = marked.withColumn("_o", F.when(F.col("_opens"), F.struct(F.col(GPOS).alias("p"), F.col(TS_US).alias("t"))))
     done = carry_forward(marked, [GPOS], ["_o"])
-    _ = spark
     return done.select(*rows.columns, "_opens", F.col("_o.t").alias("_wstart_us"),
                        (F.col(GPOS) - F.col("_o.p") + 1).alias("_rank"))
 

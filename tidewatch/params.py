@@ -5,7 +5,7 @@ The defaults are the reference detector's documented defaults.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Fixed values that must equal the reference's defaults:
 #   window size 1000, min samples 30, z threshold 3.0, IQR multiplier 1.5,
@@ -54,4 +54,3 @@ class AlertParams:
     max_alerts_per_minute: int = 100
     rate_window_seconds: float = 60.0
     score_scale_forest: float = 5.0
-    extra: dict = field(default_factory=dict, compare=False)

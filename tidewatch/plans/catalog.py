@@ -15,7 +15,6 @@ from tidewatch.functions.alerting import alert_id, severity
 from tidewatch.functions.detect import detect
 from tidewatch.operators.alerts import (alert_policy, coupled_alert_policy, dedup_alerts, expired_dedup_keys,
                                        rate_limit)
-from tidewatch.operators.chain import TS_US
 from tidewatch.operators.metrics import bucket_histogram
 from tidewatch.operators.windows import rolling_stats, score_against, window_snapshot
 from tidewatch.operators.forest import (

@@ -9,9 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tidewatch.sources.events import TRADE_SCHEMA
 
 
 def kafka_source_options(bootstrap: str, topic: str, starting_offsets: str = "latest",
@@ -59,5 +56,3 @@ def write_alerts(alerts: DataFrame, fmt: str = "parquet", path: str | None = Non
     else:
         alerts.write.mode("append").format(fmt).save(path)
 
-
-TRADE_JSON_SCHEMA: T.StructType = TRADE_SCHEMA
