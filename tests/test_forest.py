@@ -78,6 +78,9 @@ def test_fit_on_demand_needs_50_and_uses_last_buffer(spark):
     with pytest.raises(ValueError):
         fit_on_demand(few, p)
     many = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 301)], "n long, vector array<double>")
-    nodes = fit_on_demand(many, p).toPandas()
-    assert set(nodes["model"]) == {1} and set(nodes["train_rows"]) == {100}
-    assert nodes["tree"].nunique() == 10
+    from tidewatch.operators.forest import model_nodes
+
+    models = fit_on_demand(many, p)
+    m = models.toPandas()
+    assert list(m["model"]) == [1] and list(m["train_rows"]) == [100] and list(m["n_trees"]) == [10]
+    assert model_nodes(models).select("tree").distinct().count() == 10

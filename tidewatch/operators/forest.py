@@ -18,7 +18,7 @@ Plan: global vector numbers without a single-partition window
 feeds ceil(B / interval) models at most, via ``explode(sequence)``);
 ``groupBy(model).applyInPandas`` fits all trees of one model from a slice
 bounded by B rows; scoring cogroups each model's vectors (at most
-``interval`` rows) with its node table (at most trees x 511 rows).
+``interval`` rows) with its model row (trees x 511 dense node arrays).
 """
 
 from __future__ import annotations
@@ -35,17 +35,19 @@ from tidewatch.functions.iforest import build_forest, offset_for, score_samples
 from tidewatch.operators.positions import GPOS, PID, with_global_position
 from tidewatch.params import ForestParams
 
-NODE_SCHEMA = T.StructType([
+# One row per model: dense per-tree node arrays (heap-numbered, row-major
+# tree x node), so a model is one row of contiguous arrays rather than
+# trees x nodes rows.
+MODEL_SCHEMA = T.StructType([
     T.StructField("model", T.LongType()),
-    T.StructField("tree", T.IntegerType()),
-    T.StructField("node", T.IntegerType()),
-    T.StructField("feature", T.IntegerType()),
-    T.StructField("threshold", T.DoubleType()),
-    T.StructField("leaf_value", T.DoubleType()),
+    T.StructField("n_trees", T.IntegerType()),
     T.StructField("psi", T.IntegerType()),
     T.StructField("max_depth", T.IntegerType()),
     T.StructField("offset", T.DoubleType()),
     T.StructField("train_rows", T.LongType()),
+    T.StructField("feature", T.ArrayType(T.IntegerType())),
+    T.StructField("threshold", T.ArrayType(T.DoubleType())),
+    T.StructField("leaf_value", T.ArrayType(T.DoubleType())),
 ])
 
 
@@ -94,42 +96,46 @@ def _fit_fn(p: ForestParams, vector_col: str):
         x = np.stack(pdf[vector_col].to_numpy())
         forest = build_forest(x, p.n_estimators, p.max_samples, (p.random_state, model))
         offset = offset_for(score_samples(x, forest), p.contamination)
-        t_idx, k_idx = np.nonzero((forest["feature"] >= 0) | (forest["leaf_value"] > 0) | (np.arange(forest["feature"].shape[1]) == 0))
         return pd.DataFrame({
-            "model": model,
-            "tree": t_idx.astype(np.int32),
-            "node": k_idx.astype(np.int32),
-            "feature": forest["feature"][t_idx, k_idx].astype(np.int32),
-            "threshold": forest["threshold"][t_idx, k_idx],
-            "leaf_value": forest["leaf_value"][t_idx, k_idx],
-            "psi": np.int32(forest["psi"]),
-            "max_depth": np.int32(forest["max_depth"]),
-            "offset": offset,
-            "train_rows": np.int64(len(x)),
+            "model": [model],
+            "n_trees": [np.int32(forest["feature"].shape[0])],
+            "psi": [np.int32(forest["psi"])],
+            "max_depth": [np.int32(forest["max_depth"])],
+            "offset": [offset],
+            "train_rows": [np.int64(len(x))],
+            "feature": [forest["feature"].astype(np.int32).ravel()],
+            "threshold": [forest["threshold"].ravel()],
+            "leaf_value": [forest["leaf_value"].ravel()],
         })
 
     return fit
 
 
 def fit_models(slices: DataFrame, p: ForestParams = ForestParams(), vector_col: str = "vector") -> DataFrame:
-    """Node table of every model, one ``applyInPandas`` group per model."""
-    return slices.select("model", "n", vector_col).groupBy("model").applyInPandas(_fit_fn(p, vector_col), NODE_SCHEMA)
-
-
-def _nodes_to_forest(nodes: pd.DataFrame) -> dict:
-    n_trees = int(nodes["tree"].max()) + 1
-    depth = int(nodes["max_depth"].iloc[0])
-    n_nodes = 2 ** (depth + 1) - 1
-    feature = np.full((n_trees, n_nodes), -1, dtype=np.int64)
-    threshold = np.zeros((n_trees, n_nodes))
-    leaf_value = np.zeros((n_trees, n_nodes))
-    t = nodes["tree"].to_numpy()
-    k = nodes["node"].to_numpy()
-    feature[t, k] = nodes["feature"].to_numpy()
-    threshold[t, k] = nodes["threshold"].to_numpy()
-    leaf_value[t, k] = nodes["leaf_value"].to_numpy()
-    return {"feature": feature, "threshold": threshold, "leaf_value": leaf_value,
-            "psi": int(nodes["psi"].iloc[0]), "max_depth": depth}
+    """One row per model (see ``MODEL_SCHEMA``), one ``applyInPandas`` group per model."""
+    return slices.select("model", "n", vector_col).groupBy("model").applyInPandas(_fit_fn(p, vector_col), MODEL_SCHEMA)
+
+
+def model_nodes(models: DataFrame) -> DataFrame:
+    """Models as node rows ``(model, tree, node, feature, threshold,
+    leaf_value, offset)``: split nodes, leaves, and each tree's root."""
+    width = F.expr("size(feature) div n_trees")
+    z = models.select("model", "offset", width.alias("_w"),
+                      F.posexplode(F.arrays_zip("feature", "threshold", "leaf_value")).alias("_i", "_z"))
+    return z.select(
+        "model", (F.col("_i") / F.col("_w")).cast("int").alias("tree"), (F.col("_i") % F.col("_w")).cast("int").alias("node"),
+        F.col("_z.feature").alias("feature"), F.col("_z.threshold").alias("threshold"),
+        F.col("_z.leaf_value").alias("leaf_value"), "offset",
+    ).filter((F.col("feature") >= 0) | (F.col("leaf_value") > 0) | (F.col("node") == 0))
+
+
+def _row_to_forest(m: pd.DataFrame) -> dict:
+    t = int(m["n_trees"].iloc[0])
+    feature = np.asarray(m["feature"].iloc[0], dtype=np.int64).reshape(t, -1)
+    return {"feature": feature,
+            "threshold": np.asarray(m["threshold"].iloc[0], dtype=np.float64).reshape(t, -1),
+            "leaf_value": np.asarray(m["leaf_value"].iloc[0], dtype=np.float64).reshape(t, -1),
+            "psi": int(m["psi"].iloc[0]), "max_depth": int(m["max_depth"].iloc[0])}
 
 
 SCORE_FIELDS = [
@@ -159,7 +165,7 @@ def score_vectors(
     def score(vec: pd.DataFrame, nd: pd.DataFrame) -> pd.DataFrame:
         if vec.empty:
             return pd.DataFrame({f.name: [] for f in out_schema.fields})
-        forest = _nodes_to_forest(nd)
+        forest = _row_to_forest(nd)
         x = np.stack(vec[vector_col].to_numpy())
         raw = score_samples(x, forest) - float(nd["offset"].iloc[0])
         out = vec[keep].reset_index(drop=True)

@@ -383,8 +383,10 @@ def q_metric_forest(spark, sf):
 
 def q_forest_trees(spark, sf):
     ep = trade_epochs(spark, sf)
-    return fit_models(training_slices(ep, FP), FP).select("model", "tree", "node", "feature", r6("threshold"),
-                                                           r6("leaf_value"), r6("offset"))
+    from tidewatch.operators.forest import model_nodes
+
+    return model_nodes(fit_models(training_slices(ep, FP), FP)).select(
+        "model", "tree", "node", "feature", r6("threshold"), r6("leaf_value"), r6("offset"))
 
 
 def q_forest_scores(spark, sf):
