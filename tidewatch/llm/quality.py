@@ -110,7 +110,7 @@ VOTE_RULES = (
     VoteRule("length", "n_words >= 50", "n_words < 30"),
     VoteRule("word_size", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     VoteRule("symbols", "20 * n_symbols <= n_words", "5 * n_symbols > n_words"),
-    VoteRule("lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
+    VoteRule("lines", "10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines and n_dup_lines > 2"),
     VoteRule("repeats", "100 * n_repeat_words <= 20 * n_words", "100 * n_repeat_words > 40 * n_words"),
     VoteRule("capitals", "10 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars"),
     VoteRule("digits", "20 * n_digits <= word_chars", "10 * n_digits > 2 * word_chars"),
@@ -150,19 +150,28 @@ class LabelModel:
         return right / (right + wrong)
 
 
+#: Starting vote distributions (bad, abstain, good) of the two classes. A rule
+#: is written so that good text rarely gets its bad vote; bad text may get it.
+START_GOOD = (0.005, 0.145, 0.85)
+START_BAD = (0.15, 0.145, 0.705)
+START_PRIOR = 0.8
+
+
 def fit_label_model(
-    votes: DataFrame, rules: tuple[VoteRule, ...] = VOTE_RULES, steps: int = 12, start_accuracy: float = 0.8, smooth: float = 1.0
+    votes: DataFrame, rules: tuple[VoteRule, ...] = VOTE_RULES, steps: int = 12, anchor: float = 1.0
 ) -> LabelModel:
-    """EM over the vote patterns of all documents. ``smooth`` is a
-    pseudo-count per vote and class and keeps every probability above zero."""
+    """EM (maximum a posteriori) over the vote patterns of all documents.
+
+    Without labels the two classes have no names, and EM may settle on any
+    two clusters of votes. A Dirichlet prior centred on the starting
+    distributions, weighing ``anchor`` times a class's documents (and one
+    document at least), ties the classes to their meaning at every corpus
+    size and keeps every probability above zero."""
     names = [r.name for r in rules]
     patterns = materialize(
         votes.groupBy(*[f"v_{n}" for n in names]).agg(F.count(F.lit(1)).alias("_n")).coalesce(1), "vote-patterns"
     )
-    a = start_accuracy
-    model = LabelModel(
-        0.7, {n: ((1 - a) * 0.8, 0.2, a * 0.8) for n in names}, {n: (a * 0.8, 0.2, (1 - a) * 0.8) for n in names}
-    )
+    model = LabelModel(START_PRIOR, dict.fromkeys(names, START_GOOD), dict.fromkeys(names, START_BAD))
     for _ in range(steps):
         w = patterns.withColumn("_p", model.posterior())
         sums = [F.sum(F.col("_n") * F.col("_p")).alias("g"), F.sum(F.col("_n") * (1 - F.col("_p"))).alias("b")]
@@ -174,19 +183,24 @@ def fit_label_model(
         if row["g"] is None:  # an empty table keeps the starting model
             return model
 
-        def dist(side: str, n: str) -> tuple[float, float, float]:
-            c = [row[f"{side}{v}_{n}"] + smooth for v in (-1, 0, 1)]
+        def dist(side: str, n: str, start: tuple[float, float, float]) -> tuple[float, float, float]:
+            weight = max(1.0, anchor * row[side])
+            c = [row[f"{side}{v}_{n}"] + weight * p for v, p in zip((-1, 0, 1), start, strict=True)]
             return tuple(x / sum(c) for x in c)
 
         total = row["g"] + row["b"]
+        weight = max(1.0, anchor * total)
         model = LabelModel(
-            (row["g"] + smooth) / (total + 2 * smooth), {n: dist("g", n) for n in names}, {n: dist("b", n) for n in names}
+            (row["g"] + weight * START_PRIOR) / (total + weight),
+            {n: dist("g", n, START_GOOD) for n in names},
+            {n: dist("b", n, START_BAD) for n in names},
         )
     return model
 
 
-def judge_quality(docs: DataFrame, threshold: float = 0.5, rules: tuple[VoteRule, ...] = VOTE_RULES) -> DataFrame:
-    """Signals, base test, posterior P(good) and the verdict of each document."""
+def judge_quality(docs: DataFrame, threshold: float = 0.85, rules: tuple[VoteRule, ...] = VOTE_RULES) -> DataFrame:
+    """Signals, base test, posterior P(good) and the verdict of each document:
+    kept if the base test holds and P(good) is at least ``threshold``."""
     votes = materialize(cast_votes(quality_signals(docs), rules), "quality-votes")
     model = fit_label_model(votes, rules)
     return votes.select(
