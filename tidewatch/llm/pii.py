@@ -40,10 +40,19 @@ then [email l.moreau@mail.example] there
 and [email user7@example.com] of the [card 4539578763621486] in
 the [ip 203.0.113.77] of
 de [ip 198.51.100.4] la
-is [card 4024007103939509] for
+is [card 4111111111111111] for
 und [card 5500005555555559] die
 [card 4532015112830366] [card 6011000990139424] both
 [email b.k@firma.example] [ip 192.0.2.9] [phone +49 30 5550 1234]
+the 4539578763621481 of
+de 4111111111111112 la
+and 5500005555555551 is
+is 1234567890123456 for
+1111222233334444 5555666677778880 more
+serial 4000 0566 5566 5550 found
+the 300.113.2.77 of
+and 10.999.1.4 in
+the 256.1.1.1 und
 write to [email anna.lind@post.example] before noon
 Mail: [email k_9@x-y.example.org], thanks
 contact [email <joe+list@site.example>] or call
@@ -52,13 +61,13 @@ reach me at [email sam(at)home@corp.example]
 @home and @work are tags
 see @daily for 3 tips
 the host [ip 10.20.30.40] answered
-from [ip 192.168.7.1:8080] port open
+from [ip 192.168.7.1] port open
 server ip [ip 172.16.254.3] down
 version 1.2.3 of 4.5.6.7.8 came
 release 10.4.2 is out
 section 3.1.4.2.7 says so
-card [card 4000 1234 5678 9010] expires 04/29
-paid with [card 4000-1234-5678-9010] today
+card [card 4000 0566 5566 5556] expires 04/29
+paid with [card 5555-5555-5555-4444] today
 visa [card 5105105105105100,] thanks
 card number [card 3782 822463 10005]
 order 100200300400 shipped
@@ -174,11 +183,14 @@ def context_feature(where: str, word: str) -> int:
 def run_features(words: list[str], before: str, after: str) -> list[list[int]]:
     """Features of a run of wanted words and the plain words around it."""
     out = []
+    whole = _valid("".join(words)) if len(words) > 1 else ""
     for i, w in enumerate(words):
         prev = words[i - 1] if i else ""
         nxt = words[i + 1] if i + 1 < len(words) else ""
         f = list(word_features(w))
         f.append(context_feature("before", before))
+        f.append(bucket(f"valid={_valid(w)}", BUCKETS))
+        f.append(bucket(f"whole={whole}", BUCKETS))
         f.append(bucket(f"place={min(i, 3)}/{min(len(words), 6)}", BUCKETS))
         f.append(bucket(f"prev={_size(prev)}", BUCKETS))
         f.append(bucket(f"next={_size(nxt)}", BUCKETS))
@@ -187,6 +199,16 @@ def run_features(words: list[str], before: str, after: str) -> list[list[int]]:
     return out
 
 
+def _valid(word: str) -> str:
+    """Check digit of a number of card length, octets of a dotted quad, form of an address."""
+    if "@" in word:
+        return f"mail {EMAIL.search(word) is not None}"
+    digits = _NOT_DIGIT.sub("", word)
+    if "." in word and re.fullmatch(r"[0-9]{1,6}(\.[0-9]{1,6}){3}", word.strip(TRIM)):
+        return f"octets {all(int(x) <= 255 for x in word.strip(TRIM).split('.'))}"
+    return f"luhn {luhn(digits)}" if 13 <= len(digits) <= 19 else ""
+
+
 def _size(word: str) -> str:
     return "" if not word else f"{word[0] == '+'}{min(sum(c.isdigit() for c in word), 9)}"
 
