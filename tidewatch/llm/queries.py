@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, pii, quality, secrets
+from tidewatch.llm import chat, contain, langid, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents")).withColumn("p_good", F.round("p_good", 6))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    train = docs.filter(~langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    found = langid.identify(docs, langid.LanguageModel.fit(train))
+    return found.select(
+        "doc_id",
+        langid.held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        F.round("score", 6).alias("score"),
+        "langs",
+    )
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(_table(spark, sf_dir, "documents"))
 
@@ -33,8 +46,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(rows.unionByName(own)))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contain.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
+    "op6_language_id": op6_language_id,
+    "op10_decontaminate": op10_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op8_personal_data": op8_personal_data,
     "op9_chat_format": op9_chat_format,
