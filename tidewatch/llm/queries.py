@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, contain, langid, neardup, pii, quality, secrets
+from tidewatch.llm import chat, contain, htmltext, langid, neardup, pii, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents")).withColumn("p_good", F.round("p_good", 6))
 
@@ -57,6 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_page_text": op4_page_text,
     "op6_language_id": op6_language_id,
     "op10_decontaminate": op10_decontaminate,
     "op5_quality_rules": op5_quality_rules,
