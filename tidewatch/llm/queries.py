@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, contain, htmltext, langid, neardup, pii, quality, secrets
+from tidewatch.llm import chat, contain, htmltext, langid, neardup, pii, quality, repeats, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op10_decontaminate": op10_decontaminate,
     "op5_quality_rules": op5_quality_rules,
+    "op7_repeat_removal": op7_repeat_removal,
     "op8_personal_data": op8_personal_data,
     "op9_chat_format": op9_chat_format,
 }
