@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, contain, htmltext, langid, neardup, pii, quality, repeats, secrets
+from tidewatch.llm import chat, contain, htmltext, langid, neardup, pieces, pii, quality, repeats, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,24 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(_table(spark, sf_dir, "documents"), k=2, with_ids=False)
+
+    def each(field: str):
+        return F.transform("samples", lambda s: s[field])
+
+    return out.select(
+        "doc_id",
+        F.size("samples").cast("long").alias("n_samples"),
+        each("n_tokens").alias("n_tokens"),
+        each("ids_sha256").alias("ids_sha256"),
+        F.transform("samples", lambda s: F.round(s["log_prob"], 6)).alias("log_prob"),
+        F.transform("samples", lambda s: F.round(s["perturbed"], 6)).alias("perturbed"),
+        F.transform("samples", lambda s: F.round(s["log_inclusion"], 6)).alias("log_inclusion"),
+        F.forall("samples", lambda s: s["round_trip"]).alias("round_trip"),
+    )
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -65,6 +83,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op2_piece_sampling": op2_piece_sampling,
     "op4_page_text": op4_page_text,
     "op6_language_id": op6_language_id,
     "op10_decontaminate": op10_decontaminate,
