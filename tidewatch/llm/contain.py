@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.textkit import shingle_sets
+from tidewatch.llm.textkit import buffer_of, shingle_hashes, shingle_sets, word_hashes
 
 _SCHEMA = "doc_id long, item_id long, n_common long, n_item long"
 
@@ -76,57 +76,89 @@ def item_shingles(items: DataFrame, threshold_pct: int) -> DataFrame:
     ).distinct()
 
 
-def contained_items(
-    docs: DataFrame, items: DataFrame, threshold_pct: int = 75, max_broadcast: int = 1_000_000
-) -> DataFrame:
-    """(doc_id, item_id, n_common, n_item) for every document that holds at
-    least ``threshold_pct`` per cent of an item's distinct shingles."""
-    spark = docs.sparkSession
+def _item_table(items: DataFrame, threshold_pct: int, max_broadcast: int) -> tuple[DataFrame, dict | None]:
+    """Item shingles, and their probe table if they are few enough for one."""
     shingles = item_shingles(items, threshold_pct)
     # the measured size decides the form of the join, never what is found
     head = shingles.limit(max_broadcast + 1).toPandas()
     if len(head) > max_broadcast:
-        return _joined(docs, shingles, threshold_pct)
-    if not len(head):
-        return spark.createDataFrame([], _SCHEMA)
+        return shingles, None
     head = head.sort_values(["hash", "row"])
-    hashes = head["hash"].to_numpy()
-    rows, item_no = np.unique(head["row"].to_numpy(), return_inverse=True)
-    ids = head.groupby("row", sort=True)["item_id"].first().astype("Int64")
-    sizes = head.groupby("row", sort=True)["n_item"].first().to_numpy()
-    table = {
-        "keys": np.unique(hashes),
-        "from": np.searchsorted(hashes, np.unique(hashes), "left"),
-        "to": np.searchsorted(hashes, np.unique(hashes), "right"),
+    hashes = head["hash"].to_numpy(dtype=np.int64)
+    _, item_no = np.unique(head["row"].to_numpy(), return_inverse=True)
+    by_row = head.groupby("row", sort=True)
+    keys = np.unique(hashes)
+    return shingles, {
+        "keys": keys,
+        "from": np.searchsorted(hashes, keys, "left"),
+        "to": np.searchsorted(hashes, keys, "right"),
         "item": item_no.astype(np.int64),
-        "sketch": head["sketch"].to_numpy(),
-        "size": sizes,
-        "id": [None if v is None or v != v else int(v) for v in ids.astype(object).where(ids.notna(), None)],
+        "sketch": head["sketch"].to_numpy(dtype=bool),
+        "size": by_row["n_item"].max().to_numpy(),
+        "id": [None if v != v else int(v) for v in by_row["item_id"].max()],
     }
-    shared = spark.sparkContext.broadcast(table)
+
+
+def _hits(batches: Iterator[pa.RecordBatch], t: dict, threshold_pct: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Slices of the input with their hits (row in the slice, item number,
+    shingles in common)."""
+    # one bit per low 20 bits of the keys: most shingles stop here
+    bits = np.zeros(1 << 20, dtype=bool)
+    bits[t["keys"].view(np.uint64) & np.uint64((1 << 20) - 1)] = True
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            yield part, (_probe(part.column("text"), t, bits, threshold_pct) if len(t["keys"]) else [])
+
+
+def contained_items(
+    docs: DataFrame, items: DataFrame, threshold_pct: int = 75, max_broadcast: int = 1_000_000
+) -> DataFrame:
+    """(doc_id, item_id, n_common, n_item) for every document that holds at
+    least ``threshold_pct`` per cent of an item's distinct shingles."""
+    shingles, table = _item_table(items, threshold_pct, max_broadcast)
+    if table is None:
+        return _joined(docs.select("doc_id", "text"), shingles, threshold_pct).drop("tkey").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        # one bit per low 20 bits of the keys: most shingles stop here
-        bits = np.zeros(1 << 20, dtype=bool)
-        bits[t["keys"].view(np.uint64) & np.uint64((1 << 20) - 1)] = True
-        for b in batches:
-            doc_ids = b.column("doc_id").to_pylist()
-            out: list[tuple] = []
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                out += _probe(part.column("text"), doc_ids[lo : lo + 256], t, bits, threshold_pct)
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("doc_id", "item_id", "n_common", "n_item"), r, strict=True)) for r in out],
-                pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "n_common", "n_item")]),
+        for part, hits in _hits(batches, t, threshold_pct):
+            ids = part.column("doc_id")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.cast(pa.int64()).take(pa.array([i for i, _, _ in hits], pa.int64())),
+                    pa.array([t["id"][j] for _, j, _ in hits], pa.int64()),
+                    pa.array([n for _, _, n in hits], pa.int64()),
+                    pa.array([int(t["size"][j]) for _, j, _ in hits], pa.int64()),
+                ],
+                ["doc_id", "item_id", "n_common", "n_item"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(work, _SCHEMA).distinct()
 
 
-def _probe(texts: pa.Array, doc_ids: list, t: dict, bits: np.ndarray, threshold_pct: int) -> list[tuple]:
-    from tidewatch.llm.textkit import buffer_of, shingle_hashes, word_hashes
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, threshold_pct: int = 75, max_broadcast: int = 1_000_000
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    shingles, table = _item_table(items, threshold_pct, max_broadcast)
+    if table is None:
+        bad = _joined(docs.select("doc_id", "text"), shingles, threshold_pct).select("tkey").distinct()
+        keyed = docs.withColumn("_tkey", F.xxhash64("doc_id", "text"))
+        return keyed.join(bad.withColumnRenamed("tkey", "_tkey"), "_tkey", "left_anti").drop("_tkey")
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, hits in _hits(batches, shared.value, threshold_pct):
+            keep = np.ones(part.num_rows, dtype=bool)
+            keep[[i for i, _, _ in hits]] = False
+            yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(work, docs.schema)
+
 
+def _probe(texts: pa.Array, t: dict, bits: np.ndarray, threshold_pct: int) -> list[tuple]:
     sh, off = shingle_hashes(*word_hashes(*buffer_of(texts)))
     maybe = np.flatnonzero(bits[sh & np.uint64((1 << 20) - 1)])
     key = _signed(sh[maybe])
@@ -147,7 +179,7 @@ def _probe(texts: pa.Array, doc_ids: list, t: dict, bits: np.ndarray, threshold_
     for b, c, ok in zip(both, common, candidate, strict=True):
         i, j = divmod(int(b), len(t["size"]))
         if ok and 100 * int(c) >= threshold_pct * int(t["size"][j]):
-            out.append((doc_ids[i], t["id"][j], int(c), int(t["size"][j])))
+            out.append((i, j, int(c)))
     return out
 
 
@@ -174,6 +206,5 @@ def _joined(docs: DataFrame, shingles: DataFrame, threshold_pct: int) -> DataFra
     )
     return (
         sums.filter(F.col("_found") & (F.lit(100) * F.col("n_common") >= F.lit(threshold_pct) * F.col("n_item")))
-        .select("doc_id", "item_id", "n_common", "n_item")
-        .distinct()
+        .select("tkey", "doc_id", "item_id", "n_common", "n_item")
     )

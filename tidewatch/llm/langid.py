@@ -208,6 +208,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ())
     names = ["doc_id", *[c for c in keep if c != "doc_id"]]
     kinds = {f.name: f.dataType.simpleString() for f in fields}
 
+    source = "text" if "text" in keep else "_text"
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp = shared.value
         m = LanguageModel.__new__(LanguageModel)
@@ -216,7 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ())
             for lo in range(0, b.num_rows, 128):
                 part = b.slice(lo, 128)
                 pred, score, sets = [], [], []
-                words = [m.words(t) if t and langs else np.zeros((0, 1)) for t in part.column("_text").to_pylist()]
+                words = [m.words(t) if t and langs else np.zeros((0, 1)) for t in part.column(source).to_pylist()]
                 for p in predict(words):
                     if p is None:
                         pred.append("und"), score.append(0.0), sets.append("")
@@ -231,7 +233,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ())
                     [*names, "lang_pred", "score", "langs"],
                 )
 
-    own = docs.select(*names, F.col("text").alias("_text"))
+    own = docs.select(*names) if "text" in keep else docs.select(*names, F.col("text").alias("_text"))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", lang_pred string, score double, langs string"
     return own.mapInArrow(work, schema)
 
