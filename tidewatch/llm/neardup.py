@@ -15,13 +15,15 @@ connected components of these links.
    symbol left out: every pair under that distance meets in a key. (At the
    similarity of 0.75 a pair misses all of its 32 keys with probability
    3e-5; under the distance of 15 of 32 symbols never.)
-3. Members of a key are first compared with the key's smallest member only:
-   a number of pairs linear in the members. Pairs that pass the sketch
-   are verified on their full sets, and the links' components found.
+3. Each class is first compared with one other: of the smallest members of its
+   keys the one it shares most keys with. Pairs that pass the sketch are
+   verified on their full sets, and the links' components found.
 4. What is left are keys whose members lie in different components. Their
    members are compared across components by sketch, in blocks (a key with
    many members is split into blocks, every pair of blocks meets in some
-   task); only pairs that pass are emitted, and verified on full sets.
+   task). First only the likeliest pair of each member with each other
+   component is verified on full sets; then, of members whose components
+   still differ, every pair that passes the sketch.
 
 The sketch test passes a pair unless its estimate lies five standard
 deviations below the threshold, so no pair of similar documents is lost to
@@ -51,8 +53,10 @@ from tidewatch.session import materialize
 _U = np.uint64
 HASHES = 32
 CHUNK = 4
-BINS = 256
+BINS = 512
 _BLOCK = 512
+#: pairs (of 20 bytes) that are sent to all tasks at most
+MAX_BROADCAST = 1_000_000
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=_U) * _U(0xA0761D6478BD642F))
 _MUL, _ADD = _SEEDS[:HASHES] | _U(1), _SEEDS[HASHES:]
 
@@ -81,19 +85,26 @@ def sketches(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     n = np.diff(off)
     out = np.zeros((len(n), BINS), dtype=np.uint8)
     text = np.repeat(np.arange(len(n)), n)
-    bins = (flat >> _U(56)).astype(np.int64)
+    bins = (flat >> _U(64 - 9)).astype(np.int64)  # BINS = 2 ** 9
     place = text * BINS + bins
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, int)
     out.reshape(-1)[place[first]] = (mix(flat[first]) % _U(255)).astype(np.uint8) + 1
     return out
 
 
-def similar_enough(a: np.ndarray, b: np.ndarray, threshold_pct: int) -> np.ndarray:
-    """Rows of two sketch tables that may reach the threshold."""
+def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold_pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of rows of two sketch tables, and whether they may
+    reach the threshold: set sizes must allow it, and the estimate lies at most
+    five standard deviations below. The bins are a sample without replacement
+    from the union of the sets, which narrows the deviation of small sets."""
     same = ((a == b) & (a > 0)).sum(axis=1)
-    union = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
+    seen = np.maximum(((a > 0) | (b > 0)).sum(axis=1), 1)
     t = threshold_pct / 100
-    return same / union >= t - 5 * np.sqrt(t * (1 - t) / union)
+    union = np.maximum((na + nb) / (1 + t), seen)
+    slack = 5 * np.sqrt(t * (1 - t) / seen * np.maximum(1 - seen / union, 0)) + 2 / seen
+    est = same / seen
+    sizes = 100 * np.minimum(na, nb) >= threshold_pct * np.maximum(na, nb)
+    return est, sizes & (est >= t - slack)
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
@@ -152,10 +163,8 @@ def index_keys(classes: DataFrame) -> DataFrame:
 
 def _passing(pairs: DataFrame, classes: DataFrame, threshold_pct: int) -> DataFrame:
     """Pairs (a, b) whose sketches may reach the threshold."""
-    sk = classes.select("rep", "sketch")
-    both = pairs.join(sk.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(
-        sk.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a"
-    )
+    sk = classes.select("rep", "sketch", "n_shingles")
+    both = pairs.join(sk.toDF("b", "sb", "nb"), "b").join(sk.toDF("a", "sa", "na"), "a")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,9 +173,10 @@ def _passing(pairs: DataFrame, classes: DataFrame, threshold_pct: int) -> DataFr
                     np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, BINS)
                     for c in ("sa", "sb")
                 )
-                yield b.select(["a", "b"]).filter(pa.array(similar_enough(x, y, threshold_pct)))
+                _, ok = estimates(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy(), threshold_pct)
+                yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
+    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(work, "a long, b long")
 
 
 # --- exact verification ------------------------------------------------------
@@ -183,9 +193,12 @@ def verified_links(pairs: DataFrame, docs: DataFrame, threshold_pct: int) -> Dat
     lots = F.ceil(F.col("_n") / _BLOCK).cast("int")
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), lots).cast("int").alias("lot"))
     selves = sizes.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
-    wanted = dealt.unionByName(selves)
+    wanted = materialize(dealt.unionByName(selves), "neardup-wanted")
+    # a list of pairs of bounded size goes to the texts, else the texts move
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").alias("b"), "text").filter("b is not null")
-    rows = wanted.join(texts, "b").select("a", "lot", (F.col("a") != F.col("b")).alias("other"), "b", "text")
+    rows = texts.join(wanted, "b").select("a", "lot", (F.col("a") != F.col("b")).alias("other"), "b", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartition(n, "a", "lot").sortWithinPartitions("a", "lot", "other")
 
@@ -221,10 +234,11 @@ def verified_links(pairs: DataFrame, docs: DataFrame, threshold_pct: int) -> Dat
 # --- members of one key in different components ------------------------------
 
 
-def _cross_pairs(members: DataFrame, threshold_pct: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, threshold_pct: int, best: bool) -> DataFrame:
     """Pairs of members of a key in different components whose sketches may
-    reach the threshold. ``members(key, rep, label, m, sketch)``, m: the key's
-    number of members."""
+    reach the threshold; with ``best``, only the likeliest pair of each member
+    with each other component. ``members(key, rep, label, m, n_shingles,
+    sketch)``, m: the key's number of members."""
     blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int")
     dealt = (
@@ -238,14 +252,15 @@ def _cross_pairs(members: DataFrame, threshold_pct: int) -> DataFrame:
             F.col("_own").alias("own"),
             "rep",
             "label",
+            "n_shingles",
             "sketch",
         )
     )
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "rep")
 
-    def compare(t: dict[str, np.ndarray]) -> np.ndarray:
-        out = []
+    def compare(t: dict[str, np.ndarray]) -> pa.RecordBatch:
+        left, right, est = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         n, d = len(t["key"]), 1
         while d < n:
             same = (t["key"][d:] == t["key"][:-d]) & (t["i"][d:] == t["i"][:-d]) & (t["j"][d:] == t["j"][:-d])
@@ -254,15 +269,29 @@ def _cross_pairs(members: DataFrame, threshold_pct: int) -> DataFrame:
             ask = same & (t["label"][d:] != t["label"][:-d])
             # a pair of two blocks compares only across them
             ask &= (t["i"][d:] == t["j"][d:]) | (t["own"][d:] != t["own"][:-d])
+            small, large = np.minimum(t["n"][d:], t["n"][:-d]), np.maximum(t["n"][d:], t["n"][:-d])
+            ask &= 100 * small >= threshold_pct * large
             x = np.flatnonzero(ask)
             for lo in range(0, len(x), 4096):
                 p = x[lo : lo + 4096]
-                p = p[similar_enough(t["sketch"][p], t["sketch"][p + d], threshold_pct)]
-                r = np.stack([t["rep"][p], t["rep"][p + d]], axis=1)
-                out.append(np.sort(r, axis=1))
+                e, ok = estimates(t["sketch"][p], t["sketch"][p + d], t["n"][p], t["n"][p + d], threshold_pct)
+                left.append(p[ok])
+                right.append(p[ok] + d)
+                est.append(e[ok])
             d += 1
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return np.unique(pairs, axis=0)
+        x, y, e = np.concatenate(left), np.concatenate(right), np.concatenate(est)
+        if best and len(x):  # one pair for each member and other component
+            member = np.concatenate([t["rep"][x], t["rep"][y]])
+            other = np.concatenate([t["label"][y], t["label"][x]])
+            pair, est2 = np.concatenate([np.arange(len(x))] * 2), np.concatenate([e, e])
+            order = np.lexsort((-est2, other, member))
+            m, o = member[order], other[order]
+            first = np.concatenate(([True], (m[1:] != m[:-1]) | (o[1:] != o[:-1])))
+            some = np.unique(pair[order[first]])
+            x, y, e = x[some], y[some], e[some]
+        a, b = np.minimum(t["rep"][x], t["rep"][y]), np.maximum(t["rep"][x], t["rep"][y])
+        _, one = np.unique(np.stack([a, b]), axis=1, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(e[one])], ["a", "b", "est"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -270,6 +299,7 @@ def _cross_pairs(members: DataFrame, threshold_pct: int) -> DataFrame:
             if not b.num_rows:
                 continue
             t = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "own", "rep", "label")}
+            t["n"] = b.column("n_shingles").to_numpy(zero_copy_only=False)
             t["sketch"] = np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
             if held is not None:
                 t = {c: np.concatenate([held[c], t[c]]) for c in t}
@@ -277,17 +307,21 @@ def _cross_pairs(members: DataFrame, threshold_pct: int) -> DataFrame:
             last = (t["key"] == t["key"][-1]) & (t["i"] == t["i"][-1]) & (t["j"] == t["j"][-1])
             cut = int(np.flatnonzero(last)[0])
             held = {c: v[cut:] for c, v in t.items()}
-            yield _pairs_batch(compare({c: v[:cut] for c, v in t.items()}))
+            yield compare({c: v[:cut] for c, v in t.items()})
         if held is not None:
-            yield _pairs_batch(compare(held))
-
-    return ranged.mapInArrow(work, "a long, b long").distinct()
-
-
-def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"]
+            yield compare(held)
+
+    found = ranged.mapInArrow(work, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+    if not best:
+        return found.select("a", "b")
+    # the same choice over all keys: the likeliest pair of a member and a component
+    label = members.select("rep", "label").distinct()
+    named = found.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
+    sides = named.select("a", "b", "est", F.col("a").alias("rep"), F.col("lb").alias("other")).unionByName(
+        named.select("a", "b", "est", F.col("b").alias("rep"), F.col("la").alias("other"))
     )
+    top = sides.groupBy("rep", "other").agg(F.max(F.struct("est", "a", "b")).alias("top"))
+    return top.select("top.a", "top.b").distinct()
 
 
 # --- the operator ------------------------------------------------------------
@@ -308,20 +342,25 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("m"))
     members = materialize(keys.join(shared.filter("lo < hi"), "key").select("key", "rep", "lo", "m"), "neardup-members")
 
-    star = members.filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+    # each class with the smallest member it shares most keys with
+    star = members.filter("rep <> lo").groupBy("rep", "lo").agg(F.count(F.lit(1)).alias("n"))
+    star = star.groupBy("rep").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("top"))
+    star = star.select((-F.col("top.lo")).alias("a"), F.col("rep").alias("b"))
     tried = materialize(_passing(star, reps, threshold_pct), "neardup-star")
     links = materialize(verified_links(tried, docs, threshold_pct), "neardup-links")
     labels = materialize(connected_components(links), "neardup-labels")
-
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "m", F.coalesce("component", "rep").alias("label")
-    )
-    mixed = named.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y")
-    left = named.join(mixed.select("key"), "key").join(reps.select("rep", "sketch"), "rep")
-    more = _cross_pairs(left.select("key", "rep", "label", "m", "sketch"), threshold_pct)
-    more = materialize(more.join(tried, ["a", "b"], "left_anti"), "neardup-cross")
-    more_links = materialize(verified_links(more, docs, threshold_pct), "neardup-links")
-    final = connected_components(links.unionByName(more_links))
+    for best in (True, False):
+        named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "key", "rep", "m", F.coalesce("component", "rep").alias("label")
+        )
+        mixed = named.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y")
+        left = named.join(mixed.select("key"), "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
+        more = _cross_pairs(left.select("key", "rep", "label", "m", "n_shingles", "sketch"), threshold_pct, best)
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "neardup-cross")
+        links = links.unionByName(materialize(verified_links(more, docs, threshold_pct), "neardup-links"))
+        tried = tried.unionByName(more)
+        labels = materialize(connected_components(links), "neardup-labels")
+    final = labels
 
     named_classes = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "class_size"
