@@ -97,3 +97,38 @@ def materialize(df, label: str = "table"):
     path = f"{base}/tidewatch-tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_table(df) -> None:
+    """Delete the files of a table written by ``materialize`` or ``bucketed``,
+    once everything that reads it has been written itself."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        if "/tidewatch-tables/" in name:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df, key: str, label: str = "table"):
+    """``df`` as a table bucketed by ``key`` in the checkpoint folder: joins and
+    groupings on the key do not move its rows again."""
+    import uuid
+
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewatch-tables/{name}"
+    writer = df.repartition(n, key).write.format("parquet").option("path", path).option("compression", "zstd")
+    writer.bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the files of shuffles that nothing refers to
+    any more. It learns of them when the driver collects its garbage, which a
+    small driver heap seldom needs to."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
