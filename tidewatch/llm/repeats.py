@@ -43,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.textkit import buffer_of, mix
-from tidewatch.session import materialize
+from tidewatch.llm.textkit import _ramp, buffer_of, mix
+from tidewatch.session import bucketed, drop_table, free_shuffles, materialize
 
 WIDTH = 100
 GRAM = 32
@@ -109,155 +109,166 @@ def anchor_hashes(buf: np.ndarray, flip: bool = False, ties: bool = True) -> tup
         size *= 2
 
 
-def document_runs(buf: np.ndarray, ties: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By chunk of a document: (chunk start, run starts, run ends, anchors,
-    selves): runs of windows with one anchor; a run is ``self`` recurring if
-    its anchor stands in it more than once. Chunks overlap by WIDTH - 1 bytes, so each
-    window stands in one chunk."""
-    lo = 0
-    while lo + WIDTH <= len(buf):
-        part = buf[lo : lo + _CHUNK]
-        if len(part) < WIDTH:
-            break
+class Runs:
+    """Runs of windows with one anchor, of the documents of one chunk: document,
+    start and stop (of window starts in the document), anchor, ``own``: the
+    anchor stands in the run more than once; with digests, two hashes of the
+    bytes of each run cut into pieces of at most MAX_RUN windows."""
+
+    def __init__(self, part: np.ndarray, doc: np.ndarray, shift: np.ndarray, room: np.ndarray, ties: bool):
+        # room: windows that start in each document's part; shift: place of its first byte
         a, twice = anchor_hashes(part, ties=ties)
-        first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        size = np.diff(np.append(shift, len(part)))
+        which = np.repeat(np.arange(len(doc)), size)[: len(a)]
+        inside = np.arange(len(a)) - shift[which]
+        valid = inside < room[which]
+        edge = np.ones(len(a), dtype=bool)
+        edge[1:] = (a[1:] != a[:-1]) | (which[1:] != which[:-1]) | (valid[1:] != valid[:-1])
+        first = np.flatnonzero(edge)
         stop = np.append(first[1:], len(a))
-        yield lo, first, stop, a[first], _selves(twice, first, stop)
-        lo += len(a)
-
-
-def _selves(twice: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    return np.maximum.reduceat(twice, first) | (stop - first > SPAN)
-
-
-def batch_runs(buf: np.ndarray, off: np.ndarray, ties: bool = True) -> Iterator[tuple]:
-    """``document_runs`` of many documents: (document, start, firsts, ends,
-    anchors, selves). Short documents are hashed together."""
-    n = len(off) - 1
-    i = 0
+        ok = valid[first]
+        self.own = (np.maximum.reduceat(twice, first) | (stop - first > SPAN))[ok]
+        self.at, self.length = first[ok], (stop - first)[ok]
+        self.anchor = a[self.at]
+        self.doc = doc[which[self.at]]
+        self.start = inside[self.at]
+
+    def take(self, some: np.ndarray) -> None:
+        for name in ("own", "at", "length", "anchor", "doc", "start"):
+            setattr(self, name, getattr(self, name)[some])
+
+    def cut(self) -> None:
+        """Split long runs into pieces."""
+        n = -(-self.length // MAX_RUN)
+        k = _ramp(n) * MAX_RUN
+        self.take(np.repeat(np.arange(len(n)), n))
+        self.at, self.start = self.at + k, self.start + k
+        self.length = np.minimum(self.length - k, MAX_RUN)
+
+
+def chunk_runs(buf: np.ndarray, off: np.ndarray, ties: bool = True) -> Iterator[tuple[Runs, np.ndarray]]:
+    """Runs of all documents, chunk by chunk, with the chunk's bytes. A long
+    document is cut into chunks that overlap by WIDTH - 1 bytes, so each
+    window stands in one."""
+    n, i = len(off) - 1, 0
     while i < n:
         j = i + 1
         while j < n and off[j + 1] - off[i] <= _CHUNK:
             j += 1
-        if j == i + 1:
-            for run in document_runs(buf[off[i] : off[i + 1]], ties):
-                yield i, *run
-        else:
+        if off[j] - off[i] <= _CHUNK:
             part = buf[off[i] : off[j]]
             if len(part) >= WIDTH:
-                a, twice = anchor_hashes(part, ties=ties)
-                change = np.concatenate(([True], a[1:] != a[:-1]))
-                for d in range(i, j):
-                    s, e = off[d] - off[i], off[d + 1] - off[i] - WIDTH + 1
-                    if e > s:
-                        f = np.flatnonzero(change[s:e])
-                        if not len(f) or f[0] != 0:
-                            f = np.concatenate(([0], f))
-                        stop = np.append(f[1:], e - s)
-                        yield d, 0, f, stop, a[s:e][f], _selves(twice[s:e], f, stop)
+                sizes = off[i + 1 : j + 1] - off[i:j]
+                yield Runs(part, np.arange(i, j), off[i:j] - off[i], np.maximum(sizes - WIDTH + 1, 0), ties), part
+        else:
+            for lo in range(int(off[i]), int(off[j]) - WIDTH + 1, _CHUNK - WIDTH + 1):
+                part = buf[lo : min(lo + _CHUNK, off[j])]
+                runs = Runs(part, np.array([i]), np.array([0]), np.array([len(part) - WIDTH + 1]), ties)
+                runs.start = runs.start + (lo - int(off[i]))
+                yield runs, part
         i = j
 
 
 # --- anchors -----------------------------------------------------------------
 
 
-def _anchor_counts(docs: DataFrame) -> DataFrame:
-    """(hash): anchors that occur at least twice in the corpus."""
+def _document_anchors(docs: DataFrame) -> DataFrame:
+    """(hash, uid, n): distinct anchors of each document; n is 2 for an anchor
+    that stands in it more than once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, times = [], []
-            for _, _, _, _, a, selves in batch_runs(*buffer_of(b.column("text"))):
-                own.append(a)
-                times.append(1 + selves)
-            if own:
-                keys, at = np.unique(np.concatenate(own), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate(times)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.minimum(n, 2))], ["hash", "n"]
-                )
+            ids = b.column("uid").to_numpy(zero_copy_only=False)
+            for r, _ in chunk_runs(*buffer_of(b.column("text"))):
+                order = np.lexsort((r.anchor, r.doc))
+                a, d, own = r.anchor[order], r.doc[order], r.own[order]
+                first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])))[: len(a)])
+                if len(first):
+                    n = np.minimum(np.add.reduceat(1 + own, first), 2).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a[first].view(np.int64)), pa.array(ids[d[first]]), pa.array(n)], ["hash", "uid", "n"]
+                    )
 
-    rows = docs.select("text").mapInArrow(work, "hash long, n int")
-    return rows.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
+    return docs.select("uid", "text").mapInArrow(work, "hash long, uid long, n int")
 
 
-def _document_anchors(docs: DataFrame) -> DataFrame:
-    """(hash, uid): distinct anchors of each document."""
+# --- pieces ------------------------------------------------------------------
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("uid").to_numpy(zero_copy_only=False)
-            hashes, uids = [], []
-            for d, _, _, _, a, _ in batch_runs(*buffer_of(b.column("text")), ties=False):
-                one = np.unique(a)
-                hashes.append(one)
-                uids.append(np.full(len(one), ids[d]))
-            if hashes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(uids))], ["hash", "uid"]
-                )
+_SECOND = mix(np.arange(1001, 1257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
-    return docs.select("uid", "text").mapInArrow(work, "hash long, uid long")
 
+def _piece_digests(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of the strings of a chunk at ``at``."""
+    out = []
+    for table in (_BYTES, _SECOND):
+        sums = np.zeros(len(raw) + 1, dtype=_U)
+        np.cumsum(table[raw] * _TABLES[0][: len(raw)], out=sums[1:])
+        out.append(mix((sums[at + size] - sums[at]) * _TABLES[1][at] + size.astype(_U)).view(np.int64))
+    return out
 
-# --- pieces ------------------------------------------------------------------
 
+def _pieces(marked: DataFrame) -> DataFrame:
+    """(h1, h2, anchor, own, uid, start, len) of every piece; h1 and h2 are
+    hashes of its bytes. ``marked(uid, text, hashes)``."""
 
-def _pieces(marked: DataFrame, with_bytes: bool) -> DataFrame:
-    """(digest, uid, start, len[, anchor, self, bytes]) of every piece; with bytes,
-    equal pieces of one batch are given once, the first."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                ids = part.column("uid").to_numpy(zero_copy_only=False)
+                lists = part.column("hashes")
+                wanted = np.sort(lists.flatten().to_numpy(zero_copy_only=False))
+                for r, raw in chunk_runs(*buffer_of(part.column("text"))):
+                    if not len(wanted) or not len(r.at):
+                        continue
+                    key = r.anchor.view(np.int64)
+                    at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                    r.take(np.flatnonzero(wanted[at] == key))
+                    r.cut()
+                    size = r.length + WIDTH - 1
+                    digests = _piece_digests(raw, r.at, size)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *map(pa.array, digests),
+                            pa.array(r.anchor.view(np.int64)),
+                            pa.array(r.own),
+                            pa.array(ids[r.doc]),
+                            pa.array(r.start),
+                            pa.array(size.astype(np.int32)),
+                        ],
+                        ["h1", "h2", "anchor", "own", "uid", "start", "len"],
+                    )
+
+    schema = "h1 long, h2 long, anchor long, own boolean, uid long, start long, len int"
+    return marked.select("uid", "text", "hashes").mapInArrow(work, schema)
+
+
+def _piece_bytes(asked: DataFrame) -> DataFrame:
+    """(anchor, size, uid, start, bytes) of asked pieces. ``asked(uid, text,
+    pieces)``, pieces: array of (start, len, anchor, size)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
                 buf, off = buffer_of(part.column("text"))
                 raw = buf.tobytes()
-                ids = part.column("uid").to_pylist()
-                wanted = [np.sort(np.array(x, dtype=np.int64).view(_U)) for x in part.column("hashes").to_pylist()]
-                rows: dict[str, list] = {c: [] for c in ("digest", "uid", "start", "len", "anchor", "self", "bytes")}
-                seen: dict[bytes, int] = {}
-                for d, at, f, e, a, selves in batch_runs(buf, off, ties=with_bytes):
-                    w = wanted[d]
-                    if not len(w):
-                        continue
-                    ok = np.flatnonzero(w[np.minimum(np.searchsorted(w, a), len(w) - 1)] == a)
-                    for k in ok.tolist():
-                        for s in range(int(f[k]), int(e[k]), MAX_RUN):
-                            start, length = at + s, min(MAX_RUN, int(e[k]) - s) + WIDTH - 1
-                            piece = raw[off[d] + start : off[d] + start + length]
-                            digest = hashlib.blake2b(piece, digest_size=16).digest()
-                            if with_bytes:
-                                row = seen.setdefault(digest, len(rows["uid"]))
-                                if row < len(rows["uid"]):
-                                    if (ids[d], start) < (rows["uid"][row], rows["start"][row]):
-                                        rows["uid"][row], rows["start"][row] = ids[d], start
-                                    continue
-                                rows["anchor"].append(int(a[k].view(np.int64)))
-                                rows["self"].append(bool(selves[k]))
-                                rows["bytes"].append(piece)
-                            rows["digest"].append(digest)
-                            rows["uid"].append(ids[d])
-                            rows["start"].append(start)
-                            rows["len"].append(length)
-                cols = [
-                    pa.array(rows["digest"], pa.binary()),
-                    pa.array(rows["uid"], pa.int64()),
-                    pa.array(rows["start"], pa.int64()),
-                    pa.array(rows["len"], pa.int32()),
-                ]
-                names = ["digest", "uid", "start", "len"]
-                if with_bytes:
-                    cols += [
-                        pa.array(rows["anchor"], pa.int64()),
-                        pa.array(rows["self"], pa.bool_()),
-                        pa.array(rows["bytes"], pa.binary()),
-                    ]
-                    names += ["anchor", "self", "bytes"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                rows: list[tuple] = []
+                for i, (uid, pieces) in enumerate(
+                    zip(part.column("uid").to_pylist(), part.column("pieces").to_pylist(), strict=True)
+                ):
+                    for p in pieces:
+                        s = int(off[i]) + p["start"]
+                        rows.append((p["anchor"], p["size"], uid, p["start"], raw[s : s + p["len"]]))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "size", "uid", "start", "bytes"]
+                )
 
-    schema = "digest binary, uid long, start long, len int"
-    return marked.mapInArrow(work, schema + (", anchor long, self boolean, bytes binary" if with_bytes else ""))
+    return asked.select("uid", "text", "pieces").mapInArrow(
+        work, "anchor long, size long, uid long, start long, bytes binary"
+    )
 
 
 # --- collection BWT ----------------------------------------------------------
@@ -381,7 +392,7 @@ def recurring_parts(pieces: list[bytes], anchors: np.ndarray) -> list[tuple[int,
     first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (own[1:] != own[:-1]))))
     stop = np.append(first[1:], len(pair))
     _, back, times = np.unique(pair[first], return_inverse=True, return_counts=True)
-    ok = (times[back] > 1) | _selves(twice[begins[own] + at], first, stop)
+    ok = (times[back] > 1) | np.maximum.reduceat(twice[begins[own] + at], first) | (stop - first > SPAN)
     out: list[tuple[int, int, int]] = []
     for f, e in zip(first[ok].tolist(), stop[ok].tolist(), strict=True):
         p, s, t = int(own[f]), int(at[f]), int(at[e - 1]) + WIDTH
@@ -405,10 +416,10 @@ def repeated_windows(pieces: list[bytes], uid: np.ndarray, start: np.ndarray, wi
     first = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
     # the same place may stand in no two pieces, so all but the first go
     gone = order[~first]
-    return _covers(u[gone], s[gone], width)
+    return _unite(u[gone], s[gone], width)
 
 
-def _covers(u: np.ndarray, s: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+def _unite(u: np.ndarray, s: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     """Unite windows (uid, start) into covers."""
     if not len(u):
         return []
@@ -425,20 +436,12 @@ def _covers(u: np.ndarray, s: np.ndarray, width: int) -> list[tuple[int, int, in
 _COVER = "uid long, start long, stop long"
 
 
-def _bucket_covers(reps: DataFrame) -> DataFrame:
+def _bucket_covers(pieces: DataFrame, total: int) -> DataFrame:
     """Covers of the windows that recur among first pieces, by buckets of
-    anchors. ``reps(anchor, self, uid, start, bytes)``."""
-    sizes = reps.groupBy("anchor").agg(
-        F.sum(F.length("bytes")).alias("_b"), F.count(F.lit(1)).alias("_c"), F.max("self").alias("_s")
-    )
-    # an anchor that stands once in one piece has no recurring window
-    sizes = materialize(sizes.filter((F.col("_c") > 1) | F.col("_s")), "repeat-anchors")
-    total = sizes.agg(F.sum("_b")).first()[0] or 0
+    anchors. ``pieces(anchor, size, uid, start, bytes)``, size: bytes of all
+    pieces of the anchor, none over a bucket's; total: of all anchors."""
     buckets = max(1, -(-total // BUCKET_BYTES))
-    named = reps.join(sizes.select("anchor", "_b"), "anchor")
-    small = named.filter(F.col("_b") <= BUCKET_BYTES).select(
-        F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "anchor", "uid", "start", "bytes"
-    )
+    small = pieces.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "anchor", "uid", "start", "bytes")
 
     def bwt(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["anchor", "uid", "start"])
@@ -451,9 +454,13 @@ def _bucket_covers(reps: DataFrame) -> DataFrame:
         )
         return pd.DataFrame(covers, columns=["uid", "start", "stop"]).astype("int64")
 
-    by_bucket = small.groupBy("bucket").applyInPandas(bwt, _COVER)
+    return small.groupBy("bucket").applyInPandas(bwt, _COVER)
+
+
+def _window_covers(pieces: DataFrame) -> DataFrame:
+    """The same for anchors with more text than a bucket: first places of
+    single windows, by an aggregate over their hashes."""
 
-    # anchors with more text than a bucket: first places of single windows
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -473,47 +480,77 @@ def _bucket_covers(reps: DataFrame) -> DataFrame:
                 ["digest", "uid", "start"],
             )
 
-    large = named.filter(F.col("_b") > BUCKET_BYTES).select("uid", "start", "bytes")
-    single = large.mapInArrow(windows, "digest binary, uid long, start long")
+    single = pieces.select("uid", "start", "bytes").mapInArrow(windows, "digest binary, uid long, start long")
     first = single.groupBy("digest").agg(F.min(F.struct("uid", "start")).alias("first"))
-    by_window = (
+    return (
         single.join(first, "digest")
         .filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
         .select("uid", "start", (F.col("start") + WIDTH).alias("stop"))
     )
-    return by_bucket.unionByName(by_window)
 
 
-def _covers_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with recurring anchors (uid, text, hashes), and all covers."""
-    recurring = materialize(_anchor_counts(docs), "repeat-hashes")
-    marks = (
-        _document_anchors(docs).join(recurring, "hash").groupBy("uid").agg(F.collect_list("hash").alias("hashes"))
-    )
-    marked = materialize(docs.join(marks, "uid").select("uid", "text", "hashes"), "repeat-documents")
-    first = F.min(F.struct("uid", "start")).alias("first")
-    pieces = _pieces(marked, with_bytes=True)
-    reps = materialize(
-        pieces.groupBy("digest")
-        .agg(first, F.first("anchor").alias("anchor"), F.first("self").alias("self"), F.first("bytes").alias("bytes"))
-        .select("digest", F.col("first.uid").alias("uid"), F.col("first.start").alias("start"), "anchor", "self", "bytes"),
-        "repeat-pieces",
+def _marks(docs: DataFrame) -> DataFrame:
+    """(uid, hashes): each document's anchors that recur in the corpus."""
+    anchors = materialize(_document_anchors(docs), "repeat-anchors")
+    recurring = anchors.groupBy("hash").agg(F.sum("n").alias("_n")).filter("_n > 1").select("hash")
+    marks = anchors.select("hash", "uid").join(recurring, "hash").groupBy("uid").agg(F.collect_list("hash").alias("hashes"))
+    marks = bucketed(marks, "uid", "repeat-marks")
+    drop_table(anchors)
+    return marks
+
+
+def _covers(docs: DataFrame) -> DataFrame:
+    """(uid, start, stop): all bytes to remove. ``docs(uid, text)``."""
+    spark = docs.sparkSession
+    marks = _marks(docs)
+    free_shuffles(spark)
+    pieces = materialize(_pieces(docs.join(marks, "uid")), "repeat-pieces")
+    firsts = materialize(
+        pieces.groupBy("h1", "h2").agg(
+            F.min(F.struct("uid", "start")).alias("first"),
+            F.max("anchor").alias("anchor"),
+            F.max("own").alias("own"),
+            F.max("len").alias("len"),
+            F.count(F.lit(1)).alias("times"),
+        ),
+        "repeat-firsts",
     )
-    firsts = reps.select("digest", F.col("uid").alias("_u"), F.col("start").alias("_s"))
-    copies = (
-        _pieces(marked, with_bytes=False)
-        .join(firsts, "digest")
+    # equal pieces: all but the first go whole
+    twice = firsts.filter("times > 1").select("h1", "h2", F.col("first.uid").alias("_u"), F.col("first.start").alias("_s"))
+    copies = materialize(
+        pieces.join(twice, ["h1", "h2"])
         .filter("uid <> _u or start <> _s")
-        .select("uid", "start", (F.col("start") + F.col("len")).alias("stop"))
+        .select("uid", "start", (F.col("start") + F.col("len")).alias("stop")),
+        "repeat-covers",
     )
-    return marked.select("uid", "text"), copies.unionByName(_bucket_covers(reps.drop("digest")))
+    drop_table(pieces)
+    free_shuffles(spark)
+    # different pieces of one anchor, or with the anchor twice, may share windows
+    several = firsts.groupBy("anchor").agg(F.sum("len").alias("size"), F.count(F.lit(1)).alias("_c"), F.max("own").alias("_o"))
+    asked = materialize(
+        firsts.join(several.filter("_c > 1 or _o"), "anchor").select(
+            F.col("first.uid").alias("uid"), F.struct(F.col("first.start").alias("start"), "len", "anchor", "size").alias("p")
+        ),
+        "repeat-asked",
+    )
+    drop_table(firsts)
+    sums = asked.agg(F.sum("p.len"), F.max("p.size")).first()
+    lists = asked.groupBy("uid").agg(F.collect_list("p").alias("pieces"))
+    found = _piece_bytes(docs.join(lists, "uid"))
+    covers = copies.unionByName(_bucket_covers(found.filter(F.col("size") <= BUCKET_BYTES), sums[0] or 0))
+    if (sums[1] or 0) > BUCKET_BYTES:
+        covers = covers.unionByName(_window_covers(found.filter(F.col("size") > BUCKET_BYTES)))
+    return covers
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining
     bytes; null where nothing was removed) of every row of ``docs``."""
-    own, ids = _with_uids(docs)
-    marked, covers = _covers_of(own)
+    ranked, ids = _with_uids(docs)
+    own = bucketed(ranked, "uid", "repeat-documents")
+    free_shuffles(docs.sparkSession)
+    covers = materialize(_covers(own), "repeat-covers")
+    free_shuffles(docs.sparkSession)
     spans = covers.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -522,41 +559,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 part = b.slice(lo, 64)
                 buf, off = buffer_of(part.column("text"))
                 rows = []
-                for i, spans_ in enumerate(part.column("spans").to_pylist()):
+                for i, covered in enumerate(part.column("spans").to_pylist()):
                     one = buf[off[i] : off[i + 1]]
+                    if not covered:
+                        rows.append((len(one), 0, 0, hashlib.sha256(one.tobytes()).hexdigest(), None))
+                        continue
                     gone = np.zeros(len(one) + 1, dtype=np.int32)
-                    for x in spans_:
+                    for x in covered:
                         gone[x["start"]] += 1
                         gone[x["stop"]] -= 1
                     flag = np.cumsum(gone[:-1]) > 0
-                    runs = int(flag[:1].sum() + (flag[1:] & ~flag[:-1]).sum())
+                    runs = int(flag[0]) + int((flag[1:] & ~flag[:-1]).sum())
                     rest = one[~flag].tobytes()
-                    rows.append((int(flag.sum()), runs, hashlib.sha256(rest).hexdigest(), rest))
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+                    rows.append((len(one), int(flag.sum()), runs, hashlib.sha256(rest).hexdigest(), rest))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("uid"),
-                        pa.array(cols[0], pa.int64()),
-                        pa.array(cols[1], pa.int64()),
-                        pa.array(cols[2], pa.string()),
-                        pa.array(cols[3], pa.binary()),
-                    ],
-                    ["uid", "n_removed", "n_spans", "kept_sha256", "kept"],
+                    [part.column("uid"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                    ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    done = marked.join(spans, "uid").mapInArrow(
-        cut, "uid long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
-    whole = own.select(
-        "uid", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_sha")
-    )
-    out = whole.join(done, "uid", "left").select(
-        "uid",
-        "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "_sha").alias("kept_sha256"),
-        "kept",
+    out = own.join(spans, "uid", "left").mapInArrow(
+        cut, "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
     if ids is None:
         return out.withColumnRenamed("uid", "doc_id")
