@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.textkit import buffer_of, shingle_hashes, shingle_sets, word_hashes
+from tidewatch.llm.textkit import buffer_of, shingle_hashes, shingle_sets, slices, word_hashes
 
 _SCHEMA = "doc_id long, item_id long, n_common long, n_item long"
 
@@ -106,8 +106,7 @@ def _hits(batches: Iterator[pa.RecordBatch], t: dict, threshold_pct: int) -> Ite
     bits = np.zeros(1 << 20, dtype=bool)
     bits[t["keys"].view(np.uint64) & np.uint64((1 << 20) - 1)] = True
     for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            part = b.slice(lo, 256)
+        for part in slices(b):
             yield part, (_probe(part.column("text"), t, bits, threshold_pct) if len(t["keys"]) else [])
 
 
@@ -188,8 +187,7 @@ def _joined(docs: DataFrame, shingles: DataFrame, threshold_pct: int) -> DataFra
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in slices(b):
                 flat, off = shingle_sets(part.column("text"))
                 at = pa.array(np.repeat(np.arange(part.num_rows), np.diff(off)))
                 yield pa.RecordBatch.from_arrays(

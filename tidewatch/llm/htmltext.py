@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.textkit import slices
 from tidewatch.session import materialize
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -259,8 +260,7 @@ def site_templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            for part in slices(b, "html", 64):
                 at, hashes = [], []
                 for i, html in enumerate(part.column("html").to_pylist()):
                     own = {0} | (subtree_hashes(parse(html)) if html else set())  # 0 counts the page itself
@@ -322,8 +322,7 @@ def extract_text(
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for lo in range(0, b.num_rows, 64):
-                    part = b.slice(lo, 64)
+                for part in slices(b, "html", 64):
                     hosts = part.column("host").to_pylist()
                     yield batch(
                         part,
@@ -360,8 +359,7 @@ def _joined(own: DataFrame, found: DataFrame, text_of, batch, schema: str) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            for part in slices(b, "html", 64):
                 lists_ = part.column("_templates").to_pylist()
                 yield batch(
                     part,

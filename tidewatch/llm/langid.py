@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.textkit import slices
+
 BUCKETS = 1 << 15
 _SLICE = 1 << 19  # code points handled at once
 
@@ -215,8 +217,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ())
         m = LanguageModel.__new__(LanguageModel)
         m.langs, m.logp = langs, logp
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
+            for part in slices(b, source, 128):
                 pred, score, sets = [], [], []
                 words = [m.words(t) if t and langs else np.zeros((0, 1)) for t in part.column(source).to_pylist()]
                 for p in predict(words):

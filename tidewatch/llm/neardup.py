@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.graph import connected_components
-from tidewatch.llm.textkit import mix, shingle_sets
+from tidewatch.llm.textkit import mix, shingle_sets, slices
 from tidewatch.session import materialize
 
 _U = np.uint64
@@ -112,8 +112,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in slices(b):
                 flat, off = shingle_sets(part.column("text"))
                 pad = np.append(flat, _U(0))
                 n = np.diff(off)
@@ -205,8 +204,7 @@ def verified_links(pairs: DataFrame, docs: DataFrame, threshold_pct: int) -> Dat
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, own = None, []
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in slices(b):
                 flat, off = shingle_sets(part.column("text"))
                 a, bb = part.column("a").to_pylist(), part.column("b").to_pylist()
                 lots_, other = part.column("lot").to_pylist(), part.column("other").to_pylist()

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.textkit import _ramp, mix
+from tidewatch.llm.textkit import _ramp, mix, slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 _U = np.uint64
@@ -513,8 +513,7 @@ def encode(
         lattices = _lattices(shared.value, alpha, key)
         v = lattices.v
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            for part in slices(b, "_text", 64):
                 texts = [t or "" for t in part.column("_text").to_pylist()]
                 seeds = part.column("_seed").to_numpy(zero_copy_only=False).view(_U)
                 rows = []

@@ -44,6 +44,30 @@ is [card 4111111111111111] for
 und [card 5500005555555559] die
 [card 4532015112830366] [card 6011000990139424] both
 [email b.k@firma.example] [ip 192.0.2.9] [phone +49 30 5550 1234]
+and [email t.berg@site.example] said
+[email office@town.example.net] writes
+of [ip 192.0.2.200] by
+to [ip 203.0.113.5] from
+from [ip 198.51.100.99] the
+the [card 4111 1111 1111 1111] of
+call [phone +33 1 55 50 12 34] or
+call [phone +34 915 550 123] now
+by [phone +1 555 010 9988] the
+phone [phone 555-010-1212] or
+tel [phone 040 5550199] bitte
+account [account GB82 WEST 1234 5698 7654 32] open
+iban [account DE12500105170648489890] bank
+ssn [national_id 123-45-6789] on
+passport [national_id X12Y34567] seen
+passport [national_id K99L00M11] lost
+the 6011000990139420 of
+the 192.168.300.1 of
+serial 378282246310006 found
+in 2019 we had 14 and 15
+at 09:15 or 10:45
+the 3.5 and 4.25 of 7
+room 12 of house 9
+page 77 of 300
 the 4539578763621481 of
 de 4111111111111112 la
 and 5500005555555551 is

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.textkit import _ramp, buffer_of, mix
+from tidewatch.llm.textkit import _ramp, buffer_of, mix, slices
 from tidewatch.session import bucketed, drop_table, free_shuffles, materialize
 
 WIDTH = 100
@@ -51,7 +51,7 @@ GRAM = 32
 SPAN = WIDTH - GRAM + 1  # grams in a window
 MAX_RUN = 128  # windows in a piece
 BUCKET_BYTES = 1 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
 _BASE = 0xD6E8FEB86659FD93
@@ -213,8 +213,7 @@ def _pieces(marked: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in slices(b):
                 ids = part.column("uid").to_numpy(zero_copy_only=False)
                 lists = part.column("hashes")
                 wanted = np.sort(lists.flatten().to_numpy(zero_copy_only=False))
@@ -249,8 +248,7 @@ def _piece_bytes(asked: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in slices(b):
                 buf, off = buffer_of(part.column("text"))
                 raw = buf.tobytes()
                 rows: list[tuple] = []
@@ -555,8 +553,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            for part in slices(b):
                 buf, off = buffer_of(part.column("text"))
                 rows = []
                 for i, covered in enumerate(part.column("spans").to_pylist()):

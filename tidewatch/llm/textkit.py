@@ -8,10 +8,13 @@ so memory stays bounded for texts of any length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21
+PIECE = 1 << 19
+SLICE = 1 << 20
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 
@@ -70,6 +73,18 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows and about ``SLICE`` bytes of
+    text (a longer text has a slice of its own)."""
+    _, off = buffer_of(batch.column(column))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(off, off[lo] + SLICE, side="right")) - 1
+        hi = min(max(hi, lo + 1), lo + rows, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _piece_ends(buf: np.ndarray, offsets: np.ndarray) -> list[int]:
     """Cuts at text boundaries, or inside a long text after white space."""
     cuts, last, n = [], 0, len(buf)
