@@ -232,11 +232,23 @@ def verified_links(pairs: DataFrame, docs: DataFrame, threshold_pct: int) -> Dat
 # --- members of one key in different components ------------------------------
 
 
+def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the first key (chunk and place left out) that two signatures
+    share, by rows; -1 for none."""
+    same = (a == b).reshape(len(a), HASHES // CHUNK, CHUNK)
+    n = same.sum(axis=2)
+    chunk = (n >= CHUNK - 1).argmax(axis=1)
+    row = np.arange(len(a))
+    place = np.where(n[row, chunk] == CHUNK, 0, same[row, chunk].argmin(axis=1))
+    return np.where(n[row, chunk] >= CHUNK - 1, chunk * CHUNK + place, -1)
+
+
 def _cross_pairs(members: DataFrame, threshold_pct: int, best: bool) -> DataFrame:
     """Pairs of members of a key in different components whose sketches may
     reach the threshold; with ``best``, only the likeliest pair of each member
-    with each other component. ``members(key, rep, label, m, n_shingles,
-    sketch)``, m: the key's number of members."""
+    with each other component. ``members(key, rep, label, m, n_shingles, sig,
+    sketch)``, m: the key's number of members. A pair that shares several keys
+    is given by the first of them only."""
     blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int")
     dealt = (
@@ -251,6 +263,7 @@ def _cross_pairs(members: DataFrame, threshold_pct: int, best: bool) -> DataFram
             "rep",
             "label",
             "n_shingles",
+            "sig",
             "sketch",
         )
     )
@@ -272,6 +285,7 @@ def _cross_pairs(members: DataFrame, threshold_pct: int, best: bool) -> DataFram
             x = np.flatnonzero(ask)
             for lo in range(0, len(x), 4096):
                 p = x[lo : lo + 4096]
+                p = p[first_key(t["sig"][p], t["sig"][p + d]) == t["key"][p] >> 48]
                 e, ok = estimates(t["sketch"][p], t["sketch"][p + d], t["n"][p], t["n"][p + d], threshold_pct)
                 left.append(p[ok])
                 right.append(p[ok] + d)
@@ -287,9 +301,10 @@ def _cross_pairs(members: DataFrame, threshold_pct: int, best: bool) -> DataFram
             first = np.concatenate(([True], (m[1:] != m[:-1]) | (o[1:] != o[:-1])))
             some = np.unique(pair[order[first]])
             x, y, e = x[some], y[some], e[some]
-        a, b = np.minimum(t["rep"][x], t["rep"][y]), np.maximum(t["rep"][x], t["rep"][y])
-        _, one = np.unique(np.stack([a, b]), axis=1, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one]), pa.array(e[one])], ["a", "b", "est"])
+        swap = t["rep"][x] > t["rep"][y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        cols = [t["rep"][x], t["rep"][y], t["label"][x], t["label"][y], e]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "la", "lb", "est"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -298,6 +313,7 @@ def _cross_pairs(members: DataFrame, threshold_pct: int, best: bool) -> DataFram
                 continue
             t = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "own", "rep", "label")}
             t["n"] = b.column("n_shingles").to_numpy(zero_copy_only=False)
+            t["sig"] = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
             t["sketch"] = np.frombuffer(b"".join(b.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
             if held is not None:
                 t = {c: np.concatenate([held[c], t[c]]) for c in t}
@@ -309,15 +325,13 @@ def _cross_pairs(members: DataFrame, threshold_pct: int, best: bool) -> DataFram
         if held is not None:
             yield compare(held)
 
-    found = ranged.mapInArrow(work, "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est"))
+    found = ranged.mapInArrow(work, "a long, b long, la long, lb long, est double")
     if not best:
-        return found.select("a", "b")
+        return found.select("a", "b").distinct()
     # the same choice over all keys: the likeliest pair of a member and a component
-    label = members.select("rep", "label").distinct()
-    named = found.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
-    sides = named.select("a", "b", "est", F.col("a").alias("rep"), F.col("lb").alias("other")).unionByName(
-        named.select("a", "b", "est", F.col("b").alias("rep"), F.col("la").alias("other"))
-    )
+    sides = found.select("a", "b", "est", F.explode(F.array(
+        F.struct(F.col("a").alias("rep"), F.col("lb").alias("other")), F.struct(F.col("b").alias("rep"), F.col("la").alias("other"))
+    )).alias("s")).select("a", "b", "est", "s.rep", "s.other")
     top = sides.groupBy("rep", "other").agg(F.max(F.struct("est", "a", "b")).alias("top"))
     return top.select("top.a", "top.b").distinct()
 
@@ -352,8 +366,8 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75) -> DataFrame:
             "key", "rep", "m", F.coalesce("component", "rep").alias("label")
         )
         mixed = named.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y")
-        left = named.join(mixed.select("key"), "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-        more = _cross_pairs(left.select("key", "rep", "label", "m", "n_shingles", "sketch"), threshold_pct, best)
+        left = named.join(mixed.select("key"), "key").join(reps.select("rep", "n_shingles", "sig", "sketch"), "rep")
+        more = _cross_pairs(left.select("key", "rep", "label", "m", "n_shingles", "sig", "sketch"), threshold_pct, best)
         more = materialize(more.join(tried, ["a", "b"], "left_anti"), "neardup-cross")
         links = links.unionByName(materialize(verified_links(more, docs, threshold_pct), "neardup-links"))
         tried = tried.unionByName(more)
