@@ -131,9 +131,17 @@ def test_coupled_policy_matches_machine(spark):
                                "event_id long, ts timestamp_ntz, feature string, anomaly_type string")
     p = AlertParams(max_alerts_per_minute=3, dedup_window_seconds=30.0)
     want = _machine([(i, ts, (k, "zscore")) for i, ts, k in rows], 30.0, 60.0, 3)
-    for kw in ({}, {"force_positions": True}):
+    for kw in ({}, {"fold_rows": 10}):  # slices with carried state
         got = {r.event_id: r.status for r in coupled_alert_policy(df, order_cols=["event_id"], params=p, **kw).collect()}
         assert got == want, kw
     assert "rate_limited" in want.values()
-    with pytest.raises(ValueError):
-        coupled_alert_policy(df, order_cols=["event_id"], params=p, fold_rows=10)
+
+
+def test_alert_policy_when_the_budget_binds(spark):
+    from tidewatch.operators.alerts import alert_policy
+
+    rows = [(0, _ts(0), "f", "a"), (1, _ts(1), "f", "b"), (2, _ts(70), "f", "b")]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, feature string, anomaly_type string")
+    kept = alert_policy(df, order_cols=["event_id"], params=AlertParams(max_alerts_per_minute=1))
+    assert sorted(r.event_id for r in kept.collect()) == [0, 2]
+    assert kept.columns == df.columns

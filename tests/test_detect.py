@@ -51,3 +51,15 @@ def test_custom_thresholds(spark):
     assert r.is_anomaly is True
     r = _check(spark, 135, DetectorParams(zscore_threshold=10.0, iqr_multiplier=3.0, min_samples=5), zscore=2.0, win_count=50)
     assert r.is_anomaly is False  # fences 51 and 149
+
+
+def test_nan_never_flags(spark):
+    from tidewatch.functions.detect import detect
+
+    nan = float("nan")
+    rows = [(nan, nan), (None, None), (100.0, 50.0), (1.0, 0.1)]
+    df = spark.createDataFrame([(v, 100, 0.0, 1.0, 0.0, 2.0, 0.5, 1.0, 1.5, 1.0, z) for v, z in rows],
+                               "value double, win_count long, win_mean double, win_std double, win_min double, win_max double, "
+                               "win_p25 double, win_median double, win_p75 double, win_iqr double, zscore double")
+    got = [(r.z_flag, r.iqr_flag, r.score) for r in detect(df).collect()]
+    assert got == [(False, False, 0.0), (False, False, None), (True, True, 50.0), (False, False, 0.1)]

@@ -34,3 +34,17 @@ def test_contract_functions_need_no_session():
     r = subprocess.run([sys.executable, "-c", code], cwd="/tmp", env={"PYTHONPATH": ROOT, "PATH": "/usr/bin:/bin"},
                        capture_output=True, text=True, timeout=120)
     assert r.returncode == 0, r.stderr[-2000:]
+
+
+def test_checkpoint_folder_is_required_off_one_machine():
+    import types
+
+    import pytest
+
+    from tidewatch.session import ensure_checkpoint_dir, is_local
+
+    assert is_local("local[4]") and is_local("local") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
+    sc = types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    other = types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(other)

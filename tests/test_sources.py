@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidewatch.sources.events import (derive_unit_price, parse_messages, split_dead_letters, unpivot_features,
+from tidewatch.sources.events import (cast_features, derive_unit_price, parse_messages, split_dead_letters, unpivot_features,
                                       default_event_id)
 from tidewatch.sources.sinks import alert_messages, kafka_sink_options, kafka_source_options
 
@@ -16,9 +16,9 @@ def _msgs(spark, payloads):
 
 
 def test_parse_and_dead_letters(spark):
-    good = json.dumps({"event_id": "txn-001", "timestamp": "2026-03-19T12:00:00Z", "commodity_code": "8471.30",
-                       "declared_value": 15000.0, "quantity": 500, "weight_kg": 120.5,
-                       "origin_country": "CN", "destination_country": "US"})
+    good = json.dumps({"event_id": "ev-7", "timestamp": "2025-01-02T03:04:05Z", "commodity_code": "0901.21",
+                       "declared_value": 820.5, "quantity": 41, "weight_kg": 33.25,
+                       "origin_country": "PE", "destination_country": "NO"})
     payloads = [good, '{"event_id": "x", "quantity": ', '{"event_id": "y", "quantity": "abc"}',
                 '{"event_id": "z", "declared_value": NaN}', '{"declared_value": 10, "quantity": 2}']
     parsed = parse_messages(_msgs(spark, payloads), keep=["offset"])
@@ -28,7 +28,7 @@ def test_parse_and_dead_letters(spark):
     assert reasons.get(3) in ("non_finite", "malformed")
     v = {r.offset: r for r in default_event_id(valid).collect()}
     assert set(v) == {0, 4}
-    assert v[0].declared_value == 15000.0 and v[0].quantity == 500.0
+    assert v[0].declared_value == 820.5 and v[0].quantity == 41.0
     assert v[4].event_id == "unknown"
 
 
@@ -52,4 +52,14 @@ def test_alert_messages_and_options(spark):
     assert m.key == "abc123" and json.loads(m.value) == {"alert_id": "abc123", "feature": "f", "score": 1.5}
     assert kafka_sink_options("b:9092", "alerts")["kafka.acks"] == "all"
     src = kafka_source_options("b:9092", "trades")
-    assert src["startingOffsets"] == "latest" and src["maxOffsetsPerTrigger"] == "500"
+    assert src["startingOffsets"] == "latest" and "maxOffsetsPerTrigger" not in src and "failOnDataLoss" not in src
+    assert kafka_source_options("b:9092", "trades", max_offsets_per_trigger=7)["maxOffsetsPerTrigger"] == "7"
+
+
+def test_bad_numbers_are_rejected_whole(spark):
+    df = cast_features(spark.createDataFrame([(1, "5", "1"), (2, "abc", "2"), (3, None, "3"), (4, "NaN", "4")],
+                                             "offset long, quantity string, declared_value string"), FEATURES)
+    valid, dead = split_dead_letters(df, FEATURES)
+    assert {r.offset: r.reason for r in dead.collect()} == {2: "bad_number", 4: "non_finite"}
+    assert {(r.offset, r.quantity) for r in valid.collect()} == {(1, 5.0), (3, None)}
+    assert valid.columns == ["offset", "quantity", "declared_value"]

@@ -161,3 +161,68 @@ def test_rolling_stats_stream_twin_equals_batch(spark, tmpdir_fresh):
     want = rolling_stats(long, order_cols=["ts", "event_id"]).toPandas().sort_values("event_id")
     assert len(got) == len(want) == 10000
     np.testing.assert_allclose(got[cols].to_numpy(dtype=float), want[cols].to_numpy(dtype=float), rtol=1e-9, atol=1e-9)
+
+
+def _rows(spark, rows):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(i, base + dt.timedelta(seconds=s), "value", float(v)) for i, s, v in rows],
+                                 "event_id long, ts timestamp_ntz, feature string, value double")
+
+
+def _detector(spark, folder, **kw):
+    from tidewatch.params import AlertParams, DetectorParams
+
+    return DetectionStream(spark, output_dir=os.path.join(folder, "alerts"), state_dir=os.path.join(folder, "state"),
+                           params=DetectorParams(min_samples=5), alert_params=kw.pop("alert_params", AlertParams()), **kw)
+
+
+def test_late_alert_is_judged_by_carried_state(spark, tmpdir_fresh):
+    base = [(i, i, i % 3) for i in range(40)]
+    _detector(spark, tmpdir_fresh).process(_rows(spark, [*base, (100, 1000, 500)]), 0)
+    # a new object goes on from the stored state, as after a restart
+    det = _detector(spark, tmpdir_fresh)
+    det.process(_rows(spark, [(101, 900, 600), (102, 1301, 5000)]), 1)
+    assert sorted(int(r.event_id) for r in det.alerts().collect()) == [100, 102]
+
+
+def test_limited_alerts_leave_no_dedup_state(spark, tmpdir_fresh):
+    from tidewatch.params import AlertParams
+
+    p = AlertParams(max_alerts_per_minute=1)
+    rows = [(i, i, i % 3) for i in range(40)]
+    both = _rows(spark, [*rows, (100, 1000, 500)]).unionByName(
+        _rows(spark, [(200 + i, i, i % 3) for i in range(40)] + [(300, 1001, 500)]).withColumn("feature", F.lit("other")))
+    sent = []
+    det = _detector(spark, tmpdir_fresh, alert_params=p, sink=lambda msgs, batch: sent.extend(r.key for r in msgs.collect()))
+    det.process(both, 0)
+    det.process(_rows(spark, [(301, 1070, 9000)]).withColumn("feature", F.lit("other")), 1)
+    assert sorted(int(r.event_id) for r in det.alerts().collect()) == [100, 301]
+    assert len(sent) == 2
+
+
+def test_missing_state_stops_the_query(spark, tmpdir_fresh):
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        _detector(spark, tmpdir_fresh).process(_rows(spark, [(1, 1, 1)]), 5)
+    with pytest.raises(TypeError):
+        DetectionStream(spark, output_dir=tmpdir_fresh)
+
+
+def test_raw_messages_to_long_rows(spark, tmpdir_fresh):
+    from tidewatch.streaming.micro_batch import raw_message_stream
+
+    src = os.path.join(tmpdir_fresh, "in")
+    lines = ['{"event_id": "a", "timestamp": "2025-01-01T00:00:00Z", "declared_value": 10, "quantity": 4}', '{"broken": ']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(src)
+    stream = spark.readStream.format("text").load(src)
+    long, letters = raw_message_stream(stream, os.path.join(tmpdir_fresh, "dead"), os.path.join(tmpdir_fresh, "ck1"),
+                                       ["declared_value", "quantity", "unit_price"])
+    q = (long.writeStream.format("memory").queryName("raw_long").option("checkpointLocation", os.path.join(tmpdir_fresh, "ck2"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    letters.awaitTermination(300)
+    assert {(r.feature, r.value) for r in spark.table("raw_long").collect()} == {("declared_value", 10.0), ("quantity", 4.0), ("unit_price", 2.5)}
+    assert [r.reason for r in spark.read.parquet(os.path.join(tmpdir_fresh, "dead")).collect()] == ["malformed"]

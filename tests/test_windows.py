@@ -118,3 +118,23 @@ def test_exact_quantiles_match_numpy(spark):
         want = np.percentile(vals, [25, 50, 75])
         assert got[k][0] == len(vals)
         np.testing.assert_allclose(got[k][1:], want, rtol=1e-12)
+
+
+def test_missing_values_enter_no_window(spark):
+    from tidewatch.operators.windows import rolling_stats
+
+    rows = [(i, "f", v) for i, v in enumerate([1.0, None, 3.0, float("nan"), 5.0, None, 7.0])]
+    df = spark.createDataFrame(rows, "ts long, feature string, value double")
+    got = {}
+    for strategy in ("halo", "frame"):
+        out = rolling_stats(df, ["ts"], window=3, strategy=strategy).orderBy("ts").collect()
+        got[strategy] = [(r.ts, r.win_count, r.win_mean) for r in out]
+    assert got["halo"] == got["frame"] == [(0, 1, None), (2, 2, 2.0), (4, 3, 3.0), (6, 3, 5.0)]
+
+
+def test_snapshot_of_a_large_window(spark):
+    from tidewatch.operators.windows import window_snapshot
+
+    df = spark.range(5000).selectExpr("id AS ts", "if(id % 5 = 0, 'a', 'b') AS feature", "cast(id AS double) AS value")
+    got = {r.feature: list(r["values"]) for r in window_snapshot(df, ["ts"], window=1500).collect()}
+    assert got == {"a": [float(x) for x in range(0, 5000, 5)], "b": [float(x) for x in range(5000) if x % 5][-1500:]}

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.params import DEFAULT_SEVERITY
 
-# Fixed order of severity levels, lowest first.
-SEVERITY_ORDER = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
-
 
 def severity(score: str | Column = "score", thresholds: Sequence[tuple[str, float]] = DEFAULT_SEVERITY) -> Column:
     """Highest level whose threshold ``<= score``; below all of them: LOW."""
@@ -24,14 +21,6 @@ def severity(score: str | Column = "score", thresholds: Sequence[tuple[str, floa
     return expr.otherwise(F.lit("LOW")) if expr is not None else F.lit("LOW")
 
 
-def severity_rank(sev: str | Column = "severity") -> Column:
-    c = F.col(sev) if isinstance(sev, str) else sev
-    expr = F.lit(None).cast("int")
-    for i, name in reversed(list(enumerate(SEVERITY_ORDER))):
-        expr = F.when(c == F.lit(name), F.lit(i)).otherwise(expr)
-    return expr
-
-
 def ts_micros(ts: str | Column, ntz: bool = True) -> Column:
     """Microseconds since the epoch, independent of the session time zone.
 

@@ -23,8 +23,10 @@ def insufficient(min_samples: int, count: str = "win_count") -> Column:
 
 
 def zscore_flag(threshold: float, zscore: str = "zscore") -> Column:
-    """``|z| > threshold`` (strict)."""
-    return F.coalesce(F.abs(_c(zscore)) > F.lit(threshold), F.lit(False))
+    """``|z| > threshold`` (strict); a NaN never flags (Spark orders it above
+    every number)."""
+    z = _c(zscore)
+    return F.coalesce(~F.isnan(z) & (F.abs(z) > F.lit(threshold)), F.lit(False))
 
 
 def fences(k: float) -> tuple[Column, Column]:
@@ -33,21 +35,22 @@ def fences(k: float) -> tuple[Column, Column]:
 
 
 def iqr_flag(k: float, value: str = "value") -> Column:
-    """Outside the Tukey fences (strict); a zero IQR never flags."""
+    """Outside the Tukey fences (strict); a zero IQR or a NaN never flags."""
     lo, hi = fences(k)
     v = _c(value)
-    return F.coalesce((_c("win_iqr") != 0) & ((v < lo) | (v > hi)), F.lit(False))
+    return F.coalesce(~F.isnan(v) & (_c("win_iqr") != 0) & ((v < lo) | (v > hi)), F.lit(False))
 
 
 def detect(df: DataFrame, params: DetectorParams = DetectorParams(), value_col: str = "value") -> DataFrame:
     """Add the verdict columns of the z-score and IQR tests.
 
     ``z_flag``, ``iqr_flag``, ``is_anomaly`` (either), ``anomaly_type``
-    (``zscore`` wins over ``iqr``), ``score`` = |z| (0 when gated),
+    (``zscore`` wins over ``iqr``), ``score`` = |z| (0 when gated or NaN),
     ``lower_fence``/``upper_fence`` and ``reason`` (``insufficient_samples``
     below ``min_samples``).
     """
     gate = insufficient(params.min_samples)
+    nan = F.coalesce(F.isnan("zscore"), F.lit(False))
     zf = ~gate & zscore_flag(params.zscore_threshold)
     qf = ~gate & iqr_flag(params.iqr_multiplier, value_col)
     lo, hi = fences(params.iqr_multiplier)
@@ -57,7 +60,7 @@ def detect(df: DataFrame, params: DetectorParams = DetectorParams(), value_col:
         qf.alias("iqr_flag"),
         (zf | qf).alias("is_anomaly"),
         F.when(zf, F.lit("zscore")).when(qf, F.lit("iqr")).alias("anomaly_type"),
-        F.when(gate, F.lit(0.0)).otherwise(F.abs(F.col("zscore"))).alias("score"),
+        F.when(gate | nan, F.lit(0.0)).otherwise(F.abs(F.col("zscore"))).alias("score"),
         lo.alias("lower_fence"),
         hi.alias("upper_fence"),
         F.when(gate, F.lit("insufficient_samples")).alias("reason"),

@@ -58,16 +58,10 @@ def alert_policy(
     scope_cols: Sequence[str] = (),
     params: AlertParams = AlertParams(),
 ) -> DataFrame:
-    """Deduplicate, then rate-limit the survivors; returns surviving rows.
-
-    Exact when the limiter does not bind (the default budget of 100 per
-    minute cannot bind with nine dedup keys per scope); check with
-    :func:`rate_limited_count`.
-    """
-    d = dedup_alerts(anomalies, ts_col, order_cols, scope_cols, params)
-    emitted = d.filter(F.col("status") == "emitted").drop(TS_US)
-    r = rate_limit(emitted, ts_col, order_cols, scope_cols, params)
-    return r.filter(~F.col("rate_limited")).drop(TS_US)
+    """The anomalies that go out as alerts: emitted by
+    :func:`coupled_alert_policy`, so exact also when the budget binds."""
+    done = coupled_alert_policy(anomalies, ts_col, order_cols, scope_cols, params)
+    return done.filter(F.col("status") == "emitted").drop("status")
 
 
 def expired_dedup_keys(
@@ -97,70 +91,55 @@ def expired_dedup_keys(
     return last.filter(age > F.lit(int(params.dedup_window_seconds * 1_000_000)))
 
 
-def coupled_alert_policy(
-    anomalies: DataFrame,
-    ts_col: str = "ts",
-    order_cols: Sequence[str] = (),
-    scope_cols: Sequence[str] = (),
+def policy_step(
+    rows: DataFrame,
+    state: DataFrame | None,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
     params: AlertParams = AlertParams(),
-    fold_rows: int = 1 << 20,
-    force_positions: bool = False,
 ) -> DataFrame:
-    """Exact dedup + rate limit as one state machine, in input order.
-
-    Unlike :func:`alert_policy`, an alert stopped by the rate limit does not
-    enter the dedup state, so later alerts of its key are checked against
-    the last *emitted* one. Adds ``status`` = emitted / duplicate /
-    rate_limited.
-
-    Within a scope, a silence of at least max(dedup window, rate window)
-    resets all state, so the stream splits into independent segments at such
-    silences (found without a single task: global positions + per-partition
-    windows, see :mod:`tidewatch.operators.chain`). Each segment is folded in
-    order; the fold is the one sequential step, checked to hold at most
-    ``fold_rows`` rows (``ValueError`` beyond: such a stream needs a larger
-    bound or a scope that splits it). Whole segments are packed into groups
-    of at most 2 x ``fold_rows`` rows.
+    """Run the alert machine over each group's rows, from its carried state.
+
+    ``rows`` have ``_ts_us`` (event time), ``feature`` and ``anomaly_type`` and
+    are taken in ``order_cols`` order. ``state(_g, _state)`` holds the machine's
+    state by group. Adds ``status`` and, on a group's last row, ``_state``; the
+    group's name is in ``_g``. A row is a ``duplicate`` while less than the
+    dedup window has passed since its key's last emission (also if it is older
+    than that); else it is ``emitted`` if the rate window has budget, else
+    ``rate_limited``, and then leaves no trace in the dedup state. The state
+    has one entry per dedup key.
     """
-    import numpy as np
+    import json
+
     import pandas as pd
     from pyspark.sql import types as T
 
-    from tidewatch.operators.chain import _session_ids, _session_ids_by_key, epoch_micros
-    from tidewatch.operators.positions import with_global_position
-
     gap_d = int(round(params.dedup_window_seconds * 1_000_000))
     gap_r = int(round(params.rate_window_seconds * 1_000_000))
     limit = int(params.max_alerts_per_minute)
-    scope = list(scope_cols)
-    from tidewatch.session import materialize
-
-    # the checks below are actions: read the (small) anomaly rows once
-    staged = materialize(anomalies.withColumn(TS_US, epoch_micros(anomalies, ts_col)), "coupled-in")
-    gap = max(gap_d, gap_r)
-    if not force_positions and (staged.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0) <= fold_rows:
-        seg = _session_ids_by_key(staged, scope, gap, order_cols)  # every scope fits one task
-    else:
-        seg = _session_ids(with_global_position(staged, [*scope, TS_US, *order_cols]), scope, gap)
-    largest = seg.groupBy(*scope, "_sess").count().agg(F.max("count")).first()[0] or 0
-    if largest > fold_rows:
-        raise ValueError(f"a segment of {largest} alerts exceeds fold_rows={fold_rows}")
-    schema = T.StructType(list(seg.schema.fields) + [T.StructField("status", T.StringType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([TS_US, *order_cols], kind="stable").reset_index(drop=True)
-        ts = pdf[TS_US].to_numpy(dtype=np.int64)
-        keys = list(zip(pdf["feature"].tolist(), pdf["anomaly_type"].tolist()))
-        status = []
+    named = rows.withColumn("_g", F.to_json(F.struct(F.lit(0).alias("all"), *group_cols)))
+    schema = T.StructType([*named.schema.fields, T.StructField("status", T.StringType()), T.StructField("_state", T.StringType())])
+    if state is None:
+        state = rows.sparkSession.createDataFrame([], "_g string, _state string")
+
+    def fold(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:  # state of a group that has no rows this time
+            return pdf.assign(status=pd.Series(dtype=object), _state=pd.Series(dtype=object))
+        pdf = pdf.sort_values(list(order_cols), kind="stable").reset_index(drop=True)
         last: dict = {}
-        w_start, count = None, 0
-        for t, k in zip(ts.tolist(), keys):
-            prev = last.get(k)
-            if prev is not None and t - prev < gap_d:
+        start, count = None, 0
+        if len(held):
+            was = json.loads(held["_state"].iloc[0])
+            last = {(f, a): t for f, a, t in was["last"]}
+            start, count = was["start"], was["count"]
+        status = []
+        for t, k in zip(pdf[TS_US].tolist(), zip(pdf["feature"].tolist(), pdf["anomaly_type"].tolist())):
+            before = last.get(k)
+            if before is not None and t - before < gap_d:
                 status.append("duplicate")
                 continue
-            if w_start is None or t - w_start >= gap_r:
-                w_start, count = t, 0
+            if start is None or t - start >= gap_r:
+                start, count = t, 0
             if count < limit:
                 count += 1
                 last[k] = t
@@ -168,10 +147,55 @@ def coupled_alert_policy(
             else:
                 status.append("rate_limited")
         pdf["status"] = status
+        pdf["_state"] = None
+        now = {"last": [[f, a, t] for (f, a), t in last.items()], "start": start, "count": count}
+        pdf.loc[len(pdf) - 1, "_state"] = json.dumps(now)
         return pdf
 
-    # consecutive segments fold exactly in one pass (state fully resets after
-    # such a silence), so whole segments are packed into bounded groups
-    pack = F.expr(f"_sess div {int(fold_rows)}").alias("_pack")
-    out = seg.groupBy(*scope, pack).applyInPandas(fold, schema)
-    return out.select(*anomalies.columns, "status")
+    return named.groupBy("_g").cogroup(state.select("_g", "_state").groupBy("_g")).applyInPandas(fold, schema)
+
+
+def coupled_alert_policy(
+    anomalies: DataFrame,
+    ts_col: str = "ts",
+    order_cols: Sequence[str] = (),
+    scope_cols: Sequence[str] = (),
+    params: AlertParams = AlertParams(),
+    fold_rows: int = 1 << 20,
+) -> DataFrame:
+    """Dedup and rate limit as one state machine, in event order: adds
+    ``status`` = emitted / duplicate / rate_limited (see :func:`policy_step`).
+
+    A silence of at least max(dedup window, rate window) resets all state, so
+    a scope's stream splits into independent segments at such silences (found
+    by global positions, see :mod:`tidewatch.operators.chain`). Whole segments
+    are packed into groups of about ``fold_rows`` rows and folded side by side.
+    A longer segment is folded slice by slice, ``fold_rows`` rows at a time,
+    with the machine's small state carried from slice to slice: the machine is
+    sequential by nature, so a stream without silences takes one job per
+    slice, but no task holds more than a slice.
+    ``order_cols`` must order rows of equal time.
+    """
+    from tidewatch.operators.chain import _session_ids, epoch_micros
+    from tidewatch.operators.positions import GPOS, with_global_position
+    from tidewatch.session import materialize
+
+    scope = list(scope_cols)
+    gap = int(round(max(params.dedup_window_seconds, params.rate_window_seconds) * 1_000_000))
+    timed = anomalies.withColumn(TS_US, epoch_micros(anomalies, ts_col))
+    seg = materialize(_session_ids(with_global_position(timed, [*scope, TS_US, *order_cols]), scope, gap), "policy-segments")
+    sizes = seg.groupBy("_sess").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_rows)
+    long = materialize(sizes, "policy-long")  # at most rows / fold_rows entries
+    most = long.agg(F.max("_n")).first()[0]
+    short = seg if most is None else seg.join(long.select("_sess"), "_sess", "left_anti")
+    packed = short.withColumn("_pack", F.expr(f"_sess div {int(fold_rows)}"))
+    out = policy_step(packed, None, [*scope, "_pack"], [GPOS], params).select(*anomalies.columns, "status")
+    if most is None:
+        return out
+    rows = seg.join(long.select("_sess"), "_sess", "left_semi").withColumn("_slice", F.expr(f"({GPOS} - _sess) div {int(fold_rows)}"))
+    state = None
+    for i in range(-(-int(most) // fold_rows)):
+        done = materialize(policy_step(rows.filter(F.col("_slice") == i), state, ["_sess"], [GPOS], params), "policy-slice")
+        state = done.filter(F.col("_state").isNotNull()).select("_g", "_state")
+        out = out.unionByName(done.select(*anomalies.columns, "status"))
+    return out

@@ -72,15 +72,17 @@ def _fold_groups(rows: DataFrame, key_cols: Sequence[str], gap_us: int, order_co
             codes, _ = pd.factorize(pdf[c], use_na_sentinel=True)
             change |= codes[1:] != codes[:-1]
         seg = np.r_[0, np.flatnonzero(change) + 1, n].astype(np.int64)
-        for a, b in zip(seg[:-1], seg[1:]):
-            i = a
-            while i < b:
-                j = int(np.searchsorted(ts[a:b], ts[i] + gap_us, side="left")) + a
-                j = max(j, i + 1)
-                opens[i] = True
-                start[i:j] = ts[i]
-                rank[i:j] = np.arange(1, j - i + 1)
-                i = j
+        for a, b in zip(seg[:-1].tolist(), seg[1:].tolist()):
+            # next opening of every row at once, then follow the pointers
+            own = ts[a:b]
+            nxt = np.maximum(np.searchsorted(own, own + gap_us, side="left"), np.arange(1, b - a + 1)).tolist()
+            i = 0
+            while i < b - a:
+                opens[a + i] = True
+                i = nxt[i]
+        if n:
+            first = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+            start, rank = ts[first], np.arange(n) - first + 1
         pdf["_opens"] = opens
         pdf["_wstart_us"] = start
         pdf["_rank"] = rank
@@ -114,6 +116,8 @@ def _fold_by_doubling(rows: DataFrame, gap_us: int) -> DataFrame:
     levels = [nxt]
     for _ in range(int(np.ceil(np.log2(max(max_len, 2))))):
         t = levels[-1]
+        if not t.filter(F.col("nxt").isNotNull()).limit(1).count():
+            break  # no session has this many windows
         a, b = t.alias("a"), t.alias("b")
         levels.append(materialize(
             a.join(b, F.col("a.nxt") == F.col("b.p"), "left").select(F.col("a.p").alias("p"), F.col("b.nxt").alias("nxt")),
@@ -201,16 +205,15 @@ def chain_windows(
         return _finish(small, df, ts_col, prefix)
     pos = with_global_position(staged, [*keys, TS_US, *order_cols])
     sess = _session_ids(pos, keys, gap_us)
-    sizes = sess.groupBy("_sess").agg(F.count(F.lit(1)).alias("_ssize"))
-    sized = sess.join(sizes, "_sess")
-
-    small = _fold_groups(sized.filter(F.col("_ssize") <= fold_rows), keys, gap_us, order_cols, group_rows)
-    big_rows = sized.filter(F.col("_ssize") > fold_rows)
-    if sizes.filter(F.col("_ssize") > fold_rows).limit(1).count():
-        out = small.unionByName(_fold_by_doubling(big_rows, gap_us))
-    else:
-        out = small
-    return _finish(out, df, ts_col, prefix)
+    # the list of long sessions has at most rows / fold_rows entries
+    sess = materialize(sess, "chain-sessions")
+    long = materialize(sess.groupBy("_sess").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_rows).select("_sess"),
+                       "chain-long")
+    if not long.limit(1).count():
+        return _finish(_fold_groups(sess, keys, gap_us, order_cols, group_rows), df, ts_col, prefix)
+    small = _fold_groups(sess.join(long, "_sess", "left_anti"), keys, gap_us, order_cols, group_rows)
+    big = _fold_by_doubling(sess.join(long, "_sess", "left_semi"), gap_us)
+    return _finish(small.unionByName(big), df, ts_col, prefix)
 
 
 def _finish(out: DataFrame, df: DataFrame, ts_col: str, prefix: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.iforest import build_forest, offset_for, score_samples
+from tidewatch.session import materialize
 from tidewatch.operators.positions import GPOS, PID, with_global_position
 from tidewatch.params import ForestParams
 
@@ -177,10 +178,13 @@ def score_vectors(
 
     trained = epochs.filter(F.col("model") > 0).select(*keep, vector_col)
     scored = trained.groupBy("model").cogroup(nodes.groupBy("model")).applyInPandas(score, out_schema)
-    untrained = epochs.filter(F.col("model") == 0).select(
+    return scored.unionByName(_untrained(epochs, keep))
+
+
+def _untrained(epochs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return epochs.filter(F.col("model") == 0).select(
         *keep, F.lit(0.0).alias("raw_score"), F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"),
         F.lit("model_not_trained").alias("reason"))
-    return scored.unionByName(untrained)
 
 
 def forest_anomalies(scored: DataFrame, scale: float = 5.0) -> DataFrame:
@@ -197,22 +201,77 @@ def forest_anomalies(scored: DataFrame, scale: float = 5.0) -> DataFrame:
     )
 
 
+def fit_and_score(epochs: DataFrame, keep: Sequence[str], p: ForestParams = ForestParams(), vector_col: str = "vector") -> DataFrame:
+    """:func:`score_vectors` with the models of :func:`fit_models`, without a
+    model table: a group holds one model's training rows (at most
+    ``buffer_size``) and the rows it scores (at most ``retrain_interval``)."""
+    keep = list(dict.fromkeys([*keep, "n", "model"]))
+    own = [c for c in keep if c not in ("n", "model")]
+    epochs = materialize(epochs.select(*keep, vector_col), "forest-epochs")
+    in_fields = {f.name: f for f in epochs.schema.fields}
+    out_schema = T.StructType([in_fields[c] for c in keep] + SCORE_FIELDS)
+    train = training_slices(epochs.select("n", vector_col), p).select("n", "model", vector_col, F.lit(True).alias("_train"))
+    score = epochs.filter(F.col("model") > 0).withColumn("_train", F.lit(False))
+    rows = score.unionByName(train, allowMissingColumns=True).select("model", "n", *own, vector_col, "_train")
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        fit = pdf[pdf["_train"]].sort_values("n", kind="stable")
+        vec = pdf[~pdf["_train"]]
+        if vec.empty:
+            return pd.DataFrame({f.name: [] for f in out_schema.fields})
+        x = np.stack(fit[vector_col].to_numpy())
+        forest = build_forest(x, p.n_estimators, p.max_samples, (p.random_state, int(fit["model"].iloc[0])))
+        raw = score_samples(np.stack(vec[vector_col].to_numpy()), forest) - offset_for(score_samples(x, forest), p.contamination)
+        out = vec[keep].reset_index(drop=True)
+        out["raw_score"] = raw
+        out["score"] = np.maximum(0.0, -raw)
+        out["is_anomaly"] = raw < 0
+        out["reason"] = None
+        return out
+
+    scored = rows.groupBy("model").applyInPandas(work, out_schema)
+    return scored.unionByName(_untrained(epochs, keep))
+
+
+def score_with_model(vectors: DataFrame, model: DataFrame, keep: Sequence[str], vector_col: str = "vector") -> DataFrame:
+    """Scores of all vectors under one model. The model is one row whose size
+    is fixed by the forest's parameters, not by the data; it goes to every
+    task, and no vector moves."""
+    keep = list(keep)
+    shared = vectors.sparkSession.sparkContext.broadcast(model.limit(1).toPandas())
+    in_fields = {f.name: f for f in vectors.schema.fields}
+    out_schema = T.StructType([in_fields[c] for c in keep] + SCORE_FIELDS)
+
+    def work(batches):
+        forest, offset = _row_to_forest(shared.value), float(shared.value["offset"].iloc[0])
+        for vec in batches:
+            if vec.empty:
+                continue
+            raw = score_samples(np.stack(vec[vector_col].to_numpy()), forest) - offset
+            out = vec[keep].reset_index(drop=True)
+            out["raw_score"], out["score"], out["is_anomaly"], out["reason"] = raw, np.maximum(0.0, -raw), raw < 0, None
+            yield out
+
+    return vectors.filter(F.col(vector_col).isNotNull()).select(*keep, vector_col).mapInPandas(work, out_schema)
+
+
 def fit_on_demand(vectors: DataFrame, p: ForestParams = ForestParams(), vector_col: str = "vector", order_cols: Sequence[str] = ("n",)) -> DataFrame:
     """Train one model on an explicit set of vectors (``force_train``).
 
     Raises ``ValueError`` below ``min_train`` vectors. The last
-    ``buffer_size`` vectors in ``order_cols`` order form the training set,
-    so the group handed to the fit is bounded by ``buffer_size``.
+    ``buffer_size`` vectors in ``order_cols`` order form the training set (a
+    sort with a limit: every task hands on at most ``buffer_size`` rows).
     """
-    from pyspark.sql import Window
-
-    cnt = vectors.filter(F.col(vector_col).isNotNull()).count()
+    known = vectors.filter(F.col(vector_col).isNotNull())
+    last = materialize(known.orderBy(*[F.col(c).desc() for c in order_cols]).limit(p.buffer_size), "forest-buffer")
+    cnt = last.count()
     if cnt < p.min_train:
         raise ValueError(f"Need at least {p.min_train} samples to train, buffer has {cnt}")
-    last = Window.orderBy(*[F.col(c).desc() for c in order_cols])
-    buf = (vectors.filter(F.col(vector_col).isNotNull())
-           .withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= p.buffer_size)
-           .withColumn("n", F.lit(p.buffer_size + 1) - F.col("_rn")).withColumn("model", F.lit(1).cast("long")))
+    buf = last.withColumn("model", F.lit(1).cast("long"))
+    if tuple(order_cols) != ("n",):
+        from pyspark.sql import Window
+
+        buf = buf.withColumn("n", F.row_number().over(Window.orderBy(*order_cols)))  # at most buffer_size rows
     return fit_models(buf, p, vector_col)
 
 

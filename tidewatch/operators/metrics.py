@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 # Fixed bucket bounds (seconds) of the reference's latency histograms.
 PROCESSING_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
-FEATURE_BOUNDS = (0.0005, 0.001, 0.005, 0.01, 0.025, 0.05, 0.1)
-INFERENCE_BOUNDS = (0.0005, 0.001, 0.005, 0.01, 0.025, 0.05, 0.1)
 
 
 def bound_label(b: float) -> str:

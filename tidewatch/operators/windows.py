@@ -61,12 +61,15 @@ def rolling_stats(
     (0 when the deviation is 0). Statistics are NULL while the window holds
     fewer than two values. ``reset_col`` (boolean) clears the window before
     the row is added. ``order_cols`` must make a total order within a key.
+
+    Rows whose value is NULL or NaN are absent: they enter no window and give
+    no row (put a reset on a row with a value).
     """
     if window < 1:
         raise ValueError("window must be >= 1")
     keep = list(passthrough) if passthrough is not None else list(df.columns)
     needed = list(dict.fromkeys([*key_cols, *order_cols, value_col, *([reset_col] if reset_col else []), *keep]))
-    src = df.select(*needed)
+    src = df.select(*needed).filter(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
     if strategy in ("auto", "halo"):
         out = _halo(src, list(order_cols), list(key_cols), value_col, window, reset_col, keep,
                     block_size or _default_block(window), num_partitions)
@@ -190,6 +193,19 @@ def score_against(stats: DataFrame, values: DataFrame, on: Sequence[str], value_
     return j.withColumn("zscore", z)
 
 
+def last_rows(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], n: int) -> DataFrame:
+    """The last ``n`` rows of each key, with their global position.
+
+    A row belongs to them if fewer than ``n`` rows lie behind it up to its
+    key's end (one aggregate over positions in (keys, order) order). No key is
+    gathered in a task whatever ``n`` is.
+    """
+    keys = list(key_cols)
+    pos = with_global_position(df, [*keys, *order_cols]).drop(PID)
+    ends = pos.groupBy(*keys).agg(F.max(GPOS).alias("_end"))
+    return pos.join(ends, keys).filter(F.col(GPOS) > F.col("_end") - F.lit(n)).drop("_end")
+
+
 def window_snapshot(
     df: DataFrame,
     order_cols: Sequence[str],
@@ -198,26 +214,13 @@ def window_snapshot(
     window: int = 1000,
 ) -> DataFrame:
     """Current contents of each key's window: its last ``window`` values,
-    oldest first, as ``values ARRAY<DOUBLE>`` plus ``win_count``.
-
-    ``row_number() <= N`` over a descending order is planned as a
-    WindowGroupLimit, so every map task forwards at most N rows per key:
-    the shuffle per key is bounded by N x tasks, whatever the key's size.
-    """
-    desc = Window.partitionBy(*key_cols).orderBy(*[F.col(c).desc() for c in order_cols])
-    last = df.withColumn("_rn", F.row_number().over(desc)).filter(F.col("_rn") <= window)
-    return last.groupBy(*key_cols).agg(
+    oldest first, as ``values ARRAY<DOUBLE>`` plus ``win_count``."""
+    keys = list(key_cols)
+    src = df.select(*dict.fromkeys([*keys, *order_cols, value_col])).filter(F.col(value_col).isNotNull())
+    return last_rows(src, keys, order_cols, window).groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("rn_neg"), F.col(value_col).alias("v"))),
-                         lambda a, b: F.when(a["rn_neg"] > b["rn_neg"], -1).when(a["rn_neg"] < b["rn_neg"], 1).otherwise(0)),
+            F.array_sort(F.collect_list(F.struct(F.col(GPOS).alias("p"), F.col(value_col).alias("v")))),
             lambda s: s["v"],
         ).alias("values"),
         F.count(F.lit(1)).alias("win_count"),
     )
-
-
-def tracked_feature_check(features: Sequence[str], name: str) -> str:
-    """Unknown feature names are a usage error (KeyError in the reference)."""
-    if name not in features:
-        raise KeyError(name)
-    return name

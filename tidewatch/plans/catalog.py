@@ -18,11 +18,14 @@ from tidewatch.operators.alerts import (alert_policy, coupled_alert_policy, dedu
 from tidewatch.operators.metrics import bucket_histogram
 from tidewatch.operators.windows import rolling_stats, score_against, window_snapshot
 from tidewatch.operators.forest import (
-    fit_models, forest_anomalies, forest_status, score_vectors, training_slices, vector_sequence, with_epochs,
+    fit_and_score, fit_models, fit_on_demand, forest_anomalies, forest_status, score_vectors, score_with_model,
+    training_slices, vector_sequence, with_epochs,
 )
 from tidewatch.params import AlertParams, DetectorParams, ForestParams
-from tidewatch.plans.detection import with_severity
-from tidewatch.sources.events import parse_messages, split_dead_letters, unpivot_features
+from tidewatch.plans.detection import RESULT_POS, with_severity
+from tidewatch.sources.events import (
+    cast_features, dead_letter_reason, parse_messages, split_dead_letters, unpivot_features,
+)
 from tidewatch.sources.tables import (
     EVENT_ORDER, TRADE_ORDER, events_as_messages, events_long, lineitem_trades, read_table, trade_event_id,
 )
@@ -105,8 +108,6 @@ def q_derive_unit_price(spark, sf):
 
 def q_cast_features(spark, sf):
     """Numeric coercion of a text-typed feature (``props.k`` read as text)."""
-    from tidewatch.sources.events import cast_features
-
     ev = read_table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("quantity"))
     return cast_features(ev, ["quantity"]).select("event_id", r6("quantity"))
 
@@ -122,8 +123,22 @@ def q_rolling_stats(spark, sf):
 
 
 def q_rolling_stats_frame(spark, sf):
-    s = rolling_stats(events_long(spark, sf), order_cols=EVENT_ORDER, key_cols=["feature"],
-                      window=P.window_size, strategy="frame")
+    """The plain SQL frame, made for many small keys and small windows."""
+    long = trade_long(spark, sf, extra=["l_suppkey"])
+    s = rolling_stats(long, order_cols=TRADE_ORDER, key_cols=["l_suppkey", "feature"], window=20, strategy="frame",
+                      passthrough=[*TRADE_ORDER, "l_suppkey", "feature", "value"])
+    return s.select(eid(), "feature", *_stats_cols())
+
+
+def events_with_gaps(spark, sf):
+    """Events with values missing on every 7th and NaN on every 11th id."""
+    v = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return read_table(spark, sf, "events").select("event_id", "ts", F.lit("value").alias("feature"), v.cast("double").alias("value"))
+
+
+def q_rolling_stats_nulls(spark, sf):
+    """Missing and NaN values enter no window."""
+    s = rolling_stats(events_with_gaps(spark, sf), order_cols=EVENT_ORDER, key_cols=["feature"], window=P.window_size)
     return s.select("event_id", *_stats_cols())
 
 
@@ -163,6 +178,12 @@ def q_zscore_vs_snapshot(spark, sf):
     return score_against(stats, vals, ["feature"]).select("event_id", r6("zscore"))
 
 
+def q_window_snapshot_2000(spark, sf):
+    snap = window_snapshot(trade_long(spark, sf), order_cols=TRADE_ORDER, key_cols=["feature"], window=2000)
+    return snap.select("feature", F.posexplode("values").alias("pos", "value")).select(
+        "feature", (F.col("pos") + 1).alias("pos"), r6("value"))
+
+
 def q_window_snapshot(spark, sf):
     snap = window_snapshot(trade_long(spark, sf), order_cols=TRADE_ORDER, key_cols=["feature"], window=P.window_size)
     return snap.select("feature", F.posexplode("values").alias("pos", "value")).select(
@@ -187,6 +208,30 @@ def q_detect_combined(spark, sf):
                     r6("lower_fence"), r6("upper_fence"), "reason")
 
 
+def q_detect_details(spark, sf):
+    """The evidence record of every anomaly."""
+    from tidewatch.functions.detect import details
+
+    v = event_verdicts(spark, sf).filter("is_anomaly").select("event_id", details(P).alias("d"))
+    return v.select("event_id", r6("d.zscore", "zscore"), "d.zscore_threshold", "d.zscore_flag", r6("d.iqr", "iqr"),
+                    r6("d.lower_fence", "lower_fence"), r6("d.upper_fence", "upper_fence"), "d.iqr_flag",
+                    r6("d.window_mean", "window_mean"), r6("d.window_std", "window_std"), "d.window_count", "d.reason")
+
+
+def q_detect_nan(spark, sf):
+    """Values against one baseline of the whole table: NaN and missing values
+    never flag."""
+    base = read_table(spark, sf, "events").agg(
+        F.count("value").alias("win_count"), F.avg("value").alias("win_mean"), F.stddev_samp("value").alias("win_std"),
+        F.min("value").alias("win_min"), F.max("value").alias("win_max")).withColumn("feature", F.lit("value"))
+    # fences at fixed quantiles of the known range keep this to one aggregate
+    base = base.withColumn("win_p25", F.col("win_min") + 0.25 * (F.col("win_max") - F.col("win_min"))).withColumn(
+        "win_p75", F.col("win_min") + 0.3 * (F.col("win_max") - F.col("win_min"))).withColumn(
+        "win_median", F.col("win_mean")).withColumn("win_iqr", F.col("win_p75") - F.col("win_p25"))
+    v = detect(score_against(base, events_with_gaps(spark, sf), ["feature"]), P)
+    return v.select("event_id", "z_flag", "iqr_flag", "is_anomaly", "anomaly_type", r6("score"))
+
+
 def q_detect_multi_feature(spark, sf):
     v = detect(trade_stats(spark, sf), P)
     return v.select(eid(), "feature", "is_anomaly", "anomaly_type", r6("score"))
@@ -197,7 +242,9 @@ def q_detect_vs_baseline(spark, sf):
     without buffering a brand in one task, then joined on brand)."""
     from tidewatch.operators.quantiles import exact_quantiles
 
-    t = lineitem_trades(spark, sf)
+    from tidewatch.session import materialize
+
+    t = materialize(lineitem_trades(spark, sf).select("event_id", "p_brand", "declared_value"), "trades")
     moments = t.groupBy("p_brand").agg(
         F.count("declared_value").alias("win_count"), F.avg("declared_value").alias("win_mean"),
         F.stddev_samp("declared_value").alias("win_std"),
@@ -238,6 +285,25 @@ def q_dedup_events_by_type(spark, sf):
     return d.select("event_id", "feature", "status")
 
 
+def q_dedup_positions(spark, sf):
+    """Dedup of all events through the plan for keys of any size: global
+    positions, packed sessions, pointer doubling for long sessions."""
+    from tidewatch.operators.chain import chain_windows
+
+    ev = read_table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("feature"))
+    d = chain_windows(ev, ["feature"], "ts", A.dedup_window_seconds, ["event_id"], fold_rows=512, force_positions=True)
+    return d.select("event_id", "feature", F.when(F.col("opens"), F.lit("emitted")).otherwise(F.lit("duplicate")).alias("status"))
+
+
+def q_rate_limit_positions(spark, sf):
+    """The unscoped rate limit through the same plan: no task holds the stream."""
+    from tidewatch.operators.chain import chain_windows
+
+    ev = read_table(spark, sf, "events").select("event_id", "ts")
+    r = chain_windows(ev, [], "ts", A.rate_window_seconds, ["event_id"], fold_rows=512, force_positions=True)
+    return r.select("event_id", F.col("rank").alias("rate_rank"), (F.col("rank") > A.max_alerts_per_minute).alias("rate_limited"))
+
+
 def q_rate_limit_alerts(spark, sf):
     ev = read_table(spark, sf, "events").select("event_id", "ts")
     r = rate_limit(ev, ts_col="ts", order_cols=["event_id"], params=A)
@@ -256,16 +322,30 @@ def q_build_alerts(spark, sf):
     return kept.select(
         alert_id("event_id", "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
         F.col("event_id").cast("string").alias("event_id"), "feature", r6("value"), r6("score"), "severity",
-        "anomaly_type")
+        "anomaly_type", r6("details.zscore", "details_zscore"), F.col("details.window_count").alias("details_window_count"),
+        F.col("details.iqr_flag").alias("details_iqr_flag"))
+
+
+#: a budget that binds: one alert per six hours, dedup over two hours
+BINDING = AlertParams(max_alerts_per_minute=1, rate_window_seconds=21600.0, dedup_window_seconds=7200.0)
 
 
 def q_alert_policy_coupled(spark, sf):
     """Dedup and rate limit as one state machine (rate-limited alerts stay out
-    of the dedup state); status per anomaly."""
-    p = coupled_alert_policy(event_anomalies(spark, sf), ts_col="ts", order_cols=["event_id"], params=A)
+    of the dedup state) under a budget that binds; status per anomaly."""
+    p = coupled_alert_policy(event_anomalies(spark, sf), ts_col="ts", order_cols=["event_id"], params=BINDING)
     return p.select("event_id", "feature", "anomaly_type", "status")
 
 
+def q_alert_policy_sliced(spark, sf):
+    """The same machine over all events by type, in small slices with carried
+    state, as it runs on segments of any length."""
+    ev = read_table(spark, sf, "events").select("event_id", "ts", F.lit("value").alias("feature"),
+                                                F.when(F.col("event_id") % 2 == 0, F.lit("zscore")).otherwise(F.lit("iqr")).alias("anomaly_type"))
+    p = coupled_alert_policy(ev, ts_col="ts", order_cols=["event_id"], params=BINDING, fold_rows=4096)
+    return p.groupBy("anomaly_type", "status").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("id_sum"))
+
+
 def q_alert_messages(spark, sf):
     """Alert sink payloads: key = alert id, value = the alert as JSON, read back."""
     from tidewatch.sources.sinks import alert_messages
@@ -297,11 +377,10 @@ def q_expired_dedup_keys(spark, sf):
 # ---------------------------------------------------------------- G: metrics
 
 def q_metric_events_by_source(spark, sf):
-    parsed = parse_messages(events_as_messages(spark, sf), keep=["offset"])
-    valid, _ = split_dead_letters(parsed, FEATURES)
-    consumed = parsed.agg(F.count(F.lit(1)).alias("consumed"))
-    processed = valid.agg(F.count(F.lit(1)).alias("processed"))
-    return consumed.crossJoin(processed).select(F.lit("events").alias("topic"), "consumed", "processed")
+    msgs = events_as_messages(spark, sf).withColumn("topic", F.lit("events"))
+    parsed = parse_messages(msgs, keep=["topic", "offset"])
+    return parsed.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("consumed"), F.count_if(dead_letter_reason(parsed, FEATURES).isNull()).alias("processed"))
 
 
 def q_metric_anomalies(spark, sf):
@@ -325,6 +404,26 @@ def q_metric_errors(spark, sf):
     return dead.groupBy(F.col("reason").alias("error_type")).agg(F.count(F.lit(1)).alias("errors"))
 
 
+def bad_number_events(spark, sf):
+    """Events with text for every 13th quantity and NaN for every 17th."""
+    k = F.get_json_object("props", "$.k")
+    text = F.when(F.col("event_id") % 13 == 0, F.lit("n/a")).when(F.col("event_id") % 17 == 0, F.lit("NaN")).otherwise(k)
+    raw = F.when(F.col("event_type") == "error", F.lit("{"))
+    ev = read_table(spark, sf, "events").select(F.col("event_id").alias("offset"), raw.alias("_corrupt_record"), text.alias("quantity"))
+    return cast_features(ev, ["quantity"])
+
+
+def q_dead_letter_reasons(spark, sf):
+    """All reasons: undecodable messages, text for numbers, NaN."""
+    _, dead = split_dead_letters(bad_number_events(spark, sf), ["quantity"])
+    return dead.select("offset", "reason")
+
+
+def q_metric_error_reasons(spark, sf):
+    _, dead = split_dead_letters(bad_number_events(spark, sf), ["quantity"])
+    return dead.groupBy(F.col("reason").alias("error_type")).agg(F.count(F.lit(1)).alias("errors"))
+
+
 def q_metric_histogram(spark, sf):
     ev = read_table(spark, sf, "events")
     return bucket_histogram(ev, "value", (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0))
@@ -332,11 +431,11 @@ def q_metric_histogram(spark, sf):
 
 # ---------------------------------------------------------------- E: isolation forest
 
-def trade_vectors(spark: SparkSession, sf: str) -> DataFrame:
+def trade_vectors(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
     """Feature vectors of lineitem trades (weight undeclared on 7th lines)."""
     from tidewatch.operators.vectors import feature_vectors
 
-    stats = trade_stats(spark, sf, drop_weight_on_line7=True)
+    stats = trade_stats(spark, sf, drop_weight_on_line7=True) if stats is None else stats
     events = lineitem_trades(spark, sf).select(*TRADE_ORDER)
     return feature_vectors(events, stats, [], TRADE_ORDER, FEATURES)
 
@@ -345,23 +444,33 @@ def trade_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return with_epochs(vector_sequence(trade_vectors(spark, sf), TRADE_ORDER), FP)
 
 
-def trade_forest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    ep = trade_epochs(spark, sf)
-    nodes = fit_models(training_slices(ep, FP), FP)
-    return score_vectors(ep, nodes, list(TRADE_ORDER))
+def trade_forest_scores(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
+    ep = with_epochs(vector_sequence(trade_vectors(spark, sf, stats), TRADE_ORDER), FP)
+    return fit_and_score(ep, list(TRADE_ORDER), FP)
 
 
 def q_forest_batch_fit(spark, sf):
     """Train on demand: one model on the last buffer_size vectors, then score
     every vector with it (the reference's force_train + predict)."""
-    from tidewatch.operators.forest import fit_on_demand
+    from tidewatch.session import materialize
 
-    seq = vector_sequence(trade_vectors(spark, sf), TRADE_ORDER)
-    nodes = fit_on_demand(seq, FP, order_cols=("n",))
-    scored = score_vectors(seq.withColumn("model", F.lit(1).cast("long")), nodes, list(TRADE_ORDER))
+    seq = materialize(vector_sequence(trade_vectors(spark, sf), TRADE_ORDER), "vectors")
+    scored = score_with_model(seq, fit_on_demand(seq, FP), [*TRADE_ORDER, "n"])
     return scored.select(eid(), "n", r6("raw_score"), "is_anomaly")
 
 
+def q_forest_flag_rate(spark, sf):
+    """Rows of each training slice that its own model flags: the contamination
+    share, as the threshold is that quantile of the training scores."""
+    ep = trade_epochs(spark, sf)
+    slices = training_slices(ep.drop("model"), FP)
+    from tidewatch.session import materialize
+
+    slices = materialize(slices.select("model", "n", "vector"), "slices")
+    scored = score_vectors(slices, fit_models(slices, FP), [])
+    return scored.groupBy("model").agg(F.count(F.lit(1)).alias("train_rows"), F.count_if("is_anomaly").alias("flagged"))
+
+
 def q_forest_epochs(spark, sf):
     return trade_epochs(spark, sf).select(eid(), "n", "model")
 
@@ -407,17 +516,41 @@ def q_trade_alerts(spark, sf):
     trades = lineitem_trades(spark, sf)
     long = unpivot_features(trades, list(TRADE_ORDER), FEATURES)
     anoms = trade_anomalies(long, trades, [], list(TRADE_ORDER), P, FP, A)
-    kept = alert_policy(anoms, ts_col="ts", order_cols=["l_orderkey", "l_linenumber", "l_partkey"], params=A)
+    kept = alert_policy(anoms, ts_col="ts", order_cols=["l_orderkey", "l_linenumber", "l_partkey", RESULT_POS], params=A)
     return kept.select(alert_id(trade_event_id(), "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
                        eid(), "feature", r6("value"), r6("score"), "severity", "anomaly_type")
 
 
-def q_union_results(spark, sf):
-    """Statistical anomalies of the trades, then the forest's, per event."""
-    stat = detect(trade_stats(spark, sf, drop_weight_on_line7=True), P).filter("is_anomaly").select(
+def q_trade_alerts_statistical(spark, sf):
+    """The statistical half of :func:`q_trade_alerts`."""
+    from tidewatch.plans.detection import trade_anomalies
+
+    trades = lineitem_trades(spark, sf)
+    long = unpivot_features(trades, list(TRADE_ORDER), FEATURES)
+    anoms = trade_anomalies(long, trades, [], list(TRADE_ORDER), P, None, A)
+    kept = alert_policy(anoms, ts_col="ts", order_cols=["l_orderkey", "l_linenumber", "l_partkey", RESULT_POS], params=A)
+    return kept.select(alert_id(trade_event_id(), "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
+                       eid(), "feature", r6("value"), r6("score"), "severity", "anomaly_type")
+
+
+def q_union_results_statistical(spark, sf):
+    """The statistical half of :func:`q_union_results`."""
+    return _statistical_results(trade_stats(spark, sf, drop_weight_on_line7=True))
+
+
+def _statistical_results(stats: DataFrame) -> DataFrame:
+    return detect(stats, P).filter("is_anomaly").select(
         eid(), "feature", r6("value"), r6("score"), "anomaly_type",
         (F.array_position(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature")) - 1).cast("int").alias("result_pos"))
-    fa = forest_anomalies(trade_forest_scores(spark, sf), A.score_scale_forest).select(
+
+
+def q_union_results(spark, sf):
+    """Statistical anomalies of the trades, then the forest's, per event."""
+    from tidewatch.session import materialize
+
+    stats = materialize(trade_stats(spark, sf, drop_weight_on_line7=True), "trade-stats")
+    stat = _statistical_results(stats)
+    fa = forest_anomalies(trade_forest_scores(spark, sf, stats), A.score_scale_forest).select(
         eid(), "feature", r6("value"), r6("score"), "anomaly_type", F.lit(len(FEATURES)).alias("result_pos"))
     return stat.unionByName(fa)
 
@@ -430,13 +563,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unpivot_features": q_unpivot_features,
     "rolling_stats": q_rolling_stats,
     "rolling_stats_frame": q_rolling_stats_frame,
+    "rolling_stats_nulls": q_rolling_stats_nulls,
     "rolling_stats_multi": q_rolling_stats_multi,
     "rolling_stats_scoped": q_rolling_stats_scoped,
     "rolling_stats_reset": q_rolling_stats_reset,
     "zscore_vs_snapshot": q_zscore_vs_snapshot,
     "window_snapshot": q_window_snapshot,
+    "window_snapshot_2000": q_window_snapshot_2000,
     "feature_vectors": q_feature_vectors,
     "detect_combined": q_detect_combined,
+    "detect_details": q_detect_details,
+    "detect_nan": q_detect_nan,
     "detect_multi_feature": q_detect_multi_feature,
     "detect_vs_baseline": q_detect_vs_baseline,
     "classify_severity": q_classify_severity,
@@ -446,25 +583,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_events_by_type": q_dedup_events_by_type,
     "rate_limit_alerts": q_rate_limit_alerts,
     "rate_limit_hourly": q_rate_limit_hourly,
+    "dedup_positions": q_dedup_positions,
+    "rate_limit_positions": q_rate_limit_positions,
     "build_alerts": q_build_alerts,
     "expired_dedup_keys": q_expired_dedup_keys,
     "alert_messages": q_alert_messages,
     "alert_policy_coupled": q_alert_policy_coupled,
+    "alert_policy_sliced": q_alert_policy_sliced,
     "metric_events_by_source": q_metric_events_by_source,
     "metric_anomalies": q_metric_anomalies,
     "metric_alerts": q_metric_alerts,
     "metric_suppressed": q_metric_suppressed,
     "metric_errors": q_metric_errors,
+    "dead_letter_reasons": q_dead_letter_reasons,
+    "metric_error_reasons": q_metric_error_reasons,
     "metric_histogram": q_metric_histogram,
     "metric_window_size": q_metric_window_size,
     "forest_epochs": q_forest_epochs,
     "forest_batch_fit": q_forest_batch_fit,
     "forest_training_slices": q_forest_training_slices,
     "forest_status": q_forest_status,
+    "forest_flag_rate": q_forest_flag_rate,
     "metric_forest": q_metric_forest,
     "forest_trees": q_forest_trees,
     "forest_scores": q_forest_scores,
     "forest_anomalies": q_forest_anomalies,
     "union_results": q_union_results,
+    "union_results_statistical": q_union_results_statistical,
+    "trade_alerts_statistical": q_trade_alerts_statistical,
     "trade_alerts": q_trade_alerts,
 }

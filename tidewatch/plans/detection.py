@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.alerting import alert_id, is_ntz, severity
-from tidewatch.functions.detect import detect
+from tidewatch.functions.detect import detect, details
 from tidewatch.operators.windows import rolling_stats
 from tidewatch.params import AlertParams, DetectorParams
-from tidewatch.sources.events import unpivot_features
+
+#: place of a verdict among one event's: features in their order, then the forest
+RESULT_POS = "result_pos"
 
 
 def score_features(
@@ -41,27 +43,18 @@ def score_features(
     return detect(stats, params)
 
 
-def score_trades(
-    trades: DataFrame,
-    id_cols: Sequence[str],
-    order_cols: Sequence[str],
-    params: DetectorParams = DetectorParams(),
-    scope_cols: Sequence[str] = (),
-    strategy: str = "auto",
-) -> DataFrame:
-    """Wide trade events -> per-feature verdict rows."""
-    ids = list(dict.fromkeys([*id_cols, *scope_cols, *order_cols]))
-    long = unpivot_features(trades, ids, params.features)
-    return score_features(long, order_cols, params, scope_cols, strategy)
-
-
 def with_severity(verdicts: DataFrame, alert: AlertParams = AlertParams()) -> DataFrame:
-    """Anomalous rows only, graded by severity."""
-    return verdicts.filter("is_anomaly").withColumn("severity", severity("score", alert.severity_thresholds))
+    """Anomalous rows only, graded by severity, with their evidence."""
+    found = verdicts.filter("is_anomaly")
+    if {"zscore", "win_mean", "lower_fence"} <= set(found.columns):
+        found = found.withColumn("details", details())
+    return found.withColumn("severity", severity("score", alert.severity_thresholds))
 
 
 def build_alerts(graded: DataFrame, ts_col: str = "ts", event_col: str = "event_id") -> DataFrame:
-    """Alert records: id, time, event, feature, value, score, severity, type."""
+    """Alert records: id, time, event, feature, value, score, severity, type and,
+    where the rows carry them, ``details`` (the evidence of the verdict)."""
+    evidence = ["details"] if "details" in graded.columns else []
     return graded.select(
         alert_id(event_col, "feature", ts_col, is_ntz(graded, ts_col)).alias("alert_id"),
         F.col(ts_col).alias("timestamp"),
@@ -71,6 +64,7 @@ def build_alerts(graded: DataFrame, ts_col: str = "ts", event_col: str = "event_
         "score",
         "severity",
         F.coalesce(F.col("anomaly_type"), F.lit("unknown")).alias("anomaly_type"),
+        *evidence,
     )
 
 
@@ -86,19 +80,24 @@ def trade_anomalies(
     """Statistical anomalies of every (event, feature) plus the isolation
     forest's ``multi_feature`` anomalies, graded by severity: the full
     detector before the alert policy."""
-    from tidewatch.operators.forest import (fit_models, forest_anomalies, score_vectors, training_slices,
-                                            vector_sequence, with_epochs)
+    from tidewatch.operators.forest import fit_and_score, forest_anomalies, vector_sequence, with_epochs
     from tidewatch.operators.vectors import feature_vectors
+    from tidewatch.session import materialize
 
     keys = list(dict.fromkeys([*id_cols, *order_cols]))
     stats = rolling_stats(long_df, order_cols=order_cols, key_cols=["feature"], window=params.window_size,
                           passthrough=[*keys, "feature", "value"])
+    if forest is not None:
+        stats = materialize(stats, "trade-stats")  # both detectors read it
+    position = F.lit(len(params.features))
+    for i, f in enumerate(params.features):
+        position = F.when(F.col("feature") == f, F.lit(i)).otherwise(position)
     stat = detect(stats, params).filter("is_anomaly").select(*keys, "feature", "value", "score", "anomaly_type")
-    out = stat
+    out = stat.withColumn(RESULT_POS, position)
     if forest is not None:
         vec = feature_vectors(events.select(*keys), stats, list(id_cols), list(order_cols), params.features)
         ep = with_epochs(vector_sequence(vec, list(order_cols)), forest)
-        nodes = fit_models(training_slices(ep, forest), forest)
-        fa = forest_anomalies(score_vectors(ep, nodes, keys), alert.score_scale_forest)
-        out = out.unionByName(fa.select(*keys, "feature", "value", "score", "anomaly_type"))
+        fa = forest_anomalies(fit_and_score(ep, keys, forest), alert.score_scale_forest)
+        fa = fa.select(*keys, "feature", "value", "score", "anomaly_type")
+        out = out.unionByName(fa.withColumn(RESULT_POS, F.lit(len(params.features))))
     return out.withColumn("severity", severity("score", alert.severity_thresholds))

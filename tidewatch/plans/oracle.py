@@ -146,7 +146,11 @@ SELECT event_id, round(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 6)
 ORACLE["unpivot_features"] = f"WITH {TRADES}, {trades_long()} SELECT event_id, feature, round(value, 6) AS value FROM trades_long"
 
 ORACLE["rolling_stats"] = f"WITH {EVENTS_LONG}, {stats('events_l', 'ev_stats', EV_ORDER)} SELECT event_id, {STATS_OUT} FROM ev_stats"
-ORACLE["rolling_stats_frame"] = ORACLE["rolling_stats"]
+_GAPS = """events_g AS (SELECT event_id, ts, 'value' AS feature, CASE WHEN event_id % 7 = 0 THEN NULL
+  WHEN event_id % 11 = 0 THEN CAST('nan' AS DOUBLE) ELSE value END AS value FROM events)"""
+ORACLE["rolling_stats_nulls"] = (
+    f"WITH {_GAPS}, ev_k AS (SELECT * FROM events_g WHERE value IS NOT NULL AND NOT isnan(value)), "
+    f"{stats('ev_k', 'ev_stats', EV_ORDER)} SELECT event_id, {STATS_OUT} FROM ev_stats")
 
 ORACLE["rolling_stats_multi"] = (
     f"WITH {TRADES}, {trades_long()}, {stats('trades_long', 'tr_stats', TR_ORDER)} "
@@ -156,6 +160,10 @@ ORACLE["rolling_stats_scoped"] = (
     f"WITH {TRADES}, {trades_long()}, {stats('trades_long', 'tr_stats', TR_ORDER, part='l_suppkey, feature', window=100)} "
     f"SELECT event_id, feature, {STATS_OUT} FROM tr_stats")
 
+ORACLE["rolling_stats_frame"] = (
+    f"WITH {TRADES}, {trades_long()}, {stats('trades_long', 'tr_stats', TR_ORDER, part='l_suppkey, feature', window=20)} "
+    f"SELECT event_id, feature, {STATS_OUT} FROM tr_stats")
+
 ORACLE["rolling_stats_reset"] = f"""
 WITH ev_r AS (
   SELECT event_id, ts, 'value' AS feature, value,
@@ -176,6 +184,9 @@ r AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY {T
              count(*) OVER (PARTITION BY feature) AS cnt FROM trades_long)
 SELECT feature, CAST(least(cnt, {W}) - rn + 1 AS INTEGER) AS pos, round(value, 6) AS value FROM r WHERE rn <= {W}"""
 
+ORACLE["window_snapshot_2000"] = ORACLE["window_snapshot"].replace(f"least(cnt, {W})", "least(cnt, 2000)").replace(
+    f"rn <= {W}", "rn <= 2000")
+
 _ZC = ["declared_value", "quantity", "weight_kg", "unit_price"]
 VECTORS = f"""{TRADES}, {TRADES_LINE7}, {trades_long('trades7')}, {stats('trades_long', 'tr_stats', TR_ORDER)},
 z AS (
@@ -228,6 +239,23 @@ WITH {EV_CHAIN}
 SELECT event_id, z_flag, iqr_flag, is_anomaly, anomaly_type, round(score, 6) AS score,
   round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence, reason FROM ev_v"""
 
+ORACLE["detect_details"] = f"""
+WITH {EV_CHAIN}
+SELECT event_id, round(zscore, 6) AS zscore, CAST(3.0 AS DOUBLE) AS zscore_threshold, z_flag AS zscore_flag,
+  round(win_iqr, 6) AS iqr, round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence, iqr_flag,
+  round(win_mean, 6) AS window_mean, round(win_std, 6) AS window_std, win_count AS window_count, reason
+FROM ev_v WHERE is_anomaly"""
+
+ORACLE["detect_nan"] = f"""
+WITH {_GAPS}, b AS (SELECT avg(value) AS m, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM events),
+f AS (SELECT event_id, value, lo + 0.25 * (hi - lo) AS q1, lo + 0.3 * (hi - lo) AS q3,
+        CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0.0 END AS z FROM events_g CROSS JOIN b),
+g AS (SELECT *, coalesce(NOT isnan(z) AND abs(z) > 3.0, false) AS z_flag,
+        coalesce(NOT isnan(value) AND q3 <> q1 AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)), false) AS iqr_flag FROM f)
+SELECT event_id, z_flag, iqr_flag, z_flag OR iqr_flag AS is_anomaly,
+  CASE WHEN z_flag THEN 'zscore' WHEN iqr_flag THEN 'iqr' END AS anomaly_type,
+  round(CASE WHEN isnan(z) THEN 0.0 ELSE abs(z) END, 6) AS score FROM g"""
+
 ORACLE["detect_multi_feature"] = f"""
 WITH {TRADES}, {trades_long()}, {stats('trades_long', 'tr_stats', TR_ORDER)}, {verdict('tr_stats', 'tr_v')}
 SELECT event_id, feature, is_anomaly, anomaly_type, round(score, 6) AS score FROM tr_v"""
@@ -265,10 +293,14 @@ WITH src AS (SELECT event_id, ts, event_type AS feature, 'event' AS anomaly_type
 {chain('src', 'dd', ['feature', 'anomaly_type'], _GAP_DEDUP)}
 SELECT event_id, feature, CASE WHEN _rank = 1 THEN 'emitted' ELSE 'duplicate' END AS status FROM dd"""
 
+ORACLE["dedup_positions"] = ORACLE["dedup_events_by_type"]
+
 ORACLE["rate_limit_alerts"] = f"""
 WITH src AS (SELECT event_id, ts FROM events), {chain('src', 'rl', [], 60_000_000)}
 SELECT event_id, _rank AS rate_rank, _rank > 100 AS rate_limited FROM rl"""
 
+ORACLE["rate_limit_positions"] = ORACLE["rate_limit_alerts"]
+
 ORACLE["rate_limit_hourly"] = f"""
 WITH src AS (SELECT event_id, ts, event_type FROM events), {chain('src', 'rl', ['event_type'], 3_600_000_000)}
 SELECT event_id, _rank AS rate_rank, _rank > 5 AS rate_limited FROM rl"""
@@ -281,18 +313,43 @@ kept AS (SELECT * FROM rl WHERE _rank <= 100)"""
 ORACLE["build_alerts"] = f"""
 WITH {_KEPT}
 SELECT {ALERT_ID} AS alert_id, ts AS timestamp, CAST(event_id AS VARCHAR) AS event_id, feature,
-  round(value, 6) AS value, round(score, 6) AS score, severity, anomaly_type FROM kept"""
+  round(value, 6) AS value, round(score, 6) AS score, severity, anomaly_type, round(zscore, 6) AS details_zscore,
+  win_count AS details_window_count, iqr_flag AS details_iqr_flag FROM kept"""
+
+def machine(src: str) -> str:
+    """The alert machine step by step over ``src(event_id, ts, anomaly_type)``,
+    one dedup key per anomaly type: two hours of dedup, one alert per six."""
+    gap_d, gap_r = 7_200_000_000, 21_600_000_000
+    dup = (f"CASE WHEN r.anomaly_type = 'zscore' THEN coalesce(r.t - s.last_z < {gap_d}, false) "
+           f"ELSE coalesce(r.t - s.last_i < {gap_d}, false) END")
+    new = f"coalesce(r.t - s.w >= {gap_r}, true)"
+    emit = f"(NOT {dup} AND ({new} OR s.c < 1))"
+    return f"""rows AS MATERIALIZED (
+  SELECT event_id, feature, anomaly_type, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS rn FROM {src}
+), steps AS (
+  WITH RECURSIVE s AS (
+    SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS last_z, CAST(NULL AS BIGINT) AS last_i, CAST(NULL AS BIGINT) AS w,
+      CAST(0 AS BIGINT) AS c, CAST(NULL AS VARCHAR) AS status
+    UNION ALL
+    SELECT r.rn,
+      CASE WHEN r.anomaly_type = 'zscore' AND {emit} THEN r.t ELSE s.last_z END,
+      CASE WHEN r.anomaly_type <> 'zscore' AND {emit} THEN r.t ELSE s.last_i END,
+      CASE WHEN NOT {dup} AND {new} THEN r.t ELSE s.w END,
+      CASE WHEN {dup} THEN s.c WHEN {new} THEN CAST(1 AS BIGINT) WHEN s.c < 1 THEN s.c + 1 ELSE s.c END,
+      CASE WHEN {dup} THEN 'duplicate' WHEN {emit} THEN 'emitted' ELSE 'rate_limited' END
+    FROM s JOIN rows r ON r.rn = s.rn + 1
+  ) SELECT rn, status FROM s WHERE rn > 0
+)"""
+
 
-# With the default budget (100 per minute, nine dedup keys at most once per
-# 300 s each) the limiter cannot bind, so the coupled machine equals
-# dedup followed by rate limiting here.
 ORACLE["alert_policy_coupled"] = f"""
-WITH {EV_ANOM}, {chain('ev_anom', 'dd', ['feature', 'anomaly_type'], _GAP_DEDUP)},
-em AS (SELECT * EXCLUDE (_t, _wstart, _rank) FROM dd WHERE _rank = 1),
-{chain('em', 'rl', [], 60_000_000)}
-SELECT dd.event_id, dd.feature, dd.anomaly_type,
-  CASE WHEN dd._rank > 1 THEN 'duplicate' WHEN rl._rank <= 100 THEN 'emitted' ELSE 'rate_limited' END AS status
-FROM dd LEFT JOIN rl ON dd.event_id = rl.event_id AND dd.feature = rl.feature"""
+WITH {EV_ANOM}, {machine('ev_anom')}
+SELECT event_id, feature, anomaly_type, status FROM rows JOIN steps USING (rn)"""
+
+ORACLE["alert_policy_sliced"] = f"""
+WITH src AS (SELECT event_id, ts, 'value' AS feature, CASE WHEN event_id % 2 = 0 THEN 'zscore' ELSE 'iqr' END AS anomaly_type FROM events),
+{machine('src')}
+SELECT anomaly_type, status, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS id_sum FROM rows JOIN steps USING (rn) GROUP BY 1, 2"""
 
 ORACLE["alert_messages"] = f"""
 WITH {_KEPT}
@@ -319,6 +376,35 @@ SELECT CAST(sum(CASE WHEN _rank > 1 THEN 1 ELSE 0 END) AS BIGINT) AS deduplicate
 
 ORACLE["metric_errors"] = "SELECT 'malformed' AS error_type, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1"
 
+_BAD = """CASE WHEN event_type = 'error' THEN 'malformed' WHEN event_id % 13 = 0 THEN 'bad_number'
+  WHEN event_id % 17 = 0 THEN 'non_finite' END"""
+ORACLE["dead_letter_reasons"] = f"SELECT event_id AS offset, {_BAD} AS reason FROM events WHERE {_BAD} IS NOT NULL"
+ORACLE["metric_error_reasons"] = f"SELECT {_BAD} AS error_type, count(*) AS errors FROM events WHERE {_BAD} IS NOT NULL GROUP BY 1"
+
+_POS = "CASE feature WHEN 'declared_value' THEN 0 WHEN 'quantity' THEN 1 WHEN 'weight_kg' THEN 2 ELSE 3 END"
+_TR7 = f"{TRADES}, {TRADES_LINE7}, {trades_long('trades7')}, {stats('trades_long', 'tr_stats', TR_ORDER)}, {verdict('tr_stats', 'tr_v')}"
+ORACLE["union_results_statistical"] = f"""
+WITH {_TR7}
+SELECT event_id, feature, round(value, 6) AS value, round(score, 6) AS score, anomaly_type, CAST({_POS} AS INTEGER) AS result_pos
+FROM tr_v WHERE is_anomaly"""
+
+_TR_ORD = f"l_orderkey, l_linenumber, l_partkey, {_POS}"
+ORACLE["trade_alerts_statistical"] = f"""
+WITH {TRADES}, {trades_long()}, {stats('trades_long', 'tr_stats', TR_ORDER)}, {verdict('tr_stats', 'tr_v')},
+tr_anom AS (SELECT *, {SEVERITY} AS severity FROM tr_v WHERE is_anomaly),
+{chain('tr_anom', 'dd', ['feature', 'anomaly_type'], _GAP_DEDUP, _TR_ORD)},
+em AS (SELECT * EXCLUDE (_t, _wstart, _rank) FROM dd WHERE _rank = 1),
+{chain('em', 'rl', [], 60_000_000, _TR_ORD)}
+SELECT {ALERT_ID} AS alert_id, ts AS timestamp, event_id, feature, round(value, 6) AS value, round(score, 6) AS score,
+  severity, anomaly_type FROM rl WHERE _rank <= 100"""
+
+# 5 per cent of a full training slice of 1,000 rows lie below the threshold
+ORACLE["forest_flag_rate"] = f"""
+WITH {EPOCHS},
+models AS (SELECT range AS model, {_N0} + (range - 1) * {_I} AS nm FROM tot, range(1, tot.mmax + 1))
+SELECT m.model, count(*) AS train_rows, CAST(count(*) * 0.05 AS BIGINT) AS flagged
+FROM models m JOIN seq s ON s.n > m.nm - {_B} AND s.n <= m.nm GROUP BY m.model"""
+
 _HB = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
 ORACLE["metric_histogram"] = (
     "WITH h AS (SELECT " + ", ".join(f"CAST(sum(CASE WHEN value <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS b{i}" for i, b in enumerate(_HB))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT_COL = "_corrupt_record"
+CAST_FAILED_COL = "_cast_failed"
 
 TRADE_SCHEMA = T.StructType(
     [
@@ -63,23 +64,25 @@ def dead_letter_reason(df: DataFrame, features: Sequence[str]) -> Column:
     """Why a parsed row cannot be processed, or NULL when it can.
 
     ``malformed``: undecodable JSON or a value of the wrong type;
-    ``non_finite``: NaN or +-Infinity in a tracked numeric field (Spark
-    orders NaN above every number, which would flag everything).
+    ``bad_number``: text in a tracked field that is no number (found by
+    :func:`cast_features`); ``non_finite``: NaN or +-Infinity in a tracked
+    numeric field (Spark orders NaN above every number, which would flag
+    everything).
     """
     present = [f for f in features if f in df.columns]
     bad_num = F.lit(False)
     for f in present:
         bad_num = bad_num | F.coalesce(_non_finite(F.col(f)), F.lit(False))
     corrupt = F.col(CORRUPT_COL).isNotNull() if CORRUPT_COL in df.columns else F.lit(False)
-    return F.when(corrupt, F.lit("malformed")).when(bad_num, F.lit("non_finite"))
+    failed = F.col(CAST_FAILED_COL) if CAST_FAILED_COL in df.columns else F.lit(False)
+    return F.when(corrupt, F.lit("malformed")).when(failed, F.lit("bad_number")).when(bad_num, F.lit("non_finite"))
 
 
 def split_dead_letters(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Return ``(valid, dead_letters)``; dead letters carry a ``reason``."""
     tagged = df.withColumn("_reason", dead_letter_reason(df, features))
     valid = tagged.filter(F.col("_reason").isNull()).drop("_reason")
-    if CORRUPT_COL in valid.columns:
-        valid = valid.drop(CORRUPT_COL)
+    valid = valid.drop(CORRUPT_COL, CAST_FAILED_COL)
     dead = tagged.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason")
     return valid, dead
 
@@ -102,8 +105,13 @@ def derive_unit_price(
 
 
 def cast_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Coerce tracked features to DOUBLE (``try_cast``: bad text becomes NULL)."""
-    out = df
+    """Coerce tracked features to DOUBLE. Text that is no number marks its row
+    in ``_cast_failed``: :func:`split_dead_letters` rejects such a row whole."""
+    out, failed = df, F.lit(False)
+    for f in features:
+        if f in df.columns:
+            failed = failed | (F.col(f).isNotNull() & F.col(f).try_cast("double").isNull())
+    out = out.withColumn(CAST_FAILED_COL, failed)
     for f in features:
         if f in df.columns:
             out = out.withColumn(f, F.col(f).try_cast("double"))
@@ -128,11 +136,3 @@ def unpivot_features(
     narrow = df.select(*ids, *[F.col(f).cast("double").alias(f) for f in present])
     long = narrow.unpivot(list(ids), present, feature_col, value_col)
     return long.filter(F.col(value_col).isNotNull())
-
-
-def feature_position(features: Sequence[str], feature_col: str = "feature") -> Column:
-    """Position of a feature in the configured list (fixes vector order)."""
-    expr = F.lit(None).cast("int")
-    for i, f in reversed(list(enumerate(features))):
-        expr = F.when(F.col(feature_col) == F.lit(f), F.lit(i)).otherwise(expr)
-    return expr

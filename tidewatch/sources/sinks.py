@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 
 def kafka_source_options(bootstrap: str, topic: str, starting_offsets: str = "latest",
-                         max_offsets_per_trigger: int | None = 500, group_id: str | None = None) -> dict[str, str]:
+                         max_offsets_per_trigger: int | None = None, group_id: str | None = None) -> dict[str, str]:
     """Options for ``spark.readStream.format("kafka")``: one topic, start at
-    ``latest``, at most ``max_offsets_per_trigger`` records per micro-batch."""
-    opts = {"kafka.bootstrap.servers": bootstrap, "subscribe": topic, "startingOffsets": starting_offsets,
-            "failOnDataLoss": "false"}
+    ``latest``; ``max_offsets_per_trigger`` bounds a micro-batch if given.
+    Offsets that expired before they were read stop the query (Spark's
+    default), since their records would be missing from the windows."""
+    opts = {"kafka.bootstrap.servers": bootstrap, "subscribe": topic, "startingOffsets": starting_offsets}
     if max_offsets_per_trigger:
         opts["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
     if group_id:
@@ -30,16 +31,21 @@ def kafka_sink_options(bootstrap: str, topic: str) -> dict[str, str]:
             "kafka.retries": "3", "kafka.linger.ms": "10"}
 
 
-def read_trade_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None, **options) -> DataFrame:
+def read_trade_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None, bootstrap: str | None = None,
+                      topic: str | None = None, starting_offsets: str = "latest",
+                      max_offsets_per_trigger: int | None = None, group_id: str | None = None, **options) -> DataFrame:
     """Raw trade-event stream with a ``value`` payload column.
 
-    ``fmt="kafka"`` uses :func:`kafka_source_options`; ``fmt="text"`` reads
-    JSON lines from files (one message per line) as a local twin.
+    ``fmt="kafka"`` reads ``topic`` with :func:`kafka_source_options`;
+    ``fmt="text"`` reads JSON lines from files (one message per line) as a
+    local twin. ``options`` go to the reader and win over the defaults.
     """
+    if fmt == "kafka":
+        if not bootstrap or not topic:
+            raise ValueError("a Kafka stream needs bootstrap and topic")
+        options = {**kafka_source_options(bootstrap, topic, starting_offsets, max_offsets_per_trigger, group_id), **options}
     reader = spark.readStream.format(fmt).options(**options)
-    if fmt == "text":
-        return reader.load(path)
-    return reader.load()
+    return reader.load(path) if path else reader.load()
 
 
 def alert_messages(alerts: DataFrame, key_col: str | None = "alert_id") -> DataFrame:

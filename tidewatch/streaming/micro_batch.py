@@ -7,32 +7,35 @@ state folder on shared storage:
 
 * ``tail/<id>``  -- the last N-1 values of every window key (exact windows
   for the next batch's rows);
-* ``dedup/<id>`` -- per dedup key, the event time of the last emitted
-  alert (re-enters the chain fold as a synthetic opening row);
-* ``rate/<id>``  -- the open rate-limit window as k <= budget synthetic rows.
+* ``policy/<id>`` -- the alert machine's state by scope: the event time of
+  each dedup key's last emitted alert, the open rate window and its count.
 
 Batch ``id`` reads the state of ``id - 1`` and writes its own, and alerts go
 to ``alerts/batch_id=<id>`` with overwrite: a replayed batch reads the same
-state and rewrites the same files, so results are idempotent. Within a batch
+state and rewrites the same files, so results are idempotent. State older than the batch before
+is dropped; ``state_dir`` must outlive the application, so that a restarted
+query goes on from it. Within a batch
 rows are ordered by event time; across batches arrival order rules (the
 batch id is the leading order column), as in the live detector.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidewatch.functions.alerting import alert_id, is_ntz, severity
 from tidewatch.functions.detect import detect
-from tidewatch.operators.alerts import dedup_alerts, rate_limit
-from tidewatch.operators.chain import TS_US
-from tidewatch.operators.windows import rolling_stats
+from tidewatch.operators.alerts import policy_step
+from tidewatch.operators.chain import TS_US, epoch_micros
+from tidewatch.operators.positions import GPOS
+from tidewatch.operators.windows import last_rows, rolling_stats
 from tidewatch.params import AlertParams, DetectorParams, ForestParams
+from tidewatch.plans.detection import RESULT_POS
 from tidewatch.session import ensure_checkpoint_dir, materialize
+from tidewatch.sources.sinks import alert_messages
 
 BATCH = "_batch"
 FRESH = "_fresh"
@@ -43,13 +46,16 @@ class DetectionStream:
 
     ``id_cols`` identify an event (the first is the event id used in alert
     ids), ``ts_col`` is event time, ``order_cols`` order rows within a batch.
+    ``sink`` gets each batch's alert messages (key, value) and the batch id,
+    e.g. to write them to Kafka; :func:`raw_message_stream` makes long rows of
+    raw messages.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         output_dir: str,
-        state_dir: str | None = None,
+        state_dir: str,
         id_cols: Sequence[str] = ("event_id",),
         ts_col: str = "ts",
         order_cols: Sequence[str] = ("ts", "event_id"),
@@ -59,10 +65,13 @@ class DetectionStream:
         forest: ForestParams | None = None,
         late_delay_seconds: float | None = None,
         late_dir: str | None = None,
+        sink: Callable[[DataFrame, int], None] | None = None,
     ):
         self.spark = spark
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        self.state_dir = (state_dir or f"{base}/tidewatch-stream-state").rstrip("/")
+        if forest is not None and scope_cols:
+            raise ValueError("the forest's vectors carry values over events of all scopes: use one stream per scope")
+        ensure_checkpoint_dir(spark)
+        self.state_dir = state_dir.rstrip("/")
         self.output_dir = output_dir.rstrip("/")
         self.id_cols = list(id_cols)
         self.ts_col = ts_col
@@ -72,20 +81,27 @@ class DetectionStream:
         self.alert_params = alert_params
         self.forest = forest
         self.late_delay_seconds = late_delay_seconds
+        self.sink = sink
         self.late_dir = (late_dir or self.output_dir.rsplit("/", 1)[0] + "/late").rstrip("/")
 
     # ------------------------------------------------------------------ state io
     def _read(self, kind: str, batch_id: int) -> DataFrame | None:
+        """State after a batch; None before the first. State that should be
+        there and is not stops the query."""
         if batch_id < 0:
             return None
-        try:
-            return self.spark.read.parquet(f"{self.state_dir}/{kind}/{batch_id}")
-        except AnalysisException:
-            return None
+        return self.spark.read.parquet(f"{self.state_dir}/{kind}/{batch_id}")
 
     def _write(self, df: DataFrame, kind: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.state_dir}/{kind}/{batch_id}")
 
+    def _prune(self, batch_id: int) -> None:
+        """Drop state that no replay can ask for: a batch reads the one before."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for kind in ("tail", "policy", "maxts", "lastz", "forest_n", "forest_buf", "forest_nodes"):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.state_dir}/{kind}/{batch_id - 2}")
+            path.getFileSystem(conf).delete(path, True)
+
     # ------------------------------------------------------------------ one batch
     def process(self, batch: DataFrame, batch_id: int) -> None:
         p, ap = self.params, self.alert_params
@@ -100,31 +116,19 @@ class DetectionStream:
 
         stats = rolling_stats(rows, order_cols=order, key_cols=keys, window=p.window_size)
         verdicts = detect(stats, p).filter(F.col(FRESH))
+        place = F.lit(len(p.features))
+        for i, f in enumerate(p.features):
+            place = F.when(F.col("feature") == f, F.lit(i)).otherwise(place)
         anoms = verdicts.filter("is_anomaly").select(*cols, BATCH, "score", "anomaly_type")
         if self.forest is not None:
             anoms = anoms.unionByName(self._forest_step(stats, batch_id, order), allowMissingColumns=True)
-        anoms = anoms.withColumn("severity", severity("score", ap.severity_thresholds)).withColumn(FRESH, F.lit(True))
-
-        dkeys = [*self.scope_cols, "feature", "anomaly_type"]
-        prev_dedup = self._read("dedup", batch_id - 1)
-        dd_in = anoms
-        if prev_dedup is not None:
-            synth = prev_dedup.select(*dkeys, F.col("last_open").alias(self.ts_col), F.lit(-1).cast("long").alias(BATCH))
-            dd_in = anoms.unionByName(synth.withColumn(FRESH, F.lit(False)), allowMissingColumns=True)
-        dd = dedup_alerts(dd_in, ts_col=self.ts_col, order_cols=order, scope_cols=self.scope_cols, params=ap).drop(TS_US)
-        dd = dd.persist()
-        emitted = dd.filter((F.col("status") == "emitted") & F.col(FRESH)).drop("status", "dedup_opens", "dedup_rank", "dedup_window_start")
-
-        prev_rate = self._read("rate", batch_id - 1)
-        rl_in = emitted
-        if prev_rate is not None:
-            synth = prev_rate.select(*self.scope_cols, F.col("window_start").alias(self.ts_col),
-                                     F.lit(-1).cast("long").alias(BATCH), F.lit(False).alias(FRESH))
-            rl_in = emitted.unionByName(synth, allowMissingColumns=True)
-        rl = rate_limit(rl_in, ts_col=self.ts_col, order_cols=order, scope_cols=self.scope_cols, params=ap).drop(TS_US)
-        rl = rl.persist()
-        kept = rl.filter(F.col(FRESH) & ~F.col("rate_limited"))
+        anoms = anoms.withColumn("severity", severity("score", ap.severity_thresholds)).withColumn(RESULT_POS, place)
+        anoms = anoms.withColumn(TS_US, epoch_micros(anoms, self.ts_col))
 
+        # one machine per scope, in arrival order, from the state of the batch before
+        prev = self._read("policy", batch_id - 1)
+        done = materialize(policy_step(anoms, prev, self.scope_cols, [*self.order_cols, RESULT_POS], ap), "stream-policy")
+        kept = done.filter(F.col("status") == "emitted")
         alerts = kept.select(
             alert_id(self.id_cols[0], "feature", self.ts_col, is_ntz(kept, self.ts_col)).alias("alert_id"),
             F.col(self.ts_col).alias("timestamp"),
@@ -133,24 +137,17 @@ class DetectionStream:
             F.coalesce("anomaly_type", F.lit("unknown")).alias("anomaly_type"),
         )
         alerts.write.mode("overwrite").parquet(f"{self.output_dir}/batch_id={batch_id}")
+        if self.sink is not None:
+            self.sink(alert_messages(alerts), batch_id)
 
         # ---- next state
-        desc = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        new_tail = (rows.drop(FRESH).withColumn("_rn", F.row_number().over(desc))
-                    .filter(F.col("_rn") <= max(p.window_size - 1, 0)).drop("_rn"))
-        self._write(new_tail, "tail", batch_id)
-        opens = dd.filter(F.col("dedup_opens")).groupBy(*dkeys).agg(F.max(self.ts_col).alias("last_open"))
-        if prev_dedup is not None:
-            opens = opens.unionByName(prev_dedup).groupBy(*dkeys).agg(F.max("last_open").alias("last_open"))
-        self._write(opens, "dedup", batch_id)
-        counted = rl.filter(~F.col("rate_limited"))
-        last_win = counted.groupBy(*self.scope_cols).agg(F.max("rate_window_start").alias("_ws"))
-        in_win = counted.join(last_win, self.scope_cols, "inner") if self.scope_cols else counted.crossJoin(F.broadcast(last_win))
-        rate_state = in_win.filter(F.col("rate_window_start") == F.col("_ws")).select(
-            *self.scope_cols, F.col("rate_window_start").alias("window_start"))
-        self._write(rate_state, "rate", batch_id)
-        dd.unpersist()
-        rl.unpersist()
+        tail_rows = last_rows(rows.drop(FRESH), keys, order, max(p.window_size - 1, 0)).drop(GPOS)
+        self._write(tail_rows, "tail", batch_id)
+        state = done.filter(F.col("_state").isNotNull()).select("_g", "_state")
+        if prev is not None:
+            state = state.unionByName(prev.join(state.select("_g"), "_g", "left_anti"))
+        self._write(state, "policy", batch_id)
+        self._prune(batch_id)
 
     # ------------------------------------------------------------------ late data
     def _route_late(self, fresh: DataFrame, batch_id: int) -> DataFrame:
@@ -213,7 +210,7 @@ class DetectionStream:
         allv = seq.select("n", "vector") if buf is None else seq.select("n", "vector").unionByName(buf)
         self._write(allv.filter(F.col("n") > F.lit(new_n - fp.buffer_size)), "forest_buf", batch_id)
         n0 = first_train(fp)
-        nodes = self._read("forest_nodes", batch_id - 1)
+        nodes = self._read("forest_nodes", batch_id - 1) if n0 is not None and prev_n >= n0 else None
         if n0 is not None and new_n >= n0:
             # models whose triggering vector n_m = n0 + (m-1) * interval is in this batch
             first_new = 1 if prev_n < n0 else (prev_n - n0) // fp.retrain_interval + 2
@@ -240,3 +237,19 @@ class DetectionStream:
 
     def alerts(self) -> DataFrame:
         return self.spark.read.parquet(self.output_dir)
+
+
+def raw_message_stream(messages: DataFrame, dead_dir: str, checkpoint_location: str, features: Sequence[str],
+                       ts_col: str = "timestamp"):
+    """Raw messages -> (long rows for :class:`DetectionStream`, the running
+    dead-letter query). Messages are parsed, bad ones written to ``dead_dir``
+    with their reason, ``unit_price`` derived and features unpivoted."""
+    from tidewatch.sources.events import (default_event_id, derive_unit_price, parse_messages, split_dead_letters,
+                                          unpivot_features)
+
+    valid, dead = split_dead_letters(parse_messages(messages), features)
+    letters = (dead.select("_raw", "reason").writeStream.format("parquet").option("path", dead_dir)
+               .option("checkpointLocation", checkpoint_location).trigger(availableNow=True).start())
+    events = derive_unit_price(default_event_id(valid))
+    long = unpivot_features(events.withColumnRenamed(ts_col, "ts"), ["event_id", "ts"], features)
+    return long, letters
