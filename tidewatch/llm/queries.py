@@ -1,4 +1,4 @@
-"""The queries of this folder: ``queries()`` and ``oracle_sql()`` parts."""
+"""The queries of this folder; their SQL is in ``oracle.py``."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import chat, contain, htmltext, langid, neardup, pieces, pii, quality, repeats, secrets
+from tidewatch.llm.oracle import ORACLE  # noqa: F401 (read by __spark_entry__.py)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,5 +93,3 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_chat_format": op9_chat_format,
 }
-
-ORACLE: dict[str, str] = {}
