@@ -442,14 +442,25 @@ def _bucket_covers(pieces: DataFrame, total: int) -> DataFrame:
     small = pieces.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "anchor", "uid", "start", "bytes")
 
     def bwt(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["anchor", "uid", "start"])
+        pdf = pdf.sort_values(["uid", "start"])
         pieces = [bytes(x) for x in pdf["bytes"]]
-        uid, start = pdf["uid"].to_numpy(), pdf["start"].to_numpy()
-        parts = recurring_parts(pieces, pdf["anchor"].to_numpy())
-        at = np.array([p for p, _, _ in parts], dtype=np.int64)
-        covers = repeated_windows(
-            [pieces[p][s:e] for p, s, e in parts], uid[at], start[at] + np.array([s for _, s, _ in parts], dtype=np.int64)
-        )
+        uid, start, anchor = (pdf[c].to_numpy() for c in ("uid", "start", "anchor"))
+        covers: list[tuple[int, int, int]] = []
+        for _ in range(2):
+            # cut to what may recur; equal parts are then as good as equal pieces
+            parts = recurring_parts(pieces, anchor) if pieces else []
+            first: dict[bytes, tuple[int, int, int]] = {}
+            for p, s, e in parts:  # in document order
+                text = pieces[p][s:e]
+                if text in first:
+                    covers.append((int(uid[p]), int(start[p]) + s, int(start[p]) + e))
+                else:
+                    first[text] = (p, s, e)
+            at = np.array([p for p, _, _ in first.values()], dtype=np.int64)
+            moved = np.array([s for _, s, _ in first.values()], dtype=np.int64)
+            pieces = list(first)
+            uid, start, anchor = uid[at], start[at] + moved, anchor[at]
+        covers += repeated_windows(pieces, uid, start)
         return pd.DataFrame(covers, columns=["uid", "start", "stop"]).astype("int64")
 
     return small.groupBy("bucket").applyInPandas(bwt, _COVER)
