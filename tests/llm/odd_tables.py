@@ -1,10 +1,7 @@
-import os
-import sys
+"""Fixtures: small tables with every kind of odd row."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 #: columns whose names the operators use inside
 EXTRA = ["_text", "uid", "key", "rep", "spans", "t", "host", "hash", "score", "label", "text_", "turns", "_k_text"]
 

@@ -3,6 +3,7 @@ import re
 
 import brute
 import pytest
+from odd_tables import empty, odd, odd_rows  # noqa: F401 (fixtures)
 from pyspark.sql import functions as F
 
 from tidewatch.llm import chat, htmltext, queries

@@ -3,6 +3,7 @@
 import brute
 import numpy as np
 import pytest
+from odd_tables import empty, odd, odd_rows  # noqa: F401 (fixtures)
 from pyspark.sql import functions as F
 
 from tidewatch.llm import contain, langid, neardup, pieces, pii, quality, queries, repeats, secrets
