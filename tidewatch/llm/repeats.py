@@ -51,6 +51,8 @@ GRAM = 32
 SPAN = WIDTH - GRAM + 1  # grams in a window
 MAX_RUN = 128  # windows in a piece
 BUCKET_BYTES = 1 << 20
+#: times that pieces are cut to the windows whose anchors recur, each under another salt
+TRIMS = 3
 _CHUNK = 1 << 18
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
@@ -79,14 +81,14 @@ def _rolling(buf: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * _TABLES[1][: n - width + 1])
 
 
-def anchor_hashes(buf: np.ndarray, flip: bool = False, ties: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def anchor_hashes(buf: np.ndarray, salt: int = 0, ties: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The anchor hash of every window of a chunk of at least WIDTH bytes, and
-    whether the window holds that gram twice; with ``flip`` the second anchor:
-    the least hash after turning all bits. Without ``ties`` the second array is
+    whether the window holds that gram twice; with a ``salt`` another anchor, of
+    the least rehashed gram. Without ``ties`` the second array is
     all false."""
     m = _rolling(buf, GRAM)
-    if flip:
-        m = ~m
+    if salt:
+        m = mix(m + _U(salt))
     twice = np.zeros(len(m), dtype=bool)
     n = len(m) - SPAN + 1
     out = out_twice = None
@@ -308,7 +310,7 @@ def collection_bwt(pieces: list[bytes], width: int = WIDTH) -> tuple[np.ndarray,
         arguments sorted by symbol."""
         out = np.empty(len(symbols), dtype=np.int64)
         cuts = np.searchsorted(symbols, np.arange(len(used) + 2))
-        for k in np.unique(symbols).tolist():
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             q = slice(cuts[k], cuts[k + 1])
             out[q] = heads[k] + np.searchsorted(table[heads[k] : heads[k + 1]], places[q])
         return out
@@ -329,8 +331,8 @@ def collection_bwt(pieces: list[bytes], width: int = WIDTH) -> tuple[np.ndarray,
         old[place] = False
 
         # common prefixes of the new suffixes and of those behind them
-        v = np.unique(np.concatenate([place, place + 1]))
-        v = v[(v > n) & (v < size)]
+        v = np.stack([place, place + 1], axis=1).reshape(-1)  # ascending, since places are
+        v = v[np.concatenate((v[1:] > v[:-1], [True])) & (v > n) & (v < size)]
         shift = counts[0] - n
         a, b = order[v + shift - 1], order[v + shift]
         value = np.zeros(len(v), dtype=np.uint8)
@@ -375,14 +377,14 @@ def collection_bwt(pieces: list[bytes], width: int = WIDTH) -> tuple[np.ndarray,
     return piece, offset, lcp
 
 
-def recurring_parts(pieces: list[bytes], anchors: np.ndarray) -> list[tuple[int, int, int]]:
+def recurring_parts(pieces: list[bytes], anchors: np.ndarray, salt: int) -> list[tuple[int, int, int]]:
     """(piece, start, end) of the parts whose windows may recur: equal windows
-    have equal second anchors too, so a window's pair of anchors must stand
+    have equal anchors under any salt, so a window's pair of anchors must stand
     in two runs of the bucket, or twice in one run."""
     lengths = np.array([len(p) for p in pieces], dtype=np.int64)
     begins = np.cumsum(lengths) - lengths
     text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    both = [anchor_hashes(text[lo : lo + _CHUNK], flip=True) for lo in range(0, len(text) - WIDTH + 1, _CHUNK - WIDTH + 1)]
+    both = [anchor_hashes(text[lo : lo + _CHUNK], salt) for lo in range(0, len(text) - WIDTH + 1, _CHUNK - WIDTH + 1)]
     second, twice = (np.concatenate(x) for x in zip(*both, strict=True))
     own = np.repeat(np.arange(len(pieces)), lengths - WIDTH + 1)
     at = np.arange(len(own)) - np.repeat(np.cumsum(lengths - WIDTH + 1) - (lengths - WIDTH + 1), lengths - WIDTH + 1)
@@ -442,25 +444,15 @@ def _bucket_covers(pieces: DataFrame, total: int) -> DataFrame:
     small = pieces.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "anchor", "uid", "start", "bytes")
 
     def bwt(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["uid", "start"])
         pieces = [bytes(x) for x in pdf["bytes"]]
         uid, start, anchor = (pdf[c].to_numpy() for c in ("uid", "start", "anchor"))
-        covers: list[tuple[int, int, int]] = []
-        for _ in range(2):
-            # cut to what may recur; equal parts are then as good as equal pieces
-            parts = recurring_parts(pieces, anchor) if pieces else []
-            first: dict[bytes, tuple[int, int, int]] = {}
-            for p, s, e in parts:  # in document order
-                text = pieces[p][s:e]
-                if text in first:
-                    covers.append((int(uid[p]), int(start[p]) + s, int(start[p]) + e))
-                else:
-                    first[text] = (p, s, e)
-            at = np.array([p for p, _, _ in first.values()], dtype=np.int64)
-            moved = np.array([s for _, s, _ in first.values()], dtype=np.int64)
-            pieces = list(first)
-            uid, start, anchor = uid[at], start[at] + moved, anchor[at]
-        covers += repeated_windows(pieces, uid, start)
+        for salt in range(1, TRIMS + 1):
+            if pieces:
+                parts = recurring_parts(pieces, anchor, salt)
+                at = np.array([p for p, _, _ in parts], dtype=np.int64)
+                uid, start, anchor = uid[at], start[at] + np.array([s for _, s, _ in parts], dtype=np.int64), anchor[at]
+                pieces = [pieces[p][s:e] for p, s, e in parts]
+        covers = repeated_windows(pieces, uid, start)
         return pd.DataFrame(covers, columns=["uid", "start", "stop"]).astype("int64")
 
     return small.groupBy("bucket").applyInPandas(bwt, _COVER)
