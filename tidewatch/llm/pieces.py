@@ -511,31 +511,37 @@ def encode(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(shared.value, alpha, key)
+        try:
+            for b in batches:
+                yield from encoded(b, lattices)
+        finally:
+            lattices.clear()  # a worker outlives its tasks: its next one may need the memory
+
+    def encoded(b: pa.RecordBatch, lattices: Lattices) -> Iterator[pa.RecordBatch]:
         v = lattices.v
-        for b in batches:
-            for part in slices(b, "_text", 64):
-                texts = [t or "" for t in part.column("_text").to_pylist()]
-                seeds = part.column("_seed").to_numpy(zero_copy_only=False).view(_U)
-                rows = []
-                for t, found in zip(texts, sample_segmentations(texts, seeds, lattices, k), strict=True):
-                    one = []
-                    for edges, log, g, inc in found:
-                        ids = v.expand(edges)
-                        one.append(
-                            {
-                                "n_tokens": len(ids),
-                                "ids": ids.astype(np.int32) if with_ids else None,
-                                "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(),
-                                "log_prob": log,
-                                "perturbed": g,
-                                "log_inclusion": inc,
-                                "round_trip": v.decode(ids) == t,
-                            }
-                        )
-                    rows.append(one)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array(rows, pa.list_(sample))], [*names, "samples"]
-                )
+        for part in slices(b, "_text", 64):
+            texts = [t or "" for t in part.column("_text").to_pylist()]
+            seeds = part.column("_seed").to_numpy(zero_copy_only=False).view(_U)
+            rows = []
+            for t, found in zip(texts, sample_segmentations(texts, seeds, lattices, k), strict=True):
+                one = []
+                for edges, log, g, inc in found:
+                    ids = v.expand(edges)
+                    one.append(
+                        {
+                            "n_tokens": len(ids),
+                            "ids": ids.astype(np.int32) if with_ids else None,
+                            "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(),
+                            "log_prob": log,
+                            "perturbed": g,
+                            "log_inclusion": inc,
+                            "round_trip": v.decode(ids) == t,
+                        }
+                    )
+                rows.append(one)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in names), pa.array(rows, pa.list_(sample))], [*names, "samples"]
+            )
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + (
