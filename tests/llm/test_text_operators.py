@@ -49,6 +49,28 @@ def test_redaction(spark):
     assert out == {1: "x [SECRET]; [SECRET] é [SECRET] end", 2: "clean é", 3: None}
 
 
+def test_whole_keys_and_passwords_are_redacted(spark):
+    body = "\n".join("MIIEvQ+/" * 8 for _ in range(30)) + "\nQUJD=="
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        1: (f"a {head}\n{body}\n{end} b", "a [SECRET] b"),
+        2: (f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0aF9\n\n{body}\n{end}\nb", "a [SECRET]\nb"),
+        3: (f"a {head}\n{body}\nand it goes on, in prose.", "a [SECRET]\nand it goes on, in prose."),  # no END
+        4: (f'"{head}' + "\\n" + body.replace("\n", "\\n") + "\\n" + f'{end}" b', '"[SECRET]" b'),
+        5: (f"{head} {body.replace(chr(10), ' ')} {end} b {head} c", "[SECRET] b [SECRET] c"),
+        6: (f"{head}\n" + "MIIEvQ+/" * 100_000 + "\n" + f"{body}\n" * 3_000 + f"{end} b", "[SECRET] b"),
+        7: (f"{head}\n" + f"{body}\n" * 100 + head + f"\n{body}\n{end}", "[SECRET]\n[SECRET]"),
+        8: ("ftp://me:" + "p" * 65 + "@host b", "[SECRET]host b"),
+        9: ("db://me:a/b:c@host http://a.example/b c://d", "[SECRET]host http://a.example/b c://d"),
+        10: (f"the line {head} begins a key, they say.", "the line [SECRET] begins a key, they say."),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    found = secrets.scan(df, keep=("text",)).select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t"))
+    got = {r.doc_id: r.t for r in found.collect()}
+    for i, (_, want) in texts.items():
+        assert got[i] == want, (i, got[i][:200])
+
+
 @pytest.mark.parametrize("which", ["odd", "table"])
 def test_quality_signals(spark, odd, odd_rows, which):
     docs = odd if which == "odd" else docs_of(spark)

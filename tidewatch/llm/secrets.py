@@ -32,12 +32,16 @@ _MAX_SET = 64
 
 @dataclass(frozen=True)
 class Rule:
-    """``min_length`` is on the group ``length_group`` of a match (0: all)."""
+    """``min_length`` is on the group ``length_group`` of a match (0: all).
+
+    ``regex`` is what a match must begin with; where the secret goes on beyond
+    it, ``whole`` is the expression of the whole span."""
 
     kind: str
     regex: str
     min_length: int = 1
     length_group: int = 0
+    whole: str = ""
 
 
 #: Fixed by the contract of the base scan: kinds in their listed order.
@@ -52,6 +56,21 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]+", 24),
 )
 
+_KEY_LABEL = r"[A-Z ]{0,40}PRIVATE KEY-----"
+#: what parts the lines of a key: white space (also escaped), quotes and quoting marks
+_KEY_GAP = r"""(?:[\s"'>|#*]|\\[nrt])"""
+#: a base64 line shorter than others, with a line to itself
+_KEY_SHORT = rf"""{_KEY_GAP}*?(?:\n|\\n){_KEY_GAP}*+[A-Za-z0-9+/=]++(?=["'\\]|[\x20\t\r]*+(?:\n|$))"""
+#: Header, body and END line. Without an END line of its own (a cut key) the
+#: base64 lines, and shorter ones between or right after them. Possessive
+#: groups: the match neither backtracks nor recurses, however long the key.
+_PRIVATE_KEY = (
+    rf"-----BEGIN {_KEY_LABEL}(?:"
+    rf"""(?:[A-Za-z0-9+/=\s:,\\"'>|#*]|-(?!----(?:BEGIN|END) ))*+-----END {_KEY_LABEL}"""
+    rf"|(?:(?:{_KEY_SHORT})?{_KEY_GAP}*+(?:(?:Proc-Type|DEK-Info):\s?[A-Za-z0-9,-]++|[A-Za-z0-9+/=]{{20,}}+))*+"
+    rf"(?:{_KEY_SHORT})?)"
+)
+
 #: Public token formats.
 EXTRA_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -59,8 +78,12 @@ EXTRA_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"sk_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{1,64}@"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", whole=_PRIVATE_KEY),
+    Rule(
+        "url_login",
+        r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{1,64}@",
+        whole=r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]++:[^\x00-\x20@]++@",
+    ),
 )
 
 
@@ -247,11 +270,11 @@ def _search(rule: Rule) -> str:
     run fails as a whole, so leftmost matches stay the same."""
     if rule.kind == "hex":
         return "[0-9a-f]{%d,}" % rule.min_length
-    return rule.regex
+    return rule.whole or rule.regex
 
 
 def _probe(rule: Rule) -> str:
-    return "[0-9a-f]{%d}" % rule.min_length if rule.kind == "hex" else rule.regex
+    return "[0-9a-f]{%d}" % rule.min_length if rule.kind == "hex" else _search(rule)
 
 
 def span_text(spans: Column) -> Column:
