@@ -39,6 +39,31 @@ def test_page_cases(spark, page, want):
     assert htmltext.page_text(htmltext.parse(page or ""), set()) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="content-sidebar-wrap"><article>a</article></div>', "a"),
+        ('<div id="layout" class="has-sidebar"><nav>n</nav><article>a</article></div>', "a"),
+        ('<div class="no-ads"><main>a</main></div>', "a"),
+        ('<div class="widget-area-main"><div class="widget">w</div><article>a</article></div>', "a"),
+        ('<div class="top"><article>a</article></div>', "a"),
+        ('<article class="post comments-open">a</article>', "a"),
+        ('<article>text a<p class="notice">b<figure class="share-img">c</figure><ul class="share">s</ul></article>', "text a\nb\nc"),
+        ("<main></main><div>body</div><div class=ads>x</div>", "body"),
+        ("<article>teaser</article><div>a body of more words than that</div>", "teaser\na body of more words than that"),
+        ("<article>the article</article><div class=related><article>other</article></div><div class=comments><article>c</article></div>", "the article"),
+    ],
+)
+def test_names_never_drop_the_main_text(page, want):
+    assert htmltext.page_text(htmltext.parse(page), set()) == want
+
+
+def test_recurring_frame_around_the_main_text(spark):
+    rows = [(i, f"http://a.example/{i}", f"<body><div>frame<section><article>own words {i}</article></section></div></body>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r.text for r in htmltext.extract_text(pages).collect()) == sorted(f"own words {i}" for i in range(12))
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_site_templates(spark, limit):
     rows = []

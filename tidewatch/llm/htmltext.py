@@ -14,7 +14,11 @@
 
 A page's ``article`` or ``main`` element is its main text: where there is
 one, all else goes, and what is in it is never taken for a template (an
-article copied to many pages stays). ``br`` is white space, not a block.
+article copied to many pages stays). Where it holds no text, or where the page
+has only ``article`` elements and more text beside them than in them (a teaser
+beside the body), the whole body is taken. A class or id never drops a wrapper
+of the main element, nor paragraphs, headings, figures and tables in it.
+``br`` is white space, not a block.
 
 The template table goes to the tasks by broadcast while its measured number
 of rows is at most ``max_broadcast``; beyond that each page gets its own
@@ -52,13 +56,17 @@ DROPPED = frozenset(
     "menu audio video title".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-#: words of a class or id that name page furniture
+#: words of a class or id that name page furniture, as its first or last word
 DROPPED_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads adv advert adverts advertisement advertising "
     "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
     "subscription share sharing social comment comments disqus respond replies related recommended recommendations widget "
     "pagination pager login signin signup masthead topbar toolbar skip alert".split()
 )
+#: first words of a class that tells a state or kind of layout
+STATES = frozenset("has no not is with without hide hidden show enable disable".split())
+#: elements of a text that no class drops inside the main element
+KEPT = frozenset("p figure figcaption h1 h2 h3 h4 h5 h6 blockquote pre table thead tbody tfoot tr td th dl dt dd".split())
 #: words of a whole class that name a page's header
 HEADER_WORDS = frozenset(["header", "site-header", "page-header", "banner", "top"])
 #: elements whose text is never part of a page's text
@@ -78,33 +86,36 @@ _WORD = re.compile(r"[^\s_-]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "main", "drop", "mark", "digest")
+    __slots__ = ("tag", "parent", "items", "is_main", "in_main", "main", "drop", "named", "holds", "mark", "digest")
 
-    def __init__(self, tag: str, parent: Node | None, mark: str, main: bool, drop: bool):
-        self.tag, self.parent, self.mark, self.main, self.drop = tag, parent, mark, main, drop
+    def __init__(self, tag: str, parent: Node | None, mark: str, is_main: bool, in_main: bool, drop: bool, named: int):
+        self.tag, self.parent, self.mark, self.drop, self.named = tag, parent, mark, drop, named
+        self.is_main, self.in_main = is_main, in_main
+        self.main = self.holds = False
         self.items: list = []
         self.digest = 0
 
 
 @lru_cache(maxsize=50_000)
-def _named(names: str) -> bool:
-    words = _WORD.findall(names.lower())
-    return any(w in DROPPED_WORDS for w in words)
+def _named(names: str) -> int:
+    """2: a whole class or id names page furniture; 1: its first or last word; 0: none."""
+    found = 0
+    for token in names.lower().split():
+        words = _WORD.findall(token)
+        if token in DROPPED_WORDS:
+            return 2
+        if words and words[0] not in STATES and (words[0] in DROPPED_WORDS or words[-1] in DROPPED_WORDS):
+            found = 1
+    return found
 
 
 def furniture(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> bool:
+    """Dropped by its tag, role or state, whatever it holds."""
     if tag in DROPPED or (tag == "header" and not in_main):
         return True
     for k, v in attrs:
         v = v or ""
-        if k in ("class", "id"):
-            if tag not in ("body", "html") and tag not in MAIN and _named(v):
-                return True
-            if tag in MAIN and "comment" in v.lower():
-                return True
-            if not in_main and any(w in HEADER_WORDS for w in v.lower().split()):
-                return True
-        elif k == "role" and v.lower() in DROPPED_ROLES:
+        if k == "role" and v.lower() in DROPPED_ROLES:
             return True
         elif k == "hidden" or (k == "aria-hidden" and v == "true"):
             return True
@@ -113,14 +124,30 @@ def furniture(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> b
     return False
 
 
+def named_furniture(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> int:
+    """Named as furniture by class or id (see ``_named``)."""
+    found = 0
+    for k, v in attrs:
+        if k in ("class", "id") and v:
+            if tag in MAIN:
+                low = v.lower()
+                if "comment" in low:  # a reader's comment, or an article open to comments
+                    found = max(found, 2 if any(w in ("comment", "comments") for w in low.split()) else 1)
+            elif tag not in ("body", "html") and not (in_main and tag in KEPT):
+                found = max(found, _named(v))
+            if not in_main and any(w in HEADER_WORDS for w in v.lower().split()):
+                found = 2
+    return found
+
+
 class TreeBuilder(HTMLParser):
     """Elements and texts of a page, unclosed and wrongly closed tags mended."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("", None, "", False, False)
+        self.root = Node("", None, "", False, False, False, 0)
         self.at = self.root
-        self.has_main = False
+        self.has_main = self.has_main_tag = False
 
     def _close(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
         n = self.at
@@ -140,15 +167,14 @@ class TreeBuilder(HTMLParser):
                 n = n.parent
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        mark, main = "", False
+        mark, named, up = "", 0, self.at
+        drop = up.drop or furniture(tag, attrs, up.in_main)
+        is_main = not drop and (tag in MAIN or any(k == "role" and v == "main" for k, v in attrs))
         if attrs:
             mark = " ".join(f"{k}={v}" for k, v in attrs if k in ("class", "id", "role"))
-        drop = self.at.drop or furniture(tag, attrs, self.at.main)
-        if not drop:
-            main = self.at.main or tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)
-            if main and not self.at.main:
-                self.has_main = True
-        node = Node(tag, self.at, mark, main, drop)
+            if not drop:
+                named = named_furniture(tag, attrs, up.in_main)
+        node = Node(tag, up, mark, is_main, is_main or up.in_main, drop, named)
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
@@ -170,10 +196,67 @@ class TreeBuilder(HTMLParser):
         self.at.items.append(data)
 
 
+def _settle(page: TreeBuilder) -> None:
+    """Decide bottom-up what is dropped by class or id, and what is main.
+
+    Outside the main elements, one that holds a main element is dropped only
+    if its whole class names it and the main elements beside the named ones
+    have at least as much text (readers' comments, related articles)."""
+    order, stack = [], [page.root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [c for c in n.items if isinstance(c, Node)]
+    size: dict[Node, int] = {}  # text of the main elements in it
+    for n in reversed(order):
+        if n.drop:
+            continue
+        got = 0
+        for c in n.items:
+            if isinstance(c, str):
+                got += len(c.strip()) if n.in_main else 0
+            elif not c.drop:
+                if not (c.in_main and n.in_main and c.named):
+                    got += size[c]
+                n.holds |= c.holds or c.is_main
+        size[n] = got
+    beside = 0
+    stack = [page.root]
+    while stack:
+        n = stack.pop()
+        for c in n.items:
+            if isinstance(c, Node) and not c.drop and not c.named:
+                if c.in_main:
+                    beside += size[c]
+                else:
+                    stack.append(c)
+    for n in order:
+        up = n.parent
+        if up is None:
+            continue
+        if up.drop:
+            n.drop = True
+        elif n.named and not n.drop:
+            if up.main:
+                n.drop = True
+            elif n.holds or n.is_main:
+                n.drop = n.named == 2 and beside >= size[n] and beside > 0
+            else:
+                n.drop = True
+        if not n.drop:
+            n.main = up.main or n.is_main
+            if n.is_main and not up.main:
+                page.has_main = True
+                page.has_main_tag |= n.tag != "article"
+    for n in reversed(order):  # of what is left
+        n.holds = any(isinstance(c, Node) and (c.main or c.holds) for c in n.items)
+
+
 def parse(html: str) -> TreeBuilder:
     b = TreeBuilder()
     b.feed(html)
     b.close()
+    _settle(b)
     return b
 
 
@@ -203,7 +286,7 @@ def subtree_hashes(page: TreeBuilder) -> set[int]:
                     some = True
                     h.update(b"\x02" + c.digest.to_bytes(8, "little", signed=True))
             n.digest = int.from_bytes(h.digest(), "little", signed=True) if some else 0
-            if n.digest and n.tag in BLOCKS:
+            if n.digest and n.tag in BLOCKS and not n.holds:
                 out.add(n.digest)
 
     walk(page.root)
@@ -211,7 +294,18 @@ def subtree_hashes(page: TreeBuilder) -> set[int]:
 
 
 def page_text(page: TreeBuilder, templates: set[int]) -> str:
-    """The blocks left, in page order."""
+    """The blocks left, in page order: of the main elements, or of the whole
+    body where they hold no text or are articles with less text than the rest."""
+    if not page.has_main:
+        return _blocks(page, templates, False)
+    text = _blocks(page, templates, True)
+    if text and page.has_main_tag:
+        return text
+    whole = _blocks(page, templates, False)
+    return whole if len(whole) > 2 * len(text) else text
+
+
+def _blocks(page: TreeBuilder, templates: set[int], main_only: bool) -> str:
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -226,9 +320,9 @@ def page_text(page: TreeBuilder, templates: set[int]) -> str:
         node, items = stack[-1]
         for c in items:
             if isinstance(c, str):
-                if node.main or not page.has_main:
+                if node.main or not main_only:
                     parts.append(c)
-            elif c.drop or (c.digest in templates and not c.main):
+            elif c.drop or (c.digest in templates and not c.main and not c.holds):
                 if c.tag in BLOCKS:
                     flush()
             else:
