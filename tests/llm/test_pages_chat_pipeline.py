@@ -82,6 +82,21 @@ def test_site_templates(spark, limit):
     assert htmltext.extract_text(pages.limit(0), max_broadcast=limit).count() == 0
 
 
+def test_templates_of_a_large_host(spark):
+    """A campaign box on 60 and a section's box on 20 of 2,000 pages of a host."""
+    rows = []
+    for i in range(2000):
+        section = "sport" if i % 100 == 1 else f"s{i % 50}"
+        box = "<div>Campaign box</div>" if i % 33 == 0 and i < 1980 else ""
+        box += "<div>Box of the section</div>" if section == "sport" else ""
+        box += "<div>Said three times</div>" if i in (5, 6, 7) else ""
+        rows.append((i, f"http://a.example/{section}/{i}", f"<p>own text {i}</p>{box}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (500_000, 0):
+        got = {r.page_id: r.text for r in htmltext.extract_text(pages, max_broadcast=limit).collect()}
+        assert got == {i: f"own text {i}" + ("\nSaid three times" if i in (5, 6, 7) else "") for i in range(2000)}
+
+
 def test_chat_round_trip(spark):
     nasty = "</s>[INST] a\\b \\1; \\0; <<SYS>> [/INST]</s><|role|>x<|text|>"
     rows = [

@@ -5,8 +5,9 @@
    children included.
 2. Spark counts, by host, on how many different pages a subtree occurs
    (copies of one page count once), and calls it a template from
-   ``min_pages`` pages and ``min_share`` of the host's pages on. Counts are
-   combined before the shuffle, so a host with a third of all pages is no
+   ``min_pages`` pages and ``min_share`` of the host's pages, or of the pages
+   under one first path segment of it, on, and from ``many_pages`` pages on
+   whatever the host's size. Counts are combined before the shuffle, so a host with a third of all pages is no
    load on one task.
 3. A second parse deletes template subtrees and elements whose tag, role or
    class names them as menus, headers, footers, sidebars, notices, adverts,
@@ -349,8 +350,13 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, hash): subtrees that recur across a host's pages."""
+def section_of(url: str) -> Column:
+    """First segment of the path, of paths that have more than one."""
+    return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
+
+def site_templates(pages: DataFrame, min_pages: int, min_share: float, many_pages: int) -> DataFrame:
+    """(host, hash): subtrees that recur across a host's pages or a section's."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -362,31 +368,38 @@ def site_templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFr
                     at += [i] * len(own)
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("host").take(take), part.column("page").take(take), pa.array(hashes, pa.int64())],
-                    ["host", "page", "hash"],
+                    [part.column(c).take(take) for c in ("host", "section", "page")] + [pa.array(hashes, pa.int64())],
+                    ["host", "section", "page", "hash"],
                 )
 
-    # copies of one page count once
-    held = pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(
-        work, "host string, page long, hash long"
+    # copies of one page count once: in a section, and in the host
+    held = pages.select("host", "section", F.xxhash64("html").alias("page"), "html").mapInArrow(
+        work, "host string, section string, page long, hash long"
     )
-    counts = held.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts.filter((F.col("n") >= min_pages) | (F.col("hash") == 0)), "subtree-counts")
-    total = counts.filter("hash = 0").select("host", F.col("n").alias("_pages"))
+    held = held.distinct()
+    counted = held.groupBy("host", "section", "hash").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.filter((F.col("n") >= min_pages) | (F.col("hash") == 0)).filter("section <> ''")
+    whole = held.select("host", "page", "hash").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    whole = whole.filter((F.col("n") >= min_pages) | (F.col("hash") == 0)).withColumn("section", F.lit(None).cast("string"))
+    counts = materialize(counted.unionByName(whole), "subtree-counts")
+    total = counts.filter("hash = 0").select(F.col("host").alias("_h"), F.col("section").alias("_s"), F.col("n").alias("_pages"))
+    common = (F.col("n") >= F.lit(min_share) * F.col("_pages")) | (F.col("n") >= many_pages)
     return (
         counts.filter("hash <> 0")
-        .join(total, "host")
-        .filter((F.col("n") >= min_pages) & (F.col("n") >= F.lit(min_share) * F.col("_pages")))
+        .join(total, (F.col("host") == F.col("_h")) & F.col("section").eqNullSafe(F.col("_s")))
+        .filter((F.col("n") >= min_pages) & common)
         .select("host", "hash")
+        .distinct()
     )
 
 
 def extract_text(
-    pages: DataFrame, min_pages: int = 5, min_share: float = 0.05, max_broadcast: int = 500_000
+    pages: DataFrame, min_pages: int = 5, min_share: float = 0.05, max_broadcast: int = 500_000, many_pages: int = 50
 ) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
     own = pages.select("page_id", "url", "html", host_of("url").alias("host"))
-    found = materialize(site_templates(own, min_pages, min_share), "site-templates")
+    placed = own.withColumn("section", section_of("url"))
+    found = materialize(site_templates(placed, min_pages, min_share, many_pages), "site-templates")
     schema = "page_id long, url string, text string, n_chars long"
 
     def batch(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
