@@ -114,6 +114,25 @@ def test_crf_learns_held_out_lines():
     assert hits / total > 0.7, (hits, total)
 
 
+def test_crf_spans_hold_plain_words_and_long_runs():
+    model = pii.train_model(pii.parse_labelled(pii.LABELLED))
+
+    def found(text):
+        return [(pii.KINDS[k], text[a:b]) for k, a, b in sorted(pii.crf_spans([text], model)[0])]
+
+    for number in ("GB82 WEST 1234 5698 7654 32", "NL02 ABNA 0123 4567 89", "IE64 IRCE 9205 0112 3456 78"):
+        assert found(f"the account {number} was opened") == [("account", number)]
+    assert found("you can write to maria at garden dot example today") == [("email", "maria at garden dot example")]
+    assert found("they sat at the table and saw a dot there") == []
+    # long number tables: runs are not cut
+    mark = "account GB82 WEST 1234 5698 7654 32 open"
+    for at in (300, 320, 340, 360, 380, 400):
+        text = "12 34 " * at + mark + " 56 78" * 500
+        assert ("account", mark[8:35]) in found(text), at
+    words = "one two three four five six seven eight".split()
+    assert [len(r) for r in pii._runs(" ".join([*words, "12", *words, "34"]))] == [7, 4]
+
+
 @pytest.mark.parametrize("which", ["odd", "table"])
 def test_near_duplicates(spark, odd, odd_rows, which):
     docs = odd if which == "odd" else docs_of(spark)

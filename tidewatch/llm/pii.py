@@ -1,10 +1,12 @@
 """Personal data: fixed base patterns and a linear-chain CRF beside them.
 
 Tokens are words between white space. The CRF labels tokens with B-/I- tags
-of the kinds below, from features of a token's shape and its neighbours. A
-token with neither a digit nor ``@`` is held to O, so the chain falls apart
-into runs of the other tokens, each decoded by itself (NumPy batches by run
-length) with the same result as decoding the whole text.
+of the kinds below, from features of a token's shape and its neighbours.
+Tokens with a digit, ``@`` or a written-out ``dot``/``(at)`` are wanted; they
+and the ``NEAR`` plain tokens before and after each carry trained scores, all
+others are held to O. So the chain falls apart into runs, cut only between
+tokens held to O, each decoded whole (NumPy batches by run length) with the
+same result as decoding the whole text.
 
 The model is trained from ``LABELLED``, a small table of invented lines, or
 from a table given by the caller; its weights (8,192 x 13 numbers) go to the
@@ -22,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -135,12 +138,53 @@ mail came 2 times
 9876543210123 units sold
 abc123 x9 q7z
 http://site.example/p/123?id=4
+pay to [account GB29 NWBK 6016 1331 9268 19] by Friday
+the account [account NL91 ABNA 0417 1643 00] was closed
+IBAN [account IE29 AIBK 9311 5212 3456 78] please
+transfer from [account GB33 BUKB 2020 1555 5555 55] now
+konto [account NL39 RABO 0300 0652 64] bitte
+iban: [account MT84 MALT 0110 0001 2345 MTLC AST0 01S] ok
+room GB12 WEST wing 1234 is open
+on 12 MARCH 1998 and 14 JUNE 2001
+the 24 BEST 1000 songs of 1999
+flight BA82 from 1200 to 1430
+write to [email anna at firma dot example] today
+mail [email j.moreau at post dot example] please
+reach [email sam (at) home (dot) example] or call
+contact [email office at town dot org] for more
+kim [email kim at corp dot net] said
+connect the dot to the line
+a red dot on the map
+we met at noon at the dot of twelve
+ein [card 5268465632122330] haus
+le [card 5245957117777412] chat
+una [card 5513613412524273] casa
+green [card 4440242646288975] fields
+wieder [card 5352056174833801] gehen
+petit [card 5572492086828890] pain
+some [card 4106792470822765] words
+alte [card 4206797016877313] stadt
+blue [card 4281718002390424] river
+otra [card 4361078852611491] vez
+long [card 5722008261995822] road
+mit [card 5649366578720097] dem
+haus 5379727611256517 ein
+chat 4021581086201913 le
+casa 4742315942594724 una
+fields 5394983550326245 green
+gehen 5241805788914865 wieder
+pain 5659255173290484 petit
 """
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: a word with a digit or @ (the possessive start never backtracks)
 WANTED = re.compile(r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 ANY = re.compile(r"[0-9@]")
+#: a mail address with its signs written out
+OBFUSCATED = re.compile(r"(?i:\bdot\b|[\[({]at[\])}])")
+SPELLED = re.compile(r"(?i:[^\x20\x09-\x0D]*[\[({](?:at|dot)[\])}][^\x20\x09-\x0D]*|dot)")
+#: plain words on either side of a wanted one that carry scores of their own
+NEAR = 3
 TRIM = ".,;:!?\"'<>[]{}|*#$%&"
 
 #: Fixed by the contract of the base scan.
@@ -204,23 +248,87 @@ def context_feature(where: str, word: str) -> int:
     return bucket(f"{where}={word[:32].strip(TRIM + '()=').lower()}", BUCKETS)
 
 
-def run_features(words: list[str], before: str, after: str) -> list[list[int]]:
-    """Features of a run of wanted words and the plain words around it."""
-    out = []
-    whole = _valid("".join(words)) if len(words) > 1 else ""
+@lru_cache(maxsize=100_000)
+def _short(word: str) -> str:
+    shape = word[:64].strip(TRIM)
+    for r, c in _SHAPES:
+        shape = r.sub(c, shape)
+    return shape if len(shape) <= 4 else re.sub(r"(.)\1+", r"\1", shape)
+
+
+@lru_cache(maxsize=100_000)
+def _kind(word: str) -> str:
+    core = word.strip(TRIM + "()").lower()
+    if core in ("at", "dot"):
+        return core
+    if "@" in word:
+        return "mail"
+    return "number" if ANY.search(word) else "upper" if word.isupper() else "plain" if word else ""
+
+
+_IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]*")
+_IBAN_PART = re.compile(r"[A-Z0-9]+")
+
+
+def _iban(words: list[str], i: int) -> int:
+    """Words from ``i`` on that form an account number with right check digits."""
+    if not _IBAN_HEAD.fullmatch(words[i].strip(TRIM + "()")):
+        return 0
+    found, whole = 0, ""
+    for j in range(i, min(i + 12, len(words))):
+        part = words[j].strip(TRIM + "()")
+        whole += part
+        if not _IBAN_PART.fullmatch(part) or len(whole) > 34:
+            break
+        if len(whole) >= 15 and int("".join(str(int(c, 36)) for c in whole[4:] + whole[:4])) % 97 == 1:
+            found = j - i + 1
+        if words[j][-1] in ".,;:)":
+            break
+    return found
+
+
+def run_features(words: list[str]) -> Iterator[list[int]]:
+    """Features of a run of wanted words and the plain words around them."""
+    n = len(words)
+    start = end = iban_end = 0
+    whole = ""
     for i, w in enumerate(words):
+        if i >= iban_end and (got := _iban(words, i)):
+            iban_start, iban_end = i, i + got
+        iban = "" if i >= iban_end else "first" if i == iban_start else "inside"
         prev = words[i - 1] if i else ""
-        nxt = words[i + 1] if i + 1 < len(words) else ""
+        nxt = words[i + 1] if i + 1 < n else ""
         f = list(word_features(w))
+        f.append(bucket(f"iban={iban}", BUCKETS))
+        if not ANY.search(w):
+            f.append(bucket("plain", BUCKETS))
+            f.append(context_feature("word", w))
+            f.append(bucket(f"kinds={_kind(prev)}/{_kind(w)}/{_kind(nxt)}", BUCKETS))
+            if w.isupper():
+                f.append(bucket(f"shapes={_short(prev)}/{_short(w)}/{_short(nxt)}", BUCKETS))
+            near = [_kind(x) for x in words[max(0, i - 3) : i + 4]]
+            at = i - max(0, i - 3)
+            spelled = [f"{k}{j - at}" for j, k in enumerate(near) if k in ("at", "dot")]
+            f.append(bucket(f"spelled={' '.join(spelled)}", BUCKETS))
+            f.append(bucket(f"written={'at' in near and 'dot' in near}", BUCKETS))
+            yield f
+            continue
+        if i >= end:  # a new block of wanted words
+            start = end = i
+            while end < n and ANY.search(words[end]):
+                end += 1
+            whole = _valid("".join(words[start:end])) if end - start > 1 else ""
+        before = words[start - 1] if start else ""
         f.append(context_feature("before", before))
+        if before.isupper():  # a bank code
+            f.append(bucket(f"beforeshape={_short(before)}/{_size(words[start - 2]) if start > 1 else ''}", BUCKETS))
         f.append(bucket(f"valid={_valid(w)}", BUCKETS))
         f.append(bucket(f"whole={whole}", BUCKETS))
-        f.append(bucket(f"place={min(i, 3)}/{min(len(words), 6)}", BUCKETS))
-        f.append(bucket(f"prev={_size(prev)}", BUCKETS))
-        f.append(bucket(f"next={_size(nxt)}", BUCKETS))
-        f.append(context_feature("after", after) if i + 1 == len(words) else bucket("inside", BUCKETS))
-        out.append(f)
-    return out
+        f.append(bucket(f"place={min(i - start, 3)}/{min(end - start, 6)}", BUCKETS))
+        f.append(bucket(f"prev={_size(prev) if i > start else ''}", BUCKETS))
+        f.append(bucket(f"next={_size(nxt) if i + 1 < end else ''}", BUCKETS))
+        f.append(context_feature("after", nxt) if i + 1 == end else bucket("inside", BUCKETS))
+        yield f
 
 
 def _valid(word: str) -> str:
@@ -246,26 +354,43 @@ def _moves() -> np.ndarray:
     return ok
 
 
-def _runs(text: str) -> Iterator[tuple[list[tuple[int, int]], int]]:
-    """Runs of wanted words that only white space parts."""
+def _wanted(text: str) -> Iterator[tuple[int, int]]:
+    if not OBFUSCATED.search(text):
+        return (m.span() for m in WANTED.finditer(text))
+    return (m.span() for m in WORD.finditer(text) if ANY.search(m[0]) or SPELLED.fullmatch(m[0].strip(TRIM)) or SPELLED.fullmatch(m[0]))
+
+
+def _last_words(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The last ``NEAR`` words between two places."""
+    size = 64
+    while True:
+        low = max(start, end - size)
+        words = [m.span() for m in WORD.finditer(text, low, end)]
+        if low == start:
+            return words[-NEAR:]
+        if len(words) > NEAR:  # the first may be cut
+            return words[-NEAR:]
+        size *= 4
+
+
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of wanted words with the ``NEAR`` plain words before and after each."""
     run: list[tuple[int, int]] = []
-    for m in WANTED.finditer(text):
-        # the pattern may start inside a word only at its first wanted sign's part
-        a, b = m.span()
-        if run and text[run[-1][1] : a].strip("\x20\x09\x0a\x0b\x0c\x0d") == "" and b - run[0][0] < 2000:
-            run.append((a, b))
+    last = 0
+    for a, b in _wanted(text):
+        if run:
+            gap = [m.span() for m in islice(WORD.finditer(text, last, a), 2 * NEAR + 1)]
+            if len(gap) <= 2 * NEAR:
+                run += gap
+            else:
+                yield run + gap[:NEAR]
+                run = _last_words(text, gap[NEAR - 1][1], a)
         else:
-            if run:
-                yield run, 0
-            run = [(a, b)]
+            run = _last_words(text, 0, a)
+        run.append((a, b))
+        last = b
     if run:
-        yield run, 0
-
-
-def _around(text: str, run: list[tuple[int, int]]) -> tuple[str, str]:
-    left = text[max(0, run[0][0] - 40) : run[0][0]].split()
-    right = text[run[-1][1] : run[-1][1] + 40].split()
-    return (left[-1] if left else ""), (right[0] if right else "")
+        yield run + [m.span() for m in islice(WORD.finditer(text, last), NEAR)]
 
 
 def parse_labelled(lines: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -285,13 +410,12 @@ def parse_labelled(lines: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
 def train_model(labelled: list[tuple[str, list[tuple[str, int, int]]]]) -> Crf:
     data = []
     for text, spans in labelled:
-        for run, _ in _runs(text):
+        for run in _runs(text):
             labels = []
             for a, b in run:
                 own = next(((k, s) for k, s, e in spans if s <= a < e), None)
                 labels.append("O" if own is None else ("B-" if not any(own[1] <= x < a for x, _ in run) else "I-") + own[0])
-            words = [text[a:b] for a, b in run]
-            data.append((run_features(words, *_around(text, run)), labels))
+            data.append((list(run_features([text[a:b] for a, b in run])), labels))
     # features are hashed already: train on their numbers
     model = train([([[str(f) for f in t] for t in toks], ys) for toks, ys in data], LABELS, _moves(), BUCKETS)
     emit = np.zeros_like(model.emit)
@@ -304,32 +428,44 @@ def train_model(labelled: list[tuple[str, list[tuple[str, int, int]]]]) -> Crf:
 def crf_spans(texts: list[str], model: Crf) -> list[list[tuple[int, int, int]]]:
     """CRF spans of each text, decoded together."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    by_length: dict[int, list[tuple[int, list[tuple[int, int]], list[list[int]]]]] = {}
+    by_length: dict[int, list[tuple[int, list[tuple[int, int]], np.ndarray]]] = {}
     for i, text in enumerate(texts):
-        if not ANY.search(text):
+        if not ANY.search(text) and not OBFUSCATED.search(text):
+            continue
+        for run in _runs(text):
+            # scores are kept, not features: a run may be as long as its text
+            feats = run_features([text[a:b] for a, b in run])
+            parts = []
+            while part := list(islice(feats, 4096)):
+                parts.append(model.scores(part))
+            by_length.setdefault(len(run), []).append((i, run, np.concatenate(parts)))
+    for length, every in by_length.items():
+        for at in range(0, len(every), 4096):
+            group = every[at : at + 4096]
+            paths = model.viterbi(np.stack([scores for _, _, scores in group]))
+            for (i, run, _), path in zip(group, paths, strict=True):
+                out[i] += _spans_of(texts[i], run, path)
+    return out
+
+
+def _spans_of(text: str, run: list[tuple[int, int]], path: np.ndarray) -> list[tuple[int, int, int]]:
+    """Spans of a run's labels."""
+    out = []
+    length, t = len(run), 0
+    while t < length:
+        name = LABELS[path[t]]
+        if name == "O":
+            t += 1
             continue
-        for run, _ in _runs(text):
-            words = [text[a:b] for a, b in run]
-            by_length.setdefault(len(run), []).append((i, run, run_features(words, *_around(text, run))))
-    for length, group in by_length.items():
-        flat = [t for _, _, feats in group for t in feats]
-        paths = model.viterbi(model.scores(flat).reshape(len(group), length, -1))
-        for (i, run, _), path in zip(group, paths, strict=True):
-            t = 0
-            while t < length:
-                name = LABELS[path[t]]
-                if name == "O":
-                    t += 1
-                    continue
-                end = t + 1
-                while end < length and LABELS[path[end]] == "I-" + name[2:]:
-                    end += 1
-                raw = texts[i][run[t][0] : run[end - 1][1]]
-                a = run[t][0] + len(raw) - len(raw.lstrip(TRIM))
-                b = a + len(raw.strip(TRIM))
-                if b > a:
-                    out[i].append((KINDS.index(name[2:]), a, b))
-                t = end
+        end = t + 1
+        while end < length and LABELS[path[end]] == "I-" + name[2:]:
+            end += 1
+        raw = text[run[t][0] : run[end - 1][1]]
+        a = run[t][0] + len(raw) - len(raw.lstrip(TRIM))
+        b = a + len(raw.strip(TRIM))
+        if b > a:
+            out.append((KINDS.index(name[2:]), a, b))
+        t = end
     return out
 
 
