@@ -226,3 +226,26 @@ def test_raw_messages_to_long_rows(spark, tmpdir_fresh):
     letters.awaitTermination(300)
     assert {(r.feature, r.value) for r in spark.table("raw_long").collect()} == {("declared_value", 10.0), ("quantity", 4.0), ("unit_price", 2.5)}
     assert [r.reason for r in spark.read.parquet(os.path.join(tmpdir_fresh, "dead")).collect()] == ["malformed"]
+
+
+def test_bad_messages_after_the_start_are_kept(spark, tmpdir_fresh):
+    import time
+
+    from tidewatch.streaming.micro_batch import raw_message_stream
+
+    src, dead = os.path.join(tmpdir_fresh, "in"), os.path.join(tmpdir_fresh, "dead")
+    put = lambda *lines: spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(src)
+    put('{"broken": 1')
+    stream = spark.readStream.format("text").load(src)
+    _, letters = raw_message_stream(stream, dead, os.path.join(tmpdir_fresh, "ck1"), ["declared_value"])
+    try:
+        letters.processAllAvailable()
+        put('{"broken": 2')
+        until = time.time() + 60
+        raws = []
+        while len(raws) < 2 and letters.isActive and time.time() < until:
+            letters.processAllAvailable()
+            raws = [r._raw for r in spark.read.parquet(dead).collect()]
+        assert letters.isActive and sorted(raws) == ['{"broken": 1', '{"broken": 2']
+    finally:
+        letters.stop()

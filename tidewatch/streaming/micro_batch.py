@@ -240,16 +240,22 @@ class DetectionStream:
 
 
 def raw_message_stream(messages: DataFrame, dead_dir: str, checkpoint_location: str, features: Sequence[str],
-                       ts_col: str = "timestamp"):
+                       ts_col: str = "timestamp", trigger: dict | None = None):
     """Raw messages -> (long rows for :class:`DetectionStream`, the running
     dead-letter query). Messages are parsed, bad ones written to ``dead_dir``
-    with their reason, ``unit_price`` derived and features unpivoted."""
+    with their reason, ``unit_price`` derived and features unpivoted.
+
+    ``trigger`` is that of :meth:`DetectionStream.start`; by default the
+    dead-letter query runs on until it is stopped, like the detector's."""
     from tidewatch.sources.events import (default_event_id, derive_unit_price, parse_messages, split_dead_letters,
                                           unpivot_features)
 
     valid, dead = split_dead_letters(parse_messages(messages), features)
-    letters = (dead.select("_raw", "reason").writeStream.format("parquet").option("path", dead_dir)
-               .option("checkpointLocation", checkpoint_location).trigger(availableNow=True).start())
+    w = (dead.select("_raw", "reason").writeStream.format("parquet").option("path", dead_dir)
+         .option("checkpointLocation", checkpoint_location))
+    if trigger:
+        w = w.trigger(**trigger)
+    letters = w.start()
     events = derive_unit_price(default_event_id(valid))
     long = unpivot_features(events.withColumnRenamed(ts_col, "ts"), ["event_id", "ts"], features)
     return long, letters
