@@ -249,3 +249,30 @@ def test_bad_messages_after_the_start_are_kept(spark, tmpdir_fresh):
         assert letters.isActive and sorted(raws) == ['{"broken": 1', '{"broken": 2']
     finally:
         letters.stop()
+
+
+def test_alert_machine_is_folded_in_slices(spark, tmpdir_fresh, monkeypatch):
+    """No task gets more than ``fold_rows`` anomalies; results are those of one fold."""
+    from tidewatch.operators import alerts
+    from tidewatch.params import AlertParams
+
+    sizes = []
+    step = alerts.policy_step
+
+    def counted(rows, state, group_cols, *more):
+        sizes.append(max([r["count"] for r in rows.groupBy(*group_cols).count().collect()], default=0))
+        return step(rows, state, group_cols, *more)
+
+    monkeypatch.setattr(alerts, "policy_step", counted)
+    base = [(i, i, i % 3) for i in range(40)]
+    bursts = [(100 + i, 1000 + 25 * i, 500 * 4**i) for i in range(12)]
+    got = {}
+    for rows in (3, 1 << 20):
+        folder = os.path.join(tmpdir_fresh, str(rows))
+        det = _detector(spark, folder, alert_params=AlertParams(max_alerts_per_minute=1, dedup_window_seconds=30), fold_rows=rows)
+        sizes.clear()
+        det.process(_rows(spark, base + bursts[:9]), 0)
+        det.process(_rows(spark, bursts[9:]), 1)
+        assert max(sizes) <= rows and (rows > 3 or len(sizes) > 3)
+        got[rows] = sorted(int(r.event_id) for r in det.alerts().collect())
+    assert got[3] == got[1 << 20] and len(got[3]) > 2

@@ -155,6 +155,41 @@ def policy_step(
     return named.groupBy("_g").cogroup(state.select("_g", "_state").groupBy("_g")).applyInPandas(fold, schema)
 
 
+def sliced_policy_step(
+    rows: DataFrame,
+    state: DataFrame | None,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
+    params: AlertParams = AlertParams(),
+    fold_rows: int = 1 << 20,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`policy_step` over groups of any size: (rows with ``status``, the
+    state after them of every group).
+
+    A group is folded ``fold_rows`` rows at a time in ``order_cols`` order, its
+    state carried from slice to slice, so no task holds more than a slice of a
+    group. Slices of one group run one after the other.
+    """
+    from tidewatch.operators.positions import GPOS, PID, with_global_position
+    from tidewatch.session import materialize
+
+    placed = materialize(with_global_position(rows, [*group_cols, *order_cols]).drop(PID), "policy-rows")
+    groups = [F.lit(0).alias("_all"), *[F.col(c) for c in group_cols]]
+    named = placed.withColumn("_grp", F.to_json(F.struct(*groups)))
+    sizes = materialize(named.groupBy("_grp").agg(F.min(GPOS).alias("_first"), F.count(F.lit(1)).alias("_n")), "policy-sizes")
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    cut = named.join(sizes.select("_grp", "_first"), "_grp").withColumn("_slice", F.expr(f"({GPOS} - _first) div {int(fold_rows)}"))
+    out = None
+    for i in range(max(1, -(-int(most) // fold_rows))):
+        part = cut.filter(F.col("_slice") == i).drop("_grp", "_first", "_slice")
+        done = materialize(policy_step(part, state, group_cols, [GPOS], params), "policy-slice")
+        new = done.filter(F.col("_state").isNotNull()).select("_g", "_state")
+        state = new if state is None else new.unionByName(state.join(new.select("_g"), "_g", "left_anti"))
+        one = done.drop(GPOS, "_g", "_state")
+        out = one if out is None else out.unionByName(one)
+    return out, state
+
+
 def coupled_alert_policy(
     anomalies: DataFrame,
     ts_col: str = "ts",

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.alerting import alert_id, is_ntz, severity
 from tidewatch.functions.detect import detect
-from tidewatch.operators.alerts import policy_step
+from tidewatch.operators.alerts import sliced_policy_step
 from tidewatch.operators.chain import TS_US, epoch_micros
 from tidewatch.operators.positions import GPOS
 from tidewatch.operators.windows import last_rows, rolling_stats
@@ -47,7 +47,8 @@ class DetectionStream:
     ``id_cols`` identify an event (the first is the event id used in alert
     ids), ``ts_col`` is event time, ``order_cols`` order rows within a batch.
     ``sink`` gets each batch's alert messages (key, value) and the batch id,
-    e.g. to write them to Kafka; :func:`raw_message_stream` makes long rows of
+    e.g. to write them to Kafka; a task folds at most ``fold_rows`` anomalies
+    of a scope at a time through the alert machine; :func:`raw_message_stream` makes long rows of
     raw messages.
     """
 
@@ -66,6 +67,7 @@ class DetectionStream:
         late_delay_seconds: float | None = None,
         late_dir: str | None = None,
         sink: Callable[[DataFrame, int], None] | None = None,
+        fold_rows: int = 1 << 20,
     ):
         self.spark = spark
         if forest is not None and scope_cols:
@@ -82,6 +84,7 @@ class DetectionStream:
         self.forest = forest
         self.late_delay_seconds = late_delay_seconds
         self.sink = sink
+        self.fold_rows = fold_rows
         self.late_dir = (late_dir or self.output_dir.rsplit("/", 1)[0] + "/late").rstrip("/")
 
     # ------------------------------------------------------------------ state io
@@ -127,7 +130,7 @@ class DetectionStream:
 
         # one machine per scope, in arrival order, from the state of the batch before
         prev = self._read("policy", batch_id - 1)
-        done = materialize(policy_step(anoms, prev, self.scope_cols, [*self.order_cols, RESULT_POS], ap), "stream-policy")
+        done, state = sliced_policy_step(anoms, prev, self.scope_cols, [*self.order_cols, RESULT_POS], ap, self.fold_rows)
         kept = done.filter(F.col("status") == "emitted")
         alerts = kept.select(
             alert_id(self.id_cols[0], "feature", self.ts_col, is_ntz(kept, self.ts_col)).alias("alert_id"),
@@ -143,9 +146,6 @@ class DetectionStream:
         # ---- next state
         tail_rows = last_rows(rows.drop(FRESH), keys, order, max(p.window_size - 1, 0)).drop(GPOS)
         self._write(tail_rows, "tail", batch_id)
-        state = done.filter(F.col("_state").isNotNull()).select("_g", "_state")
-        if prev is not None:
-            state = state.unionByName(prev.join(state.select("_g"), "_g", "left_anti"))
         self._write(state, "policy", batch_id)
         self._prune(batch_id)
 
