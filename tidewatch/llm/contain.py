@@ -1,18 +1,18 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by an exact index of the items' shingles.
 
 An item is found in a document if the document holds at least ``threshold``
 of the item's distinct five-word shingles.
 
-* Items are partitioned by size (their number of shingles), and each keeps
-  a bottom-k MinHash sketch whose k follows from its size: the
-  ``size - ceil(threshold * size) + 1`` smallest shingle hashes. A document
-  that holds the wanted share of the item misses at most ``k - 1`` of its
-  shingles, so it holds at least one hash of the sketch: the search loses
-  nothing, however long the document is. (Banded sketches of whole documents
-  cannot do this: a short item's Jaccard similarity to a long document is
-  close to zero.)
-* Documents probe the sketches with all their shingles; each (document,
-  item) hit is verified by exact shingle containment.
+* Documents probe an index of all item shingles with all of theirs; the
+  shingles in common are counted, so each (document, item) hit is exact.
+* Each item also marks a bottom-k MinHash sketch whose k follows from its
+  size: the ``size - ceil(threshold * size) + 1`` smallest shingle hashes. A
+  document that holds the wanted share of the item misses at most ``k - 1``
+  of its shingles, so it holds at least one hash of the sketch. The test on
+  the sketch is therefore true for every pair that reaches the threshold and
+  changes no row; items are not grouped by size. (Banded sketches of whole
+  documents cannot stand in for the index: a short item's Jaccard similarity
+  to a long document is close to zero.)
 
 Sketches and item shingles go to the tasks by broadcast only while their
 measured count is at most ``max_broadcast`` hashes (8 bytes each); beyond it
