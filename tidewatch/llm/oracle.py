@@ -99,9 +99,40 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM ordered GROUP BY conv_id"""
 
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY doc_id, t),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+m AS (SELECT doc_id, 100 - 50 + ((50 * len(w) * c.n) // c.l) AS m FROM d, c WHERE len(w) > 0),
+it AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY t, c.n),
+s AS (SELECT item_id, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM it JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (doc_id) GROUP BY item_id, tf.doc_id)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score FROM s WHERE score > 0) WHERE rank <= 50"""
+
+OP12 = """
+WITH c AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+  FROM c a JOIN c b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.a AS anchor_id, p.b AS positive_id,
+    CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS INTEGER) AS rank,
+    s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT * FROM n WHERE rank <= 3"""
+
+
 ORACLE = {
     "op1_near_dedup": OP1,
     "op3_secret_scan": _secret_sql(),
     "op9_chat_format": _chat_sql(),
     "op10_decontaminate": OP10,
+    "op11_ranked_search": OP11,
+    "op12_hard_negatives": OP12,
 }

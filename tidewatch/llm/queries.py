@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, contain, htmltext, langid, neardup, pieces, pii, quality, repeats, secrets
+from tidewatch.llm import chat, contain, covertree, discriminant, htmltext, langid, lexsearch, neardup, pieces, pii
+from tidewatch.llm import quality, repeats, secrets
 from tidewatch.llm.oracle import ORACLE  # noqa: F401 (read by __spark_entry__.py)
 
 
@@ -81,6 +82,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contain.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexsearch.build_index(_table(spark, sf_dir, "documents"))
+    return lexsearch.search(index, _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = covertree.scaled_vectors(rows, "vec_id", "embedding", label)
+    return covertree.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = ~langid.held_out(F.col("doc_id"))
+    out = discriminant.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_secret_scan": op3_secret_scan,
@@ -92,4 +111,7 @@ QUERIES = {
     "op7_repeat_removal": op7_repeat_removal,
     "op8_personal_data": op8_personal_data,
     "op9_chat_format": op9_chat_format,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality_classifier": op13_quality_classifier,
 }
