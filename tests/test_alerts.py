@@ -145,3 +145,79 @@ def test_alert_policy_when_the_budget_binds(spark):
     kept = alert_policy(df, order_cols=["event_id"], params=AlertParams(max_alerts_per_minute=1))
     assert sorted(r.event_id for r in kept.collect()) == [0, 2]
     assert kept.columns == df.columns
+
+
+def test_machine_jumps_equal_step_by_step():
+    """The jumping machine against the row loop: random keys, ties, budgets,
+    carried state, and rows out of time order."""
+    import copy
+
+    import numpy as np
+    from tidewatch.functions.alert_machine import MachineState, _by_row, run_machine
+
+    rng = np.random.default_rng(2)
+    for case in range(300):
+        n, gap_d, gap_r, limit = int(rng.integers(0, 60)), int(rng.integers(0, 30)), int(rng.integers(0, 30)), int(rng.integers(0, 4))
+        ts = np.cumsum(rng.integers(0, int(rng.integers(1, 12)) + 1, n)).astype(np.int64)
+        if case % 5 == 0:
+            rng.shuffle(ts)
+        keys = [("f", str(k)) for k in rng.integers(0, int(rng.integers(1, 5)), n)]
+        state = MachineState()
+        _by_row(np.sort(rng.integers(-40, 0, 6)), [("f", "0"), ("f", "1"), ("g", None)] * 2, state, gap_d, gap_r, limit)
+        other = copy.deepcopy(state)
+        got = run_machine(ts, keys, state, gap_d, gap_r, limit)
+        want = _by_row(ts, keys, other, gap_d, gap_r, limit)
+        assert got.tolist() == want.tolist() and state.text() == other.text(), case
+
+
+def _stream_without_silence(spark, n=3000, mean=20.0, seed=5):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    t = np.round(np.cumsum(rng.exponential(mean, n)), 3)
+    rows = [(i, _ts(float(x)), ["f", "g", "h"][int(rng.integers(0, 3))]) for i, x in enumerate(t)]
+    df = spark.createDataFrame([(i, ts, k, "zscore") for i, ts, k in rows],
+                               "event_id long, ts timestamp_ntz, feature string, anomaly_type string")
+    return rows, df
+
+
+def test_slices_are_joined_by_their_states(spark, monkeypatch):
+    """An unbroken stream under a binding budget: all slices are folded in one
+    job, then only those whose entry state was another; far fewer jobs than slices."""
+    from tidewatch.operators import alerts
+
+    rows, df = _stream_without_silence(spark)
+    p = AlertParams(max_alerts_per_minute=2, rate_window_seconds=300.0, dedup_window_seconds=120.0)
+    want = _machine([(i, ts, (k, "zscore")) for i, ts, k in rows], 120.0, 300.0, 2)
+    jobs, step = [], alerts.policy_step
+
+    def counted(rows, *more):
+        jobs.append(rows.select("_slice").distinct().count() if "_slice" in rows.columns else 0)
+        return step(rows, *more)
+
+    monkeypatch.setattr(alerts, "policy_step", counted)
+    got = {r.event_id: r.status for r in alerts.coupled_alert_policy(df, order_cols=["event_id"], params=p, fold_rows=500).collect()}
+    assert got == want and "rate_limited" in want.values()
+    sliced = [j for j in jobs if j]
+    assert sliced[0] == 6 and len(sliced) < 6 and sum(sliced) < 18, jobs
+
+
+def test_budgets_that_hold_never_meet_the_machine(spark, monkeypatch):
+    """Defaults cannot bind with few keys; a long segment whose windows are not
+    exceeded is final as the distributed operators leave it."""
+    from tidewatch.operators import alerts
+
+    rows, df = _stream_without_silence(spark, n=900, mean=3.0)
+    step = alerts.policy_step
+
+    def small_only(rows, *more):
+        assert rows.count() == 0
+        return step(rows, *more)
+
+    monkeypatch.setattr(alerts, "policy_step", small_only)
+    for gap, limit in ((300.0, 100), (30.0, 12)):
+        p = AlertParams(max_alerts_per_minute=limit, dedup_window_seconds=gap)
+        want = _machine([(i, ts, (k, "zscore")) for i, ts, k in rows], gap, 60.0, limit)
+        assert alerts.budget_cannot_bind(df, [], p) == (gap == 300.0)
+        got = {r.event_id: r.status for r in alerts.coupled_alert_policy(df, order_cols=["event_id"], params=p, fold_rows=100).collect()}
+        assert got == want and "rate_limited" not in want.values()

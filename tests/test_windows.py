@@ -138,3 +138,28 @@ def test_snapshot_of_a_large_window(spark):
     df = spark.range(5000).selectExpr("id AS ts", "if(id % 5 = 0, 'a', 'b') AS feature", "cast(id AS double) AS value")
     got = {r.feature: list(r["values"]) for r in window_snapshot(df, ["ts"], window=1500).collect()}
     assert got == {"a": [float(x) for x in range(0, 5000, 5)], "b": [float(x) for x in range(5000) if x % 5][-1500:]}
+
+
+@pytest.mark.parametrize("strategy", ["halo", "frame"])
+def test_reset_on_rows_without_a_value(spark, strategy):
+    """A reset on an absent row clears the window for the rows after it."""
+    import math
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    rows, want, window = [], {}, []
+    for i in range(200):
+        value = None if i % 4 == 1 else float("nan") if i % 10 == 3 else float((i * 37) % 11)
+        reset = i % 13 == 5 or i % 21 in (1, 2)
+        rows.append((i, "a" if i < 150 else "b", value, None if i % 8 == 0 and not reset else reset))
+        if i == 150 or reset:
+            window = []
+        if value is not None and not math.isnan(value):
+            window = [*window, value][-7:]
+            want[i] = (len(window), round(statistics.mean(window), 9) if len(window) > 1 else None, min(window) if len(window) > 1 else None)
+    df = spark.createDataFrame(rows, "i long, feature string, value double, reset boolean")
+    kw = {"block_size": 8} if strategy == "halo" else {}
+    out = rolling_stats(df, ["i"], window=7, reset_col="reset", strategy=strategy, **kw).select(
+        "i", "win_count", F.round("win_mean", 9).alias("m"), "win_min")
+    assert {r.i: (r.win_count, r.m, r.win_min) for r in out.collect()} == want

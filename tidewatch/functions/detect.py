@@ -67,18 +67,36 @@ def detect(df: DataFrame, params: DetectorParams = DetectorParams(), value_col:
     )
 
 
+#: the evidence record of an alert, whichever detector found it
+DETAILS_FIELDS = (
+    ("zscore", "double"), ("zscore_threshold", "double"), ("zscore_flag", "boolean"), ("iqr", "double"),
+    ("lower_fence", "double"), ("upper_fence", "double"), ("iqr_flag", "boolean"), ("window_mean", "double"),
+    ("window_std", "double"), ("window_count", "bigint"), ("reason", "string"),
+    ("detector", "string"), ("raw_score", "double"), ("prediction", "int"), ("total_samples_seen", "bigint"),
+)
+DETAILS_TYPE = "struct<" + ",".join(f"{n}:{t}" for n, t in DETAILS_FIELDS) + ">"
+
+
+def _record(**known: Column) -> Column:
+    return F.struct(*[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in DETAILS_FIELDS])
+
+
 def details(params: DetectorParams = DetectorParams()) -> Column:
-    """Evidence record of one verdict as a STRUCT (absent keys are NULL)."""
-    return F.struct(
-        F.col("zscore").alias("zscore"),
-        F.lit(params.zscore_threshold).alias("zscore_threshold"),
-        F.col("z_flag").alias("zscore_flag"),
-        F.col("win_iqr").alias("iqr"),
-        F.col("lower_fence").alias("lower_fence"),
-        F.col("upper_fence").alias("upper_fence"),
-        F.col("iqr_flag").alias("iqr_flag"),
-        F.col("win_mean").alias("window_mean"),
-        F.col("win_std").alias("window_std"),
-        F.col("win_count").alias("window_count"),
-        F.col("reason").alias("reason"),
+    """Evidence record of one statistical verdict, made with the parameters of
+    :func:`detect`, as a STRUCT (absent keys are NULL)."""
+    return _record(
+        zscore=F.col("zscore"), zscore_threshold=F.lit(params.zscore_threshold), zscore_flag=F.col("z_flag"),
+        iqr=F.col("win_iqr"), lower_fence=F.col("lower_fence"), upper_fence=F.col("upper_fence"),
+        iqr_flag=F.col("iqr_flag"), window_mean=F.col("win_mean"), window_std=F.col("win_std"),
+        window_count=F.col("win_count"), reason=F.col("reason"),
+    )
+
+
+def forest_details() -> Column:
+    """Evidence record of one forest verdict: its raw score, the prediction
+    (-1 anomalous, 1 not) and the number of vectors seen up to it."""
+    return _record(
+        detector=F.lit("isolation_forest"), raw_score=F.col("raw_score"),
+        prediction=F.when(F.col("is_anomaly"), F.lit(-1)).otherwise(F.lit(1)), total_samples_seen=F.col("n"),
+        reason=F.col("reason"),
     )

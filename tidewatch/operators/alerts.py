@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.chain import TS_US, chain_windows
@@ -91,6 +91,11 @@ def expired_dedup_keys(
     return last.filter(age > F.lit(int(params.dedup_window_seconds * 1_000_000)))
 
 
+def _gaps(params: AlertParams) -> tuple[int, int, int]:
+    micros = (int(round(x * 1_000_000)) for x in (params.dedup_window_seconds, params.rate_window_seconds))
+    return (*micros, int(params.max_alerts_per_minute))
+
+
 def policy_step(
     rows: DataFrame,
     state: DataFrame | None,
@@ -102,57 +107,119 @@ def policy_step(
 
     ``rows`` have ``_ts_us`` (event time), ``feature`` and ``anomaly_type`` and
     are taken in ``order_cols`` order. ``state(_g, _state)`` holds the machine's
-    state by group. Adds ``status`` and, on a group's last row, ``_state``; the
-    group's name is in ``_g``. A row is a ``duplicate`` while less than the
-    dedup window has passed since its key's last emission (also if it is older
-    than that); else it is ``emitted`` if the rate window has budget, else
-    ``rate_limited``, and then leaves no trace in the dedup state. The state
-    has one entry per dedup key.
+    state by group. Adds ``status`` (see :mod:`tidewatch.functions.alert_machine`)
+    and, on a group's last row, ``_state`` and ``_until``, the time from which
+    that state no longer matters; the group's name is in ``_g``. The state has
+    one entry per dedup key.
     """
-    import json
-
     import pandas as pd
     from pyspark.sql import types as T
 
-    gap_d = int(round(params.dedup_window_seconds * 1_000_000))
-    gap_r = int(round(params.rate_window_seconds * 1_000_000))
-    limit = int(params.max_alerts_per_minute)
-    named = rows.withColumn("_g", F.to_json(F.struct(F.lit(0).alias("all"), *group_cols)))
-    schema = T.StructType([*named.schema.fields, T.StructField("status", T.StringType()), T.StructField("_state", T.StringType())])
-    if state is None:
-        state = rows.sparkSession.createDataFrame([], "_g string, _state string")
+    from tidewatch.functions.alert_machine import STATUS, MachineState, run_machine
 
-    def fold(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:  # state of a group that has no rows this time
-            return pdf.assign(status=pd.Series(dtype=object), _state=pd.Series(dtype=object))
+    gap_d, gap_r, limit = _gaps(params)
+    named = rows.withColumn("_g", _group_name(group_cols))
+    more = [("status", T.StringType()), ("_state", T.StringType()), ("_until", T.LongType())]
+    schema = T.StructType([*named.schema.fields, *(T.StructField(n, t) for n, t in more)])
+
+    def fold(pdf: pd.DataFrame, held: str | None) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order_cols), kind="stable").reset_index(drop=True)
-        last: dict = {}
-        start, count = None, 0
-        if len(held):
-            was = json.loads(held["_state"].iloc[0])
-            last = {(f, a): t for f, a, t in was["last"]}
-            start, count = was["start"], was["count"]
-        status = []
-        for t, k in zip(pdf[TS_US].tolist(), zip(pdf["feature"].tolist(), pdf["anomaly_type"].tolist())):
-            before = last.get(k)
-            if before is not None and t - before < gap_d:
-                status.append("duplicate")
-                continue
-            if start is None or t - start >= gap_r:
-                start, count = t, 0
-            if count < limit:
-                count += 1
-                last[k] = t
-                status.append("emitted")
-            else:
-                status.append("rate_limited")
-        pdf["status"] = status
+        machine = MachineState(held)
+        keys = list(zip(pdf["feature"].tolist(), pdf["anomaly_type"].tolist()))
+        pdf["status"] = STATUS[run_machine(pdf[TS_US].to_numpy(dtype="int64"), keys, machine, gap_d, gap_r, limit)]
         pdf["_state"] = None
-        now = {"last": [[f, a, t] for (f, a), t in last.items()], "start": start, "count": count}
-        pdf.loc[len(pdf) - 1, "_state"] = json.dumps(now)
+        pdf["_until"] = pd.array([pd.NA] * len(pdf), dtype="Int64")
+        pdf.loc[len(pdf) - 1, "_state"] = machine.text()
+        pdf.loc[len(pdf) - 1, "_until"] = machine.until(gap_d, gap_r)
         return pdf
 
-    return named.groupBy("_g").cogroup(state.select("_g", "_state").groupBy("_g")).applyInPandas(fold, schema)
+    if state is None:
+        return named.groupBy("_g").applyInPandas(lambda pdf: fold(pdf, None), schema)
+
+    def go_on(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:  # state of a group that has no rows this time
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        return fold(pdf, held["_state"].iloc[0] if len(held) else None)
+
+    return named.groupBy("_g").cogroup(state.select("_g", "_state").groupBy("_g")).applyInPandas(go_on, schema)
+
+
+def _group_name(group_cols: Sequence[str]):
+    return F.to_json(F.struct(F.lit(0).alias("all"), *[F.col(c) for c in group_cols]))
+
+
+def _fold_slices(cut: DataFrame, state: DataFrame | None, params: AlertParams) -> tuple[DataFrame, DataFrame]:
+    """Runs of rows ``(_run, _slice, _gpos, ...)`` through the machine, their slices
+    side by side: (rows with ``status``, (_run, _state, _until) after each run).
+
+    Every slice is folded from an entry state, which gives its exit state: one
+    point of its transfer function. In the first round a run's first slice
+    enters with ``state(_run, _state)`` and the others with none; then each
+    slice whose entry is not the exit of the slice before it is folded again,
+    all such slices in one job, until entries and exits meet. States are
+    compared without what can no longer matter to the slice, so a stretch in
+    which the machine forgets its past (a pause for each key and the budget,
+    or openings that coincide) ends the rounds. A round settles at least one
+    more slice of every run.
+    """
+    import pandas as pd
+
+    from tidewatch.functions.alert_machine import MachineState
+    from tidewatch.operators.positions import GPOS
+    from tidewatch.session import materialize
+
+    gap_d, gap_r, _ = _gaps(params)
+    at = ["_run", "_slice"]
+    starts = cut.groupBy(*at).agg(F.min(TS_US).alias("_from"))
+    later = Window.partitionBy("_run").orderBy("_slice").rowsBetween(0, Window.unboundedFollowing)
+    slices = materialize(starts.withColumn("_from", F.min("_from").over(later)), "policy-slices")
+
+    def entries(exits: DataFrame) -> DataFrame:
+        """The states as they matter to their slices."""
+        def forget(batches):
+            for pdf in batches:
+                for i, (text, start) in enumerate(zip(pdf["_state"], pdf["_from"])):
+                    pdf.loc[i, "_state"] = MachineState(text).forget(int(start), gap_d, gap_r).text()
+                yield pdf[[*at, "_state"]]
+
+        known = exits.join(slices, at).select(*at, "_state", "_from")
+        return known.mapInPandas(forget, known.drop("_from").schema)
+
+    def fold(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+        named = None if known is None else known.select(_group_name(at).alias("_g"), "_state")
+        return materialize(policy_step(rows, named, at, [GPOS], params), "policy-fold")
+
+    blank = MachineState().text()
+    used = slices.select(*at).withColumn("_state", F.lit(blank))
+    if state is not None:
+        first = slices.groupBy("_run").agg(F.min("_slice").alias("_slice"))
+        given = entries(state.join(first, "_run").select(*at, "_state"))
+        used = used.drop("_state").join(given, at, "left").withColumn("_state", F.coalesce("_state", F.lit(blank)))
+    used = materialize(used.withColumn("_round", F.lit(0)), "policy-entries")
+    rounds = [fold(cut, used if state is not None else None).withColumn("_round", F.lit(0))]
+    many = slices.filter("_slice > 0").limit(1).count()
+    ends = rounds[0].filter("_state is not null").select(*at, "_state", "_until")
+    while many:
+        shifted = ends.select("_run", (F.col("_slice") + 1).alias("_slice"), "_state")
+        met = entries(shifted).withColumnRenamed("_state", "_now").join(used, at)
+        wrong = materialize(met.filter("_now <> _state").select(*at, F.col("_now").alias("_state")), "policy-wrong")
+        if not wrong.limit(1).count():
+            break
+        n = len(rounds)
+        again = fold(cut.join(wrong.select(*at), at, "left_semi"), wrong).withColumn("_round", F.lit(n))
+        rounds.append(again)
+        anew = wrong.withColumn("_round", F.lit(n))
+        used = materialize(used.join(wrong.select(*at), at, "left_anti").unionByName(anew), "policy-entries")
+        fresh = again.filter("_state is not null").select(*at, "_state", "_until")
+        ends = materialize(ends.join(wrong.select(*at), at, "left_anti").unionByName(fresh), "policy-ends")
+    every = rounds[0]
+    for one in rounds[1:]:
+        every = every.unionByName(one)
+    if len(rounds) > 1:
+        every = materialize(every.join(used.select(*at, "_round"), [*at, "_round"], "left_semi"), "policy-rows")
+    tail = Window.partitionBy("_run").orderBy(F.desc("_slice"))
+    last = ends.withColumn("_n", F.row_number().over(tail)).filter("_n = 1").select("_run", "_state", "_until")
+    return every.drop("_round", "_g", "_state", "_until"), last
 
 
 def sliced_policy_step(
@@ -164,30 +231,36 @@ def sliced_policy_step(
     fold_rows: int = 1 << 20,
 ) -> tuple[DataFrame, DataFrame]:
     """:func:`policy_step` over groups of any size: (rows with ``status``, the
-    state after them of every group).
+    state ``(_g, _state, _until)`` after them of every group).
 
-    A group is folded ``fold_rows`` rows at a time in ``order_cols`` order, its
-    state carried from slice to slice, so no task holds more than a slice of a
-    group. Slices of one group run one after the other.
+    A group is cut into slices of ``fold_rows`` rows in ``order_cols`` order,
+    so no task holds more than a slice of a group; slices are folded side by
+    side (:func:`_fold_slices`).
     """
     from tidewatch.operators.positions import GPOS, PID, with_global_position
     from tidewatch.session import materialize
 
-    placed = materialize(with_global_position(rows, [*group_cols, *order_cols]).drop(PID), "policy-rows")
-    groups = [F.lit(0).alias("_all"), *[F.col(c) for c in group_cols]]
-    named = placed.withColumn("_grp", F.to_json(F.struct(*groups)))
-    sizes = materialize(named.groupBy("_grp").agg(F.min(GPOS).alias("_first"), F.count(F.lit(1)).alias("_n")), "policy-sizes")
-    most = sizes.agg(F.max("_n")).first()[0] or 0
-    cut = named.join(sizes.select("_grp", "_first"), "_grp").withColumn("_slice", F.expr(f"({GPOS} - _first) div {int(fold_rows)}"))
-    out = None
-    for i in range(max(1, -(-int(most) // fold_rows))):
-        part = cut.filter(F.col("_slice") == i).drop("_grp", "_first", "_slice")
-        done = materialize(policy_step(part, state, group_cols, [GPOS], params), "policy-slice")
-        new = done.filter(F.col("_state").isNotNull()).select("_g", "_state")
-        state = new if state is None else new.unionByName(state.join(new.select("_g"), "_g", "left_anti"))
-        one = done.drop(GPOS, "_g", "_state")
-        out = one if out is None else out.unionByName(one)
-    return out, state
+    named = rows.withColumn("_run", _group_name(group_cols))
+    placed = materialize(with_global_position(named, ["_run", *order_cols]).drop(PID), "policy-rows")
+    first = placed.groupBy("_run").agg(F.min(GPOS).alias("_first"))
+    cut = placed.join(first, "_run").withColumn("_slice", F.expr(f"({GPOS} - _first) div {int(fold_rows)}")).drop("_first")
+    held = None if state is None else state.select(F.col("_g").alias("_run"), "_state")
+    out, last = _fold_slices(cut, held, params)
+    new = last.select(F.col("_run").alias("_g"), "_state", "_until")
+    if state is not None:
+        new = new.unionByName(state.join(new.select("_g"), "_g", "left_anti").select("_g", "_state", "_until"))
+    return out.drop(GPOS, "_run", "_slice"), new
+
+
+def budget_cannot_bind(anomalies: DataFrame, scope_cols: Sequence[str], params: AlertParams) -> bool:
+    """Whether no rate window can run out of budget: it is no longer than the
+    dedup window, so each dedup key comes once at most, and no scope has more
+    keys than the budget allows."""
+    if params.rate_window_seconds > params.dedup_window_seconds:
+        return False
+    keys = anomalies.select(*scope_cols, "feature", "anomaly_type").distinct()
+    most = keys.groupBy(*scope_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return (most or 0) <= params.max_alerts_per_minute
 
 
 def coupled_alert_policy(
@@ -201,14 +274,21 @@ def coupled_alert_policy(
     """Dedup and rate limit as one state machine, in event order: adds
     ``status`` = emitted / duplicate / rate_limited (see :func:`policy_step`).
 
-    A silence of at least max(dedup window, rate window) resets all state, so
-    a scope's stream splits into independent segments at such silences (found
-    by global positions, see :mod:`tidewatch.operators.chain`). Whole segments
-    are packed into groups of about ``fold_rows`` rows and folded side by side.
-    A longer segment is folded slice by slice, ``fold_rows`` rows at a time,
-    with the machine's small state carried from slice to slice: the machine is
-    sequential by nature, so a stream without silences takes one job per
-    slice, but no task holds more than a slice.
+    What the distributed operators settle by themselves never meets the
+    machine:
+
+    * where no rate window can run out (:func:`budget_cannot_bind`), dedup
+      alone decides;
+    * a silence of at least max(dedup window, rate window) resets all state,
+      so a scope's stream splits into independent segments at such silences.
+      Segments up to ``fold_rows`` rows are packed into groups and folded side
+      by side;
+    * over longer segments the uncoupled dedup and rate windows run first. A
+      segment in which no window is exceeded is final as they leave it;
+    * longer segments whose budget binds are cut into slices that are folded
+      side by side and joined by their entry and exit states
+      (:func:`_fold_slices`).
+
     ``order_cols`` must order rows of equal time.
     """
     from tidewatch.operators.chain import _session_ids, epoch_micros
@@ -216,21 +296,48 @@ def coupled_alert_policy(
     from tidewatch.session import materialize
 
     scope = list(scope_cols)
-    gap = int(round(max(params.dedup_window_seconds, params.rate_window_seconds) * 1_000_000))
-    timed = anomalies.withColumn(TS_US, epoch_micros(anomalies, ts_col))
+    gap = max(_gaps(params)[:2])
+    timed = materialize(anomalies.withColumn(TS_US, epoch_micros(anomalies, ts_col)), "policy-in")
+    if budget_cannot_bind(timed, scope, params):
+        done = dedup_alerts(timed.drop(TS_US), ts_col, order_cols, scope, params)
+        return done.select(*anomalies.columns, "status")
     seg = materialize(_session_ids(with_global_position(timed, [*scope, TS_US, *order_cols]), scope, gap), "policy-segments")
     sizes = seg.groupBy("_sess").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_rows)
     long = materialize(sizes, "policy-long")  # at most rows / fold_rows entries
-    most = long.agg(F.max("_n")).first()[0]
-    short = seg if most is None else seg.join(long.select("_sess"), "_sess", "left_anti")
-    packed = short.withColumn("_pack", F.expr(f"_sess div {int(fold_rows)}"))
-    out = policy_step(packed, None, [*scope, "_pack"], [GPOS], params).select(*anomalies.columns, "status")
-    if most is None:
+    if not long.limit(1).count():
+        return _fold_packed(seg, scope, params, fold_rows).select(*anomalies.columns, "status")
+    short = seg.join(long.select("_sess"), "_sess", "left_anti")
+    out = _fold_packed(short, scope, params, fold_rows).select(*anomalies.columns, "status")
+    rows = materialize(seg.join(long.select("_sess"), "_sess", "left_semi"), "policy-long-rows")
+    free, bound = _speculate(rows, ts_col, order_cols, scope, params)
+    out = out.unionByName(free.select(*anomalies.columns, "status"))
+    if bound is None:
         return out
-    rows = seg.join(long.select("_sess"), "_sess", "left_semi").withColumn("_slice", F.expr(f"({GPOS} - _sess) div {int(fold_rows)}"))
-    state = None
-    for i in range(-(-int(most) // fold_rows)):
-        done = materialize(policy_step(rows.filter(F.col("_slice") == i), state, ["_sess"], [GPOS], params), "policy-slice")
-        state = done.filter(F.col("_state").isNotNull()).select("_g", "_state")
-        out = out.unionByName(done.select(*anomalies.columns, "status"))
-    return out
+    cut = rows.join(bound, "_sess", "left_semi").withColumn("_slice", F.expr(f"({GPOS} - _sess) div {int(fold_rows)}"))
+    done, _ = _fold_slices(cut.withColumn("_run", F.col("_sess").cast("string")), None, params)
+    return out.unionByName(done.select(*anomalies.columns, "status"))
+
+
+def _fold_packed(seg: DataFrame, scope: Sequence[str], params: AlertParams, fold_rows: int) -> DataFrame:
+    """Whole segments, packed into groups of about ``fold_rows`` rows."""
+    from tidewatch.operators.positions import GPOS
+
+    packed = seg.withColumn("_pack", F.expr(f"_sess div {int(fold_rows)}"))
+    return policy_step(packed, None, [*scope, "_pack"], [GPOS], params)
+
+
+def _speculate(
+    rows: DataFrame, ts_col: str, order_cols: Sequence[str], scope: Sequence[str], params: AlertParams
+) -> tuple[DataFrame, DataFrame | None]:
+    """Segments by the uncoupled rules: (rows with ``status`` of the segments
+    whose budget holds, the ids of the others or None)."""
+    from tidewatch.session import materialize
+
+    plain = rows.drop(TS_US).withColumnRenamed("_sess", "_segment")  # chain windows have sessions of their own
+    deduped = materialize(dedup_alerts(plain, ts_col, order_cols, ["_segment"], params).select(*plain.columns, "status"), "policy-dedup")
+    wanted = deduped.filter("status = 'emitted'").drop("status")
+    ranked = rate_limit(wanted, ts_col, order_cols, ["_segment"], params)
+    over = materialize(ranked.filter("rate_limited").select("_segment").distinct(), "policy-over")
+    if not over.limit(1).count():
+        return deduped, None
+    return deduped.join(over, "_segment", "left_anti"), over.withColumnRenamed("_segment", "_sess")

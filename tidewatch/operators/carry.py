@@ -1,17 +1,19 @@
 """Carry the last non-null value forward over a global order, in parallel.
 
 A window ``last(x, ignorenulls)`` over an un-partitioned order puts all rows
-in one task. Instead, rows are range-sorted (written once as a table, see
-:mod:`tidewatch.operators.positions`), each partition reports its last
-non-null value per column (a table of at most P rows), the carry-in of
-every partition is the last non-null of the partitions before it, and a
-forward fill inside each range partition finishes the job.
+in one task. Instead, rows are range-sorted and each partition is filled
+forward where it lies, a batch at a time, and written once as a table (see
+:mod:`tidewatch.operators.positions`). Each partition's last values (a table
+of at most P rows) give the carry-in of the partitions behind it, which fills
+the rows before a partition's first value. No row is shuffled a second time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +21,39 @@ from tidewatch.operators.positions import PID, range_sorted
 from tidewatch.session import materialize
 
 
+def _filled(column: pa.Array, held: pa.Array | None) -> tuple[pa.Array, pa.Array]:
+    """``column`` with nulls replaced by the last value before them (``held``
+    stands before the first), and its last value as an array of one row."""
+    known = np.asarray(column.is_valid())
+    at = np.maximum.accumulate(np.where(known, np.arange(len(column)), -1))
+    if held is None:
+        held = pa.nulls(1, column.type)
+    whole = pa.concat_arrays([held.cast(column.type), column])
+    out = whole.take(pa.array(at + 1))
+    return out, out.slice(len(out) - 1)
+
+
 def carry_forward(df: DataFrame, order_cols: Sequence[str], cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
     """Replace NULLs in ``cols`` by the last non-null value earlier in ``order_cols`` order."""
-    ranged = materialize(range_sorted(df, order_cols, num_partitions), "carry")
-    summary = ranged.groupBy(PID).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_loc"))).alias(f"_last_{c}") for c in cols]
-    )
-    col_list = list(cols)
+    wanted = list(cols)
+    ranged = range_sorted(df, order_cols, num_partitions)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, pa.Array] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            made = []
+            for name in b.schema.names:
+                column = b.column(name)
+                if name in wanted:
+                    column, held[name] = _filled(column, held.get(name))
+                made.append(column)
+            yield pa.RecordBatch.from_arrays(made, b.schema.names)
+
+    table = materialize(ranged.mapInArrow(fill, ranged.schema), "carry")
+    ends = table.groupBy(PID).agg(F.max_by(F.struct(*wanted), "_loc").alias("_end"))
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    carry_in = summary.select(PID, *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_in_{c}") for c in cols])
-    # within each range partition: last non-null so far, else the carry-in.
-    # Partitioned by the stored partition id, so the result does not depend
-    # on how the written table is split into read tasks; each group is one
-    # range partition (bounded by the partition size).
-    upto = Window.partitionBy(PID).orderBy("_loc").rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(F.broadcast(carry_in), PID, "left")
-    filled = joined.select(
-        *[c for c in ranged.columns if c not in col_list and c not in (PID, "_loc")],
-        *[F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_in_{c}")).alias(c) for c in col_list],
-    )
-    return filled.select(*[c for c in df.columns])
+    carry_in = ends.select(PID, *[F.last(F.col("_end")[c], ignorenulls=True).over(before).alias(f"_in_{c}") for c in wanted])
+    out = table.join(F.broadcast(carry_in), PID, "left")
+    return out.select(*[F.coalesce(c, f"_in_{c}").alias(c) if c in wanted else F.col(c) for c in df.columns])

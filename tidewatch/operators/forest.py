@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions.detect import forest_details
 from tidewatch.functions.iforest import build_forest, offset_for, score_samples
 from tidewatch.session import materialize
 from tidewatch.operators.positions import GPOS, PID, with_global_position
@@ -189,7 +190,8 @@ def _untrained(epochs: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def forest_anomalies(scored: DataFrame, scale: float = 5.0) -> DataFrame:
     """Forest verdicts as anomaly rows: feature ``multi_feature``, value =
-    normalised score, score x ``scale`` (severity range), type ``zscore``."""
+    normalised score, score x ``scale`` (severity range), type ``zscore``, and
+    the evidence in ``details``."""
     return scored.filter("is_anomaly").select(
         *[c for c in scored.columns if c not in ("score", "raw_score", "is_anomaly", "reason")],
         F.lit("multi_feature").alias("feature"),
@@ -198,6 +200,7 @@ def forest_anomalies(scored: DataFrame, scale: float = 5.0) -> DataFrame:
         F.lit("zscore").alias("anomaly_type"),
         F.lit("isolation_forest").alias("detector"),
         "raw_score",
+        forest_details().alias("details"),
     )
 
 

@@ -7,36 +7,39 @@ Two physical strategies, same numbers:
               key meet in one task and the frame is re-evaluated per row, so it
               suits many small keys and small N only.
 
-``halo``   -- skew-proof: rows get a global position in ``(keys, order)``
-              order (range partitioning, no single-partition window), are cut
-              into fixed blocks of B rows, and each block also receives the
-              N-1 rows before it (the halo). ``groupBy(block).applyInPandas``
-              then computes every window from rows it already holds. Work per
-              task is bounded by B + N - 1 rows whatever the key skew; the
-              halo copies add (N-1)/B extra rows.
+``halo``   -- skew-proof: rows are range-partitioned and sorted by
+              ``(keys, order)`` (a hot key spreads over many partitions) and
+              each partition is read through once, where it lies, in bounded
+              steps that carry the last N-1 values along. Rows whose window
+              reaches back into the partition before (at most N-1, its edge)
+              are set aside; only they and the last N-1 rows of the partitions
+              before them move, P x 2(N-1) rows in all, and are finished apart.
+              No other row is shuffled again.
 
 ``auto`` picks ``halo``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.window_kernel import STAT_NAMES, window_stats
-from tidewatch.operators.positions import GPOS, PID, with_global_position
+from tidewatch.operators.positions import PID, default_partitions, range_sorted
+from tidewatch.session import materialize
 
 STAT_FIELDS = [T.StructField("win_count", T.LongType())] + [
     T.StructField(n, T.DoubleType()) for n in STAT_NAMES[1:]
 ]
 
 
-def _default_block(window: int) -> int:
+def _default_step(window: int) -> int:
     return max(8 * window, 8192)
 
 
@@ -59,20 +62,23 @@ def rolling_stats(
     ``win_std`` (sample), ``win_min``, ``win_max``, ``win_p25``,
     ``win_median``, ``win_p75``, ``win_iqr``, ``zscore`` of the row's value
     (0 when the deviation is 0). Statistics are NULL while the window holds
-    fewer than two values. ``reset_col`` (boolean) clears the window before
+    fewer than two values. ``block_size`` rows are computed at a time in a
+    task. ``reset_col`` (boolean) clears the window before
     the row is added. ``order_cols`` must make a total order within a key.
 
     Rows whose value is NULL or NaN are absent: they enter no window and give
-    no row (put a reset on a row with a value).
+    no row; a reset on one clears the window for the rows after it.
     """
     if window < 1:
         raise ValueError("window must be >= 1")
     keep = list(passthrough) if passthrough is not None else list(df.columns)
     needed = list(dict.fromkeys([*key_cols, *order_cols, value_col, *([reset_col] if reset_col else []), *keep]))
-    src = df.select(*needed).filter(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
+    present = F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))
+    resets = F.coalesce(F.col(reset_col).cast("boolean"), F.lit(False)) if reset_col else F.lit(False)
+    src = df.select(*needed).filter(present | resets)
     if strategy in ("auto", "halo"):
         out = _halo(src, list(order_cols), list(key_cols), value_col, window, reset_col, keep,
-                    block_size or _default_block(window), num_partitions)
+                    block_size or _default_step(window), num_partitions)
     elif strategy == "frame":
         out = _frame(src, list(order_cols), list(key_cols), value_col, window, reset_col)
         out = out.select(*keep, *[f.name for f in STAT_FIELDS])
@@ -90,6 +96,7 @@ def _frame(df, order_cols, key_cols, value_col, window, reset_col) -> DataFrame:
     if reset_col:
         grow = Window.partitionBy(*key_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn("_epoch", F.sum(F.coalesce(F.col(reset_col), F.lit(False)).cast("long")).over(grow))
+        df = df.filter(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
         keys.append("_epoch")
     w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(-(window - 1), 0)
     v = F.col(value_col)
@@ -128,51 +135,138 @@ def _frame(df, order_cols, key_cols, value_col, window, reset_col) -> DataFrame:
 # halo strategy (global positions + bounded blocks)
 # ---------------------------------------------------------------------------
 
-def segment_starts(pdf: pd.DataFrame, key_cols: Sequence[str], reset_col: str | None) -> np.ndarray:
-    """Index of the first row of each row's segment (rows sorted by position)."""
-    n = len(pdf)
-    new = np.zeros(n, dtype=bool)
-    if n:
-        new[0] = True
+DONE, EDGE, TAIL = 0, 1, 2
+
+
+def _key_codes(batch: pa.RecordBatch, key_cols: Sequence[str]) -> np.ndarray:
+    """True where a row's keys differ from those of the row before (row 0: True)."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[:1] = True
     for k in key_cols:
-        codes, _ = pd.factorize(pdf[k], use_na_sentinel=True)
+        col = batch.column(k)
+        codes = col.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
         new[1:] |= codes[1:] != codes[:-1]
-    if reset_col:
-        new |= pdf[reset_col].fillna(False).to_numpy(dtype=bool)
-    idx = np.arange(n)
-    return np.maximum.accumulate(np.where(new, idx, 0)) if n else idx
-
-
-def _halo(df, order_cols, key_cols, value_col, window, reset_col, keep, block, num_partitions) -> DataFrame:
-    if block < window - 1:
-        raise ValueError("block_size must be >= window - 1")
-    halo = window - 1
-    pos = with_global_position(df, [*key_cols, *order_cols], num_partitions).drop(PID)
-    blk = F.expr(f"{GPOS} div {block}")
-    grp = F.array(blk)
-    if halo > 0:
-        grp = F.when(F.expr(f"{GPOS} % {block}") >= block - halo, F.array(blk, blk + 1)).otherwise(grp)
-    blocks = pos.withColumn("_blk", blk).withColumn("_grp", F.explode(grp))
-
-    in_fields = {f.name: f for f in df.schema.fields}
-    out_schema = T.StructType([in_fields[c] for c in keep] + STAT_FIELDS)
-    fn = _block_fn(list(key_cols), value_col, reset_col, window, list(keep))
-    return blocks.groupBy("_grp").applyInPandas(fn, out_schema)
-
-
-def _block_fn(key_cols, value_col, reset_col, window, keep):
-    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(GPOS, kind="stable").reset_index(drop=True)
-        seg = segment_starts(pdf, key_cols, reset_col)
-        own = (pdf["_blk"].to_numpy() == pdf["_grp"].to_numpy())
-        rows = np.flatnonzero(own)
-        st = window_stats(pdf[value_col].to_numpy(dtype=np.float64), seg, window, rows)
-        out = pdf.loc[own, keep].reset_index(drop=True)
-        for name in STAT_NAMES:
-            out[name] = st[name]
-        return out
-
-    return compute
+    return new
+
+
+def _stat_columns(stats: dict[str, np.ndarray]) -> list[pa.Array]:
+    return [pa.array(stats[n], pa.int64() if n == "win_count" else pa.float64(), from_pandas=True) for n in STAT_NAMES]
+
+
+class _Reader:
+    """Windows over one sorted range partition, a step of rows at a time.
+
+    ``held`` are the last N-1 values of the open segment (a key's rows since
+    its start or last reset); ``whole`` says whether that segment began in
+    this partition, so that its windows need nothing from before it."""
+
+    def __init__(self, key_cols, value_col, reset_col, window):
+        self.key_cols, self.value_col, self.reset_col, self.window = key_cols, value_col, reset_col, window
+        self.held, self.whole, self.key = np.zeros(0), False, None
+
+    def step(self, part: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """(statistics of all rows, finished rows, absent rows)."""
+        n, window = part.num_rows, self.window
+        values = part.column(self.value_col).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+        absent = np.isnan(values)  # rows that only reset
+        new = _key_codes(part, self.key_cols)
+        key = tuple(part.column(k)[0].as_py() for k in self.key_cols)
+        new[0] = self.key is not None and key != self.key
+        if self.reset_col:
+            new |= part.column(self.reset_col).cast(pa.bool_()).fill_null(False).to_numpy(zero_copy_only=False)
+        k = len(self.held)
+        at = np.arange(n) + k
+        start = np.maximum.accumulate(np.where(new, at + absent, 0))
+        every = np.concatenate([self.held, values])
+        stats = window_stats(every, np.concatenate([np.zeros(k, np.int64), start]), window, at)
+        began = np.logical_or.accumulate(new) | self.whole
+        full = at - start + 1 >= window
+        done = (began | full) & ~absent
+        # on to the next step: the open segment's last values
+        self.key = tuple(part.column(k)[n - 1].as_py() for k in self.key_cols)
+        self.whole = bool(began[-1])
+        self.held = every[max(start[-1], len(every) - (window - 1)) :] if window > 1 else np.zeros(0)
+        return stats, done, absent
+
+
+def _halo(df, order_cols, key_cols, value_col, window, reset_col, keep, step, num_partitions) -> DataFrame:
+    """See the module's head. The written table holds finished rows with their
+    statistics (``_kind`` DONE), rows of a partition's edge (EDGE) and copies
+    of its last N-1 rows (TAIL)."""
+    own = [*dict.fromkeys([*keep, *key_cols, value_col, *([reset_col] if reset_col else [])])]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    place = [T.StructField(PID, T.IntegerType()), T.StructField("_loc", T.LongType()), T.StructField("_kind", T.IntegerType())]
+    schema = T.StructType([*(T.StructField(c, types[c]) for c in own), *place, *STAT_FIELDS])
+    names = [f.name for f in schema.fields]
+
+    def rows(part: pa.RecordBatch, at: np.ndarray, kind: int, stats: dict[str, np.ndarray] | None) -> pa.RecordBatch:
+        cols = part.take(pa.array(at)).select([*own, PID, "_loc"])
+        made = [pa.array(np.full(len(at), kind, np.int32))]
+        if stats is None:
+            made += [pa.nulls(len(at), pa.int64() if n == "win_count" else pa.float64()) for n in STAT_NAMES]
+        else:
+            made += _stat_columns({n: v[at] for n, v in stats.items()})
+        return pa.RecordBatch.from_arrays([*cols.columns, *made], names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, last = _Reader(key_cols, value_col, reset_col, window), []
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                stats, done, absent = reader.step(part)
+                yield rows(part, np.flatnonzero(done), DONE, stats)
+                edge = np.flatnonzero(~done & ~absent)
+                if len(edge):
+                    yield rows(part, edge, EDGE, None)
+                if window > 1:
+                    last = _last_rows([*last, part], window - 1)
+        for part in last:
+            yield rows(part, np.arange(part.num_rows), TAIL, None)
+
+    ranged = range_sorted(df.select(*dict.fromkeys([*own, *order_cols])), [*key_cols, *order_cols], num_partitions)
+    table = materialize(ranged.select(*own, PID, "_loc").mapInArrow(read, schema), "windows")
+    done = table.filter(F.col("_kind") == DONE).select(*keep, *[f.name for f in STAT_FIELDS])
+    if window == 1:
+        return done
+    edges = _edges(table, key_cols, value_col, reset_col, window, own, schema)
+    return done.unionByName(edges.select(*keep, *[f.name for f in STAT_FIELDS]))
+
+
+def _last_rows(parts: list[pa.RecordBatch], n: int) -> list[pa.RecordBatch]:
+    """The last ``n`` rows of consecutive batches."""
+    out = []
+    for part in reversed(parts):
+        if n <= 0:
+            break
+        out.append(part.slice(max(0, part.num_rows - n)))
+        n -= out[-1].num_rows
+    return out[::-1]
+
+
+def _edges(table: DataFrame, key_cols, value_col, reset_col, window, own, schema) -> DataFrame:
+    """The edge rows with their statistics: each partition's edge meets the
+    last N-1 rows before it (of the partition before, or of several if they
+    are short)."""
+    spark = table.sparkSession
+    ends = table.filter(F.col("_kind") == TAIL).groupBy(PID).agg((F.max("_loc") + 1).alias("n")).orderBy(PID).collect()
+    # one number per partition: where each begins in the whole order
+    pids, n = [r[PID] for r in ends], np.array([r["n"] for r in ends], np.int64)
+    first = np.concatenate(([0], np.cumsum(n)))[:-1]
+    upto = np.searchsorted(first, first + n + window - 1, side="left")  # partitions that reach back into this one
+    goes = [(p, pids[j]) for i, p in enumerate(pids) for j in range(i + 1, int(upto[i]))]
+    targets = spark.createDataFrame(goes, f"{PID} int, _to int")
+    sent = table.filter(F.col("_kind") == TAIL).join(F.broadcast(targets), PID)
+    edge = table.filter(F.col("_kind") == EDGE).withColumn("_to", F.col(PID))
+
+    def finish(group: pa.Table) -> pa.Table:
+        part = group.sort_by([(PID, "ascending"), ("_loc", "ascending")]).combine_chunks().to_batches()[0]
+        stats, _, _ = _Reader(key_cols, value_col, reset_col, window).step(part)
+        at = np.flatnonzero(part.column("_kind").to_numpy() == EDGE)
+        cols = part.select([*own, PID, "_loc", "_kind"]).take(pa.array(at))
+        made = _stat_columns({n: v[at] for n, v in stats.items()})
+        return pa.Table.from_arrays([*cols.columns, *made], [f.name for f in schema.fields])
+
+    return sent.unionByName(edge).groupBy("_to").applyInArrow(finish, schema)
 
 
 # ---------------------------------------------------------------------------
@@ -193,17 +287,63 @@ def score_against(stats: DataFrame, values: DataFrame, on: Sequence[str], value_
     return j.withColumn("zscore", z)
 
 
+#: rows a task holds before it hands its candidates on
+HELD = 1 << 18
+
+
+def _keep_last(rows: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], n: int) -> DataFrame:
+    """At most ``n`` rows of each key of each partition (or of each ``HELD``
+    rows of a partition that holds very many keys): its last ones."""
+    keys = list(key_cols)
+    order = [*[(k, "ascending") for k in keys], *[(c, "descending") for c in order_cols]]
+
+    def last(table: pa.Table) -> pa.Table:
+        # nulls order first in Spark, so they come last from the end
+        table = table.take(pc.sort_indices(table, order, null_placement="at_end")).combine_chunks()
+        if not table.num_rows:
+            return table
+        new = _key_codes(table.to_batches()[0], keys)
+        at = np.arange(table.num_rows)
+        rank = at - np.maximum.accumulate(np.where(new, at, 0))
+        return table.filter(pa.array(rank < n))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept = [], 0
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) - kept < max(4 * n, 1 << 15):
+                continue
+            best = last(pa.Table.from_batches(held))
+            if best.num_rows > HELD:
+                yield from best.to_batches()
+                held, kept = [], 0
+            else:
+                held, kept = best.to_batches(), best.num_rows
+        if held:
+            yield from last(pa.Table.from_batches(held)).to_batches()
+
+    return rows.mapInArrow(work, rows.schema)
+
+
 def last_rows(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], n: int) -> DataFrame:
-    """The last ``n`` rows of each key, with their global position.
+    """The last ``n`` rows of each key in ``order_cols`` order, with their
+    number from the end of the key in ``_back`` (1: the last).
 
-    A row belongs to them if fewer than ``n`` rows lie behind it up to its
-    key's end (one aggregate over positions in (keys, order) order). No key is
-    gathered in a task whatever ``n`` is.
+    Every task keeps a key's last ``n`` rows of what it reads; these
+    candidates are dealt by key and a salt, cut to ``n`` again, and ranked by
+    key, so at most ``n`` x keys x tasks rows move and one key's last step
+    holds ``n`` x salts rows.
     """
+    if n < 1:
+        return df.withColumn("_back", F.lit(0)).filter(F.lit(False))
     keys = list(key_cols)
-    pos = with_global_position(df, [*keys, *order_cols]).drop(PID)
-    ends = pos.groupBy(*keys).agg(F.max(GPOS).alias("_end"))
-    return pos.join(ends, keys).filter(F.col(GPOS) > F.col("_end") - F.lit(n)).drop("_end")
+    width = default_partitions(df)
+    salts = max(1, int(np.sqrt(width)))
+    near = _keep_last(df, keys, order_cols, n).withColumn("_salt", F.spark_partition_id() % salts)
+    dealt = near.repartition(width, *keys, "_salt").drop("_salt")
+    fewer = _keep_last(dealt, keys, order_cols, n)
+    back = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order_cols])
+    return fewer.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= n)
 
 
 def window_snapshot(
@@ -219,7 +359,7 @@ def window_snapshot(
     src = df.select(*dict.fromkeys([*keys, *order_cols, value_col])).filter(F.col(value_col).isNotNull())
     return last_rows(src, keys, order_cols, window).groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(GPOS).alias("p"), F.col(value_col).alias("v")))),
+            F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("p"), F.col(value_col).alias("v")))),
             lambda s: s["v"],
         ).alias("values"),
         F.count(F.lit(1)).alias("win_count"),

@@ -22,7 +22,7 @@ from tidewatch.operators.forest import (
     training_slices, vector_sequence, with_epochs,
 )
 from tidewatch.params import AlertParams, DetectorParams, ForestParams
-from tidewatch.plans.detection import RESULT_POS, with_severity
+from tidewatch.plans.detection import RESULT_POS, build_alerts, with_severity
 from tidewatch.sources.events import (
     cast_features, dead_letter_reason, parse_messages, split_dead_letters, unpivot_features,
 )
@@ -160,6 +160,14 @@ def q_rolling_stats_reset(spark, sf):
     return s.select("event_id", *_stats_cols())
 
 
+def q_rolling_stats_reset_gaps(spark, sf):
+    """Resets on rows that may have no value: they clear the window all the same."""
+    ev = events_with_gaps(spark, sf).join(read_table(spark, sf, "events").select("event_id", "event_type"), "event_id")
+    ev = ev.withColumn("reset", (F.col("event_type") == "signup") & (F.col("event_id") % 5 < 2))
+    s = rolling_stats(ev, order_cols=EVENT_ORDER, key_cols=["feature"], window=P.window_size, reset_col="reset")
+    return s.select("event_id", *_stats_cols())
+
+
 def q_zscore_vs_snapshot(spark, sf):
     snap = window_snapshot(events_long(spark, sf), order_cols=EVENT_ORDER, key_cols=["feature"], window=P.window_size)
     stats = snap.select(
@@ -213,9 +221,25 @@ def q_detect_details(spark, sf):
     from tidewatch.functions.detect import details
 
     v = event_verdicts(spark, sf).filter("is_anomaly").select("event_id", details(P).alias("d"))
-    return v.select("event_id", r6("d.zscore", "zscore"), "d.zscore_threshold", "d.zscore_flag", r6("d.iqr", "iqr"),
-                    r6("d.lower_fence", "lower_fence"), r6("d.upper_fence", "upper_fence"), "d.iqr_flag",
-                    r6("d.window_mean", "window_mean"), r6("d.window_std", "window_std"), "d.window_count", "d.reason")
+    return v.select("event_id", *_evidence("d"))
+
+
+def _evidence(d: str) -> list[F.Column]:
+    return [r6(f"{d}.zscore", "zscore"), F.col(f"{d}.zscore_threshold"), F.col(f"{d}.zscore_flag"), r6(f"{d}.iqr", "iqr"),
+            r6(f"{d}.lower_fence", "lower_fence"), r6(f"{d}.upper_fence", "upper_fence"), F.col(f"{d}.iqr_flag"),
+            r6(f"{d}.window_mean", "window_mean"), r6(f"{d}.window_std", "window_std"), F.col(f"{d}.window_count"),
+            F.col(f"{d}.reason")]
+
+
+#: stricter gate and fences, looser z test than the defaults
+CUSTOM = DetectorParams(zscore_threshold=2.0, iqr_multiplier=3.0, min_samples=100)
+
+
+def q_detect_details_custom(spark, sf):
+    """Evidence, score and severity of alerts made with other parameters."""
+    v = detect(event_stats(spark, sf), CUSTOM)
+    a = with_severity(v, A, CUSTOM)
+    return a.select("event_id", "anomaly_type", "severity", *_evidence("details"))
 
 
 def q_detect_nan(spark, sf):
@@ -346,15 +370,25 @@ def q_alert_policy_sliced(spark, sf):
     return p.groupBy("anomaly_type", "status").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("id_sum"))
 
 
+#: a budget that binds all the time in a stream that never pauses
+TIGHT = AlertParams(max_alerts_per_minute=2, rate_window_seconds=3600.0, dedup_window_seconds=1800.0)
+
+
+def q_alert_policy_parallel(spark, sf):
+    """The machine over all events, an unbroken stream, in many slices that are
+    folded side by side and joined by their entry and exit states."""
+    ev = read_table(spark, sf, "events").select("event_id", "ts", F.lit("value").alias("feature"),
+                                                F.when(F.col("event_id") % 3 == 0, F.lit("zscore")).otherwise(F.lit("iqr")).alias("anomaly_type"))
+    p = coupled_alert_policy(ev, ts_col="ts", order_cols=["event_id"], params=TIGHT, fold_rows=1024)
+    return p.select("event_id", "anomaly_type", "status")
+
+
 def q_alert_messages(spark, sf):
     """Alert sink payloads: key = alert id, value = the alert as JSON, read back."""
     from tidewatch.sources.sinks import alert_messages
 
     kept = alert_policy(event_anomalies(spark, sf), ts_col="ts", order_cols=["event_id"], params=A)
-    alerts = kept.select(alert_id("event_id", "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
-                         F.col("event_id").cast("string").alias("event_id"), "feature", "value", "score", "severity",
-                         "anomaly_type")
-    msgs = alert_messages(alerts)
+    msgs = alert_messages(build_alerts(kept))
     j = F.col("value")
     return msgs.select(
         "key",
@@ -364,6 +398,9 @@ def q_alert_messages(spark, sf):
         F.get_json_object(j, "$.severity").alias("severity"),
         F.get_json_object(j, "$.anomaly_type").alias("anomaly_type"),
         r6(F.get_json_object(j, "$.score").cast("double"), "score"),
+        r6(F.get_json_object(j, "$.details.zscore").cast("double"), "details_zscore"),
+        F.get_json_object(j, "$.details.zscore_threshold").cast("double").alias("details_threshold"),
+        F.get_json_object(j, "$.details.window_count").cast("long").alias("details_window_count"),
     )
 
 
@@ -394,8 +431,33 @@ def q_metric_alerts(spark, sf):
 
 
 def q_metric_suppressed(spark, sf):
-    d = dedup_alerts(event_anomalies(spark, sf), ts_col="ts", order_cols=["event_id"], params=A)
-    return d.agg(F.sum((F.col("status") == "duplicate").cast("long")).alias("deduplicated"))
+    """Alerts the machine held back as duplicates."""
+    d = coupled_alert_policy(event_anomalies(spark, sf), ts_col="ts", order_cols=["event_id"], params=A)
+    return d.agg(F.count_if(F.col("status") == "duplicate").alias("deduplicated"))
+
+
+def q_metric_suppressed_binding(spark, sf):
+    """The same under a budget that binds, where limited alerts open no dedup window."""
+    d = coupled_alert_policy(event_anomalies(spark, sf), ts_col="ts", order_cols=["event_id"], params=BINDING)
+    return d.agg(*[F.count_if(F.col("status") == x).alias(n) for x, n in
+                   (("duplicate", "deduplicated"), ("rate_limited", "rate_limited"), ("emitted", "published"))])
+
+
+def trade_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Graded anomalies of the trades, the forest's included."""
+    from tidewatch.plans.detection import trade_anomalies
+
+    trades = lineitem_trades(spark, sf)
+    long = unpivot_features(trades, list(TRADE_ORDER), FEATURES)
+    return trade_anomalies(long, trades, [], list(TRADE_ORDER), P, FP, A)
+
+
+def q_metric_anomalies_forest(spark, sf):
+    """Anomalies by severity, type and the detector that found them, before
+    dedup: the forest's count under type ``zscore``, as its alerts are typed."""
+    source = F.coalesce("details.detector", F.lit("statistical"))
+    return trade_results(spark, sf).groupBy("severity", F.col("anomaly_type").alias("detector"), source.alias("source")).agg(
+        F.count(F.lit(1)).alias("anomalies"))
 
 
 def q_metric_errors(spark, sf):
@@ -511,14 +573,17 @@ def q_forest_anomalies(spark, sf):
 def q_trade_alerts(spark, sf):
     """The whole detector on lineitem trades: statistical + forest anomalies,
     severity, dedup and rate limit (the batch form of the live pipeline)."""
-    from tidewatch.plans.detection import trade_anomalies
-
-    trades = lineitem_trades(spark, sf)
-    long = unpivot_features(trades, list(TRADE_ORDER), FEATURES)
-    anoms = trade_anomalies(long, trades, [], list(TRADE_ORDER), P, FP, A)
+    anoms = trade_results(spark, sf)
     kept = alert_policy(anoms, ts_col="ts", order_cols=["l_orderkey", "l_linenumber", "l_partkey", RESULT_POS], params=A)
-    return kept.select(alert_id(trade_event_id(), "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
-                       eid(), "feature", r6("value"), r6("score"), "severity", "anomaly_type")
+    return kept.select(*_trade_alert(), F.col("details.detector").alias("details_detector"),
+                       r6("details.raw_score", "details_raw_score"),
+                       F.col("details.total_samples_seen").alias("details_total_samples_seen"))
+
+
+def _trade_alert() -> list[F.Column]:
+    return [alert_id(trade_event_id(), "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
+            eid(), F.col("feature"), r6("value"), r6("score"), F.col("severity"), F.col("anomaly_type"),
+            r6("details.zscore", "details_zscore"), F.col("details.window_count").alias("details_window_count")]
 
 
 def q_trade_alerts_statistical(spark, sf):
@@ -529,8 +594,7 @@ def q_trade_alerts_statistical(spark, sf):
     long = unpivot_features(trades, list(TRADE_ORDER), FEATURES)
     anoms = trade_anomalies(long, trades, [], list(TRADE_ORDER), P, None, A)
     kept = alert_policy(anoms, ts_col="ts", order_cols=["l_orderkey", "l_linenumber", "l_partkey", RESULT_POS], params=A)
-    return kept.select(alert_id(trade_event_id(), "feature", "ts").alias("alert_id"), F.col("ts").alias("timestamp"),
-                       eid(), "feature", r6("value"), r6("score"), "severity", "anomaly_type")
+    return kept.select(*_trade_alert())
 
 
 def q_union_results_statistical(spark, sf):
@@ -567,12 +631,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rolling_stats_multi": q_rolling_stats_multi,
     "rolling_stats_scoped": q_rolling_stats_scoped,
     "rolling_stats_reset": q_rolling_stats_reset,
+    "rolling_stats_reset_gaps": q_rolling_stats_reset_gaps,
     "zscore_vs_snapshot": q_zscore_vs_snapshot,
     "window_snapshot": q_window_snapshot,
     "window_snapshot_2000": q_window_snapshot_2000,
     "feature_vectors": q_feature_vectors,
     "detect_combined": q_detect_combined,
     "detect_details": q_detect_details,
+    "detect_details_custom": q_detect_details_custom,
     "detect_nan": q_detect_nan,
     "detect_multi_feature": q_detect_multi_feature,
     "detect_vs_baseline": q_detect_vs_baseline,
@@ -590,10 +656,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alert_messages": q_alert_messages,
     "alert_policy_coupled": q_alert_policy_coupled,
     "alert_policy_sliced": q_alert_policy_sliced,
+    "alert_policy_parallel": q_alert_policy_parallel,
     "metric_events_by_source": q_metric_events_by_source,
     "metric_anomalies": q_metric_anomalies,
     "metric_alerts": q_metric_alerts,
     "metric_suppressed": q_metric_suppressed,
+    "metric_suppressed_binding": q_metric_suppressed_binding,
+    "metric_anomalies_forest": q_metric_anomalies_forest,
     "metric_errors": q_metric_errors,
     "dead_letter_reasons": q_dead_letter_reasons,
     "metric_error_reasons": q_metric_error_reasons,

@@ -43,11 +43,14 @@ def score_features(
     return detect(stats, params)
 
 
-def with_severity(verdicts: DataFrame, alert: AlertParams = AlertParams()) -> DataFrame:
-    """Anomalous rows only, graded by severity, with their evidence."""
+def with_severity(
+    verdicts: DataFrame, alert: AlertParams = AlertParams(), params: DetectorParams = DetectorParams()
+) -> DataFrame:
+    """Anomalous rows only, graded by severity, with their evidence; ``params``
+    are those the verdicts were made with."""
     found = verdicts.filter("is_anomaly")
     if {"zscore", "win_mean", "lower_fence"} <= set(found.columns):
-        found = found.withColumn("details", details())
+        found = found.withColumn("details", details(params))
     return found.withColumn("severity", severity("score", alert.severity_thresholds))
 
 
@@ -92,12 +95,13 @@ def trade_anomalies(
     position = F.lit(len(params.features))
     for i, f in enumerate(params.features):
         position = F.when(F.col("feature") == f, F.lit(i)).otherwise(position)
-    stat = detect(stats, params).filter("is_anomaly").select(*keys, "feature", "value", "score", "anomaly_type")
+    verdicts = detect(stats, params).filter("is_anomaly")
+    stat = verdicts.select(*keys, "feature", "value", "score", "anomaly_type", details(params).alias("details"))
     out = stat.withColumn(RESULT_POS, position)
     if forest is not None:
         vec = feature_vectors(events.select(*keys), stats, list(id_cols), list(order_cols), params.features)
         ep = with_epochs(vector_sequence(vec, list(order_cols)), forest)
         fa = forest_anomalies(fit_and_score(ep, keys, forest), alert.score_scale_forest)
-        fa = fa.select(*keys, "feature", "value", "score", "anomaly_type")
+        fa = fa.select(*keys, "feature", "value", "score", "anomaly_type", "details")
         out = out.unionByName(fa.withColumn(RESULT_POS, F.lit(len(params.features))))
     return out.withColumn("severity", severity("score", alert.severity_thresholds))

@@ -61,14 +61,14 @@ def stats(src: str, name: str, order: str, part: str = "feature", window: int =
 )"""
 
 
-def verdict(src: str, name: str) -> str:
+def verdict(src: str, name: str, z: float = 3.0, k: float = 1.5, least: int = 30) -> str:
     return f"""{name}_g AS (
-  SELECT *, (coalesce(win_count < 30, true) OR win_std IS NULL) AS _gate FROM {src}
+  SELECT *, (coalesce(win_count < {least}, true) OR win_std IS NULL) AS _gate FROM {src}
 ), {name}_f AS (
   SELECT *,
-    (NOT _gate AND coalesce(abs(zscore) > 3.0, false)) AS z_flag,
-    (NOT _gate AND coalesce(win_iqr <> 0 AND (value < win_p25 - 1.5 * win_iqr OR value > win_p75 + 1.5 * win_iqr), false)) AS iqr_flag,
-    win_p25 - 1.5 * win_iqr AS lower_fence, win_p75 + 1.5 * win_iqr AS upper_fence,
+    (NOT _gate AND coalesce(abs(zscore) > {z}, false)) AS z_flag,
+    (NOT _gate AND coalesce(win_iqr <> 0 AND (value < win_p25 - {k} * win_iqr OR value > win_p75 + {k} * win_iqr), false)) AS iqr_flag,
+    win_p25 - {k} * win_iqr AS lower_fence, win_p75 + {k} * win_iqr AS upper_fence,
     CASE WHEN _gate THEN 0.0 ELSE abs(zscore) END AS score,
     CASE WHEN _gate THEN 'insufficient_samples' END AS reason
   FROM {name}_g
@@ -172,6 +172,15 @@ WITH ev_r AS (
 ), {stats('ev_r', 'ev_stats', EV_ORDER, part='feature, _epoch')}
 SELECT event_id, {STATS_OUT} FROM ev_stats"""
 
+ORACLE["rolling_stats_reset_gaps"] = f"""
+WITH {_GAPS}, ev_e AS (
+  SELECT g.*, sum(CASE WHEN event_type = 'signup' AND g.event_id % 5 < 2 THEN 1 ELSE 0 END)
+    OVER (ORDER BY g.ts, g.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _epoch
+  FROM events_g g JOIN events e USING (event_id)
+), ev_k AS (SELECT * FROM ev_e WHERE value IS NOT NULL AND NOT isnan(value)),
+{stats('ev_k', 'ev_stats', EV_ORDER, part='feature, _epoch')}
+SELECT event_id, {STATS_OUT} FROM ev_stats"""
+
 ORACLE["zscore_vs_snapshot"] = f"""
 WITH snap AS (SELECT value FROM events WHERE value IS NOT NULL ORDER BY {EV_ORDER_DESC} LIMIT {W}),
 st AS (SELECT count(value) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM snap)
@@ -246,6 +255,13 @@ SELECT event_id, round(zscore, 6) AS zscore, CAST(3.0 AS DOUBLE) AS zscore_thres
   round(win_mean, 6) AS window_mean, round(win_std, 6) AS window_std, win_count AS window_count, reason
 FROM ev_v WHERE is_anomaly"""
 
+ORACLE["detect_details_custom"] = f"""
+WITH {EVENTS_LONG}, {stats("events_l", "ev_stats", EV_ORDER)}, {verdict("ev_stats", "ev_v", 2.0, 3.0, 100)}
+SELECT event_id, anomaly_type, {SEVERITY} AS severity, round(zscore, 6) AS zscore, CAST(2.0 AS DOUBLE) AS zscore_threshold,
+  z_flag AS zscore_flag, round(win_iqr, 6) AS iqr, round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence,
+  iqr_flag, round(win_mean, 6) AS window_mean, round(win_std, 6) AS window_std, win_count AS window_count, reason
+FROM ev_v WHERE is_anomaly"""
+
 ORACLE["detect_nan"] = f"""
 WITH {_GAPS}, b AS (SELECT avg(value) AS m, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM events),
 f AS (SELECT event_id, value, lo + 0.25 * (hi - lo) AS q1, lo + 0.3 * (hi - lo) AS q3,
@@ -316,14 +332,14 @@ SELECT {ALERT_ID} AS alert_id, ts AS timestamp, CAST(event_id AS VARCHAR) AS eve
   round(value, 6) AS value, round(score, 6) AS score, severity, anomaly_type, round(zscore, 6) AS details_zscore,
   win_count AS details_window_count, iqr_flag AS details_iqr_flag FROM kept"""
 
-def machine(src: str) -> str:
+def machine(src: str, gap_d: int = 7_200_000_000, gap_r: int = 21_600_000_000, limit: int = 1) -> str:
     """The alert machine step by step over ``src(event_id, ts, anomaly_type)``,
-    one dedup key per anomaly type: two hours of dedup, one alert per six."""
-    gap_d, gap_r = 7_200_000_000, 21_600_000_000
+    one dedup key per anomaly type; by default two hours of dedup, one alert
+    per six."""
     dup = (f"CASE WHEN r.anomaly_type = 'zscore' THEN coalesce(r.t - s.last_z < {gap_d}, false) "
            f"ELSE coalesce(r.t - s.last_i < {gap_d}, false) END")
     new = f"coalesce(r.t - s.w >= {gap_r}, true)"
-    emit = f"(NOT {dup} AND ({new} OR s.c < 1))"
+    emit = f"(NOT {dup} AND ({new} OR s.c < {limit}))"
     return f"""rows AS MATERIALIZED (
   SELECT event_id, feature, anomaly_type, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts, event_id) AS rn FROM {src}
 ), steps AS (
@@ -335,7 +351,7 @@ def machine(src: str) -> str:
       CASE WHEN r.anomaly_type = 'zscore' AND {emit} THEN r.t ELSE s.last_z END,
       CASE WHEN r.anomaly_type <> 'zscore' AND {emit} THEN r.t ELSE s.last_i END,
       CASE WHEN NOT {dup} AND {new} THEN r.t ELSE s.w END,
-      CASE WHEN {dup} THEN s.c WHEN {new} THEN CAST(1 AS BIGINT) WHEN s.c < 1 THEN s.c + 1 ELSE s.c END,
+      CASE WHEN {dup} THEN s.c WHEN {new} THEN CAST(1 AS BIGINT) WHEN s.c < {limit} THEN s.c + 1 ELSE s.c END,
       CASE WHEN {dup} THEN 'duplicate' WHEN {emit} THEN 'emitted' ELSE 'rate_limited' END
     FROM s JOIN rows r ON r.rn = s.rn + 1
   ) SELECT rn, status FROM s WHERE rn > 0
@@ -351,10 +367,21 @@ WITH src AS (SELECT event_id, ts, 'value' AS feature, CASE WHEN event_id % 2 = 0
 {machine('src')}
 SELECT anomaly_type, status, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS id_sum FROM rows JOIN steps USING (rn) GROUP BY 1, 2"""
 
+ORACLE["alert_policy_parallel"] = f"""
+WITH src AS (SELECT event_id, ts, 'value' AS feature, CASE WHEN event_id % 3 = 0 THEN 'zscore' ELSE 'iqr' END AS anomaly_type FROM events),
+{machine('src', 1_800_000_000, 3_600_000_000, 2)}
+SELECT event_id, anomaly_type, status FROM rows JOIN steps USING (rn)"""
+
+ORACLE["metric_suppressed_binding"] = f"""
+WITH {EV_ANOM}, {machine('ev_anom')}
+SELECT count(*) FILTER (status = 'duplicate') AS deduplicated, count(*) FILTER (status = 'rate_limited') AS rate_limited,
+  count(*) FILTER (status = 'emitted') AS published FROM steps"""
+
 ORACLE["alert_messages"] = f"""
 WITH {_KEPT}
 SELECT {ALERT_ID} AS key, {ALERT_ID} AS alert_id, CAST(event_id AS VARCHAR) AS event_id, feature, severity,
-  anomaly_type, round(score, 6) AS score FROM kept"""
+  anomaly_type, round(score, 6) AS score, round(zscore, 6) AS details_zscore, CAST(3.0 AS DOUBLE) AS details_threshold,
+  win_count AS details_window_count FROM kept"""
 
 ORACLE["expired_dedup_keys"] = f"""
 WITH {EV_ANOM}, {chain('ev_anom', 'dd', ['feature', 'anomaly_type'], _GAP_DEDUP)},
@@ -396,7 +423,7 @@ tr_anom AS (SELECT *, {SEVERITY} AS severity FROM tr_v WHERE is_anomaly),
 em AS (SELECT * EXCLUDE (_t, _wstart, _rank) FROM dd WHERE _rank = 1),
 {chain('em', 'rl', [], 60_000_000, _TR_ORD)}
 SELECT {ALERT_ID} AS alert_id, ts AS timestamp, event_id, feature, round(value, 6) AS value, round(score, 6) AS score,
-  severity, anomaly_type FROM rl WHERE _rank <= 100"""
+  severity, anomaly_type, round(zscore, 6) AS details_zscore, win_count AS details_window_count FROM rl WHERE _rank <= 100"""
 
 # 5 per cent of a full training slice of 1,000 rows lie below the threshold
 ORACLE["forest_flag_rate"] = f"""
