@@ -124,13 +124,17 @@ class Vocabulary:
             out[odd] = np.where(self.rare_key[at] == key, self.rare_to[at], 0)
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of a token sequence: pieces joined, blanks restored, the
+    def text_bytes(self, ids: np.ndarray) -> bytes:
+        """Bytes of a token sequence: pieces joined, blanks restored, the
         leading blank dropped."""
         ids = np.asarray(ids, dtype=np.int64)
         n = self.piece_off[ids + 1] - self.piece_off[ids]
         raw = self.piece_bytes[np.repeat(self.piece_off[ids], n) + _ramp(n)].tobytes()
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return raw[1:] if raw[:1] == b" " else raw
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of a token sequence."""
+        return self.text_bytes(ids).decode("utf-8", "replace")
 
     def expand(self, edges: np.ndarray) -> np.ndarray:
         """Token ids of edge ids: fallback characters become byte pieces."""
@@ -146,57 +150,62 @@ class Vocabulary:
         return np.concatenate([*parts, edges[last:]])
 
 
+class _Numbers(dict):
+    """Word -> number; a word that is asked for the first time gets the next
+    one and waits for its lattice."""
+
+    def __init__(self, lattices: Lattices, lead: str):
+        self.lattices, self.lead = lattices, lead
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = self.lattices.n_units
+        self.lattices.n_units = number + 1
+        self.lattices.new.append(self.lead + word)
+        return number
+
+
 class Lattices:
     """Word lattices as arrays of nodes and edges, grown word by word.
 
-    A node's edges stand together, the likeliest first, with their cumulative
-    probabilities, so a uniform number is matched after few steps."""
+    A node's edges stand together, the longest (mostly the likeliest) first,
+    with their cumulative probabilities, so a uniform number is matched after
+    few steps."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, int] = {}  # with their blanks
-        self.words: dict[str, int] = {}  # after one blank, left out
+        self.units = _Numbers(self, "")  # with their blanks
+        self.words = _Numbers(self, " ")  # after one blank, left out
         self.n_units = 0
         self.new: list[str] = []
         self.n_nodes = 0
         self.n_edges = 0
-        self.base = np.zeros(1024, dtype=np.int64)
-        self.size = np.zeros(1024, dtype=np.int64)
-        self.first = np.zeros(1 << 20, dtype=np.int64)  # first edge of each node, -1 at a word's end
-        self.degree = np.zeros(1 << 20, dtype=np.int64)
-        self.cum = np.zeros(1 << 20)
-        self.logp = np.zeros(1 << 20)
-        self.to = np.zeros(1 << 20, dtype=np.int32)
-        self.id = np.zeros(1 << 20, dtype=np.int32)
+        self.base = np.empty(1024, dtype=np.int64)
+        self.size = np.empty(1024, dtype=np.int64)
+        self.first = np.empty(1 << 18, dtype=np.int32)  # first edge of each node, -1 at a word's end
+        self.degree = np.empty(1 << 18, dtype=np.int32)
+        self.cum = np.empty(1 << 20)
+        self.logp = np.empty(1 << 20)
+        self.to = np.empty(1 << 20, dtype=np.int32)
+        self.id = np.empty(1 << 20, dtype=np.int32)
 
     def _room(self, name: str, n: int) -> np.ndarray:
         a = getattr(self, name)
         if len(a) < n:
-            a = np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
-            setattr(self, name, a)
+            more = np.empty(max(n, len(a) + len(a) // 2), dtype=a.dtype)
+            more[: len(a)] = a
+            setattr(self, name, more)
+            return more
         return a
 
     def look_up(self, text: str) -> list[int]:
         """Numbers of the lattices of a text's words; unknown words are added
         by ``settle``."""
         if "  " in text:
-            known, words = self.units, _UNIT.findall(" " + text)
-        else:
-            known, words = self.words, text.split(" ")
-        out = list(map(known.get, words))
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    w = words[i]
-                    if w not in known:
-                        known[w] = self.n_units
-                        self.n_units += 1
-                        self.new.append(w if known is self.units else " " + w)
-                    out[i] = known[w]
-        return out
+            return list(map(self.units.__getitem__, _UNIT.findall(" " + text)))
+        return list(map(self.words.__getitem__, text.split(" ")))
 
     def settle(self) -> None:
         if self.new:
@@ -212,34 +221,38 @@ class Lattices:
         # edges: walk the trie from every character at once
         at = np.arange(len(code))
         state = np.zeros(len(code), dtype=np.int64)
-        start, end, piece = [], [], []
+        by_length = []  # (places, pieces) of the edges of each length
         for length in range(1, 1 << 30):
             state = v.step(state, code[at + length - 1]).astype(np.int64)
             alive = state > 0
             at, state = at[alive], state[alive]
             hit = v.end[state]
-            own = np.flatnonzero(hit >= 0)
-            start.append(at[own])
-            end.append(at[own] + length)
-            piece.append(hit[own])
+            own = hit >= 0
+            by_length.append((at[own], hit[own]))
             alive = at + length < stop[at]
             at, state = at[alive], state[alive]
             if not len(at):
                 break
         single = np.zeros(len(code), dtype=bool)
-        single[start[0]] = True
+        single[by_length[0][0]] = True
         odd = np.flatnonzero(~single)
         n_bytes = np.where(code[odd] < 0x80, 1, np.where(code[odd] < 0x800, 2, np.where((code[odd] < 0x10000) | (code[odd] == _OTHER_BLANK), 3, 4)))
-        s = np.concatenate([*start, odd])
-        e = np.concatenate([*end, odd + 1])
-        p = np.concatenate([*piece, np.zeros(len(odd), dtype=np.int64)]).astype(np.int64)
-        w = v.weight[p]
-        w[len(w) - len(odd) :] = v.floor * n_bytes
-        ids = v.ids[p]
-        ids[len(ids) - len(odd) :] = FALLBACK + code[odd]
-        order = np.argsort(s, kind="stable")
-        s, e, w, ids = s[order], e[order], w[order], ids[order]
-        head = np.searchsorted(s, np.arange(len(code) + 1))
+        # a place's edges stand together, the longest first
+        degrees = np.bincount(odd, minlength=len(code))
+        for place, _ in by_length:
+            degrees[place] += 1
+        head = np.concatenate(([0], np.cumsum(degrees)))
+        free = head[:-1].copy()
+        n_edges = int(head[-1])
+        e, w, ids = np.empty(n_edges, np.int64), np.empty(n_edges), np.empty(n_edges, np.int64)
+        for length in range(len(by_length), 0, -1):
+            place, piece = by_length[length - 1]
+            to = free[place]
+            e[to], w[to], ids[to] = place + length, v.weight[piece], v.ids[piece]
+            free[place] += 1
+        to = free[odd]
+        e[to], w[to], ids[to] = odd + 1, v.floor * n_bytes, FALLBACK + code[odd]
+        s = np.repeat(np.arange(len(code)), degrees)
         # backward sums, by distance from the next place that no edge crosses
         reach = np.maximum.accumulate(np.maximum.reduceat(e, head[:-1])) if len(code) else np.zeros(0, np.int64)
         cut = np.concatenate(([True], reach[:-1] <= np.arange(1, len(code)), [True])) if len(code) else np.array([True])
@@ -260,8 +273,6 @@ class Lattices:
             top = np.maximum.reduceat(val, first)
             beta[nodes] = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, n)), first))
         logp = w + np.where(cut[e], 0.0, beta[e]) - beta[s]
-        likely = np.lexsort((-logp, s))
-        e, ids, logp = e[likely], ids[likely], logp[likely]
         # into the shared arrays; each word has a node more than characters
         word = np.repeat(np.arange(len(words)), size)
         node0 = self.n_nodes + np.cumsum(size + 1) - (size + 1)
@@ -272,11 +283,11 @@ class Lattices:
         total = np.cumsum(np.exp(logp))
         before = np.concatenate(([0.0], total))[head[s]]
         share = total - before
-        share[head[1:][np.diff(head) > 0] - 1] = 2.0  # the last edge takes the rest
+        share[head[1:][degrees > 0] - 1] = 2.0  # the last edge takes the rest
         first, degree = self._room("first", n_nodes), self._room("degree", n_nodes)
         first[self.n_nodes : n_nodes] = -1
         first[node] = self.n_edges + head[:-1]
-        degree[node] = np.diff(head)
+        degree[node] = degrees
         self._room("cum", n_edges)[self.n_edges : n_edges] = share
         self._room("logp", n_edges)[self.n_edges : n_edges] = logp
         self._room("to", n_edges)[self.n_edges : n_edges] = node[s] + (e - s)
@@ -522,26 +533,25 @@ def encode(
         for part in slices(b, "_text", 64):
             texts = [t or "" for t in part.column("_text").to_pylist()]
             seeds = part.column("_seed").to_numpy(zero_copy_only=False).view(_U)
-            rows = []
-            for t, found in zip(texts, sample_segmentations(texts, seeds, lattices, k), strict=True):
-                one = []
-                for edges, log, g, inc in found:
-                    ids = v.expand(edges)
-                    one.append(
-                        {
-                            "n_tokens": len(ids),
-                            "ids": ids.astype(np.int32) if with_ids else None,
-                            "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(),
-                            "log_prob": log,
-                            "perturbed": g,
-                            "log_inclusion": inc,
-                            "round_trip": v.decode(ids) == t,
-                        }
-                    )
-                rows.append(one)
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in names), pa.array(rows, pa.list_(sample))], [*names, "samples"]
-            )
+            found = sample_segmentations(texts, seeds, lattices, k)
+            flat = [x for one in found for x in one]
+            ids = [v.expand(edges).astype("<i4") for edges, *_ in flat]
+            ends = np.cumsum([0, *(len(one) for one in found)])
+            tokens = np.array([len(x) for x in ids], dtype=np.int64)
+            trips = []
+            for t, lo, hi in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                raw = t.encode("utf-8", "surrogatepass")
+                trips += [v.text_bytes(ids[x]) == raw for x in range(lo, hi)]
+            if with_ids:
+                every = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(tokens))), pa.int32()), pa.array(every))
+            else:
+                lists = pa.nulls(len(ids), pa.list_(pa.int32()))
+            numbers = [pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3)]
+            digests = pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string())
+            fields = [pa.array(tokens), lists, digests, *numbers, pa.array(trips, pa.bool_())]
+            samples = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(sample)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), samples], [*names, "samples"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + (
