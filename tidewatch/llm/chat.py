@@ -131,7 +131,7 @@ def format_chats(conversations: DataFrame, template: ChatTemplate = ChatTemplate
         return F.array(
             seg(_head(t["role"], template), "head", F.lit(False)),
             seg(escape(t["text"], template), "text", loss),
-            seg(F.lit(template.tail), "tail", loss),
+            seg(F.lit(template.tail), "tail", F.lit(False)),
         )
 
     segs = grouped.select(
@@ -167,7 +167,7 @@ def read_turns(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Co
 
 def loss_text(segments: Column, template: ChatTemplate = ChatTemplate()) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    own = F.filter(segments, lambda s: s["loss"] & (s["kind"] == "text"))
+    own = F.filter(segments, lambda s: s["loss"])
     return F.array_join(F.transform(own, lambda s: unescape(s["text"], template)), "")
 
 
