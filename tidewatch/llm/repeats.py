@@ -13,10 +13,11 @@ smaller document, or earlier in the same one) is removed. Method:
    all but the first are removed whole, the first goes on. A passage copied a
    million times is one piece from here on.
 3. Collection BWT. Pieces are dealt by anchor to buckets of bounded size. In
-   each bucket the Burrows-Wheeler transform of all pieces is built column
-   by column, right to left: each round inserts one symbol per piece, and
-   updates the transform, the common prefixes and the order of suffixes
-   through sequential passes. Suffixes whose common prefix reaches ``WIDTH``
+   each bucket pieces are cut to the runs of windows whose hash recurs there,
+   and of equal parts the first goes on. The Burrows-Wheeler transform of
+   these parts is built column by column, right to left: each round inserts
+   one symbol per piece, and updates the transform, the common prefixes and
+   the order of suffixes through sequential passes. Suffixes whose common prefix reaches ``WIDTH``
    are equal windows; all but the first in document order are removed.
    Anchors with more text than a bucket holds are settled by an aggregate
    over the hashes of their single windows instead (same result).
@@ -51,8 +52,6 @@ GRAM = 32
 SPAN = WIDTH - GRAM + 1  # grams in a window
 MAX_RUN = 128  # windows in a piece
 BUCKET_BYTES = 1 << 20
-#: times that pieces are cut to the windows whose anchors recur, each under another salt
-TRIMS = 3
 _CHUNK = 1 << 18
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
@@ -71,24 +70,21 @@ _BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _TABLES: list[np.ndarray] = []
 
 
-def _rolling(buf: np.ndarray, width: int) -> np.ndarray:
+def _rolling(buf: np.ndarray, width: int, table: np.ndarray = _BYTES) -> np.ndarray:
     """64-bit hashes of all ``width``-byte strings of a chunk."""
     if not _TABLES:
         _TABLES.extend(_power_tables())
     n = len(buf)
     sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum(_BYTES[buf] * _TABLES[0][:n], out=sums[1:])
+    np.cumsum(table[buf] * _TABLES[0][:n], out=sums[1:])
     return mix((sums[width:] - sums[:-width]) * _TABLES[1][: n - width + 1])
 
 
-def anchor_hashes(buf: np.ndarray, salt: int = 0, ties: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def anchor_hashes(buf: np.ndarray, ties: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The anchor hash of every window of a chunk of at least WIDTH bytes, and
-    whether the window holds that gram twice; with a ``salt`` another anchor, of
-    the least rehashed gram. Without ``ties`` the second array is
-    all false."""
+    whether the window holds that gram twice. Without ``ties`` the second
+    array is all false."""
     m = _rolling(buf, GRAM)
-    if salt:
-        m = mix(m + _U(salt))
     twice = np.zeros(len(m), dtype=bool)
     n = len(m) - SPAN + 1
     out = out_twice = None
@@ -377,30 +373,32 @@ def collection_bwt(pieces: list[bytes], width: int = WIDTH) -> tuple[np.ndarray,
     return piece, offset, lcp
 
 
-def recurring_parts(pieces: list[bytes], anchors: np.ndarray, salt: int) -> list[tuple[int, int, int]]:
-    """(piece, start, end) of the parts whose windows may recur: equal windows
-    have equal anchors under any salt, so a window's pair of anchors must stand
-    in two runs of the bucket, or twice in one run."""
+def window_hashes(buf: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of all WIDTH-byte strings of a chunk."""
+    return [_rolling(buf, WIDTH, table) for table in (_BYTES, _SECOND)]
+
+
+def recurring_parts(pieces: list[bytes]) -> list[tuple[int, int, int]]:
+    """(piece, start, end) of the parts whose windows may recur: runs of windows
+    whose hash stands in the bucket more than once."""
     lengths = np.array([len(p) for p in pieces], dtype=np.int64)
     begins = np.cumsum(lengths) - lengths
     text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    both = [anchor_hashes(text[lo : lo + _CHUNK], salt) for lo in range(0, len(text) - WIDTH + 1, _CHUNK - WIDTH + 1)]
-    second, twice = (np.concatenate(x) for x in zip(*both, strict=True))
-    own = np.repeat(np.arange(len(pieces)), lengths - WIDTH + 1)
-    at = np.arange(len(own)) - np.repeat(np.cumsum(lengths - WIDTH + 1) - (lengths - WIDTH + 1), lengths - WIDTH + 1)
-    pair = mix(second[begins[own] + at] ^ mix(anchors[own].view(_U)))
-    first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (own[1:] != own[:-1]))))
-    stop = np.append(first[1:], len(pair))
-    _, back, times = np.unique(pair[first], return_inverse=True, return_counts=True)
-    ok = (times[back] > 1) | np.maximum.reduceat(twice[begins[own] + at], first) | (stop - first > SPAN)
-    out: list[tuple[int, int, int]] = []
-    for f, e in zip(first[ok].tolist(), stop[ok].tolist(), strict=True):
-        p, s, t = int(own[f]), int(at[f]), int(at[e - 1]) + WIDTH
-        if out and out[-1][0] == p and out[-1][2] - WIDTH + 1 == s:
-            out[-1] = (p, out[-1][1], t)
-        else:
-            out.append((p, s, t))
-    return out
+    every = [_rolling(text[lo : lo + _CHUNK], WIDTH, _BYTES) for lo in range(0, len(text) - WIDTH + 1, _CHUNK - WIDTH + 1)]
+    room = lengths - WIDTH + 1
+    own = np.repeat(np.arange(len(pieces)), room)
+    at = _ramp(room)
+    window = np.concatenate(every)[begins[own] + at]
+    order = np.argsort(window)
+    same = window[order[1:]] == window[order[:-1]]
+    ok = np.zeros(len(window), dtype=bool)
+    ok[order[1:]] |= same
+    ok[order[:-1]] |= same
+    edge = np.concatenate(([True], (ok[1:] != ok[:-1]) | (own[1:] != own[:-1])))
+    first = np.flatnonzero(edge)
+    stop = np.append(first[1:], len(ok))
+    some = ok[first]
+    return list(zip(own[first[some]].tolist(), at[first[some]].tolist(), (at[stop[some] - 1] + WIDTH).tolist(), strict=True))
 
 
 def repeated_windows(pieces: list[bytes], uid: np.ndarray, start: np.ndarray, width: int = WIDTH) -> list[tuple[int, int, int]]:
@@ -445,17 +443,22 @@ def _bucket_covers(pieces: DataFrame, total: int) -> DataFrame:
 
     def bwt(pdf: pd.DataFrame) -> pd.DataFrame:
         pieces = [bytes(x) for x in pdf["bytes"]]
-        uid, start, anchor = (pdf[c].to_numpy() for c in ("uid", "start", "anchor"))
-        for salt in range(1, TRIMS + 1):
-            if pieces:
-                parts = recurring_parts(pieces, anchor, salt)
-                at = np.array([p for p, _, _ in parts], dtype=np.int64)
-                uid, start, anchor = uid[at], start[at] + np.array([s for _, s, _ in parts], dtype=np.int64), anchor[at]
-                pieces = [pieces[p][s:e] for p, s, e in parts]
-        covers = repeated_windows(pieces, uid, start)
+        uid, start = (pdf[c].to_numpy() for c in ("uid", "start"))
+        if not pieces:
+            return pd.DataFrame(columns=["uid", "start", "stop"]).astype("int64")
+        # parts in the order of their places: of equal ones the first goes on
+        parts = recurring_parts(pieces)
+        places = sorted((int(uid[p]), int(start[p]) + s, e - s, pieces[p][s:e]) for p, s, e in parts)
+        firsts: dict[bytes, tuple[int, int]] = {}
+        covers = []
+        for u, s, n, text in places:
+            if firsts.setdefault(text, (u, s)) != (u, s):
+                covers.append((u, s, s + n))
+        u, s = (np.array([x[c] for x in firsts.values()], dtype=np.int64) for c in (0, 1))
+        covers += repeated_windows(list(firsts), u, s)
         return pd.DataFrame(covers, columns=["uid", "start", "stop"]).astype("int64")
 
-    return small.groupBy("bucket").applyInPandas(bwt, _COVER)
+    return small.drop("anchor").groupBy("bucket").applyInPandas(bwt, _COVER)
 
 
 def _window_covers(pieces: DataFrame) -> DataFrame:
@@ -464,27 +467,17 @@ def _window_covers(pieces: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for u, s, piece in zip(
-                b.column("uid").to_pylist(), b.column("start").to_pylist(), b.column("bytes").to_pylist(), strict=True
-            ):
-                rows += [
-                    (hashlib.blake2b(piece[k : k + WIDTH], digest_size=16).digest(), u, s + k)
-                    for k in range(len(piece) - WIDTH + 1)
-                ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.binary()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.int64()),
-                ],
-                ["digest", "uid", "start"],
-            )
-
-    single = pieces.select("uid", "start", "bytes").mapInArrow(windows, "digest binary, uid long, start long")
-    first = single.groupBy("digest").agg(F.min(F.struct("uid", "start")).alias("first"))
+            uid, start = (b.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "start"))
+            for i, piece in enumerate(b.column("bytes").to_pylist()):
+                one, two = window_hashes(np.frombuffer(piece, dtype=np.uint8))
+                at = np.arange(len(one)) + start[i]
+                cols = [one.view(np.int64), two.view(np.int64), np.full(len(one), uid[i]), at]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "uid", "start"])
+
+    single = pieces.select("uid", "start", "bytes").mapInArrow(windows, "h1 long, h2 long, uid long, start long")
+    first = single.groupBy("h1", "h2").agg(F.min(F.struct("uid", "start")).alias("first"))
     return (
-        single.join(first, "digest")
+        single.join(first, ["h1", "h2"])
         .filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
         .select("uid", "start", (F.col("start") + WIDTH).alias("stop"))
     )
