@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from tidewatch.session import materialize
 
 
+#: a node with more links than this is a hub; their list goes to all tasks up to so many
+HUB, MAX_HUBS = 1024, 1_000_000
+
+
+def _hung(links: DataFrame, least: DataFrame, max_hubs: int = MAX_HUBS) -> DataFrame:
+    """``links(u, v)`` with the ``m`` of u from ``least(u, m, n)``, n: u's links.
+
+    The rows of a hub are not dealt by it: hubs, a table of at most links / HUB
+    rows, come to the links while their measured number allows it."""
+    hubs = least.filter(F.col("n") > HUB).select("u", "m")
+    n = hubs.count()
+    if not n or n > max_hubs:
+        return links.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(hubs)
+    rest = links.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= HUB).select("u", "m"), "u")
+    return rest.unionByName(links.join(hubs, "u"))
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``edges(a long, b long)`` -> (node, component): the smallest node each
     node reaches, for nodes with an edge to another node.
@@ -15,8 +33,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     Alternates large-star and small-star steps: each node's neighbours are
     hung on the smallest of them (larger neighbours first, then smaller), until
     nothing moves. Every step is a minimum by node (combined before the
-    shuffle) and a join back, so a node with very many links is never
-    gathered in one row; the number of steps grows with the logarithm of the
+    shuffle) and a join back that leaves the links of a hub where they lie
+    (:func:`_hung`); the number of steps grows with the logarithm of the
     longest chain. Each step's table is written to the shared folder, which
     cuts the lineage.
     """
@@ -27,12 +45,12 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     while True:
         # large star: from each node, its larger neighbours point to its minimum
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _hung(both, materialize(low, label)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.filter("u <> v").distinct(), label)
         # small star: smaller neighbours (and the node) point to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), label)
+        small = _hung(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         nxt = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         cur = materialize(nxt, label)
         seen = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -55,6 +55,7 @@ HASHES = 32
 CHUNK = 4
 BINS = 512
 _BLOCK = 512
+SALTS = 64
 #: pairs (of 20 bytes) that are sent to all tasks at most
 MAX_BROADCAST = 1_000_000
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=_U) * _U(0xA0761D6478BD642F))
@@ -188,9 +189,16 @@ def verified_links(pairs: DataFrame, docs: DataFrame, threshold_pct: int) -> Dat
     pair (a, a) for every a itself; the rows of one a are dealt in lots of
     about ``_BLOCK`` pairs, each lot with its own copy of a's text.
     """
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")), "neardup-sizes")
     lots = F.ceil(F.col("_n") / _BLOCK).cast("int")
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), lots).cast("int").alias("lot"))
+    # only stars of more than a lot need their size: at most pairs / _BLOCK rows,
+    # met under SALTS keys each so that no task gets a whole star
+    stars = sizes.filter(F.col("_n") > _BLOCK).select("a", lots.alias("_lots"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(stars.select("a", "_lots", salts), ["a", "_salt"], "left").select(
+        "a", "b", F.coalesce(F.pmod(F.xxhash64(F.lit(1), "b"), F.col("_lots")), F.lit(0)).cast("int").alias("lot")
+    )
     selves = sizes.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
     wanted = materialize(dealt.unionByName(selves), "neardup-wanted")
     # a list of pairs of bounded size goes to the texts, else the texts move
