@@ -6,14 +6,15 @@ the last returns tokens. Every stage works on all its predecessor kept, and
 is written as Parquet and read again in between.
 
 Rows of any shape pass: a null text is language ``und`` and goes in the first
-stage; rows repeated under one doc_id stay once; a null doc_id is never a
+stage; of rows under one doc_id the one with the least text hash (then text)
+stays; a null doc_id is never a
 duplicate by itself; empty tables pass through empty; columns beyond those of
 ``documents`` are left behind.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import contain, langid, neardup, pieces, secrets
@@ -46,8 +47,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti")
     twice = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if twice.limit(1).count():
-        named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.filter("doc_id is null"))
+        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(c for c in COLUMNS if c != "doc_id"))
+        named = kept.filter("doc_id is not null").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+        kept = named.drop("_n").unionByName(kept.filter("doc_id is null"))
     return kept.select(*COLUMNS)
 
 

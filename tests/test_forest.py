@@ -84,3 +84,54 @@ def test_fit_on_demand_needs_50_and_uses_last_buffer(spark):
     m = models.toPandas()
     assert list(m["model"]) == [1] and list(m["train_rows"]) == [100] and list(m["n_trees"]) == [10]
     assert model_nodes(models).select("tree").distinct().count() == 10
+
+
+def test_scoped_forest_equals_one_forest_per_scope(spark):
+    """Numbering, epochs, carried values and scores of each scope are those of
+    a run over that scope alone; one scope holds most rows."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators.forest import fit_and_score, vector_sequence, with_epochs
+    from tidewatch.operators.vectors import feature_vectors
+    from tidewatch.params import ForestParams
+
+    rng = np.random.default_rng(3)
+    fp = ForestParams(n_estimators=10, buffer_size=80, retrain_interval=100)
+    n = 900
+    scope = np.where(rng.random(n) < 0.7, "hot", np.where(rng.random(n) < 0.5, "a", None)).tolist()
+    rows = [(i, scope[i], f, float(rng.normal())) for i in range(n) for f in ("x", "y") if rng.random() < 0.8]
+    stats = spark.createDataFrame(rows, "i long, scope string, feature string, zscore double")
+    events = spark.createDataFrame([(i, scope[i]) for i in range(n)], "i long, scope string")
+
+    def run(ev, st, scopes):
+        vec = feature_vectors(ev, st, [], ["i"], ["x", "y"], scopes)
+        ep = with_epochs(vector_sequence(vec, ["i"], scope_cols=scopes), fp)
+        got = fit_and_score(ep, ["i"], fp, scope_cols=scopes).collect()
+        return {r.i: (r.n, r.model, round(r.raw_score, 9), r.is_anomaly) for r in got}
+
+    # a null scope is joined on: name it
+    name = lambda df: df.withColumn("scope", F.coalesce("scope", F.lit("none")))
+    together = run(name(events), name(stats), ["scope"])
+    alone = {}
+    for s in ("hot", "a", "none"):
+        one = name(events).filter(F.col("scope") == s).drop("scope"), name(stats).filter(F.col("scope") == s).drop("scope")
+        alone |= run(*one, [])
+    assert together == alone and max(m for _, m, *_ in alone.values()) >= 5
+
+
+def test_carry_forward_by_key(spark):
+    """Values stay inside their key, whatever the partitions."""
+    from tidewatch.operators.carry import carry_forward
+
+    rows, want, last = [], [], {}
+    for i in range(120):
+        k = None if i < 15 else "a" if i < 90 else "b" if i < 95 else "c"
+        v = float(i) if i in (3, 20, 91, 100) else None
+        rows.append((k, i, v))
+        last[k] = v if v is not None else last.get(k)
+        want.append((i, last[k]))
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    for parts in (1, 3, 40):
+        got = carry_forward(df, ["i"], ["v"], num_partitions=parts, key_cols=["k"]).collect()
+        assert sorted((r.i, r.v) for r in got) == want

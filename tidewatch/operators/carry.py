@@ -6,6 +6,7 @@ forward where it lies, a batch at a time, and written once as a table (see
 :mod:`tidewatch.operators.positions`). Each partition's last values (a table
 of at most P rows) give the carry-in of the partitions behind it, which fills
 the rows before a partition's first value. No row is shuffled a second time.
+With ``key_cols`` values are carried inside each key only.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.positions import PID, range_sorted
+from tidewatch.operators.positions import PID, key_changes, range_sorted
 from tidewatch.session import materialize
 
 
-def _filled(column: pa.Array, held: pa.Array | None) -> tuple[pa.Array, pa.Array]:
+def _filled(column: pa.Array, held: pa.Array | None, new: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """``column`` with nulls replaced by the last value before them (``held``
-    stands before the first), and its last value as an array of one row."""
-    known = np.asarray(column.is_valid())
+    stands before the first), and its last value as an array of one row;
+    nothing is carried into a row that is ``new``."""
+    known = np.asarray(column.is_valid()) | new
     at = np.maximum.accumulate(np.where(known, np.arange(len(column)), -1))
     if held is None:
         held = pa.nulls(1, column.type)
@@ -33,27 +35,44 @@ def _filled(column: pa.Array, held: pa.Array | None) -> tuple[pa.Array, pa.Array
     return out, out.slice(len(out) - 1)
 
 
-def carry_forward(df: DataFrame, order_cols: Sequence[str], cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """Replace NULLs in ``cols`` by the last non-null value earlier in ``order_cols`` order."""
-    wanted = list(cols)
-    ranged = range_sorted(df, order_cols, num_partitions)
+def carry_forward(
+    df: DataFrame, order_cols: Sequence[str], cols: Sequence[str], num_partitions: int | None = None, key_cols: Sequence[str] = ()
+) -> DataFrame:
+    """Replace NULLs in ``cols`` by the last non-null value earlier in
+    ``order_cols`` order (of the same ``key_cols``)."""
+    wanted, keys = list(cols), list(key_cols)
+    ranged = range_sorted(df, [*keys, *order_cols], num_partitions)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, pa.Array] = {}
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
             made = []
+            new = key_changes(b, keys)
+            first = tuple(b.column(k)[0].as_py() for k in keys)
+            new[0] = last is not None and first != last
+            last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
             for name in b.schema.names:
                 column = b.column(name)
                 if name in wanted:
-                    column, held[name] = _filled(column, held.get(name))
+                    column, held[name] = _filled(column, held.get(name), new)
                 made.append(column)
             yield pa.RecordBatch.from_arrays(made, b.schema.names)
 
     table = materialize(ranged.mapInArrow(fill, ranged.schema), "carry")
-    ends = table.groupBy(PID).agg(F.max_by(F.struct(*wanted), "_loc").alias("_end"))
-    before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    carry_in = ends.select(PID, *[F.last(F.col("_end")[c], ignorenulls=True).over(before).alias(f"_in_{c}") for c in wanted])
-    out = table.join(F.broadcast(carry_in), PID, "left")
-    return out.select(*[F.coalesce(c, f"_in_{c}").alias(c) if c in wanted else F.col(c) for c in df.columns])
+    ends = table.groupBy(PID).agg(F.max_by(F.struct(*[F.struct(*wanted).alias("v"), *keys]), "_loc").alias("_end"))
+    # what stands at a partition's end, also if its key began partitions ago
+    run = Window.partitionBy(*[F.col("_end")[k] for k in keys]).orderBy(PID)
+    last = ends.select(PID, "_end", *[F.last(F.col("_end.v")[c], ignorenulls=True).over(run).alias(f"_in_{c}") for c in wanted])
+    shift = Window.orderBy(PID)
+    before = last.select(
+        PID, *[F.lag(F.col("_end")[k]).over(shift).alias(f"_key_{k}") for k in keys], F.lag(PID).over(shift).alias("_prior"),
+        *[F.lag(f"_in_{c}").over(shift).alias(f"_in_{c}") for c in wanted],
+    )
+    out = table.join(F.broadcast(before), PID, "left")
+    same = F.col("_prior").isNotNull()
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return out.select(*[F.coalesce(c, F.when(same, F.col(f"_in_{c}"))).alias(c) if c in wanted else F.col(c) for c in df.columns])

@@ -60,10 +60,19 @@ def first_train(p: ForestParams) -> int | None:
     return max(p.retrain_interval, p.min_train)
 
 
-def vector_sequence(vectors: DataFrame, order_cols: Sequence[str], vector_col: str = "vector") -> DataFrame:
-    """Number the non-null vectors 1..N in ``order_cols`` order (column ``n``)."""
+def vector_sequence(
+    vectors: DataFrame, order_cols: Sequence[str], vector_col: str = "vector", scope_cols: Sequence[str] = ()
+) -> DataFrame:
+    """Number the non-null vectors 1..N in ``order_cols`` order (column ``n``),
+    each scope by itself: a row's position less that of its scope's first row,
+    so no scope is gathered in a task."""
     v = vectors.filter(F.col(vector_col).isNotNull())
-    return with_global_position(v, list(order_cols)).withColumn("n", F.col(GPOS) + 1).drop(GPOS, PID)
+    scope = list(scope_cols)
+    placed = with_global_position(v, [*scope, *order_cols]).drop(PID)
+    if not scope:
+        return placed.withColumn("n", F.col(GPOS) + 1).drop(GPOS)
+    first = placed.groupBy(*scope).agg(F.min(GPOS).alias("_first"))
+    return placed.join(first, scope).withColumn("n", F.col(GPOS) - F.col("_first") + 1).drop(GPOS, "_first")
 
 
 def with_epochs(seq: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
@@ -75,18 +84,21 @@ def with_epochs(seq: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
     return seq.withColumn("model", model.cast("long"))
 
 
-def training_slices(seq: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
-    """One row per (model, vector in its training set): n in (n_m - B, n_m]."""
+def training_slices(seq: DataFrame, p: ForestParams = ForestParams(), scope_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per (model, vector in its training set): n in (n_m - B, n_m],
+    with ``scope_cols`` per (scope, model)."""
     n0 = first_train(p)
     if n0 is None:
         return seq.withColumn("model", F.lit(None).cast("long")).filter(F.lit(False))
     i, b = p.retrain_interval, p.buffer_size
-    last_model = seq.agg(F.max("n").alias("_nmax")).select(
-        F.when(F.col("_nmax") >= n0, F.expr(f"1 + (_nmax - {n0}) div {i}")).otherwise(F.lit(0)).alias("_mmax"))
+    scope = list(scope_cols)
+    last_model = seq.groupBy(*scope).agg(F.max("n").alias("_nmax")).select(
+        *scope, F.when(F.col("_nmax") >= n0, F.expr(f"1 + (_nmax - {n0}) div {i}")).otherwise(F.lit(0)).alias("_mmax"))
     # models m with n <= n_m < n + B, i.e. m in [ceil((n - n0) / I) + 1, floor((n + B - 1 - n0) / I) + 1]
     lo = F.greatest(F.lit(1), F.expr(f"CAST(ceil((n - {n0}) / {float(i)}) AS BIGINT) + 1"))
     hi = F.expr(f"CAST(floor((n + {b - 1} - {n0}) / {float(i)}) AS BIGINT) + 1")
-    s = seq.crossJoin(F.broadcast(last_model)).withColumn("_hi", F.least(hi, F.col("_mmax")))
+    s = seq.join(last_model, scope) if scope else seq.crossJoin(F.broadcast(last_model))  # one row
+    s = s.withColumn("_hi", F.least(hi, F.col("_mmax")))
     s = s.filter(F.col("_hi") >= lo).withColumn("model", F.explode(F.sequence(lo, F.col("_hi"))))
     return s.drop("_hi", "_mmax")
 
@@ -204,18 +216,24 @@ def forest_anomalies(scored: DataFrame, scale: float = 5.0) -> DataFrame:
     )
 
 
-def fit_and_score(epochs: DataFrame, keep: Sequence[str], p: ForestParams = ForestParams(), vector_col: str = "vector") -> DataFrame:
+def fit_and_score(
+    epochs: DataFrame, keep: Sequence[str], p: ForestParams = ForestParams(), vector_col: str = "vector", scope_cols: Sequence[str] = ()
+) -> DataFrame:
     """:func:`score_vectors` with the models of :func:`fit_models`, without a
     model table: a group holds one model's training rows (at most
-    ``buffer_size``) and the rows it scores (at most ``retrain_interval``)."""
-    keep = list(dict.fromkeys([*keep, "n", "model"]))
-    own = [c for c in keep if c not in ("n", "model")]
+    ``buffer_size``) and the rows it scores (at most ``retrain_interval``).
+    With ``scope_cols`` each scope has models of its own, trained and used at
+    its own vector numbers."""
+    scope = list(scope_cols)
+    keep = list(dict.fromkeys([*scope, *keep, "n", "model"]))
+    own = [c for c in keep if c not in ("n", "model", *scope)]
     epochs = materialize(epochs.select(*keep, vector_col), "forest-epochs")
     in_fields = {f.name: f for f in epochs.schema.fields}
     out_schema = T.StructType([in_fields[c] for c in keep] + SCORE_FIELDS)
-    train = training_slices(epochs.select("n", vector_col), p).select("n", "model", vector_col, F.lit(True).alias("_train"))
+    train = training_slices(epochs.select(*scope, "n", vector_col), p, scope)
+    train = train.select(*scope, "n", "model", vector_col, F.lit(True).alias("_train"))
     score = epochs.filter(F.col("model") > 0).withColumn("_train", F.lit(False))
-    rows = score.unionByName(train, allowMissingColumns=True).select("model", "n", *own, vector_col, "_train")
+    rows = score.unionByName(train, allowMissingColumns=True).select(*scope, "model", "n", *own, vector_col, "_train")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         fit = pdf[pdf["_train"]].sort_values("n", kind="stable")
@@ -232,7 +250,7 @@ def fit_and_score(epochs: DataFrame, keep: Sequence[str], p: ForestParams = Fore
         out["reason"] = None
         return out
 
-    scored = rows.groupBy("model").applyInPandas(work, out_schema)
+    scored = rows.groupBy(*scope, "model").applyInPandas(work, out_schema)
     return scored.unionByName(_untrained(epochs, keep))
 
 

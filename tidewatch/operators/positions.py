@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,16 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def key_changes(batch: pa.RecordBatch, key_cols: Sequence[str]) -> np.ndarray:
+    """True where a row's keys differ from those of the row before (row 0: True)."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[:1] = True
+    for k in key_cols:
+        codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
 def range_sorted(df: DataFrame, sort_cols: Sequence[str | Column], num_partitions: int | None = None) -> DataFrame:
     """Range-partition and sort; adds ``_pid`` and the in-partition index ``_loc``."""
     p = num_partitions or default_partitions(df)

@@ -20,22 +20,24 @@ def feature_vectors(
     id_cols: Sequence[str],
     order_cols: Sequence[str],
     features: Sequence[str],
+    scope_cols: Sequence[str] = (),
 ) -> DataFrame:
     """One row per event: ``z_<feature>`` columns (carried forward) and
     ``vector ARRAY<DOUBLE>`` in feature order (NULL until all are ready).
 
     ``stats`` are long rows with ``feature`` and ``zscore`` keyed by
     ``id_cols``. The pivot is a ``groupBy`` on the event id (no streaming
-    ``pivot``); events without any present feature still get a row.
+    ``pivot``); events without any present feature still get a row. With
+    ``scope_cols`` each scope carries its own values.
     """
-    keys = list(dict.fromkeys([*id_cols, *order_cols]))
+    keys = list(dict.fromkeys([*id_cols, *scope_cols, *order_cols]))
     zrows = stats.select(*keys, "feature", "zscore")
     blanks = events.select(*keys, F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("zscore"))
     wide = zrows.unionByName(blanks).groupBy(*keys).agg(
         *[F.max(F.when(F.col("feature") == F.lit(f), F.col("zscore"))).alias(f"z_{f}") for f in features]
     )
     zcols = [f"z_{f}" for f in features]
-    filled = carry_forward(wide, order_cols, zcols)
+    filled = carry_forward(wide, order_cols, zcols, key_cols=scope_cols)
     ready = F.lit(True)
     for c in zcols:
         ready = ready & F.col(c).isNotNull()

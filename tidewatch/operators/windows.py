@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.window_kernel import STAT_NAMES, window_stats
-from tidewatch.operators.positions import PID, default_partitions, range_sorted
+from tidewatch.operators.positions import PID, default_partitions, key_changes, range_sorted
 from tidewatch.session import materialize
 
 STAT_FIELDS = [T.StructField("win_count", T.LongType())] + [
@@ -138,17 +138,6 @@ def _frame(df, order_cols, key_cols, value_col, window, reset_col) -> DataFrame:
 DONE, EDGE, TAIL = 0, 1, 2
 
 
-def _key_codes(batch: pa.RecordBatch, key_cols: Sequence[str]) -> np.ndarray:
-    """True where a row's keys differ from those of the row before (row 0: True)."""
-    new = np.zeros(batch.num_rows, dtype=bool)
-    new[:1] = True
-    for k in key_cols:
-        col = batch.column(k)
-        codes = col.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        new[1:] |= codes[1:] != codes[:-1]
-    return new
-
-
 def _stat_columns(stats: dict[str, np.ndarray]) -> list[pa.Array]:
     return [pa.array(stats[n], pa.int64() if n == "win_count" else pa.float64(), from_pandas=True) for n in STAT_NAMES]
 
@@ -169,7 +158,7 @@ class _Reader:
         n, window = part.num_rows, self.window
         values = part.column(self.value_col).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
         absent = np.isnan(values)  # rows that only reset
-        new = _key_codes(part, self.key_cols)
+        new = key_changes(part, self.key_cols)
         key = tuple(part.column(k)[0].as_py() for k in self.key_cols)
         new[0] = self.key is not None and key != self.key
         if self.reset_col:
@@ -302,7 +291,7 @@ def _keep_last(rows: DataFrame, key_cols: Sequence[str], order_cols: Sequence[st
         table = table.take(pc.sort_indices(table, order, null_placement="at_end")).combine_chunks()
         if not table.num_rows:
             return table
-        new = _key_codes(table.to_batches()[0], keys)
+        new = key_changes(table.to_batches()[0], keys)
         at = np.arange(table.num_rows)
         rank = at - np.maximum.accumulate(np.where(new, at, 0))
         return table.filter(pa.array(rank < n))

@@ -565,6 +565,36 @@ def q_forest_scores(spark, sf):
                                                  "is_anomaly", "reason")
 
 
+#: one forest per scope: small slices, early retraining
+FP_SCOPED = ForestParams(n_estimators=20, buffer_size=400, retrain_interval=500)
+
+
+def scoped_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors numbered and carried forward per line number (7 scopes, uneven)."""
+    from tidewatch.operators.vectors import feature_vectors
+
+    t = lineitem_trades(spark, sf)
+    t = t.withColumn("weight_kg", F.when(F.col("l_partkey") % 7 != 0, F.col("weight_kg")))
+    scope = ["l_linenumber"]
+    long = unpivot_features(t, list(TRADE_ORDER), FEATURES)
+    stats = rolling_stats(long, order_cols=TRADE_ORDER, key_cols=[*scope, "feature"], window=200,
+                          passthrough=[*TRADE_ORDER, "feature", "value"])
+    vec = feature_vectors(t.select(*TRADE_ORDER), stats, [], TRADE_ORDER, FEATURES, scope)
+    return with_epochs(vector_sequence(vec, TRADE_ORDER, scope_cols=scope), FP_SCOPED)
+
+
+def q_forest_epochs_scoped(spark, sf):
+    """Vector numbers and models per scope, and the vector they belong to."""
+    ep = scoped_epochs(spark, sf)
+    return ep.select(eid(), "l_linenumber", "n", "model", *[r6(f"z_{f}") for f in FEATURES])
+
+
+def q_forest_scores_scoped(spark, sf):
+    """A forest per scope, retrained at each scope's own vector numbers."""
+    scored = fit_and_score(scoped_epochs(spark, sf), list(TRADE_ORDER), FP_SCOPED, scope_cols=["l_linenumber"])
+    return scored.select(eid(), "l_linenumber", "n", "model", r6("raw_score"), r6("score"), "is_anomaly", "reason")
+
+
 def q_forest_anomalies(spark, sf):
     fa = forest_anomalies(trade_forest_scores(spark, sf), A.score_scale_forest)
     return fa.select(eid(), "feature", r6("value"), r6("score"), "anomaly_type", "detector")
@@ -676,6 +706,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metric_forest": q_metric_forest,
     "forest_trees": q_forest_trees,
     "forest_scores": q_forest_scores,
+    "forest_epochs_scoped": q_forest_epochs_scoped,
+    "forest_scores_scoped": q_forest_scores_scoped,
     "forest_anomalies": q_forest_anomalies,
     "union_results": q_union_results,
     "union_results_statistical": q_union_results_statistical,

@@ -227,6 +227,27 @@ tot AS (SELECT coalesce(max(n), 0) AS nmax, coalesce(max(model), 0) AS mmax FROM
 
 ORACLE["forest_epochs"] = f"WITH {EPOCHS} SELECT event_id, n, model FROM ep"
 
+_TR_SC = "trades_s AS (SELECT * REPLACE (CASE WHEN l_partkey % 7 <> 0 THEN weight_kg END AS weight_kg) FROM trades)"
+ORACLE["forest_epochs_scoped"] = f"""
+WITH {TRADES}, {_TR_SC}, {trades_long('trades_s')}, {stats('trades_long', 'tr_stats', TR_ORDER, part='l_linenumber, feature', window=200)},
+z AS (
+  SELECT event_id, ts, l_orderkey, l_linenumber, l_partkey, feature, zscore FROM tr_stats
+  UNION ALL SELECT event_id, ts, l_orderkey, l_linenumber, l_partkey, NULL, NULL FROM trades_s
+), wide AS (
+  SELECT event_id, ts, l_orderkey, l_linenumber, l_partkey,
+    {", ".join(f"max(CASE WHEN feature = '{f}' THEN zscore END) AS z_{f}" for f in _ZC)}
+  FROM z GROUP BY event_id, ts, l_orderkey, l_linenumber, l_partkey
+), filled AS (
+  SELECT event_id, ts, l_orderkey, l_linenumber, l_partkey,
+    {", ".join(f"last_value(z_{f} IGNORE NULLS) OVER w AS z_{f}" for f in _ZC)}
+  FROM wide WINDOW w AS (PARTITION BY l_linenumber ORDER BY {TR_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), seq AS (
+  SELECT *, row_number() OVER (PARTITION BY l_linenumber ORDER BY {TR_ORDER}) AS n FROM filled
+  WHERE {" AND ".join(f"z_{f} IS NOT NULL" for f in _ZC)}
+)
+SELECT event_id, l_linenumber, n, CAST(CASE WHEN n < 500 THEN 0 ELSE 1 + (n - 500) // 500 END AS BIGINT) AS model,
+  {", ".join(f"round(z_{f}, 6) AS z_{f}" for f in _ZC)} FROM seq"""
+
 ORACLE["forest_training_slices"] = f"""
 WITH {EPOCHS},
 models AS (SELECT range AS model, {_N0} + (range - 1) * {_I} AS nm FROM tot, range(1, tot.mmax + 1))
