@@ -121,7 +121,7 @@ passport [national_id C01X00T47] issued
 it took 3 hours and 20 minutes
 about 1,000,000 people in 42 towns
 id 9f86d081884c7d659a2feaa0c55ad015 in log
-key = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff here
+key = 7c1d0be9a45f38e2609b8d71f3c5a2e84d9067bf here
 commit 3a5c931 and 8014e62 follow
 chapter 4 verse 16
 50% of 300 users
