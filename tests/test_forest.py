@@ -135,3 +135,31 @@ def test_carry_forward_by_key(spark):
     for parts in (1, 3, 40):
         got = carry_forward(df, ["i"], ["v"], num_partitions=parts, key_cols=["k"]).collect()
         assert sorted((r.i, r.v) for r in got) == want
+
+
+def test_rescoring_an_old_range_gives_the_old_scores(spark, tmpdir_fresh):
+    """Models stay with the vector number from which they hold; a training on
+    demand between the scheduled ones holds until the next."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators.forest import fit_and_score, fit_models, fit_on_demand, training_slices, with_epochs
+    from tidewatch.operators.model_store import ModelStore, scheduled_from
+    from tidewatch.params import ForestParams
+
+    rng = np.random.default_rng(6)
+    fp = ForestParams(n_estimators=10, buffer_size=80, retrain_interval=100)
+    seq = spark.createDataFrame([(i, rng.normal(size=2).tolist()) for i in range(1, 501)], "n long, vector array<double>")
+    live = {r.n: round(r.raw_score, 12) for r in fit_and_score(with_epochs(seq, fp), ["n"], fp).collect()}
+    store = ModelStore(spark, tmpdir_fresh)
+    for key, (lo, hi) in {"a": (0, 250), "b": (250, 501)}.items():  # as a stream saves them
+        slices = training_slices(seq, fp).filter((F.col("model") * 100 > lo) & (F.col("model") * 100 <= hi))
+        for _ in range(2):
+            store.save(fit_models(slices, fp), scheduled_from(fp), key)
+    assert store.models().count() == 5
+    old = seq.filter("n between 150 and 320").repartition(7)
+    assert {r.n: round(r.raw_score, 12) for r in store.rescore(old, ["n"]).collect()} == {n: live[n] for n in range(150, 321)}
+    assert {r.reason for r in store.rescore(seq.filter("n < 100"), ["n"]).collect()} == {"model_not_trained"}
+    store.save(fit_on_demand(seq.filter("n <= 340"), fp), F.lit(340), "c")
+    again = {r.n: round(r.raw_score, 12) for r in store.rescore(seq, ["n"]).collect()}
+    assert sorted(n for n in live if again[n] != live[n]) == list(range(340, 400))

@@ -76,6 +76,15 @@ def _kth_of_union(core: np.ndarray, g: np.ndarray, extra: np.ndarray, k: int) ->
     return np.maximum(a_prev, b_prev), np.minimum(a_next, b_next)
 
 
+def _side_sums(outer: np.ndarray) -> np.ndarray:
+    """(G, c) sums of ``outer[:, t : t+c-1]`` for rows of 2(c-1) values."""
+    e = outer.shape[1] // 2
+    out = np.zeros((outer.shape[0], e + 1), dtype=outer.dtype)
+    out[:, :e] = np.cumsum(outer[:, e - 1 :: -1], axis=1)[:, ::-1]
+    out[:, 1:] += np.cumsum(outer[:, e:], axis=1)
+    return out
+
+
 def _full_chunks(v: np.ndarray, starts: np.ndarray, w: int, c: int) -> dict[str, np.ndarray]:
     """Full windows of ``c`` consecutive rows per chunk, chunk rows a..a+c-1.
 
@@ -97,9 +106,11 @@ def _full_chunks(v: np.ndarray, starts: np.ndarray, w: int, c: int) -> dict[str,
     core_l = core.astype(ld)
     shift = core_l.mean(axis=1)
     yc = core_l - shift[:, None]
-    ye = extra.astype(ld) - shift[g][:, None]
-    s1 = yc.sum(axis=1)[g] + ye.sum(axis=1)
-    s2 = (yc * yc).sum(axis=1)[g] + (ye * ye).sum(axis=1)
+    # row a+t adds the last c-1-t values before the core and the first t after
+    # it: running sums of both, without a difference that could cancel
+    yo = outer.astype(ld) - shift[:, None]
+    s1 = (yc.sum(axis=1)[:, None] + _side_sums(yo)).reshape(-1)
+    s2 = ((yc * yc).sum(axis=1)[:, None] + _side_sums(yo * yo)).reshape(-1)
     mean = (shift[g] + s1 / w).astype(np.float64)
     var = np.maximum((s2 - s1 * s1 / w) / (w - 1), 0).astype(np.float64)
     qs = []

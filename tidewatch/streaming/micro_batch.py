@@ -45,6 +45,7 @@ from tidewatch.functions.alerting import alert_id, is_ntz, severity
 from tidewatch.functions.detect import DETAILS_TYPE, detect, details
 from tidewatch.operators.alerts import sliced_policy_step
 from tidewatch.operators.chain import TS_US, epoch_micros
+from tidewatch.operators.model_store import ModelStore, scheduled_from
 from tidewatch.operators.windows import last_rows, rolling_stats
 from tidewatch.params import AlertParams, DetectorParams, ForestParams
 from tidewatch.plans.detection import RESULT_POS
@@ -100,6 +101,7 @@ class DetectionStream:
         ensure_checkpoint_dir(spark)
         self.reorder = reorder
         self.state_dir = state_dir.rstrip("/")
+        self.models = ModelStore(spark, f"{self.state_dir}/models")  # every model stays, for rescoring
         self.metrics = LiveMetrics(spark, f"{self.state_dir}/metrics")
         self.output_dir = output_dir.rstrip("/")
         self.id_cols = list(id_cols)
@@ -281,6 +283,7 @@ class DetectionStream:
             first_new = 1 if prev_n < n0 else (prev_n - n0) // fp.retrain_interval + 2
             slices = training_slices(allv, fp).filter(F.col("model") >= first_new)
             trained = materialize(fit_models(slices, fp), "stream-nodes")
+            self.models.save(trained, scheduled_from(fp), f"{batch_id:012d}")
             nodes = trained if nodes is None else nodes.unionByName(trained)
         if nodes is None:  # nothing trained yet: every vector is model 0
             return ep.filter(F.lit(False)).select(*ekeys, F.lit("multi_feature").alias("feature"),
