@@ -142,7 +142,7 @@ class DetectionStream:
         """Release all waiting rows of a stream that has ended, as batch
         ``batch_id`` (one after its last). If the stream goes on after all,
         its next batch reads the state before this and rewrites its output."""
-        waiting = self._read("waiting", batch_id - 1)
+        waiting = self._read("waiting", batch_id - 1) if self.reorder else None
         if waiting is not None:
             self._process(waiting.limit(0), batch_id, draining=True)
 
