@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tidewatch.operators.carry import carry_forward
 from tidewatch.operators.forest import MODEL_SCHEMA, first_train, score_vectors
 from tidewatch.params import ForestParams
+from tidewatch.session import materialize
 
 FROM = "valid_from"
 _SCHEMA = T.StructType([*MODEL_SCHEMA.fields, T.StructField(FROM, T.LongType())])
@@ -59,4 +60,6 @@ class ModelStore:
 
     def rescore(self, vectors: DataFrame, keep: Sequence[str], vector_col: str = "vector") -> DataFrame:
         """:func:`score_vectors` under the models valid at each vector's number."""
-        return score_vectors(self.assign(vectors), self.models(), keep, vector_col)
+        met = materialize(self.assign(vectors), "rescored")
+        used = self.models().join(met.select("model").distinct(), "model", "left_semi")
+        return score_vectors(met, used, keep, vector_col)
