@@ -221,3 +221,48 @@ def test_budgets_that_hold_never_meet_the_machine(spark, monkeypatch):
         assert alerts.budget_cannot_bind(df, [], p) == (gap == 300.0)
         got = {r.event_id: r.status for r in alerts.coupled_alert_policy(df, order_cols=["event_id"], params=p, fold_rows=100).collect()}
         assert got == want and "rate_limited" not in want.values()
+
+
+def test_rounds_do_not_grow_with_the_slices(spark, monkeypatch):
+    """A dense stream that never forgets, in 100 slices: no more jobs than the
+    shuffle partitions allow, and no lot is folded more than a few times."""
+    from tidewatch.operators import alerts
+
+    rows, df = _stream_without_silence(spark, n=600, mean=3.0)
+    p = AlertParams(max_alerts_per_minute=2, rate_window_seconds=300.0, dedup_window_seconds=120.0)
+    want = _machine([(i, ts, (k, "zscore")) for i, ts, k in rows], 120.0, 300.0, 2)
+    jobs, step = [], alerts.policy_step
+
+    def counted(rows, *more):
+        jobs.append(rows.count() if "_slice" in rows.columns else 0)
+        return step(rows, *more)
+
+    monkeypatch.setattr(alerts, "policy_step", counted)
+    got = {r.event_id: r.status for r in alerts.coupled_alert_policy(df, order_cols=["event_id"], params=p, fold_rows=6).collect()}
+    assert got == want
+    lots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sliced = [j for j in jobs if j]
+    assert len(sliced) <= lots + 1 and sum(sliced) <= (alerts.GUESSES + 1) * len(rows), jobs
+
+
+def test_a_task_reads_its_groups_through(spark):
+    """Groups of any size, in batches of a few rows, with and without carried state."""
+    from tidewatch.operators.alerts import policy_step
+    from pyspark.sql import functions as F
+
+    rows, df = _stream_without_silence(spark, n=200, mean=5.0)
+    timed = df.withColumn("_ts_us", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts"))
+    p = AlertParams(max_alerts_per_minute=2, rate_window_seconds=90.0, dedup_window_seconds=30.0)
+    timed = timed.withColumn("scope", (F.col("event_id") % 100 >= 40).cast("int"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        first = policy_step(timed.filter("event_id < 100"), None, ["scope"], ["event_id"], p).collect()
+        state = spark.createDataFrame([(r._g, r._state) for r in first if r._state], "_g string, _state string")
+        then = policy_step(timed.filter("event_id >= 100"), state, ["scope"], ["event_id"], p).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert state.count() == 2 and sum(r._state is not None for r in then) == 2 and len(first) == len(then) == 100
+    want = {}
+    for scope in (0, 1):
+        want |= _machine([(i, ts, (k, "zscore")) for i, ts, k in rows if (i % 100 >= 40) == scope], 30.0, 90.0, 2)
+    assert {r.event_id: r.status for r in [*first, *then]} == want

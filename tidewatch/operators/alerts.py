@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,72 +111,115 @@ def policy_step(
     state by group. Adds ``status`` (see :mod:`tidewatch.functions.alert_machine`)
     and, on a group's last row, ``_state`` and ``_until``, the time from which
     that state no longer matters; the group's name is in ``_g``. The state has
-    one entry per dedup key.
+    one entry per dedup key. A task sorts its groups and reads them through a
+    batch at a time (Spark's sort spills), so it holds a batch and a state,
+    whatever a group's size.
     """
-    import pandas as pd
+    import pyarrow as pa
     from pyspark.sql import types as T
 
     from tidewatch.functions.alert_machine import STATUS, MachineState, run_machine
+    from tidewatch.operators.positions import key_changes
 
     gap_d, gap_r, limit = _gaps(params)
     named = rows.withColumn("_g", _group_name(group_cols))
     more = [("status", T.StringType()), ("_state", T.StringType()), ("_until", T.LongType())]
     schema = T.StructType([*named.schema.fields, *(T.StructField(n, t) for n, t in more)])
-
-    def fold(pdf: pd.DataFrame, held: str | None) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order_cols), kind="stable").reset_index(drop=True)
-        machine = MachineState(held)
-        keys = list(zip(pdf["feature"].tolist(), pdf["anomaly_type"].tolist()))
-        pdf["status"] = STATUS[run_machine(pdf[TS_US].to_numpy(dtype="int64"), keys, machine, gap_d, gap_r, limit)]
-        pdf["_state"] = None
-        pdf["_until"] = pd.array([pd.NA] * len(pdf), dtype="Int64")
-        pdf.loc[len(pdf) - 1, "_state"] = machine.text()
-        pdf.loc[len(pdf) - 1, "_until"] = machine.until(gap_d, gap_r)
-        return pdf
-
-    if state is None:
-        return named.groupBy("_g").applyInPandas(lambda pdf: fold(pdf, None), schema)
-
-    def go_on(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:  # state of a group that has no rows this time
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        return fold(pdf, held["_state"].iloc[0] if len(held) else None)
-
-    return named.groupBy("_g").cogroup(state.select("_g", "_state").groupBy("_g")).applyInPandas(go_on, schema)
+    names = [f.name for f in schema.fields]
+    # a group's state comes to its task as a row before the group's own
+    marked = named.withColumn("_mark", F.lit(1)).withColumn("_state", F.lit(None).cast("string"))
+    if state is not None:
+        held = state.select("_g", "_state").withColumn("_mark", F.lit(0))
+        marked = marked.unionByName(held, allowMissingColumns=True)
+
+    def fold(batches):
+        group, machine, last = None, MachineState(), None  # last: the open group's last row, with its status
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first = b.column("_g")[0].as_py()
+            if last is not None:
+                yield closed(last, machine) if first != group else last
+                last = None
+            starts = np.flatnonzero(key_changes(b, ["_g"])).tolist()
+            own = b.column("_mark").to_numpy() == 1
+            ts = b.column(TS_US).fill_null(np.iinfo(np.int64).min).to_numpy()
+            keys = list(zip(b.column("feature").to_pylist(), b.column("anomaly_type").to_pylist()))
+            codes = np.zeros(b.num_rows, np.int8)
+            texts, untils = [None] * b.num_rows, [None] * b.num_rows
+            for lo, hi in zip(starts, [*starts[1:], b.num_rows]):
+                name = first if lo == 0 else b.column("_g")[lo].as_py()
+                if name != group:
+                    group, machine = name, MachineState()
+                if not own[lo]:
+                    machine = MachineState(b.column("_state")[lo].as_py())
+                    lo += int(np.count_nonzero(~own[lo:hi]))
+                if lo < hi:
+                    codes[lo:hi] = run_machine(ts[lo:hi], keys[lo:hi], machine, gap_d, gap_r, limit)
+                    if hi < b.num_rows:
+                        texts[hi - 1], untils[hi - 1] = machine.text(), machine.until(gap_d, gap_r)
+            made = [pa.array(STATUS[codes], pa.string()), pa.array(texts, pa.string()), pa.array(untils, pa.int64())]
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-3]), *made], names)
+            if own[-1]:
+                last, out, own = out.slice(b.num_rows - 1), out.slice(0, b.num_rows - 1), own[:-1]
+            yield out if own.all() else out.filter(pa.array(own))
+        if last is not None:
+            yield closed(last, machine)
+
+    def closed(row: pa.RecordBatch, machine: MachineState) -> pa.RecordBatch:
+        ends = [pa.array([machine.text()], pa.string()), pa.array([machine.until(gap_d, gap_r)], pa.int64())]
+        return pa.RecordBatch.from_arrays([*row.columns[:-2], *ends], names)
+
+    together = marked.repartition("_g").sortWithinPartitions("_g", "_mark", *order_cols)
+    return together.mapInArrow(fold, schema)
 
 
 def _group_name(group_cols: Sequence[str]):
     return F.to_json(F.struct(F.lit(0).alias("all"), *[F.col(c) for c in group_cols]))
 
 
+#: times a lot is folded from an entry state that may not be its last one
+GUESSES = 3
+
+
 def _fold_slices(cut: DataFrame, state: DataFrame | None, params: AlertParams) -> tuple[DataFrame, DataFrame]:
     """Runs of rows ``(_run, _slice, _gpos, ...)`` through the machine, their slices
     side by side: (rows with ``status``, (_run, _state, _until) after each run).
 
-    Every slice is folded from an entry state, which gives its exit state: one
-    point of its transfer function. In the first round a run's first slice
-    enters with ``state(_run, _state)`` and the others with none; then each
-    slice whose entry is not the exit of the slice before it is folded again,
-    all such slices in one job, until entries and exits meet. States are
-    compared without what can no longer matter to the slice, so a stretch in
-    which the machine forgets its past (a pause for each key and the budget,
-    or openings that coincide) ends the rounds. A round settles at least one
-    more slice of every run.
+    Slices that follow each other make a lot, so that the longest run has no
+    more lots than there are shuffle partitions; a task folds a lot's slices
+    one after another. Every lot is folded from an entry state, which gives its
+    exit state: one point of its transfer function. In the first round a run's
+    first lot enters with ``state(_run, _state)`` and the others with none;
+    then lots whose entry is not the exit of the lot before them are folded
+    again, in one job, until entries and exits meet: the first such lot of a
+    run, whose entry is final, and others that were not yet folded ``GUESSES``
+    times. States are compared without what can no longer matter to the lot,
+    so a stretch in which the machine forgets its past (a pause for each key
+    and the budget, or openings that coincide) ends the rounds. A round settles
+    at least one more lot of every run, so their number is bounded by the
+    shuffle partitions and the rows folded by ``GUESSES`` + 1 times the input.
+
+    Only positions, times and dedup keys are folded; the rows' other columns
+    meet their status once, at the end.
     """
-    import pandas as pd
-
     from tidewatch.functions.alert_machine import MachineState
-    from tidewatch.operators.positions import GPOS
+    from tidewatch.operators.positions import GPOS, default_partitions
     from tidewatch.session import materialize
 
     gap_d, gap_r, _ = _gaps(params)
-    at = ["_run", "_slice"]
-    starts = cut.groupBy(*at).agg(F.min(TS_US).alias("_from"))
-    later = Window.partitionBy("_run").orderBy("_slice").rowsBetween(0, Window.unboundedFollowing)
+    at = ["_run", "_lot"]
+    lean = cut.select("_run", "_slice", GPOS, TS_US, "feature", "anomaly_type")
+    lean = materialize(lean.sortWithinPartitions(GPOS), "policy-lean")
+    most = lean.agg(F.max("_slice")).first()[0] or 0
+    together = most // default_partitions(cut) + 1
+    lean = lean.withColumn("_lot", F.expr(f"_slice div {together}"))
+    starts = lean.groupBy(*at).agg(F.min(TS_US).alias("_from"))
+    later = Window.partitionBy("_run").orderBy("_lot").rowsBetween(0, Window.unboundedFollowing)
     slices = materialize(starts.withColumn("_from", F.min("_from").over(later)), "policy-slices")
 
     def entries(exits: DataFrame) -> DataFrame:
-        """The states as they matter to their slices."""
+        """The states as they matter to their lots."""
         def forget(batches):
             for pdf in batches:
                 for i, (text, start) in enumerate(zip(pdf["_state"], pdf["_from"])):
@@ -187,26 +231,30 @@ def _fold_slices(cut: DataFrame, state: DataFrame | None, params: AlertParams) -
 
     def fold(rows: DataFrame, known: DataFrame | None) -> DataFrame:
         named = None if known is None else known.select(_group_name(at).alias("_g"), "_state")
-        return materialize(policy_step(rows, named, at, [GPOS], params), "policy-fold")
+        done = policy_step(rows, named, at, [GPOS], params)
+        return materialize(done.select(*at, GPOS, "status", "_state", "_until"), "policy-fold")
 
     blank = MachineState().text()
     used = slices.select(*at).withColumn("_state", F.lit(blank))
     if state is not None:
-        first = slices.groupBy("_run").agg(F.min("_slice").alias("_slice"))
+        first = slices.groupBy("_run").agg(F.min("_lot").alias("_lot"))
         given = entries(state.join(first, "_run").select(*at, "_state"))
         used = used.drop("_state").join(given, at, "left").withColumn("_state", F.coalesce("_state", F.lit(blank)))
-    used = materialize(used.withColumn("_round", F.lit(0)), "policy-entries")
-    rounds = [fold(cut, used if state is not None else None).withColumn("_round", F.lit(0))]
-    many = slices.filter("_slice > 0").limit(1).count()
-    ends = rounds[0].filter("_state is not null").select(*at, "_state", "_until")
+    used = materialize(used.withColumn("_round", F.lit(0)).withColumn("_folds", F.lit(1)), "policy-entries")
+    rounds = [fold(lean, used if state is not None else None).withColumn("_round", F.lit(0))]
+    many = slices.filter("_lot > 0").limit(1).count()
+    ends = materialize(rounds[0].filter("_state is not null").select(*at, "_state", "_until"), "policy-ends")
+    front = Window.partitionBy("_run").orderBy("_lot")
     while many:
-        shifted = ends.select("_run", (F.col("_slice") + 1).alias("_slice"), "_state")
+        shifted = ends.select("_run", (F.col("_lot") + 1).alias("_lot"), "_state")
         met = entries(shifted).withColumnRenamed("_state", "_now").join(used, at)
-        wrong = materialize(met.filter("_now <> _state").select(*at, F.col("_now").alias("_state")), "policy-wrong")
+        unmet = met.filter("_now <> _state").withColumn("_place", F.row_number().over(front))
+        unmet = unmet.filter((F.col("_place") == 1) | (F.col("_folds") < GUESSES))
+        wrong = materialize(unmet.select(*at, F.col("_now").alias("_state"), (F.col("_folds") + 1).alias("_folds")), "policy-wrong")
         if not wrong.limit(1).count():
             break
         n = len(rounds)
-        again = fold(cut.join(wrong.select(*at), at, "left_semi"), wrong).withColumn("_round", F.lit(n))
+        again = fold(lean.join(wrong.select(*at), at, "left_semi"), wrong).withColumn("_round", F.lit(n))
         rounds.append(again)
         anew = wrong.withColumn("_round", F.lit(n))
         used = materialize(used.join(wrong.select(*at), at, "left_anti").unionByName(anew), "policy-entries")
@@ -216,10 +264,11 @@ def _fold_slices(cut: DataFrame, state: DataFrame | None, params: AlertParams) -
     for one in rounds[1:]:
         every = every.unionByName(one)
     if len(rounds) > 1:
-        every = materialize(every.join(used.select(*at, "_round"), [*at, "_round"], "left_semi"), "policy-rows")
-    tail = Window.partitionBy("_run").orderBy(F.desc("_slice"))
+        every = every.join(used.select(*at, "_round"), [*at, "_round"], "left_semi")
+    out = cut.join(every.select(GPOS, "status"), GPOS).select(*cut.columns, "status")
+    tail = Window.partitionBy("_run").orderBy(F.desc("_lot"))
     last = ends.withColumn("_n", F.row_number().over(tail)).filter("_n = 1").select("_run", "_state", "_until")
-    return every.drop("_round", "_g", "_state", "_until"), last
+    return out, last
 
 
 def sliced_policy_step(
@@ -233,9 +282,8 @@ def sliced_policy_step(
     """:func:`policy_step` over groups of any size: (rows with ``status``, the
     state ``(_g, _state, _until)`` after them of every group).
 
-    A group is cut into slices of ``fold_rows`` rows in ``order_cols`` order,
-    so no task holds more than a slice of a group; slices are folded side by
-    side (:func:`_fold_slices`).
+    A group is cut into slices of ``fold_rows`` rows in ``order_cols`` order;
+    lots of slices are folded side by side (:func:`_fold_slices`).
     """
     from tidewatch.operators.positions import GPOS, PID, with_global_position
     from tidewatch.session import materialize
