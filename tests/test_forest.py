@@ -163,3 +163,30 @@ def test_rescoring_an_old_range_gives_the_old_scores(spark, tmpdir_fresh):
     store.save(fit_on_demand(seq.filter("n <= 340"), fp), F.lit(340), "c")
     again = {r.n: round(r.raw_score, 12) for r in store.rescore(seq, ["n"]).collect()}
     assert sorted(n for n in live if again[n] != live[n]) == list(range(340, 400))
+
+
+def test_walks_over_full_trees_equal_walks_to_leaves():
+    import numpy as np
+    from tidewatch.functions import iforest
+
+    rng = np.random.default_rng(1)
+    for n, trees, most in ((300, 10, 64), (60, 5, 256), (1, 3, 256)):
+        forest = iforest.build_forest(np.round(rng.normal(size=(n, 4)), 1), trees, most, (1, n))
+        x = rng.normal(size=(50, 4))
+        x[0], x[1] = np.nan, np.inf
+        want = []
+        for row in x:
+            depths = []
+            for t in range(trees):
+                node = 0
+                while forest["feature"][t, node] >= 0:
+                    node = 2 * node + (1 if row[forest["feature"][t, node]] < forest["threshold"][t, node] else 2)
+                depths.append(forest["leaf_value"][t, node])
+            want.append(np.array(depths).mean())
+        assert iforest.path_lengths(x, forest).tolist() == want
+        few = iforest.WALK_ROWS
+        try:
+            iforest.WALK_ROWS = 7  # blocks
+            assert iforest.path_lengths(x, forest).tolist() == want
+        finally:
+            iforest.WALK_ROWS = few

@@ -99,25 +99,48 @@ def build_forest(x: np.ndarray, n_trees: int, max_samples: int, seed_parts: tupl
             "psi": psi, "max_depth": max_depth}
 
 
+#: rows walked at a time: a tree's nodes and a block's rows stay in the cache
+WALK_ROWS = 8192
+
+
+def _full_trees(forest: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, thresholds, values at the lowest level) of trees in which
+    every leaf is handed down to the lowest level, so that all walks are
+    equally long and need no test for leaves."""
+    depth = int(forest["max_depth"])
+    feature, threshold = np.array(forest["feature"]), np.array(forest["threshold"])
+    value = np.array(forest["leaf_value"])
+    for d in range(depth):
+        at = np.arange(2**d - 1, 2 ** (d + 1) - 1)
+        leaf = feature[:, at] < 0
+        for child in (2 * at + 1, 2 * at + 2):
+            value[:, child] = np.where(leaf, value[:, at], value[:, child])
+            feature[:, child] = np.where(leaf, -1, feature[:, child])
+    return np.maximum(feature, 0), threshold, value[:, 2**depth - 1 :]
+
+
 def path_lengths(x: np.ndarray, forest: dict[str, np.ndarray]) -> np.ndarray:
-    """Mean path length of each row of ``x`` over all trees (vectorized walk)."""
+    """Mean path length of each row of ``x`` over all trees: tree by tree, a
+    block of rows walks down a level at a time."""
     x = np.asarray(x, dtype=np.float64)
-    feature, threshold, leaf_value = forest["feature"], forest["threshold"], forest["leaf_value"]
-    n_trees = feature.shape[0]
-    r = x.shape[0]
-    node = np.zeros((r, n_trees), dtype=np.int64)
-    t = np.broadcast_to(np.arange(n_trees), (r, n_trees))
-    rows = np.broadcast_to(np.arange(r)[:, None], (r, n_trees))
-    for _ in range(int(forest["max_depth"]) + 1):
-        f = feature[t, node]
-        inner = f >= 0
-        if not inner.any():
-            break
-        fv = x[rows, np.where(inner, f, 0)]
-        go_left = fv < threshold[t, node]
-        nxt = np.where(go_left, 2 * node + 1, 2 * node + 2)
-        node = np.where(inner, nxt, node)
-    return leaf_value[t, node].mean(axis=1)
+    feature, threshold, value = _full_trees(forest)
+    depth, n_trees, width = int(forest["max_depth"]), feature.shape[0], x.shape[1]
+    out = np.empty(len(x))
+    for lo in range(0, len(x), WALK_ROWS):
+        block = np.ascontiguousarray(x[lo : lo + WALK_ROWS])
+        flat, row = block.reshape(-1), np.arange(len(block)) * width
+        found = np.empty((len(block), n_trees))
+        for t in range(n_trees):
+            f, cut = feature[t], threshold[t]
+            node = np.zeros(len(block), dtype=np.int64)
+            for _ in range(depth):
+                left = flat.take(row + f.take(node)) < cut.take(node)
+                node *= 2
+                node += 2
+                node -= left
+            found[:, t] = value[t].take(node - (2**depth - 1))
+        out[lo : lo + len(block)] = found.mean(axis=1)
+    return out
 
 
 def score_samples(x: np.ndarray, forest: dict[str, np.ndarray]) -> np.ndarray:
