@@ -311,3 +311,12 @@ def test_empty_tables(spark, empty):
     assert contain.contained_items(empty, items).count() == 0
     assert contain.drop_contaminated(empty, items).count() == 0
     assert langid.identify(empty, langid.LanguageModel.fit(empty)).count() == 0
+
+
+def test_workers_get_a_small_vocabulary_and_hold_a_small_cache():
+    import pickle
+
+    from tidewatch.llm import pieces
+
+    v = pieces.Vocabulary(*pieces.load_vocabulary())
+    assert v.dense.itemsize == 2 and len(pickle.dumps(v)) < 24 << 20 and pieces._CACHE_UNITS <= 100_000

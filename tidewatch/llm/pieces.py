@@ -46,7 +46,7 @@ _CLASSES = 128
 _BLANK = 0x2581
 _OTHER_BLANK = 0x110001  # U+2581 of the text itself
 FALLBACK = 1 << 21  # edge ids from here on: a character in byte pieces
-_CACHE_UNITS = 300_000
+_CACHE_UNITS = 60_000  # about 1 kB each
 _UNIT = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -66,7 +66,8 @@ def load_vocabulary(model_file: str = MODEL_FILE) -> tuple[list[str], list[int],
 
 
 class Vocabulary:
-    """Trie and weights, as arrays; built once per Python worker."""
+    """Trie and weights, as arrays; built on the driver, where the trie's dicts
+    stay, and sent to the Python workers."""
 
     def __init__(self, pieces: list[str], ids: list[int], byte_ids: list[int], alpha: float = 1.0):
         self.byte_ids = np.array(byte_ids, dtype=np.int64)
@@ -95,7 +96,7 @@ class Vocabulary:
         common = sorted(uses, key=lambda c: (-uses[c], c))[: _CLASSES - 1]
         self.klass = np.zeros(0x110002, dtype=np.uint8)
         self.klass[common] = np.arange(1, len(common) + 1)
-        self.dense = np.zeros((len(children), _CLASSES), dtype=np.int32)
+        self.dense = np.zeros((len(children), _CLASSES), dtype=np.uint16 if len(children) < 1 << 16 else np.int32)
         rare = []
         for n, kids in enumerate(children):
             for c, to in kids.items():
@@ -485,10 +486,10 @@ def _log_inclusion(log: float, kappa: float) -> float:
 _WORKER: dict[tuple, Lattices] = {}
 
 
-def _lattices(vocabulary: tuple[list[str], list[int], list[int]], alpha: float, key: tuple) -> Lattices:
+def _lattices(vocabulary: Vocabulary, key: tuple) -> Lattices:
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = Lattices(Vocabulary(*vocabulary, alpha))
+        _WORKER[key] = Lattices(vocabulary)
     return _WORKER[key]
 
 
@@ -503,8 +504,7 @@ def encode(
     """doc_id, the columns ``keep`` and ``samples``: array of (n_tokens, ids
     or null, ids_sha256, log_prob, perturbed, log_inclusion, round_trip), best
     first. ``round_trip``: the ids decode to the text."""
-    vocabulary = load_vocabulary(model_file)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(*load_vocabulary(model_file), alpha))
     key = (model_file, alpha)
     names = list(dict.fromkeys(["doc_id", *keep]))
     own = docs.select(*names, F.xxhash64("doc_id").alias("_seed"), F.col("text").alias("_text"))
@@ -521,7 +521,7 @@ def encode(
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = _lattices(shared.value, alpha, key)
+        lattices = _lattices(shared.value, key)
         try:
             for b in batches:
                 yield from encoded(b, lattices)
@@ -563,11 +563,11 @@ def encode(
 
 def decode(encoded: DataFrame, ids: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:
     """The input's columns and ``text`` decoded from an array of token ids."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(*load_vocabulary(model_file)))
 
     @F.pandas_udf("string")
     def text_of(column):
-        v = _lattices(shared.value, 1.0, (model_file, 1.0)).v
+        v = shared.value
         return column.map(lambda x: None if x is None else v.decode(np.asarray(x)))
 
     return encoded.withColumn("text", text_of(F.col(ids)))
