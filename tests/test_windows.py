@@ -163,3 +163,28 @@ def test_reset_on_rows_without_a_value(spark, strategy):
     out = rolling_stats(df, ["i"], window=7, reset_col="reset", strategy=strategy, **kw).select(
         "i", "win_count", F.round("win_mean", 9).alias("m"), "win_min")
     assert {r.i: (r.win_count, r.m, r.win_min) for r in out.collect()} == want
+
+
+def test_only_the_statistics_asked_for_are_written(spark):
+    from pyspark.sql import functions as F
+    from tidewatch.operators.windows import rolling_stats
+
+    df = spark.range(500).select(F.col("id"), F.lit("f").alias("feature"), (F.col("id") * 37 % 101).cast("double").alias("value"))
+    want = {r.id: r.zscore for r in rolling_stats(df, ["id"], window=20, num_partitions=3).collect()}
+    few = rolling_stats(df, ["id"], window=20, num_partitions=3, passthrough=["id"], stats=["zscore"])
+    assert few.columns == ["id", "zscore"] and {r.id: r.zscore for r in few.collect()} == want
+    written = spark.read.parquet(few.inputFiles()[0].rsplit("/", 1)[0])
+    assert "zscore" in written.columns and "win_p25" not in written.columns
+
+
+def test_rounding_equals_decimal_rounding(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tidewatch.plans.catalog import r6
+
+    rng = np.random.default_rng(3)
+    x = [*(rng.normal(size=300) * 10.0 ** rng.integers(-9, 12, 300)).tolist(), 0.0, -0.0, -1e-9, 0.5e-6, 1.5e-6, -2.5e-6,
+         0.1234565, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(float(v) if v is not None else None,) for v in x], "x double")
+    for r in df.select(r6("x", "fast"), F.round(F.round("x", 10), 6).alias("slow")).collect():
+        assert repr(r.fast) == repr(r.slow), r

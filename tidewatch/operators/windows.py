@@ -54,6 +54,7 @@ def rolling_stats(
     passthrough: Sequence[str] | None = None,
     block_size: int | None = None,
     num_partitions: int | None = None,
+    stats: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add window statistics for each row: the window holds the last
     ``window`` values of the row's key (itself included), oldest evicted.
@@ -63,7 +64,8 @@ def rolling_stats(
     ``win_median``, ``win_p75``, ``win_iqr``, ``zscore`` of the row's value
     (0 when the deviation is 0). Statistics are NULL while the window holds
     fewer than two values. ``block_size`` rows are computed at a time in a
-    task. ``reset_col`` (boolean) clears the window before
+    task. ``stats`` names the statistics to keep (default: all); the others
+    are not written. ``reset_col`` (boolean) clears the window before
     the row is added. ``order_cols`` must make a total order within a key.
 
     Rows whose value is NULL or NaN are absent: they enter no window and give
@@ -71,6 +73,7 @@ def rolling_stats(
     """
     if window < 1:
         raise ValueError("window must be >= 1")
+    fields = [f for f in STAT_FIELDS if stats is None or f.name in stats]
     keep = list(passthrough) if passthrough is not None else list(df.columns)
     needed = list(dict.fromkeys([*key_cols, *order_cols, value_col, *([reset_col] if reset_col else []), *keep]))
     present = F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))
@@ -78,10 +81,10 @@ def rolling_stats(
     src = df.select(*needed).filter(present | resets)
     if strategy in ("auto", "halo"):
         out = _halo(src, list(order_cols), list(key_cols), value_col, window, reset_col, keep,
-                    block_size or _default_step(window), num_partitions)
+                    block_size or _default_step(window), num_partitions, fields)
     elif strategy == "frame":
         out = _frame(src, list(order_cols), list(key_cols), value_col, window, reset_col)
-        out = out.select(*keep, *[f.name for f in STAT_FIELDS])
+        out = out.select(*keep, *[f.name for f in fields])
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     return out
@@ -138,8 +141,8 @@ def _frame(df, order_cols, key_cols, value_col, window, reset_col) -> DataFrame:
 DONE, EDGE, TAIL = 0, 1, 2
 
 
-def _stat_columns(stats: dict[str, np.ndarray]) -> list[pa.Array]:
-    return [pa.array(stats[n], pa.int64() if n == "win_count" else pa.float64(), from_pandas=True) for n in STAT_NAMES]
+def _stat_columns(stats: dict[str, np.ndarray], names: Sequence[str]) -> list[pa.Array]:
+    return [pa.array(stats[n], pa.int64() if n == "win_count" else pa.float64(), from_pandas=True) for n in names]
 
 
 class _Reader:
@@ -178,23 +181,24 @@ class _Reader:
         return stats, done, absent
 
 
-def _halo(df, order_cols, key_cols, value_col, window, reset_col, keep, step, num_partitions) -> DataFrame:
+def _halo(df, order_cols, key_cols, value_col, window, reset_col, keep, step, num_partitions, fields) -> DataFrame:
     """See the module's head. The written table holds finished rows with their
     statistics (``_kind`` DONE), rows of a partition's edge (EDGE) and copies
     of its last N-1 rows (TAIL)."""
     own = [*dict.fromkeys([*keep, *key_cols, value_col, *([reset_col] if reset_col else [])])]
     types = {f.name: f.dataType for f in df.schema.fields}
     place = [T.StructField(PID, T.IntegerType()), T.StructField("_loc", T.LongType()), T.StructField("_kind", T.IntegerType())]
-    schema = T.StructType([*(T.StructField(c, types[c]) for c in own), *place, *STAT_FIELDS])
+    schema = T.StructType([*(T.StructField(c, types[c]) for c in own), *place, *fields])
+    made_names = [f.name for f in fields]
     names = [f.name for f in schema.fields]
 
     def rows(part: pa.RecordBatch, at: np.ndarray, kind: int, stats: dict[str, np.ndarray] | None) -> pa.RecordBatch:
         cols = part.take(pa.array(at)).select([*own, PID, "_loc"])
         made = [pa.array(np.full(len(at), kind, np.int32))]
         if stats is None:
-            made += [pa.nulls(len(at), pa.int64() if n == "win_count" else pa.float64()) for n in STAT_NAMES]
+            made += [pa.nulls(len(at), pa.int64() if n == "win_count" else pa.float64()) for n in made_names]
         else:
-            made += _stat_columns({n: v[at] for n, v in stats.items()})
+            made += _stat_columns({n: stats[n][at] for n in made_names}, made_names)
         return pa.RecordBatch.from_arrays([*cols.columns, *made], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +218,11 @@ def _halo(df, order_cols, key_cols, value_col, window, reset_col, keep, step, nu
 
     ranged = range_sorted(df.select(*dict.fromkeys([*own, *order_cols])), [*key_cols, *order_cols], num_partitions)
     table = materialize(ranged.select(*own, PID, "_loc").mapInArrow(read, schema), "windows")
-    done = table.filter(F.col("_kind") == DONE).select(*keep, *[f.name for f in STAT_FIELDS])
+    done = table.filter(F.col("_kind") == DONE).select(*keep, *made_names)
     if window == 1:
         return done
-    edges = _edges(table, key_cols, value_col, reset_col, window, own, schema)
-    return done.unionByName(edges.select(*keep, *[f.name for f in STAT_FIELDS]))
+    edges = _edges(table, key_cols, value_col, reset_col, window, own, schema, made_names)
+    return done.unionByName(edges.select(*keep, *made_names))
 
 
 def _last_rows(parts: list[pa.RecordBatch], n: int) -> list[pa.RecordBatch]:
@@ -232,7 +236,7 @@ def _last_rows(parts: list[pa.RecordBatch], n: int) -> list[pa.RecordBatch]:
     return out[::-1]
 
 
-def _edges(table: DataFrame, key_cols, value_col, reset_col, window, own, schema) -> DataFrame:
+def _edges(table: DataFrame, key_cols, value_col, reset_col, window, own, schema, made_names) -> DataFrame:
     """The edge rows with their statistics: each partition's edge meets the
     last N-1 rows before it (of the partition before, or of several if they
     are short)."""
@@ -252,7 +256,7 @@ def _edges(table: DataFrame, key_cols, value_col, reset_col, window, own, schema
         stats, _, _ = _Reader(key_cols, value_col, reset_col, window).step(part)
         at = np.flatnonzero(part.column("_kind").to_numpy() == EDGE)
         cols = part.select([*own, PID, "_loc", "_kind"]).take(pa.array(at))
-        made = _stat_columns({n: v[at] for n, v in stats.items()})
+        made = _stat_columns({n: stats[n][at] for n in made_names}, made_names)
         return pa.Table.from_arrays([*cols.columns, *made], [f.name for f in schema.fields])
 
     return sent.unionByName(edge).groupBy("_to").applyInArrow(finish, schema)

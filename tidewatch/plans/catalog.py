@@ -48,7 +48,12 @@ def r6(c: str | F.Column, name: str | None = None) -> F.Column:
     exact tie that two engines reach with different last-bit noise rounds the
     same way on both."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(F.round(col, 10), 6).alias(name or (c if isinstance(c, str) else None))
+    # decimal rounding is slow and only decides near a tie: elsewhere the nearest
+    # whole number of millionths is the same double
+    scaled = col.cast("double") * F.lit(1e6)
+    clear = (F.abs(scaled) < F.lit(1e15)) & (F.abs(scaled - F.floor(scaled) - F.lit(0.5)) > F.lit(0.01))
+    rounded = F.when(clear, F.rint(scaled) / F.lit(1e6) + F.lit(0.0)).otherwise(F.round(F.round(col, 10), 6))
+    return rounded.alias(name or (c if isinstance(c, str) else None))
 
 
 def _stats_cols() -> list[F.Column]:
@@ -73,10 +78,10 @@ def trade_long(spark: SparkSession, sf: str, drop_weight_on_line7: bool = False,
     return unpivot_features(t, [*TRADE_ORDER, *extra], FEATURES)
 
 
-def trade_stats(spark: SparkSession, sf: str, drop_weight_on_line7: bool = False) -> DataFrame:
+def trade_stats(spark: SparkSession, sf: str, drop_weight_on_line7: bool = False, stats=None) -> DataFrame:
     long = trade_long(spark, sf, drop_weight_on_line7)
     return rolling_stats(long, order_cols=TRADE_ORDER, key_cols=["feature"], window=P.window_size,
-                         passthrough=[*TRADE_ORDER, "feature", "value"])
+                         passthrough=[*TRADE_ORDER, "feature", "value"], stats=stats)
 
 
 def event_anomalies(spark: SparkSession, sf: str) -> DataFrame:
@@ -497,7 +502,7 @@ def trade_vectors(spark: SparkSession, sf: str, stats: DataFrame | None = None)
     """Feature vectors of lineitem trades (weight undeclared on 7th lines)."""
     from tidewatch.operators.vectors import feature_vectors
 
-    stats = trade_stats(spark, sf, drop_weight_on_line7=True) if stats is None else stats
+    stats = trade_stats(spark, sf, drop_weight_on_line7=True, stats=["zscore"]) if stats is None else stats
     events = lineitem_trades(spark, sf).select(*TRADE_ORDER)
     return feature_vectors(events, stats, [], TRADE_ORDER, FEATURES)
 
@@ -514,9 +519,7 @@ def trade_forest_scores(spark: SparkSession, sf: str, stats: DataFrame | None =
 def q_forest_batch_fit(spark, sf):
     """Train on demand: one model on the last buffer_size vectors, then score
     every vector with it (the reference's force_train + predict)."""
-    from tidewatch.session import materialize
-
-    seq = materialize(vector_sequence(trade_vectors(spark, sf), TRADE_ORDER), "vectors")
+    seq = vector_sequence(trade_vectors(spark, sf), TRADE_ORDER)  # a written table, less a small join
     scored = score_with_model(seq, fit_on_demand(seq, FP), [*TRADE_ORDER, "n"])
     return scored.select(eid(), "n", r6("raw_score"), "is_anomaly")
 
@@ -578,7 +581,7 @@ def scoped_epochs(spark: SparkSession, sf: str) -> DataFrame:
     scope = ["l_linenumber"]
     long = unpivot_features(t, list(TRADE_ORDER), FEATURES)
     stats = rolling_stats(long, order_cols=TRADE_ORDER, key_cols=[*scope, "feature"], window=200,
-                          passthrough=[*TRADE_ORDER, "feature", "value"])
+                          passthrough=[*TRADE_ORDER, "feature", "value"], stats=["zscore"])
     vec = feature_vectors(t.select(*TRADE_ORDER), stats, [], TRADE_ORDER, FEATURES, scope)
     return with_epochs(vector_sequence(vec, TRADE_ORDER, scope_cols=scope), FP_SCOPED)
 
@@ -640,9 +643,7 @@ def _statistical_results(stats: DataFrame) -> DataFrame:
 
 def q_union_results(spark, sf):
     """Statistical anomalies of the trades, then the forest's, per event."""
-    from tidewatch.session import materialize
-
-    stats = materialize(trade_stats(spark, sf, drop_weight_on_line7=True), "trade-stats")
+    stats = trade_stats(spark, sf, drop_weight_on_line7=True)  # a written table that both detectors read
     stat = _statistical_results(stats)
     fa = forest_anomalies(trade_forest_scores(spark, sf, stats), A.score_scale_forest).select(
         eid(), "feature", r6("value"), r6("score"), "anomaly_type", F.lit(len(FEATURES)).alias("result_pos"))

@@ -85,13 +85,10 @@ def trade_anomalies(
     detector before the alert policy."""
     from tidewatch.operators.forest import fit_and_score, forest_anomalies, vector_sequence, with_epochs
     from tidewatch.operators.vectors import feature_vectors
-    from tidewatch.session import materialize
 
     keys = list(dict.fromkeys([*id_cols, *order_cols]))
     stats = rolling_stats(long_df, order_cols=order_cols, key_cols=["feature"], window=params.window_size,
-                          passthrough=[*keys, "feature", "value"])
-    if forest is not None:
-        stats = materialize(stats, "trade-stats")  # both detectors read it
+                          passthrough=[*keys, "feature", "value"])  # a written table that both detectors read
     position = F.lit(len(params.features))
     for i, f in enumerate(params.features):
         position = F.when(F.col("feature") == f, F.lit(i)).otherwise(position)
