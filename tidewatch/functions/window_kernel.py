@@ -1,6 +1,6 @@
 """NumPy kernel for count-window statistics over a sorted value array.
 
-Used inside ``applyInPandas`` on one bounded block of rows. Windows are the
+Used inside Spark tasks on one bounded block of rows. Windows are the
 last ``W`` values of the row's own segment (a key run, cut again at a
 reset). Statistics follow NumPy's definitions: mean, sample std (ddof=1),
 linear-interpolated quartiles, min/max; rows with fewer than two values are
@@ -9,6 +9,8 @@ linear-interpolated quartiles, min/max; rows with fewer than two values are
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
@@ -17,6 +19,8 @@ STAT_NAMES = (
     "win_p25", "win_median", "win_p75", "win_iqr", "zscore",
 )
 QUANTILES = (0.25, 0.5, 0.75)
+#: statistics that follow from sums, without the order of a window's values
+SUM_STATS = {"win_count", "win_mean", "win_std", "zscore"}
 
 
 def _lerp_sorted(s: np.ndarray, n: np.ndarray, q: float) -> np.ndarray:
@@ -35,13 +39,10 @@ def _full_rows(sub: np.ndarray, w: int) -> dict[str, np.ndarray]:
     """Rows of exactly ``w`` values: one in-place sort per row gives min, max
     and the quartiles by index (faster than a multi-kth partition)."""
     a = np.array(sub, dtype=np.float64, copy=True)
-    mean = a.mean(axis=1)
-    dev = a - mean[:, None]
-    std = np.sqrt(np.einsum("ij,ij->i", dev, dev) / (w - 1))
     a.sort(axis=1)
     n = np.full(a.shape[0], w, dtype=np.int64)
     qs = [_lerp_sorted(a, n, q) for q in QUANTILES]
-    return {"mean": mean, "std": std, "min": a[:, 0], "max": a[:, -1], "q": qs}
+    return {"min": a[:, 0], "max": a[:, -1], "q": qs}
 
 
 def _kth_of_union(core: np.ndarray, g: np.ndarray, extra: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,15 +77,6 @@ def _kth_of_union(core: np.ndarray, g: np.ndarray, extra: np.ndarray, k: int) ->
     return np.maximum(a_prev, b_prev), np.minimum(a_next, b_next)
 
 
-def _side_sums(outer: np.ndarray) -> np.ndarray:
-    """(G, c) sums of ``outer[:, t : t+c-1]`` for rows of 2(c-1) values."""
-    e = outer.shape[1] // 2
-    out = np.zeros((outer.shape[0], e + 1), dtype=outer.dtype)
-    out[:, :e] = np.cumsum(outer[:, e - 1 :: -1], axis=1)[:, ::-1]
-    out[:, 1:] += np.cumsum(outer[:, e:], axis=1)
-    return out
-
-
 def _full_chunks(v: np.ndarray, starts: np.ndarray, w: int, c: int) -> dict[str, np.ndarray]:
     """Full windows of ``c`` consecutive rows per chunk, chunk rows a..a+c-1.
 
@@ -100,19 +92,6 @@ def _full_chunks(v: np.ndarray, starts: np.ndarray, w: int, c: int) -> dict[str,
     extra = sliding_window_view(outer, c - 1, axis=1)[:, :c, :].reshape(-1, c - 1)  # (G*c, c-1)
     extra = np.sort(extra, axis=1)
     g = np.repeat(np.arange(len(starts)), c)
-    # sums in extended precision around the chunk's core mean: the variance
-    # S2 - S1^2/w then loses nothing visible after rounding to double
-    ld = np.longdouble
-    core_l = core.astype(ld)
-    shift = core_l.mean(axis=1)
-    yc = core_l - shift[:, None]
-    # row a+t adds the last c-1-t values before the core and the first t after
-    # it: running sums of both, without a difference that could cancel
-    yo = outer.astype(ld) - shift[:, None]
-    s1 = (yc.sum(axis=1)[:, None] + _side_sums(yo)).reshape(-1)
-    s2 = ((yc * yc).sum(axis=1)[:, None] + _side_sums(yo * yo)).reshape(-1)
-    mean = (shift[g] + s1 / w).astype(np.float64)
-    var = np.maximum((s2 - s1 * s1 / w) / (w - 1), 0).astype(np.float64)
     qs = []
     for q in QUANTILES:
         pos = (w - 1) * q
@@ -122,8 +101,7 @@ def _full_chunks(v: np.ndarray, starts: np.ndarray, w: int, c: int) -> dict[str,
         if k + 1 > w - 1:
             b = a
         qs.append(a + (b - a) * frac)
-    return {"mean": mean, "std": np.sqrt(var), "min": np.minimum(core[g, 0], extra[:, 0]),
-            "max": np.maximum(core[g, -1], extra[:, -1]), "q": qs}
+    return {"min": np.minimum(core[g, 0], extra[:, 0]), "max": np.maximum(core[g, -1], extra[:, -1]), "q": qs}
 
 
 def _chunk_starts(full_rows: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,16 +125,92 @@ def _chunk_starts(full_rows: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray
 
 def _partial_rows(sub: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     """``sub`` right-aligned windows with NaN padding on the left."""
-    valid = ~np.isnan(sub)
-    filled = np.where(valid, sub, 0.0)
-    mean = filled.sum(axis=1) / n
-    dev = np.where(valid, sub - mean[:, None], 0.0)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        std = np.sqrt((dev * dev).sum(axis=1) / (n - 1))
     s = np.sort(sub, axis=1)  # NaN sort last
     qs = [_lerp_sorted(s, n, q) for q in QUANTILES]
     r = np.arange(sub.shape[0])
-    return {"mean": mean, "std": std, "min": s[:, 0], "max": s[r, n - 1], "q": qs}
+    return {"min": s[:, 0], "max": s[r, n - 1], "q": qs}
+
+
+def _spread(s1: np.ndarray, s2: np.ndarray, n) -> np.ndarray:
+    return np.sqrt(np.maximum((s2 - s1 * s1 / n) / (n - 1), 0).astype(np.float64))
+
+
+def _finite(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(x), x, 0)
+
+
+def _block_moments(v: np.ndarray, rows: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the full windows that end at ``rows``, some
+    operations per value of ``v`` whatever ``w``.
+
+    ``v`` is cut into blocks of ``w`` values. A window that ends in a block is
+    the end of the block before it and the start of its own: a running sum of
+    each, nothing is subtracted again. Sums are taken in extended precision
+    around the block's first value, which every such window holds, so that
+    S2 - S1^2/w keeps its digits (S2 is at most w + 1 times the difference)."""
+    ld = np.longdouble
+    blocks = np.zeros((-(-len(v) // w), w), dtype=ld)
+    blocks.reshape(-1)[: len(v)] = v
+    anchor = _finite(blocks[:, 0])
+    b, t = rows // w, rows % w
+    s1, s2 = np.zeros(len(rows), dtype=ld), np.zeros(len(rows), dtype=ld)
+    own = blocks - anchor[:, None]
+    before = blocks[:-1, ::-1] - anchor[1:, None]
+    reach = t < w - 1  # the window begins in the block before
+    rb, rt = b[reach] - 1, w - 2 - t[reach]
+    for total, power in ((s1, 1), (s2, 2)):
+        total += np.cumsum(own**power if power > 1 else own, axis=1)[b, t]
+        total[reach] += np.cumsum(before**power if power > 1 else before, axis=1)[rb, rt]
+    return (anchor[b] + s1 / w).astype(np.float64), _spread(s1, s2, w)
+
+
+def _prefix_moments(v: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of ``n`` values from ``start`` on (not decreasing),
+    by running sums from each start, around the value there."""
+    ld = np.longdouble
+    first = np.flatnonzero(np.r_[True, start[1:] != start[:-1]])
+    at = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(start)]))
+    length = np.maximum.reduceat(n, first)
+    s1, s2 = np.zeros(len(n), dtype=ld), np.zeros(len(n), dtype=ld)
+    size = np.frexp(length.astype(np.float64))[1]  # runs of like length together
+    for k in np.unique(size):
+        runs = np.flatnonzero(size == k)
+        lot = max(1, (1 << 18) >> int(k))
+        for lo in range(0, len(runs), lot):
+            some = runs[lo : lo + lot]
+            begin = start[first[some]]
+            cells = np.minimum(begin[:, None] + np.arange(int(length[some].max())), len(v) - 1)
+            y = v[cells].astype(ld) - _finite(v[begin]).astype(ld)[:, None]
+            place = np.full(len(first), -1, dtype=np.int64)
+            place[some] = np.arange(len(some))
+            mine = np.flatnonzero(place[at] >= 0)
+            cell = place[at[mine]], n[mine] - 1
+            s1[mine] = np.cumsum(y, axis=1)[cell]
+            s2[mine] = np.cumsum(y * y, axis=1)[cell]
+    return (_finite(v[start]) + s1 / n).astype(np.float64), _spread(s1, s2, n)
+
+
+def _sum_stats(v: np.ndarray, start: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, deviation) of the windows ``start[i]..rows[i]``; NaN where a
+    window holds fewer than two values."""
+    n = rows - start + 1
+    mean, std = np.full(len(rows), np.nan), np.full(len(rows), np.nan)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for pick, make in ((n == window, lambda r, s, k: _block_moments(v, r, window)),
+                           (n < window, lambda r, s, k: _prefix_moments(v, s, k))):
+            at = np.flatnonzero(pick & (n >= 2))
+            if len(at):
+                mean[at], std[at] = make(rows[at], start[at], n[at])
+    # a constant window has deviation exactly 0 (sums may leave rounding noise)
+    changes = np.concatenate(([0], np.cumsum(v[1:] != v[:-1])))
+    std[(n >= 2) & (changes[rows] == changes[np.minimum(start, len(v) - 1)])] = 0.0
+    return mean, std
+
+
+def _zscores(x: np.ndarray, mean: np.ndarray, std: np.ndarray, ready: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        z = np.where(std > 0, (np.asarray(x, dtype=np.float64) - mean) / std, 0.0)
+    return np.where(ready, z, np.nan)
 
 
 def window_stats(
@@ -167,11 +221,14 @@ def window_stats(
     current: np.ndarray | None = None,
     chunk: int = 1024,
     merge_chunk: int | None = None,
+    names: Sequence[str] | None = None,
 ) -> dict[str, np.ndarray]:
     """Statistics of the windows ending at ``rows`` (indices into ``values``).
 
     ``seg_start[i]`` is the first index of row i's segment. ``current`` is
     the value each z-score is taken for (default: the row's own value).
+    ``names`` are the statistics that are read (default: all); where they all
+    follow from sums, no window is sorted and the others stay NaN.
     """
     v = np.asarray(values, dtype=np.float64)
     rows = np.asarray(rows, dtype=np.int64)
@@ -182,21 +239,21 @@ def window_stats(
     res["win_count"] = n.astype(np.int64)
     if m == 0:
         return res
-    mean = np.full(m, np.nan)
-    std = np.full(m, np.nan)
+    ready = n >= 2
+    mean, std = _sum_stats(v, start, rows, window)
+    res.update(win_mean=mean, win_std=std, zscore=_zscores(v[rows] if current is None else current, mean, std, ready))
+    if names is not None and SUM_STATS.issuperset(names):
+        return res
     vmin = np.full(m, np.nan)
     vmax = np.full(m, np.nan)
     qv = [np.full(m, np.nan) for _ in QUANTILES]
 
     def put(sel: np.ndarray, d: dict) -> None:
-        mean[sel] = d["mean"]
-        std[sel] = d["std"]
         vmin[sel] = d["min"]
         vmax[sel] = d["max"]
         for j in range(len(QUANTILES)):
             qv[j][sel] = d["q"][j]
 
-    ready = n >= 2
     full = ready & (n == window)
     part = ready & (n < window)
     if merge_chunk is None:  # measured: merging pays from a few hundred values up
@@ -230,14 +287,5 @@ def window_stats(
             sub[cols < (width - nn)[:, None]] = np.nan
             put(sel, _partial_rows(sub, nn))
 
-    # a constant window has deviation exactly 0 (NumPy may leave rounding noise)
-    std = np.where(ready & (vmin == vmax), 0.0, std)
-    x = v[rows] if current is None else np.asarray(current, dtype=np.float64)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        z = np.where(std > 0, (x - mean) / std, 0.0)
-    z = np.where(ready, z, np.nan)
-    res.update(
-        win_mean=mean, win_std=std, win_min=vmin, win_max=vmax,
-        win_p25=qv[0], win_median=qv[1], win_p75=qv[2], win_iqr=qv[2] - qv[0], zscore=z,
-    )
+    res.update(win_min=vmin, win_max=vmax, win_p25=qv[0], win_median=qv[1], win_p75=qv[2], win_iqr=qv[2] - qv[0])
     return res

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.positions import PID, key_changes, range_sorted
 from tidewatch.session import materialize
@@ -36,43 +37,52 @@ def _filled(column: pa.Array, held: pa.Array | None, new: np.ndarray) -> tuple[p
 
 
 def carry_forward(
-    df: DataFrame, order_cols: Sequence[str], cols: Sequence[str], num_partitions: int | None = None, key_cols: Sequence[str] = ()
+    df: DataFrame, order_cols: Sequence[str], cols: Sequence[str], num_partitions: int | None = None, key_cols: Sequence[str] = (),
+    keep_place: bool = False,
 ) -> DataFrame:
     """Replace NULLs in ``cols`` by the last non-null value earlier in
-    ``order_cols`` order (of the same ``key_cols``)."""
+    ``order_cols`` order (of the same ``key_cols``). With ``keep_place`` rows
+    keep the place that the sort gave them (``_pid``, ``_loc``)."""
     wanted, keys = list(cols), list(key_cols)
     ranged = range_sorted(df, [*keys, *order_cols], num_partitions)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    filled_type = T.StructType([ranged.schema[c] for c in wanted])
+
+    def fill(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         held: dict[str, pa.Array] = {}
         last = None
         for b in batches:
-            if not b.num_rows:
-                continue
+            b = pa.RecordBatch.from_arrays(list(b) if isinstance(b, tuple) else [b], [*keys, *wanted])
+            if b.num_rows:
+                new = key_changes(b, keys)
+                first = tuple(b.column(k)[0].as_py() for k in keys)
+                new[0] = last is not None and first != last
+                last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
             made = []
-            new = key_changes(b, keys)
-            first = tuple(b.column(k)[0].as_py() for k in keys)
-            new[0] = last is not None and first != last
-            last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
-            for name in b.schema.names:
+            for name in wanted:
                 column = b.column(name)
-                if name in wanted:
+                if b.num_rows:
                     column, held[name] = _filled(column, held.get(name), new)
                 made.append(column)
-            yield pa.RecordBatch.from_arrays(made, b.schema.names)
+            yield pa.StructArray.from_arrays(made, wanted)
 
-    table = materialize(ranged.mapInArrow(fill, ranged.schema), "carry")
+    # keys and the carried columns alone go through Python, in the rows' order, once
+    carry = F.arrow_udf(fill, filled_type).asNondeterministic()
+    others = [c for c in ranged.columns if c not in wanted]
+    read_rows = ranged.select(*others, carry(*[F.col(c) for c in [*keys, *wanted]]).alias("_filled"))
+    table = materialize(read_rows.select(*others, "_filled.*"), "carry")
     ends = table.groupBy(PID).agg(F.max_by(F.struct(*[F.struct(*wanted).alias("v"), *keys]), "_loc").alias("_end"))
     # what stands at a partition's end, also if its key began partitions ago
     run = Window.partitionBy(*[F.col("_end")[k] for k in keys]).orderBy(PID)
     last = ends.select(PID, "_end", *[F.last(F.col("_end.v")[c], ignorenulls=True).over(run).alias(f"_in_{c}") for c in wanted])
     shift = Window.orderBy(PID)
     before = last.select(
-        PID, *[F.lag(F.col("_end")[k]).over(shift).alias(f"_key_{k}") for k in keys], F.lag(PID).over(shift).alias("_prior"),
+        PID, *[F.lag(F.col("_end")[k]).over(shift).alias(f"_key_{k}") for k in keys],
         *[F.lag(f"_in_{c}").over(shift).alias(f"_in_{c}") for c in wanted],
-    )
-    out = table.join(F.broadcast(before), PID, "left")
-    same = F.col("_prior").isNotNull()
+    ).withColumnRenamed(PID, "_at")
+    same = F.col(PID) == F.col("_at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return out.select(*[F.coalesce(c, F.when(same, F.col(f"_in_{c}"))).alias(c) if c in wanted else F.col(c) for c in df.columns])
+    out = table.join(F.broadcast(before), same, "left")  # one row per partition
+    return out.select(*[F.coalesce(c, f"_in_{c}").alias(c) if c in wanted else F.col(c)
+                        for c in [*df.columns, *([PID, "_loc"] if keep_place else [])]])

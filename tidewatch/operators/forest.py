@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tidewatch.functions.detect import forest_details
 from tidewatch.functions.iforest import build_forest, offset_for, score_samples
 from tidewatch.session import materialize
-from tidewatch.operators.positions import GPOS, PID, with_global_position
+from tidewatch.operators.positions import GPOS, PID, located, with_global_position
 from tidewatch.params import ForestParams
 
 # One row per model: dense per-tree node arrays (heap-numbered, row-major
@@ -61,14 +61,25 @@ def first_train(p: ForestParams) -> int | None:
 
 
 def vector_sequence(
-    vectors: DataFrame, order_cols: Sequence[str], vector_col: str = "vector", scope_cols: Sequence[str] = ()
+    vectors: DataFrame, order_cols: Sequence[str], vector_col: str = "vector", scope_cols: Sequence[str] = (),
+    placed: bool = False,
 ) -> DataFrame:
     """Number the non-null vectors 1..N in ``order_cols`` order (column ``n``),
     each scope by itself: a row's position less that of its scope's first row,
-    so no scope is gathered in a task."""
-    v = vectors.filter(F.col(vector_col).isNotNull())
+    so no scope is gathered in a task.
+
+    ``placed`` vectors are those of ``feature_vectors(keep_place=True)``: a
+    written table whose sort is used again. A scope's vectors there are NULL up
+    to the first that is ready and never after it, so that the positions of all
+    rows number them too."""
+    known = F.col(vector_col).isNotNull()
     scope = list(scope_cols)
-    placed = with_global_position(v, [*scope, *order_cols]).drop(PID)
+    if placed:
+        placed = located(vectors).drop(PID).filter(known)
+        first = placed.groupBy(*scope).agg(F.min(GPOS).alias("_first"))
+        met = placed.join(first, scope) if scope else placed.crossJoin(F.broadcast(first))  # one row
+        return met.withColumn("n", F.col(GPOS) - F.col("_first") + 1).drop(GPOS, "_first")
+    placed = with_global_position(vectors.filter(known), [*scope, *order_cols]).drop(PID)
     if not scope:
         return placed.withColumn("n", F.col(GPOS) + 1).drop(GPOS)
     first = placed.groupBy(*scope).agg(F.min(GPOS).alias("_first"))

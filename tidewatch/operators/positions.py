@@ -85,10 +85,13 @@ def with_global_position(
     ``sort_cols`` must be a total order for the numbering to be
     reproducible. The result keeps ``_pid`` (its range partition).
     """
-    ranged = materialize(range_sorted(df, sort_cols, num_partitions), "positions")
-    offs = partition_offsets(ranged)
+    return located(materialize(range_sorted(df, sort_cols, num_partitions), "positions"), pos_col)
+
+
+def located(ranged: DataFrame, pos_col: str = GPOS) -> DataFrame:
+    """A written table of :func:`range_sorted` rows with their positions."""
     return (
-        ranged.join(F.broadcast(offs), PID)
+        ranged.join(F.broadcast(partition_offsets(ranged)), PID)
         .withColumn(pos_col, F.col("_loc") + F.col("_off"))
         .drop("_loc", "_off")
     )

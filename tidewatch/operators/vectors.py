@@ -21,6 +21,7 @@ def feature_vectors(
     order_cols: Sequence[str],
     features: Sequence[str],
     scope_cols: Sequence[str] = (),
+    keep_place: bool = False,
 ) -> DataFrame:
     """One row per event: ``z_<feature>`` columns (carried forward) and
     ``vector ARRAY<DOUBLE>`` in feature order (NULL until all are ready).
@@ -28,7 +29,8 @@ def feature_vectors(
     ``stats`` are long rows with ``feature`` and ``zscore`` keyed by
     ``id_cols``. The pivot is a ``groupBy`` on the event id (no streaming
     ``pivot``); events without any present feature still get a row. With
-    ``scope_cols`` each scope carries its own values.
+    ``scope_cols`` each scope carries its own values. With ``keep_place`` rows
+    keep their place in ``(scope_cols, order_cols)`` order (``_pid``, ``_loc``).
     """
     keys = list(dict.fromkeys([*id_cols, *scope_cols, *order_cols]))
     zrows = stats.select(*keys, "feature", "zscore")
@@ -37,7 +39,7 @@ def feature_vectors(
         *[F.max(F.when(F.col("feature") == F.lit(f), F.col("zscore"))).alias(f"z_{f}") for f in features]
     )
     zcols = [f"z_{f}" for f in features]
-    filled = carry_forward(wide, order_cols, zcols, key_cols=scope_cols)
+    filled = carry_forward(wide, order_cols, zcols, key_cols=scope_cols, keep_place=keep_place)
     ready = F.lit(True)
     for c in zcols:
         ready = ready & F.col(c).isNotNull()

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.functions.window_kernel import STAT_NAMES, window_stats
 from tidewatch.operators.positions import PID, default_partitions, key_changes, range_sorted
@@ -138,7 +139,7 @@ def _frame(df, order_cols, key_cols, value_col, window, reset_col) -> DataFrame:
 # halo strategy (global positions + bounded blocks)
 # ---------------------------------------------------------------------------
 
-DONE, EDGE, TAIL = 0, 1, 2
+DONE, EDGE, ABSENT = 0, 1, 2
 
 
 def _stat_columns(stats: dict[str, np.ndarray], names: Sequence[str]) -> list[pa.Array]:
@@ -152,8 +153,9 @@ class _Reader:
     its start or last reset); ``whole`` says whether that segment began in
     this partition, so that its windows need nothing from before it."""
 
-    def __init__(self, key_cols, value_col, reset_col, window):
+    def __init__(self, key_cols, value_col, reset_col, window, names):
         self.key_cols, self.value_col, self.reset_col, self.window = key_cols, value_col, reset_col, window
+        self.names = names
         self.held, self.whole, self.key = np.zeros(0), False, None
 
     def step(self, part: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -170,7 +172,7 @@ class _Reader:
         at = np.arange(n) + k
         start = np.maximum.accumulate(np.where(new, at + absent, 0))
         every = np.concatenate([self.held, values])
-        stats = window_stats(every, np.concatenate([np.zeros(k, np.int64), start]), window, at)
+        stats = window_stats(every, np.concatenate([np.zeros(k, np.int64), start]), window, at, names=self.names)
         began = np.logical_or.accumulate(new) | self.whole
         full = at - start + 1 >= window
         done = (began | full) & ~absent
@@ -183,41 +185,35 @@ class _Reader:
 
 def _halo(df, order_cols, key_cols, value_col, window, reset_col, keep, step, num_partitions, fields) -> DataFrame:
     """See the module's head. The written table holds finished rows with their
-    statistics (``_kind`` DONE), rows of a partition's edge (EDGE) and copies
-    of its last N-1 rows (TAIL)."""
+    statistics (``_kind`` DONE), rows of a partition's edge (EDGE) and rows
+    that only reset (ABSENT), in order. Keys, values and resets alone go
+    through Python; a row's other columns stay where they are."""
     own = [*dict.fromkeys([*keep, *key_cols, value_col, *([reset_col] if reset_col else [])])]
     types = {f.name: f.dataType for f in df.schema.fields}
     place = [T.StructField(PID, T.IntegerType()), T.StructField("_loc", T.LongType()), T.StructField("_kind", T.IntegerType())]
     schema = T.StructType([*(T.StructField(c, types[c]) for c in own), *place, *fields])
     made_names = [f.name for f in fields]
-    names = [f.name for f in schema.fields]
-
-    def rows(part: pa.RecordBatch, at: np.ndarray, kind: int, stats: dict[str, np.ndarray] | None) -> pa.RecordBatch:
-        cols = part.take(pa.array(at)).select([*own, PID, "_loc"])
-        made = [pa.array(np.full(len(at), kind, np.int32))]
-        if stats is None:
-            made += [pa.nulls(len(at), pa.int64() if n == "win_count" else pa.float64()) for n in made_names]
-        else:
-            made += _stat_columns({n: stats[n][at] for n in made_names}, made_names)
-        return pa.RecordBatch.from_arrays([*cols.columns, *made], names)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, last = _Reader(key_cols, value_col, reset_col, window), []
+    read_names = [*dict.fromkeys([*key_cols, value_col, *([reset_col] if reset_col else [])])]
+    made_type = T.StructType([place[-1], *fields])
+
+    def read(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        reader = _Reader(key_cols, value_col, reset_col, window, made_names)
         for b in batches:
-            for lo in range(0, b.num_rows, step):
-                part = b.slice(lo, step)
-                stats, done, absent = reader.step(part)
-                yield rows(part, np.flatnonzero(done), DONE, stats)
-                edge = np.flatnonzero(~done & ~absent)
-                if len(edge):
-                    yield rows(part, edge, EDGE, None)
-                if window > 1:
-                    last = _last_rows([*last, part], window - 1)
-        for part in last:
-            yield rows(part, np.arange(part.num_rows), TAIL, None)
+            whole = pa.RecordBatch.from_arrays(list(b) if isinstance(b, tuple) else [b], read_names)
+            made = []
+            for lo in range(0, whole.num_rows, step):
+                stats, done, absent = reader.step(whole.slice(lo, step))
+                kind = np.where(done, DONE, np.where(absent, ABSENT, EDGE)).astype(np.int32)
+                made.append(pa.StructArray.from_arrays([pa.array(kind), *_stat_columns(stats, made_names)], ["_kind", *made_names]))
+            if made:
+                yield pa.concat_arrays(made)
+            else:
+                yield pa.array([], to_arrow_type(made_type))
 
+    made = F.arrow_udf(read, made_type).asNondeterministic()  # reads rows in their order, once
     ranged = range_sorted(df.select(*dict.fromkeys([*own, *order_cols])), [*key_cols, *order_cols], num_partitions)
-    table = materialize(ranged.select(*own, PID, "_loc").mapInArrow(read, schema), "windows")
+    read_rows = ranged.select(*own, PID, "_loc", made(*[F.col(c) for c in read_names]).alias("_made"))
+    table = materialize(read_rows.select(*own, PID, "_loc", "_made.*"), "windows")
     done = table.filter(F.col("_kind") == DONE).select(*keep, *made_names)
     if window == 1:
         return done
@@ -225,41 +221,32 @@ def _halo(df, order_cols, key_cols, value_col, window, reset_col, keep, step, nu
     return done.unionByName(edges.select(*keep, *made_names))
 
 
-def _last_rows(parts: list[pa.RecordBatch], n: int) -> list[pa.RecordBatch]:
-    """The last ``n`` rows of consecutive batches."""
-    out = []
-    for part in reversed(parts):
-        if n <= 0:
-            break
-        out.append(part.slice(max(0, part.num_rows - n)))
-        n -= out[-1].num_rows
-    return out[::-1]
-
-
 def _edges(table: DataFrame, key_cols, value_col, reset_col, window, own, schema, made_names) -> DataFrame:
     """The edge rows with their statistics: each partition's edge meets the
     last N-1 rows before it (of the partition before, or of several if they
     are short)."""
     spark = table.sparkSession
-    ends = table.filter(F.col("_kind") == TAIL).groupBy(PID).agg((F.max("_loc") + 1).alias("n")).orderBy(PID).collect()
+    ends = table.groupBy(PID).agg((F.max("_loc") + 1).alias("n")).orderBy(PID).collect()
     # one number per partition: where each begins in the whole order
     pids, n = [r[PID] for r in ends], np.array([r["n"] for r in ends], np.int64)
     first = np.concatenate(([0], np.cumsum(n)))[:-1]
     upto = np.searchsorted(first, first + n + window - 1, side="left")  # partitions that reach back into this one
-    goes = [(p, pids[j]) for i, p in enumerate(pids) for j in range(i + 1, int(upto[i]))]
-    targets = spark.createDataFrame(goes, f"{PID} int, _to int")
-    sent = table.filter(F.col("_kind") == TAIL).join(F.broadcast(targets), PID)
+    goes = [(p, pids[j], int(n[i]) - (window - 1)) for i, p in enumerate(pids) for j in range(i + 1, int(upto[i]))]
+    targets = spark.createDataFrame(goes, f"{PID} int, _to int, _from long")
+    late = F.col("_loc") >= F.lit(min((g[2] for g in goes), default=0))  # a filter that the file format can use
+    tail = table.filter(late).join(F.broadcast(targets), PID).filter(F.col("_loc") >= F.col("_from")).drop("_from")
     edge = table.filter(F.col("_kind") == EDGE).withColumn("_to", F.col(PID))
+    marked = tail.withColumn("_sent", F.lit(True)).unionByName(edge.withColumn("_sent", F.lit(False)))
 
     def finish(group: pa.Table) -> pa.Table:
         part = group.sort_by([(PID, "ascending"), ("_loc", "ascending")]).combine_chunks().to_batches()[0]
-        stats, _, _ = _Reader(key_cols, value_col, reset_col, window).step(part)
-        at = np.flatnonzero(part.column("_kind").to_numpy() == EDGE)
+        stats, _, _ = _Reader(key_cols, value_col, reset_col, window, made_names).step(part)
+        at = np.flatnonzero(~part.column("_sent").to_numpy(zero_copy_only=False))
         cols = part.select([*own, PID, "_loc", "_kind"]).take(pa.array(at))
         made = _stat_columns({n: stats[n][at] for n in made_names}, made_names)
         return pa.Table.from_arrays([*cols.columns, *made], [f.name for f in schema.fields])
 
-    return sent.unionByName(edge).groupBy("_to").applyInArrow(finish, schema)
+    return marked.groupBy("_to").applyInArrow(finish, schema)
 
 
 # ---------------------------------------------------------------------------

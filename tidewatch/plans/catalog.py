@@ -504,15 +504,15 @@ def trade_vectors(spark: SparkSession, sf: str, stats: DataFrame | None = None)
 
     stats = trade_stats(spark, sf, drop_weight_on_line7=True, stats=["zscore"]) if stats is None else stats
     events = lineitem_trades(spark, sf).select(*TRADE_ORDER)
-    return feature_vectors(events, stats, [], TRADE_ORDER, FEATURES)
+    return feature_vectors(events, stats, [], TRADE_ORDER, FEATURES, keep_place=True)
 
 
 def trade_epochs(spark: SparkSession, sf: str) -> DataFrame:
-    return with_epochs(vector_sequence(trade_vectors(spark, sf), TRADE_ORDER), FP)
+    return with_epochs(vector_sequence(trade_vectors(spark, sf), TRADE_ORDER, placed=True), FP)
 
 
 def trade_forest_scores(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
-    ep = with_epochs(vector_sequence(trade_vectors(spark, sf, stats), TRADE_ORDER), FP)
+    ep = with_epochs(vector_sequence(trade_vectors(spark, sf, stats), TRADE_ORDER, placed=True), FP)
     return fit_and_score(ep, list(TRADE_ORDER), FP)
 
 
@@ -582,8 +582,8 @@ def scoped_epochs(spark: SparkSession, sf: str) -> DataFrame:
     long = unpivot_features(t, list(TRADE_ORDER), FEATURES)
     stats = rolling_stats(long, order_cols=TRADE_ORDER, key_cols=[*scope, "feature"], window=200,
                           passthrough=[*TRADE_ORDER, "feature", "value"], stats=["zscore"])
-    vec = feature_vectors(t.select(*TRADE_ORDER), stats, [], TRADE_ORDER, FEATURES, scope)
-    return with_epochs(vector_sequence(vec, TRADE_ORDER, scope_cols=scope), FP_SCOPED)
+    vec = feature_vectors(t.select(*TRADE_ORDER), stats, [], TRADE_ORDER, FEATURES, scope, keep_place=True)
+    return with_epochs(vector_sequence(vec, TRADE_ORDER, scope_cols=scope, placed=True), FP_SCOPED)
 
 
 def q_forest_epochs_scoped(spark, sf):
