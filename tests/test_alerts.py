@@ -266,3 +266,27 @@ def test_a_task_reads_its_groups_through(spark):
     for scope in (0, 1):
         want |= _machine([(i, ts, (k, "zscore")) for i, ts, k in rows if (i % 100 >= 40) == scope], 30.0, 90.0, 2)
     assert {r.event_id: r.status for r in [*first, *then]} == want
+
+
+def test_long_sessions_take_a_fixed_number_of_passes(spark, monkeypatch):
+    """A session of many slices, equal times and slices without an opening
+    among them, equals a sequential fold and writes no table per doubling."""
+    import numpy as np
+    from tidewatch.operators import chain
+
+    rng = np.random.default_rng(5)
+    written, write = [], chain.materialize
+    monkeypatch.setattr(chain, "materialize", lambda df, label="table": (written.append(label), write(df, label))[1])
+    t = np.cumsum(rng.integers(0, 25, 700)) * 1.0
+    t[300:340] = t[300]  # more rows at one time than a slice holds
+    rows = [(i, _ts(float(x))) for i, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz")
+    want, first = {}, 0
+    for i, x in enumerate(t):
+        first = i if x - t[first] >= 60 else first
+        want[i] = (i == first, rows[first][1], i - first + 1)
+    for size in (7, 64):
+        written.clear()
+        out = chain.chain_windows(df, [], "ts", 60, ["event_id"], fold_rows=5, group_rows=size, force_positions=True)
+        assert {r.event_id: (r.opens, r.window_start, r.rank) for r in out.collect()} == want
+        assert len(written) <= 4, written

@@ -190,3 +190,22 @@ def test_walks_over_full_trees_equal_walks_to_leaves():
             assert iforest.path_lengths(x, forest).tolist() == want
         finally:
             iforest.WALK_ROWS = few
+
+
+@pytest.mark.parametrize("scope", [(), ("k",)])
+def test_placed_vectors_are_numbered_without_a_second_sort(spark, scope):
+    from pyspark.sql import functions as F
+    from tidewatch.operators.forest import vector_sequence
+    from tidewatch.operators.vectors import feature_vectors
+
+    ev = spark.range(600).select(F.col("id").alias("i"), (F.col("id") % 3).alias("k"))
+    z = (F.col("i") * 37 % 101).cast("double").alias("zscore")
+    stats = ev.filter("i > 40 and i % 5 < 3").select(*scope, "i", F.lit("x").alias("feature"), z).unionByName(
+        ev.filter("i > 90 and i % 7 < 2").select(*scope, "i", F.lit("y").alias("feature"), z))
+    events = ev.select("i", *scope)
+    plain = vector_sequence(feature_vectors(events, stats, [], ["i"], ["x", "y"], scope), ["i"], scope_cols=scope)
+    placed = vector_sequence(feature_vectors(events, stats, [], ["i"], ["x", "y"], scope, keep_place=True), ["i"],
+                             scope_cols=scope, placed=True)
+    want = sorted((r.i, r.n, tuple(r.vector)) for r in plain.collect())
+    assert want and sorted((r.i, r.n, tuple(r.vector)) for r in placed.collect()) == want
+    assert sorted(placed.columns) == sorted(plain.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.positions import PID, key_changes, range_sorted
+from tidewatch.operators.positions import PID, key_changes, last_of_each, range_sorted
 from tidewatch.session import materialize
 
 
@@ -71,7 +71,7 @@ def carry_forward(
     others = [c for c in ranged.columns if c not in wanted]
     read_rows = ranged.select(*others, carry(*[F.col(c) for c in [*keys, *wanted]]).alias("_filled"))
     table = materialize(read_rows.select(*others, "_filled.*"), "carry")
-    ends = table.groupBy(PID).agg(F.max_by(F.struct(*[F.struct(*wanted).alias("v"), *keys]), "_loc").alias("_end"))
+    ends = last_of_each(table).select(PID, F.struct(F.struct(*wanted).alias("v"), *keys).alias("_end"))
     # what stands at a partition's end, also if its key began partitions ago
     run = Window.partitionBy(*[F.col("_end")[k] for k in keys]).orderBy(PID)
     last = ends.select(PID, "_end", *[F.last(F.col("_end.v")[c], ignorenulls=True).over(run).alias(f"_in_{c}") for c in wanted])

@@ -18,11 +18,14 @@ Plan (no task ever holds a whole key):
    search jumps from window to window, so the loop runs once per window).
    Folding several sessions in one pass stays exact: a later session's
    first row is always at least ``gap`` after the last opening;
-4. longer sessions (a dense hot key) are resolved exactly by pointer
-   doubling: next(p) = first row at or after ``ts_p + gap`` (a reverse
-   carry over rows and probes), jump tables next^(2^j) by self-joins, and the
-   openings enumerated from each session start level by level. Every step is
-   a hash join spread over all tasks; rounds grow with log2(session size).
+4. longer sessions (a dense hot key) are cut into slices of ``group_rows``
+   rows. What a slice does depends on one number, the time from which a row
+   may open a window; its last opening is a step function of it. Slices
+   tabulate that function side by side, with as many steps as the chains
+   that start within the slice's first gap still differ at its end; a
+   session's functions are read through in order, which gives each slice its
+   entry; then the slices are folded side by side. Three passes, whatever the
+   session's length.
 """
 
 from __future__ import annotations
@@ -31,15 +34,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.carry import carry_forward
-from tidewatch.operators.positions import GPOS, PID, with_global_position
+from tidewatch.operators.positions import GPOS, PID, last_of_each, with_global_position
 from tidewatch.session import materialize
 
 TS_US = "_ts_us"
+#: a missing time inside a fold: before all others
+NO_TIME = int(np.iinfo(np.int64).min)
 
 
 def epoch_micros(df: DataFrame, ts_col: str) -> F.Column:
@@ -93,45 +98,95 @@ def _fold_groups(rows: DataFrame, key_cols: Sequence[str], gap_us: int, order_co
     return rows.groupBy(*groups).applyInPandas(fold, schema)
 
 
-def _fold_by_doubling(rows: DataFrame, gap_us: int) -> DataFrame:
-    """Exact chain windows of long sessions by pointer doubling.
+def _next_openings(ts: np.ndarray, gap_us: int) -> np.ndarray:
+    """For a window that opens at a row: the row that opens the next one
+    (``len(ts)``: none)."""
+    n = len(ts)
+    return np.maximum(np.searchsorted(ts, ts + gap_us, side="left"), np.arange(1, n + 1))
+
+
+def _exits(ts: np.ndarray, gap_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of a slice: rows ``c`` and the last opening of the
+    slice where its first is row ``c`` or a row between the step before and
+    ``c``. No window before the slice reaches further than a gap into it."""
+    nxt = _next_openings(ts, gap_us)
+    last = np.arange(len(ts) + 1)
+    step = np.append(nxt, len(ts))
+    while True:  # follow all chains to their ends, twice as far each time
+        inside = step < len(ts)
+        if not inside.any():
+            break
+        last = np.where(inside, last[step], last)
+        step = step[step]
+    cand = np.arange(min(len(ts), int(np.searchsorted(ts, ts[0] + gap_us, side="left")) + 1))
+    cand = cand[np.append(True, ts[cand][1:] != ts[cand][:-1])]  # of rows of one time the first may open
+    ends = last[cand]
+    steps = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))
+    return cand[steps], ends[steps]
+
+
+def _fold_long(rows: DataFrame, gap_us: int, slice_rows: int) -> DataFrame:
+    """Exact chain windows of long sessions, slice by slice (see the module's head).
 
     ``rows`` carry ``_sess`` (position of the session's first row), ``_gpos``
     (contiguous inside a session, in (ts, order) order) and ``_ts_us``.
     """
-    base = rows.select("_sess", GPOS, TS_US)
-    probes = base.select("_sess", F.col(GPOS).alias("_p"), (F.col(TS_US) + gap_us).alias("_x"),
-                         F.lit(0).alias("_kind"), F.lit(None).cast("struct<s:long,p:long>").alias("_cv"))
-    marks = base.select("_sess", F.col(GPOS).alias("_p"), F.col(TS_US).alias("_x"), F.lit(1).alias("_kind"),
-                        F.struct(F.col("_sess").alias("s"), F.col(GPOS).alias("p")).alias("_cv"))
-    u = probes.unionByName(marks).select("*", (-F.col("_x")).alias("_nx"), (-F.col("_kind")).alias("_nk"),
-                                         (-F.col("_p")).alias("_np"))
-    # walking backwards in time, the last row seen before a probe is the first
-    # row at or after the probe's time
-    filled = carry_forward(u, ["_sess", "_nx", "_nk", "_np"], ["_cv"])
-    nxt = filled.filter(F.col("_kind") == 0).select(
-        F.col("_p").alias("p"), F.when(F.col("_cv.s") == F.col("_sess"), F.col("_cv.p")).alias("nxt"))
-    nxt = materialize(nxt, "chain-next")
-    max_len = rows.groupBy("_sess").count().agg(F.max("count")).first()[0] or 1
-    levels = [nxt]
-    for _ in range(int(np.ceil(np.log2(max(max_len, 2))))):
-        t = levels[-1]
-        if not t.filter(F.col("nxt").isNotNull()).limit(1).count():
-            break  # no session has this many windows
-        a, b = t.alias("a"), t.alias("b")
-        levels.append(materialize(
-            a.join(b, F.col("a.nxt") == F.col("b.p"), "left").select(F.col("a.p").alias("p"), F.col("b.nxt").alias("nxt")),
-            "chain-jump"))
-    opened = rows.select(F.col("_sess").alias("p")).distinct()
-    for t in reversed(levels):
-        step = opened.join(t, "p").select(F.col("nxt").alias("p")).filter(F.col("p").isNotNull())
-        opened = materialize(opened.unionByName(step).distinct(), "chain-open")
-    marked = rows.join(opened.select(F.col("p").alias(GPOS), F.lit(True).alias("_opens")), GPOS, "left")
-    marked = marked.withColumn("_opens", F.coalesce("_opens", F.lit(False)))
-    marked = marked.withColumn("_o", F.when(F.col("_opens"), F.struct(F.col(GPOS).alias("p"), F.col(TS_US).alias("t"))))
-    done = carry_forward(marked, [GPOS], ["_o"])
-    return done.select(*rows.columns, "_opens", F.col("_o.t").alias("_wstart_us"),
-                       (F.col(GPOS) - F.col("_o.p") + 1).alias("_rank"))
+    cut = rows.withColumn("_slice", F.expr(f"({GPOS} - _sess) div {int(slice_rows)}"))
+    at = ["_sess", "_slice"]
+
+    def times(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        group = group.sort_by(GPOS)
+        return group, group.column(TS_US).fill_null(NO_TIME).to_numpy()
+
+    def tabulate(group: pa.Table) -> pa.Table:
+        group, ts = times(group)
+        upto, last = _exits(ts, gap_us)
+        head = [pa.array(np.full(len(upto), group.column(c)[0].as_py(), np.int64)) for c in at]
+        pos = group.column(GPOS).to_numpy()
+        return pa.Table.from_arrays([*head, pa.array(ts[upto]), pa.array(pos[last]), pa.array(ts[last])],
+                                    [*at, "_upto", "_open", "_open_us"])
+
+    def follow(batches):
+        """Each slice's entry: the last opening before it."""
+        sess, slice_, entry, left = None, None, None, None
+        for b in batches:
+            out = []
+            for s, k, upto, pos, us in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if (s, k) != (sess, slice_):
+                    entry = left if s == sess else None
+                    sess, slice_, left, found = s, k, entry, False
+                    out.append((s, k, *(entry or (None, None))))
+                if not found and (entry is None or entry[1] + gap_us <= upto):
+                    left, found = (pos, us), True
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([],) * 4)],
+                                             [*at, "_open", "_open_us"])
+
+    table = cut.select(*at, GPOS, TS_US).groupBy(*at).applyInArrow(
+        tabulate, "_sess long, _slice long, _upto long, _open long, _open_us long")
+    ordered = table.repartition("_sess").sortWithinPartitions(*at, "_upto")
+    entries = materialize(ordered.mapInArrow(follow, "_sess long, _slice long, _open long, _open_us long"), "chain-entries")
+    own_names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("_opens", T.BooleanType()),
+                           T.StructField("_wstart_us", T.LongType()), T.StructField("_rank", T.LongType())])
+
+    def fold(group: pa.Table) -> pa.Table:
+        group, ts = times(group)
+        pos, n = group.column(GPOS).to_numpy(), len(ts)
+        open_, open_us = group.column("_open")[0].as_py(), group.column("_open_us")[0].as_py()
+        nxt, opens = _next_openings(ts, gap_us).tolist(), np.zeros(n, dtype=bool)
+        i = 0 if open_ is None else int(np.searchsorted(ts, open_us + gap_us, side="left"))
+        while i < n:
+            opens[i] = True
+            i = nxt[i]
+        first = np.maximum.accumulate(np.where(opens, np.arange(n), -1))
+        inside = first >= 0
+        start = np.where(inside, ts[first], open_us or 0)
+        rank = pos - np.where(inside, pos[first], open_ or 0) + 1
+        own = group.select(own_names)
+        return pa.Table.from_arrays([*own.columns, pa.array(opens), pa.array(start, mask=start == NO_TIME), pa.array(rank)], schema.names)
+
+    # one entry per slice, rows / slice_rows in all
+    return cut.join(F.broadcast(entries), at).groupBy(*at).applyInArrow(fold, schema)
 
 
 def _session_ids_by_key(staged: DataFrame, keys: Sequence[str], gap_us: int, order_cols: Sequence[str]) -> DataFrame:
@@ -156,7 +211,7 @@ def _session_ids(pos: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
     at most P rows describing the partitions before it.
     """
     kstruct = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    tail = pos.groupBy(PID).agg(F.max_by(F.struct(kstruct.alias("k"), F.col(TS_US).alias("t")), F.col(GPOS)).alias("_last"))
+    tail = last_of_each(pos, GPOS).select(PID, F.struct(kstruct.alias("k"), F.col(TS_US).alias("t")).alias("_last"))
     by_pid = Window.orderBy(PID)
     seed = tail.select(PID, F.lag("_last").over(by_pid).alias("_prev"))
     w = Window.partitionBy(PID).orderBy(GPOS)
@@ -212,7 +267,7 @@ def chain_windows(
     if not long.limit(1).count():
         return _finish(_fold_groups(sess, keys, gap_us, order_cols, group_rows), df, ts_col, prefix)
     small = _fold_groups(sess.join(long, "_sess", "left_anti"), keys, gap_us, order_cols, group_rows)
-    big = _fold_by_doubling(sess.join(long, "_sess", "left_semi"), gap_us)
+    big = _fold_long(sess.join(long, "_sess", "left_semi"), gap_us, group_rows)
     return _finish(small.unionByName(big), df, ts_col, prefix)
 
 

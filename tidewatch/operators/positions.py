@@ -74,6 +74,13 @@ def partition_offsets(ranged: DataFrame) -> DataFrame:
     return counts.select(PID, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))
 
 
+def last_of_each(ranged: DataFrame, at: str = "_loc") -> DataFrame:
+    """The row of the largest ``at`` of each range partition (a ``max_by`` of
+    whole rows would sort the table)."""
+    last = ranged.groupBy(PID).agg(F.max(at).alias(at))
+    return ranged.join(F.broadcast(last), [PID, at])
+
+
 def with_global_position(
     df: DataFrame,
     sort_cols: Sequence[str | Column],

@@ -316,7 +316,7 @@ def q_dedup_events_by_type(spark, sf):
 
 def q_dedup_positions(spark, sf):
     """Dedup of all events through the plan for keys of any size: global
-    positions, packed sessions, pointer doubling for long sessions."""
+    positions, packed sessions, slices with carried openings for long sessions."""
     from tidewatch.operators.chain import chain_windows
 
     ev = read_table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("feature"))
