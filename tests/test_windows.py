@@ -229,3 +229,22 @@ def test_python_sees_keys_and_values_alone(spark):
         windows.materialize = write
     assert "ArrowEvalPython" in seen[0] and "MapInArrow" not in seen[0]
     assert {r.id: r.note for r in out.collect()} == dict.fromkeys(range(200), "x")
+
+
+def test_frame_quartiles_equal_percentile(spark):
+    """The sorted frame gives what ``percentile`` over the frame gives, and
+    small inputs still use all partitions."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tidewatch.operators import windows
+
+    df = spark.range(300).select(F.col("id"), (F.col("id") % 4).alias("feature"), ((F.col("id") * 37) % 50 / 3).alias("value"))
+    w = Window.partitionBy("feature").orderBy("id").rowsBetween(-8, 0)
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(w)
+    want = {r.id: tuple(r.q) for r in df.select("id", q.alias("q")).collect()}
+    out = windows.rolling_stats(df, ["id"], window=9, strategy="frame")
+    for r in out.collect():
+        got = (r.win_p25, r.win_median, r.win_p75)
+        assert got == (want[r.id] if r.win_count > 1 else (None,) * 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "REPARTITION_BY_NUM" in plan

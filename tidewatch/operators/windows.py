@@ -3,9 +3,9 @@
 Two physical strategies, same numbers:
 
 ``frame``  -- ``Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(N-1), 0)``
-              with built-in aggregates and exact ``percentile``. All rows of a
-              key meet in one task and the frame is re-evaluated per row, so it
-              suits many small keys and small N only.
+              with built-in aggregates and exact quartiles of the sorted frame.
+              All rows of a key meet in one task and the frame is re-evaluated
+              per row, so it suits many small keys and small N only.
 
 ``halo``   -- skew-proof: rows are range-partitioned and sorted by
               ``(keys, order)`` (a hot key spreads over many partitions) and
@@ -95,8 +95,19 @@ def rolling_stats(
 # frame strategy (pure Spark SQL)
 # ---------------------------------------------------------------------------
 
+def _percentile(values: str, n: Column, q: Column) -> Column:
+    """``percentile`` of a sorted array of ``n`` values, by its own formula."""
+    pos = (n - 1) * q
+    lo = F.floor(pos)
+    a = F.get(values, lo.cast("int")).cast("double")
+    b = F.get(values, F.least(lo + 1, n - 1).cast("int")).cast("double")
+    return F.when((pos == lo) | (a == b), a).otherwise((lo + 1 - pos) * a + (pos - lo) * b)
+
+
 def _frame(df, order_cols, key_cols, value_col, window, reset_col) -> DataFrame:
     keys: list[str | Column] = list(key_cols)
+    if key_cols:  # all tasks at work, however small Spark thinks the rows are
+        df = df.repartition(default_partitions(df), *key_cols)
     if reset_col:
         grow = Window.partitionBy(*key_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn("_epoch", F.sum(F.coalesce(F.col(reset_col), F.lit(False)).cast("long")).over(grow))
@@ -104,17 +115,21 @@ def _frame(df, order_cols, key_cols, value_col, window, reset_col) -> DataFrame:
         keys.append("_epoch")
     w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(-(window - 1), 0)
     v = F.col(value_col)
-    cnt = F.count(v).over(w)
-    ready = cnt >= 2
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).over(w)
+    # the frame's values, sorted once a row: a sliding ``percentile`` builds a
+    # hash table and sorts it for every row
     out = df.select(
         "*",
-        cnt.alias("win_count"),
         F.avg(v).over(w).alias("_mean"),
         F.stddev_samp(v).over(w).alias("_std"),
-        F.min(v).over(w).alias("_min"),
-        F.max(v).over(w).alias("_max"),
-        q.alias("_q"),
+        F.collect_list(v).over(w).alias("_frame"),
+    )
+    out = out.withColumn("_frame", F.sort_array("_frame")).withColumn("win_count", F.size("_frame").cast("long"))
+    out = out.select(
+        "*",
+        F.get("_frame", F.lit(0)).alias("_min"),
+        F.get("_frame", (F.col("win_count") - 1).cast("int")).alias("_max"),
+        F.transform(F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]),
+                    lambda x: _percentile("_frame", F.col("win_count"), x)).alias("_q"),
     )
     std = F.when(F.col("_min") == F.col("_max"), F.lit(0.0)).otherwise(F.col("_std"))
     z = F.when(std > 0, (v - F.col("_mean")) / std).otherwise(F.lit(0.0))
