@@ -290,3 +290,29 @@ def test_long_sessions_take_a_fixed_number_of_passes(spark, monkeypatch):
         out = chain.chain_windows(df, [], "ts", 60, ["event_id"], fold_rows=5, group_rows=size, force_positions=True)
         assert {r.event_id: (r.opens, r.window_start, r.rank) for r in out.collect()} == want
         assert len(written) <= 4, written
+
+
+def test_entry_states_come_from_one_pass(spark, monkeypatch):
+    """A stream that never forgets, in more lots than a few rounds settle, with
+    missing keys and a carried state: every row is folded once, in one job."""
+    from pyspark.sql import functions as F
+    from tidewatch.operators import alerts
+
+    rows, df = _stream_without_silence(spark, n=500, mean=3.0)
+    df = df.withColumn("feature", F.when(F.col("feature") != "h", F.col("feature")))
+    p = AlertParams(max_alerts_per_minute=2, rate_window_seconds=300.0, dedup_window_seconds=120.0)
+    want = _machine([(i, ts, (None if k == "h" else k, "zscore")) for i, ts, k in rows], 120.0, 300.0, 2)
+    folded, step = [], alerts.policy_step
+
+    def counted(rows, *more):
+        folded.append(rows.count() if "_slice" in rows.columns else 0)
+        return step(rows, *more)
+
+    monkeypatch.setattr(alerts, "policy_step", counted)
+    got = {r.event_id: r.status for r in alerts.coupled_alert_policy(df, order_cols=["event_id"], params=p, fold_rows=20).collect()}
+    assert got == want and [n for n in folded if n] == [500]
+    # the same stream in two parts, the state of the first carried into the second
+    timed = df.withColumn("_ts_us", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts"))
+    first, state = alerts.sliced_policy_step(timed.filter("event_id < 130"), None, [], ["event_id"], p, fold_rows=20)
+    then, state = alerts.sliced_policy_step(timed.filter("event_id >= 130"), state, [], ["event_id"], p, fold_rows=20)
+    assert {r.event_id: r.status for r in [*first.collect(), *then.collect()]} == want and state.count() == 1

@@ -51,10 +51,19 @@ class MachineState:
 
 def run_machine(ts: np.ndarray, keys: list[tuple], state: MachineState, gap_d: int, gap_r: int, limit: int) -> np.ndarray:
     """Status codes of rows in order; ``state`` becomes the state after them."""
-    if len(ts) > 1 and (np.diff(ts) < 0).any():
-        return _by_row(ts, keys, state, gap_d, gap_r, limit)
     names: dict[tuple, int] = {}
     code = np.fromiter((names.setdefault(k, len(names)) for k in keys), np.int64, len(keys))
+    return run_coded(ts, code, list(names), state, gap_d, gap_r, limit)
+
+
+def run_coded(
+    ts: np.ndarray, code: np.ndarray, names: list[tuple], state: MachineState, gap_d: int, gap_r: int, limit: int,
+    status: bool = True,
+) -> np.ndarray | None:
+    """:func:`run_machine` over rows whose keys are ``names[code]``; without
+    ``status`` for the state alone."""
+    if len(ts) > 1 and (np.diff(ts) < 0).any():
+        return _by_row(ts, [names[c] for c in code.tolist()], state, gap_d, gap_r, limit)
     order = np.argsort(code, kind="stable")
     edges = np.searchsorted(code[order], np.arange(len(names) + 1))
     place = np.empty(len(ts), np.int64)  # of a row among its key's rows
@@ -86,22 +95,24 @@ def run_machine(ts: np.ndarray, keys: list[tuple], state: MachineState, gap_d: i
             heapq.heapreplace(heap, (int(rows[k][j]), k))
         else:
             heapq.heappop(heap)
+    since = np.array([0 if t is None else t for t in held], np.int64)
+    known = np.array([t is not None for t in held], bool)
+    for k, name in enumerate(names):
+        if last[k] is not None:
+            state.last[name] = last[k]
+    state.start, state.count = start, count
+    if not status:
+        return None
     # duplicates: rows within a dedup window of the emission before them
     mine, own = emitted[order], ts[order]
     at = np.arange(len(ts))
     before = np.concatenate(([-1], np.maximum.accumulate(np.where(mine, at, -1))[:-1])) if len(ts) else at
     inside = before >= edges[code[order]]
-    since = np.array([0 if t is None else t for t in held], np.int64)[code[order]]
-    known = np.array([t is not None for t in held], bool)[code[order]]
-    prior = np.where(inside, own[np.maximum(before, 0)], since)
-    dup = (inside | known) & (own - prior < gap_d)
-    status = np.empty(len(ts), np.int8)
-    status[order] = np.where(mine, EMITTED, np.where(dup, DUPLICATE, LIMITED))
-    for k, name in enumerate(names):
-        if last[k] is not None:
-            state.last[name] = last[k]
-    state.start, state.count = start, count
-    return status
+    prior = np.where(inside, own[np.maximum(before, 0)], since[code[order]])
+    dup = (inside | known[code[order]]) & (own - prior < gap_d)
+    found = np.empty(len(ts), np.int8)
+    found[order] = np.where(mine, EMITTED, np.where(dup, DUPLICATE, LIMITED))
+    return found
 
 
 def _by_row(ts: np.ndarray, keys: list[tuple], state: MachineState, gap_d: int, gap_r: int, limit: int) -> np.ndarray:

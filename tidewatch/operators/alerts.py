@@ -178,8 +178,79 @@ def _group_name(group_cols: Sequence[str]):
     return F.to_json(F.struct(F.lit(0).alias("all"), *[F.col(c) for c in group_cols]))
 
 
-#: times a lot is folded from an entry state that may not be its last one
-GUESSES = 3
+#: times a lot is folded again from another entry state
+GUESSES = 0
+
+
+def _entry_states(lean: DataFrame, state: DataFrame | None, params: AlertParams) -> DataFrame:
+    """``(_run, _lot, _state)``: the machine's state before each lot of each run.
+
+    What the machine does to a lot depends on every key's last emission and on
+    the open rate window, so lots have no short table of exits by entry as
+    chain windows have. But only times and keys matter and the machine jumps,
+    so a run's rows are packed (times as differences, keys as codes,
+    compressed) side by side, and one task per run reads its packs in order,
+    one at a time, and notes the state at each lot.
+    """
+    import json
+
+    import pyarrow as pa
+
+    from tidewatch.functions.alert_machine import MachineState, run_coded
+    from tidewatch.operators.positions import GPOS, key_changes
+
+    gap_d, gap_r, limit = _gaps(params)
+
+    def pack(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ts = b.column(TS_US).fill_null(np.iinfo(np.int64).min).to_numpy()
+            f, a = (b.column(c).dictionary_encode() for c in ("feature", "anomaly_type"))
+            fi, ai = (x.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (f, a))
+            fs, types = ([*x.dictionary.to_pylist(), None] for x in (f, a))
+            both, code = np.unique(fi * len(types) + ai % len(types), return_inverse=True)
+            names = [(fs[v // len(types)], types[v % len(types)]) for v in both.tolist()]
+            starts = np.flatnonzero(key_changes(b, ["_run", "_lot"])).tolist()
+            out = []
+            for lo, hi in zip(starts, [*starts[1:], b.num_rows]):
+                with np.errstate(over="ignore"):
+                    steps = np.diff(ts[lo:hi], prepend=np.int64(0))
+                body = steps.astype("<i8").tobytes() + code[lo:hi].astype("<i4").tobytes()
+                out.append((b.column("_run")[lo].as_py(), b.column("_lot")[lo].as_py(), b.column(GPOS)[lo].as_py(), hi - lo,
+                            json.dumps(names), pa.compress(body, codec="zstd", asbytes=True), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types_)], list(fields))
+
+    fields = {"_run": "string", "_lot": "long", "_at": "long", "_n": "long", "_keys": "string", "_rows": "binary", "_state": "string"}
+    types_ = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t] for t in fields.values()]
+
+    def follow(batches):
+        run, lot, machine = None, None, MachineState()
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                r, l, _, n, keys, rows, text = (b.column(c)[i].as_py() for c in range(len(fields)))
+                if r != run:
+                    run, lot, machine = r, None, MachineState(text)
+                if rows is None:  # the state that the run is entered with
+                    continue
+                if l != lot:
+                    lot = l
+                    out.append((run, lot, machine.text()))
+                body = pa.decompress(rows, decompressed_size=12 * n, codec="zstd", asbytes=True)
+                ts = np.cumsum(np.frombuffer(body, "<i8", n))
+                code = np.frombuffer(body, "<i4", n, 8 * n).astype(np.int64)
+                run_coded(ts, code, [tuple(k) for k in json.loads(keys)], machine, gap_d, gap_r, limit, status=False)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([],) * 3, (pa.string(), pa.int64(), pa.string()))],
+                                             ["_run", "_lot", "_state"])
+
+    near = lean.repartition("_run", "_lot").sortWithinPartitions("_run", "_lot", GPOS)
+    packs = near.mapInArrow(pack, ", ".join(f"{c} {t}" for c, t in fields.items()))
+    if state is not None:
+        held = state.select("_run", F.lit(-1).cast("long").alias("_lot"), F.lit(-1).cast("long").alias("_at"), "_state")
+        packs = packs.unionByName(held, allowMissingColumns=True)
+    ordered = packs.repartition("_run").sortWithinPartitions("_run", "_lot", "_at")
+    return ordered.mapInArrow(follow, "_run string, _lot long, _state string")
 
 
 def _fold_slices(cut: DataFrame, state: DataFrame | None, params: AlertParams) -> tuple[DataFrame, DataFrame]:
@@ -187,18 +258,11 @@ def _fold_slices(cut: DataFrame, state: DataFrame | None, params: AlertParams) -
     side by side: (rows with ``status``, (_run, _state, _until) after each run).
 
     Slices that follow each other make a lot, so that the longest run has no
-    more lots than there are shuffle partitions; a task folds a lot's slices
-    one after another. Every lot is folded from an entry state, which gives its
-    exit state: one point of its transfer function. In the first round a run's
-    first lot enters with ``state(_run, _state)`` and the others with none;
-    then lots whose entry is not the exit of the lot before them are folded
-    again, in one job, until entries and exits meet: the first such lot of a
-    run, whose entry is final, and others that were not yet folded ``GUESSES``
-    times. States are compared without what can no longer matter to the lot,
-    so a stretch in which the machine forgets its past (a pause for each key
-    and the budget, or openings that coincide) ends the rounds. A round settles
-    at least one more lot of every run, so their number is bounded by the
-    shuffle partitions and the rows folded by ``GUESSES`` + 1 times the input.
+    more lots than there are shuffle partitions. The state before each lot
+    comes from a pass over packed times and keys (:func:`_entry_states`); then
+    all lots are folded side by side, each once: two passes, whatever the
+    run's length and however long the machine remembers. Entry states leave
+    out what can no longer matter to their lot.
 
     Only positions, times and dedup keys are folded; the rows' other columns
     meet their status once, at the end.
@@ -216,59 +280,30 @@ def _fold_slices(cut: DataFrame, state: DataFrame | None, params: AlertParams) -
     lean = lean.withColumn("_lot", F.expr(f"_slice div {together}"))
     starts = lean.groupBy(*at).agg(F.min(TS_US).alias("_from"))
     later = Window.partitionBy("_run").orderBy("_lot").rowsBetween(0, Window.unboundedFollowing)
-    slices = materialize(starts.withColumn("_from", F.min("_from").over(later)), "policy-slices")
+    lots = starts.withColumn("_from", F.min("_from").over(later))
 
-    def entries(exits: DataFrame) -> DataFrame:
+    def forget(batches):
         """The states as they matter to their lots."""
-        def forget(batches):
-            for pdf in batches:
-                for i, (text, start) in enumerate(zip(pdf["_state"], pdf["_from"])):
+        for pdf in batches:
+            for i, (text, start) in enumerate(zip(pdf["_state"], pdf["_from"])):
+                if start == start:  # a lot may have no time at all
                     pdf.loc[i, "_state"] = MachineState(text).forget(int(start), gap_d, gap_r).text()
-                yield pdf[[*at, "_state"]]
-
-        known = exits.join(slices, at).select(*at, "_state", "_from")
-        return known.mapInPandas(forget, known.drop("_from").schema)
-
-    def fold(rows: DataFrame, known: DataFrame | None) -> DataFrame:
-        named = None if known is None else known.select(_group_name(at).alias("_g"), "_state")
-        done = policy_step(rows, named, at, [GPOS], params)
-        return materialize(done.select(*at, GPOS, "status", "_state", "_until"), "policy-fold")
-
-    blank = MachineState().text()
-    used = slices.select(*at).withColumn("_state", F.lit(blank))
-    if state is not None:
-        first = slices.groupBy("_run").agg(F.min("_lot").alias("_lot"))
-        given = entries(state.join(first, "_run").select(*at, "_state"))
-        used = used.drop("_state").join(given, at, "left").withColumn("_state", F.coalesce("_state", F.lit(blank)))
-    used = materialize(used.withColumn("_round", F.lit(0)).withColumn("_folds", F.lit(1)), "policy-entries")
-    rounds = [fold(lean, used if state is not None else None).withColumn("_round", F.lit(0))]
-    many = slices.filter("_lot > 0").limit(1).count()
-    ends = materialize(rounds[0].filter("_state is not null").select(*at, "_state", "_until"), "policy-ends")
-    front = Window.partitionBy("_run").orderBy("_lot")
-    while many:
-        shifted = ends.select("_run", (F.col("_lot") + 1).alias("_lot"), "_state")
-        met = entries(shifted).withColumnRenamed("_state", "_now").join(used, at)
-        unmet = met.filter("_now <> _state").withColumn("_place", F.row_number().over(front))
-        unmet = unmet.filter((F.col("_place") == 1) | (F.col("_folds") < GUESSES))
-        wrong = materialize(unmet.select(*at, F.col("_now").alias("_state"), (F.col("_folds") + 1).alias("_folds")), "policy-wrong")
-        if not wrong.limit(1).count():
-            break
-        n = len(rounds)
-        again = fold(lean.join(wrong.select(*at), at, "left_semi"), wrong).withColumn("_round", F.lit(n))
-        rounds.append(again)
-        anew = wrong.withColumn("_round", F.lit(n))
-        used = materialize(used.join(wrong.select(*at), at, "left_anti").unionByName(anew), "policy-entries")
-        fresh = again.filter("_state is not null").select(*at, "_state", "_until")
-        ends = materialize(ends.join(wrong.select(*at), at, "left_anti").unionByName(fresh), "policy-ends")
-    every = rounds[0]
-    for one in rounds[1:]:
-        every = every.unionByName(one)
-    if len(rounds) > 1:
-        every = every.join(used.select(*at, "_round"), [*at, "_round"], "left_semi")
+            yield pdf[[*at, "_state"]]
+
+    if most >= together:
+        known = _entry_states(lean, state, params)
+    else:  # one lot a run
+        known = None if state is None else state.select("_run", F.lit(0).cast("long").alias("_lot"), "_state")
+    if known is not None:
+        met = known.join(lots, at).select(*at, "_state", "_from")
+        met = materialize(met.mapInPandas(forget, met.drop("_from").schema), "policy-entries")
+        known = met.select(_group_name(at).alias("_g"), "_state")
+    done = policy_step(lean, known, at, [GPOS], params)
+    every = materialize(done.select(*at, GPOS, "status", "_state", "_until"), "policy-fold")
     out = cut.join(every.select(GPOS, "status"), GPOS).select(*cut.columns, "status")
     tail = Window.partitionBy("_run").orderBy(F.desc("_lot"))
-    last = ends.withColumn("_n", F.row_number().over(tail)).filter("_n = 1").select("_run", "_state", "_until")
-    return out, last
+    ends = every.filter("_state is not null").withColumn("_n", F.row_number().over(tail))
+    return out, ends.filter("_n = 1").select("_run", "_state", "_until")
 
 
 def sliced_policy_step(
