@@ -238,7 +238,7 @@ def fit_and_score(
     scope = list(scope_cols)
     keep = list(dict.fromkeys([*scope, *keep, "n", "model"]))
     own = [c for c in keep if c not in ("n", "model", *scope)]
-    epochs = materialize(epochs.select(*keep, vector_col), "forest-epochs")
+    epochs = epochs.select(*keep, vector_col)  # vector_sequence reads a written table
     in_fields = {f.name: f for f in epochs.schema.fields}
     out_schema = T.StructType([in_fields[c] for c in keep] + SCORE_FIELDS)
     train = training_slices(epochs.select(*scope, "n", vector_col), p, scope)

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.carry import carry_forward
+from tidewatch.operators.positions import PID
+from tidewatch.operators.wide import WideWindows
+from tidewatch.session import materialize
 
 
 def feature_vectors(
     events: DataFrame,
-    stats: DataFrame,
+    stats: DataFrame | WideWindows,
     id_cols: Sequence[str],
     order_cols: Sequence[str],
     features: Sequence[str],
@@ -31,16 +34,28 @@ def feature_vectors(
     ``pivot``); events without any present feature still get a row. With
     ``scope_cols`` each scope carries its own values. With ``keep_place`` rows
     keep their place in ``(scope_cols, order_cols)`` order (``_pid``, ``_loc``).
+
+    Where ``stats`` are the :class:`~tidewatch.operators.wide.WideWindows` of
+    the events, in the same scopes and order, the z-scores as of each event are
+    written where the events lie: no long rows, no second sort.
     """
     keys = list(dict.fromkeys([*id_cols, *scope_cols, *order_cols]))
+    zcols = [f"z_{f}" for f in features]
+    if isinstance(stats, WideWindows):
+        place = [PID, "_loc"] if keep_place else []
+        filled = materialize(stats.zscores(keys).select(*keys, *zcols, *place), "vectors", lean=True)
+        return filled.withColumn("vector", _vector(zcols))
     zrows = stats.select(*keys, "feature", "zscore")
     blanks = events.select(*keys, F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("zscore"))
     wide = zrows.unionByName(blanks).groupBy(*keys).agg(
         *[F.max(F.when(F.col("feature") == F.lit(f), F.col("zscore"))).alias(f"z_{f}") for f in features]
     )
-    zcols = [f"z_{f}" for f in features]
     filled = carry_forward(wide, order_cols, zcols, key_cols=scope_cols, keep_place=keep_place)
+    return filled.withColumn("vector", _vector(zcols))
+
+
+def _vector(zcols: Sequence[str]) -> Column:
     ready = F.lit(True)
     for c in zcols:
         ready = ready & F.col(c).isNotNull()
-    return filled.withColumn("vector", F.when(ready, F.array(*[F.col(c) for c in zcols])))
+    return F.when(ready, F.array(*[F.col(c) for c in zcols]))

@@ -33,13 +33,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.functions.window_kernel import STAT_NAMES, window_stats
 from tidewatch.operators.positions import PID, default_partitions, key_changes, range_sorted
+from tidewatch.operators.wide import wide_windows
 from tidewatch.session import materialize
+from tidewatch.sources.events import unpivot_features
 
 STAT_FIELDS = [T.StructField("win_count", T.LongType())] + [
     T.StructField(n, T.DoubleType()) for n in STAT_NAMES[1:]
 ]
 
 
+def stat_fields(stats: Sequence[str] | None = None) -> list[T.StructField]:
+    """The statistics named (default: all), in their order."""
+    return [f for f in STAT_FIELDS if stats is None or f.name in stats]
+
+
 def _default_step(window: int) -> int:
     return max(8 * window, 8192)
 
@@ -56,6 +63,7 @@ def rolling_stats(
     block_size: int | None = None,
     num_partitions: int | None = None,
     stats: Sequence[str] | None = None,
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add window statistics for each row: the window holds the last
     ``window`` values of the row's key (itself included), oldest evicted.
@@ -71,10 +79,28 @@ def rolling_stats(
 
     Rows whose value is NULL or NaN are absent: they enter no window and give
     no row; a reset on one clears the window for the rows after it.
+
+    With ``features`` rows are events with a column for each feature and the
+    result is that of their unpivoted rows (``feature``, ``value``), which are
+    made after the rows have moved (:mod:`tidewatch.operators.wide`).
+    ``key_cols`` end with ``feature`` then, and the sort needs no long rows.
     """
     if window < 1:
         raise ValueError("window must be >= 1")
-    fields = [f for f in STAT_FIELDS if stats is None or f.name in stats]
+    fields = stat_fields(stats)
+    if features is not None:
+        if reset_col or list(key_cols)[-1:] != ["feature"] or passthrough is None:
+            raise ValueError("features need key_cols that end with feature, a passthrough, and no reset")
+        scope = list(key_cols)[:-1]
+        if strategy != "frame":
+            wide = wide_windows(df, order_cols, features, scope, window, [c for c in passthrough if c not in ("feature", "value")],
+                                num_partitions, block_size)
+            return wide.statistics(fields, list(passthrough))
+        ids = list(dict.fromkeys([*scope, *order_cols, *(c for c in passthrough if c not in ("feature", "value"))]))
+        near = df.select(*ids, *features)
+        if scope:  # all tasks at work; an event's features stay together
+            near = near.repartition(default_partitions(df), *scope)
+        df = unpivot_features(near, ids, features, in_place=True)
     keep = list(passthrough) if passthrough is not None else list(df.columns)
     needed = list(dict.fromkeys([*key_cols, *order_cols, value_col, *([reset_col] if reset_col else []), *keep]))
     present = F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))
@@ -84,7 +110,8 @@ def rolling_stats(
         out = _halo(src, list(order_cols), list(key_cols), value_col, window, reset_col, keep,
                     block_size or _default_step(window), num_partitions, fields)
     elif strategy == "frame":
-        out = _frame(src, list(order_cols), list(key_cols), value_col, window, reset_col)
+        dealt = features is not None and len(key_cols) > 1
+        out = _frame(src, list(order_cols), list(key_cols), value_col, window, reset_col, dealt)
         out = out.select(*keep, *[f.name for f in fields])
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -104,9 +131,9 @@ def _percentile(values: str, n: Column, q: Column) -> Column:
     return F.when((pos == lo) | (a == b), a).otherwise((lo + 1 - pos) * a + (pos - lo) * b)
 
 
-def _frame(df, order_cols, key_cols, value_col, window, reset_col) -> DataFrame:
+def _frame(df, order_cols, key_cols, value_col, window, reset_col, dealt=False) -> DataFrame:
     keys: list[str | Column] = list(key_cols)
-    if key_cols:  # all tasks at work, however small Spark thinks the rows are
+    if key_cols and not dealt:  # all tasks at work, however small Spark thinks the rows are
         df = df.repartition(default_partitions(df), *key_cols)
     if reset_col:
         grow = Window.partitionBy(*key_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)

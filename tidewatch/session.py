@@ -91,20 +91,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df, label: str = "table"):
+#: Spark removes the files of a job's shuffles when the job has ended
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df, label: str = "table", lean: bool = False, **options):
     """Write ``df`` once as parquet under the cluster's checkpoint folder and
     read it back: a lineage cut that costs one columnar write (an RDD
     ``checkpoint()`` serializes rows and recomputes the plan a second time).
 
     The folder is ``spark.checkpoint.dir`` (shared storage on a cluster);
-    each call writes a new uniquely named table.
+    each call writes a new uniquely named table. ``lean`` spares the disk: the
+    table is compressed by zstd and the files of the job's shuffles, which
+    nothing reads once it is written, are removed. ``options`` go to the writer.
     """
     import uuid
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tidewatch-tables/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    write = df.write.mode("errorifexists").options(**({"compression": "zstd"} if lean else {}), **options)
+    was = spark.conf.get(_CLEANUP, "false")
+    if lean:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        write.parquet(path)
+    finally:
+        if lean:
+            spark.conf.set(_CLEANUP, was)
     return spark.read.parquet(path)
 
 

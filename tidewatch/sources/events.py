@@ -124,15 +124,29 @@ def unpivot_features(
     features: Sequence[str],
     feature_col: str = "feature",
     value_col: str = "value",
+    along: str | None = None,
+    in_place: bool = False,
 ) -> DataFrame:
     """One row per (event, present feature): the per-feature routing step.
 
     Absent (NULL) features are skipped, so each feature's window holds only
     that feature's own values. Features missing from the schema are skipped.
+    ``along`` names a struct that holds a struct for each feature, whose
+    fields go to the feature's row. With ``in_place`` the plan knows that rows
+    stay in their partitions.
     """
     present = [f for f in features if f in df.columns]
     if not present:
         raise ValueError(f"none of the features {list(features)} is a column")
+    if in_place:
+        each = [F.struct(F.lit(f).alias(feature_col), F.col(f).cast("double").alias(value_col)) for f in present]
+        return df.select(*ids, F.inline(F.array(*each))).filter(F.col(value_col).isNotNull())
+    if along is not None:
+        fields = df.schema[along].dataType[present[0]].dataType.names
+        each = [F.struct(F.col(f).cast("double").alias(value_col), *[F.col(along)[f][x].alias(x) for x in fields]).alias(f) for f in present]
+        # no fewer partitions: it keeps generated code of what follows out of that of the rows, where it does not compile
+        long = df.select(*ids, *each).unpivot(list(ids), present, feature_col, "_row").coalesce(1 << 20)
+        return long.filter(F.col(f"_row.{value_col}").isNotNull()).select(*ids, feature_col, "_row.*")
     narrow = df.select(*ids, *[F.col(f).cast("double").alias(f) for f in present])
     long = narrow.unpivot(list(ids), present, feature_col, value_col)
     return long.filter(F.col(value_col).isNotNull())
