@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import wide as wide_mod
 from tidewatch.operators.vectors import feature_vectors
 from tidewatch.operators.wide import wide_windows
-from tidewatch.operators.windows import rolling_stats
+from tidewatch.operators.windows import rolling_stats, stat_fields
 from tidewatch.sources.events import unpivot_features
 
 
@@ -64,6 +64,21 @@ def test_vectors_where_the_events_lie(spark, scope, monkeypatch):
     assert order == [r.i for r in df.orderBy(*scope, "i").collect()]
 
 
+@pytest.mark.parametrize("scope", [[], ["k"]])
+def test_events_that_come_twice_give_one_vector(spark, scope):
+    """Also where a block's border lies between the two."""
+    df = _events(spark, n=150)
+    df = df.unionByName(df.filter("i % 3 = 0").withColumn("x", F.col("i") * 0.5)).unionByName(df.filter("i = 15"))
+    features = ["x", "y"]
+    for block in (16, 5):
+        own = wide_windows(df.orderBy("i", "x"), ["i"], features, scope, window=9, num_partitions=3, block=block)
+        assert not own.distinct
+        stats = own.statistics(stat_fields(["zscore"]), ["i", *scope, "feature", "value"])
+        want = feature_vectors(df, stats, [], ["i"], features, scope)
+        got = feature_vectors(df, own, [], ["i"], features, scope, keep_place=True)
+        assert got.count() == 150 and _rows(got.drop("_pid", "_loc")) == _rows(want)
+
+
 def test_events_move_before_they_are_unpivoted(spark):
     """One exchange of whole events; the frame form needs no second one."""
     df = _events(spark)

@@ -37,13 +37,18 @@ def feature_vectors(
 
     Where ``stats`` are the :class:`~tidewatch.operators.wide.WideWindows` of
     the events, in the same scopes and order, the z-scores as of each event are
-    written where the events lie: no long rows, no second sort.
+    written where the events lie: no long rows, no second sort (unless events
+    come more than once).
     """
     keys = list(dict.fromkeys([*id_cols, *scope_cols, *order_cols]))
     zcols = [f"z_{f}" for f in features]
     if isinstance(stats, WideWindows):
-        place = [PID, "_loc"] if keep_place else []
-        filled = materialize(stats.zscores(keys).select(*keys, *zcols, *place), "vectors", lean=True)
+        if stats.distinct:
+            place = [PID, "_loc"] if keep_place else []
+            filled = materialize(stats.zscores(keys).select(*keys, *zcols, *place), "vectors", lean=True)
+        else:  # rows of one event give one vector
+            wide = stats.zscores(keys, carry=False).groupBy(*keys).agg(*[F.max(c).alias(c) for c in zcols])
+            filled = carry_forward(wide, order_cols, zcols, key_cols=scope_cols, keep_place=keep_place)
         return filled.withColumn("vector", _vector(zcols))
     zrows = stats.select(*keys, "feature", "zscore")
     blanks = events.select(*keys, F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("zscore"))

@@ -81,11 +81,13 @@ class _Held:
 
 
 class WideWindows:
-    """Sorted events (see the module's head) and their window statistics."""
+    """Sorted events (see the module's head) and their window statistics;
+    ``distinct``: no two have the same scope and place in the order."""
 
-    def __init__(self, table: DataFrame, scope: Sequence[str], features: Sequence[str], window: int, block: int, before: dict):
+    def __init__(self, table: DataFrame, scope: Sequence[str], features: Sequence[str], window: int, block: int, before: dict,
+                 distinct: bool = True):
         self.table, self.scope, self.features, self.window, self.block = table, list(scope), list(features), window, block
-        self.before = table.sparkSession.sparkContext.broadcast(before)
+        self.before, self.distinct = table.sparkSession.sparkContext.broadcast(before), distinct
 
     def drop(self) -> None:
         """Delete the table, once all that reads it has been written."""
@@ -167,11 +169,11 @@ class WideWindows:
         made = self.table.select(*ids, *self.features, self._made(fields, False).alias("_made"))
         return unpivot_features(made, ids, self.features, along="_made").select(*keep, *[f.name for f in fields])
 
-    def zscores(self, keep: Sequence[str]) -> DataFrame:
-        """One row per event: ``keep``, ``z_<feature>`` as of the event (an absent
-        feature has that of its last value, whose window is still the same),
-        and the row's place (``_pid``, ``_loc``) in the order."""
-        made = self._made([T.StructField("zscore", T.DoubleType())], True)
+    def zscores(self, keep: Sequence[str], carry: bool = True) -> DataFrame:
+        """One row per event: ``keep``, ``z_<feature>`` as of the event (with
+        ``carry`` an absent feature has that of its last value, whose window is
+        still the same), and the row's place (``_pid``, ``_loc``) in the order."""
+        made = self._made([T.StructField("zscore", T.DoubleType())], carry)
         rows = self.table.select(*keep, PID, "_loc", made.alias("_made"))
         return rows.select(*keep, *[F.col(f"_made.{f}.zscore").alias(f"z_{f}") for f in self.features], PID, "_loc")
 
@@ -187,20 +189,27 @@ def wide_windows(
     block: int | None = None,
 ) -> WideWindows:
     """Sort ``events`` by ``(scope_cols, order_cols)`` and write them with what
-    their windows need. NULL and NaN features are absent: they enter no window."""
+    their windows need. NULL and NaN features are absent: they enter no window.
+    Python sees keys and features alone."""
     scope, features = list(scope_cols), list(features)
     block = block or max(BLOCK, HALOS * window)
     others = list(dict.fromkeys([*scope, *order_cols, *keep]))
     src = events.select(*others, *[F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(f) for f in features])
     ranged = range_sorted(src, [*scope, *order_cols], num_partitions)
+    place = list(dict.fromkeys([*scope, *order_cols]))
+    inputs = [*place, *features, "_loc"]
+    made_type = T.StructType([T.StructField("_halo", T.BinaryType()), T.StructField("_same", T.BooleanType())])
+
     def halos(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        held = _Held(scope, len(features), window)
+        held, last = _Held(scope, len(features), window), None
         for b in batches:
-            b = pa.RecordBatch.from_arrays(list(b), [*scope, *features, "_loc"])
+            b = pa.RecordBatch.from_arrays(list(b), inputs)
             n = b.num_rows
             if not n:
-                yield pa.array([], pa.binary())
+                yield pa.array([], to_arrow_type(made_type))
                 continue
+            same = ~key_changes(b, place)
+            same[0], last = last is not None and _key(b, place, 0) == last, _key(b, place, n - 1)
             cols = [_numbers(b.column(f)) for f in features]
             new, lo, made = held.changes(b), 0, []
             for i in np.flatnonzero(b.column("_loc").to_numpy() % block == 0).tolist():
@@ -209,13 +218,15 @@ def wide_windows(
                 lo = i
             held.take(new, cols, lo, n)
             made.append(pa.nulls(n - lo - bool(made), pa.binary()))
-            yield pa.concat_arrays(made)
+            yield pa.StructArray.from_arrays([pa.concat_arrays(made), pa.array(same)], ["_halo", "_same"])
 
-    carried = F.arrow_udf(halos, T.BinaryType()).asNondeterministic()
-    rows = ranged.select(*others, *features, PID, "_loc", carried(*[F.col(c) for c in [*scope, *features, "_loc"]]).alias("_halo"))
+    carried = F.arrow_udf(halos, made_type).asNondeterministic()
+    rows = ranged.select(*others, *features, PID, "_loc", carried(*[F.col(c) for c in inputs]).alias("_made"))
+    rows = rows.select(*others, *features, PID, "_loc", "_made.*")
     # one file a block, one row group a file
     table = materialize(rows, "wide", lean=True, maxRecordsPerFile=block, **{"parquet.block.size": 1 << 30})
-    return WideWindows(table, scope, features, window, block, _before(table, scope, features, window, block))
+    distinct = not table.filter("_same").limit(1).count()
+    return WideWindows(table, scope, features, window, block, _before(table, scope, features, window, block), distinct)
 
 
 def _before(table: DataFrame, scope: list[str], features: list[str], window: int, block: int) -> dict:
